@@ -111,8 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc
         encode, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             rows = []
-            for doc, body in zip(batch["k"], batch["t"]):
-                ids = encode.document(body)
+            for doc, ids in zip(batch["k"], encode.documents(batch["t"].tolist())):
                 n = len(ids) // 4
                 at, number, end = 0, 0, n % capacity or capacity  # the first piece takes what full pieces leave
                 while at < n:

@@ -156,8 +156,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_
             if writer is None and len(batch):
                 writer = PlaneWriter(TaskContext.get().partitionId(), kind, block_ids)
                 yield pd.DataFrame({"section": [writer.start()]})
-            for doc, body in zip(batch["k"], batch["t"]):
-                for section in writer.add(None if doc is None or pd.isna(doc) else int(doc), encode.document(body)):
+            for doc, ids in zip(batch["k"], encode.documents(batch["t"].tolist())):
+                for section in writer.add(None if doc is None else int(doc), ids):
                     yield pd.DataFrame({"section": [section]})
         if writer:
             for section in writer.finish():

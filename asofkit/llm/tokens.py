@@ -1,26 +1,92 @@
-"""Byte-level BPE ids of whole texts, by the tokenizers library, with a bounded memo of words.
+"""Byte-level BPE ids of whole texts, by the tokenizers library, each distinct word asked for once.
 
-A single space between two characters that aren't white space always starts a new
-pre-token of the byte-level pattern, so a text may be cut before each such space and
-the ids of the cuts put together. Most cuts recur, so each worker asks the tokenizer once
-for each and keeps the answer in a memo of bounded size.
+A single space between two characters that aren't white space always starts a new pre-token of the
+byte-level pattern, so texts may be cut before such spaces and the ids of the words put together. Words of a
+run of texts are found, hashed (two polynomials modulo 2**64 over their bytes, 128 bits and the length) and matched with a
+bounded table of known words in numpy; only new words pass through the tokenizer. Where a character
+beside a space might be white space the texts aren't cut, which only makes words longer.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 
 #: End-of-document id that follows the ids of every document.
 END_ID = 0
-MEMO_WORDS = 250_000
-MEMO_CHARS = 48
+#: Known words that a worker keeps, at most, and the bytes of the longest one it keeps.
+TABLE_WORDS = 1_000_000
+WORD_BYTES = 48
+#: Bytes of a run.
+RUN_BYTES = 3_000_000
 
-_crowded = re.compile(r"\s | \s")
-_between = re.compile(r"(?<=\S) (?=\S)")
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_space = np.zeros(256, bool)
+_space[[*range(9, 14), *range(28, 33)]] = True
+#: First bytes of characters that might be white space: U+0085 and U+00A0, and U+1680 up to U+3000.
+_lead3 = np.zeros(256, bool)
+_lead3[[0xE1, 0xE2, 0xE3]] = True
+
+
+class _Powers:
+    def __init__(self, base: np.uint64):
+        self.base, self.up, self.down = int(base), np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            m = len(self.up)
+            ahead = np.uint64(pow(self.base, m, 1 << 64)), np.uint64(pow(self.base, -m, 1 << 64))
+            self.up, self.down = np.concatenate([self.up, self.up * ahead[0]]), np.concatenate([self.down, self.down * ahead[1]])
+        return self.up[:n], self.down[:n]
+
+
+_powers = [_Powers(b) for b in _BASES]
+
+
+def word_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where words start in UTF-8 *data*, whose texts start at *begins*."""
+    n = len(data)
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 2) & (at < n - 2)]  # at the rim a word is just longer
+    before, after = data[at - 1], data[at + 1]
+    odd = _space[before] | _space[after] | _lead3[data[at - 3]] | _lead3[after]
+    odd |= (data[at - 2] == 0xC2) & ((before == 0xA0) | (before == 0x85)) | (after == 0xC2)
+    at = at[~odd]
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    first[begins] = True
+    return np.flatnonzero(first[:n])
+
+
+class _Table:
+    """Known words by hash: sorted first hashes, second hashes, and where their ids are in the pool."""
+
+    def __init__(self):
+        self.h1 = self.h2 = np.empty(0, np.uint64)
+        self.at = np.empty(0, np.int64)
+        self.size = np.empty(0, np.int32)
+        self.pool = np.empty(0, np.uint32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Positions, or -1."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, -1)
+
+    def has(self, h1: np.ndarray) -> np.ndarray:
+        return self.h1[np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)] == h1 if len(self.h1) else np.zeros(len(h1), bool)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in ids], np.int32)
+        at = len(self.pool) + np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
+        self.pool = np.concatenate([self.pool, *ids])
+        order = np.argsort(keys := np.concatenate([self.h1, h1]), kind="stable")
+        self.h1, self.h2 = keys[order], np.concatenate([self.h2, h2])[order]
+        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
 
 
 class TextEncoder:
@@ -30,35 +96,104 @@ class TextEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._first: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}
-
-    def _ask(self, words: list[str], lead: str, memo: dict[str, bytes]) -> dict[str, bytes]:
-        got = self._tokenizer.encode_batch_fast([lead + w for w in words], add_special_tokens=False)
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, got)}
-        if len(memo) + len(found) > MEMO_WORDS:
-            memo.clear()
-        memo.update((w, b) for w, b in found.items() if len(w) <= MEMO_CHARS)
-        return found
-
-    def _look(self, words: list[str], lead: str, memo: dict[str, bytes]) -> list[bytes]:
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            have = {w: memo[w] for w in set(words) if w in memo}
-            have |= self._ask([w for w in dict.fromkeys(words) if w not in have], lead, memo)
-            return [have[w] for w in words]
-
-    def raw(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text; a null text has none."""
-        if not text:
-            return b""
-        words = _between.split(text) if _crowded.search(text) else text.split(" ")
-        return b"".join([*self._look(words[:1], "", self._first), *self._look(words[1:], " ", self._spaced)])
-
-    def document(self, text: str | None) -> bytes:
-        """The text's ids and the end id."""
-        return self.raw(text) + END_ID.to_bytes(4, "little")
+        self._table = _Table()
+
+    def _ask(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _run(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; none is empty."""
+        raw = b"".join(pieces)
+        data = np.frombuffer(raw, np.uint8)
+        begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces[:-1]], dtype=np.int64)]).astype(np.int64)
+        start = word_starts(data, begins)
+        end = np.append(start[1:], len(data))
+        hashes = []
+        for p in _powers:
+            up, down = p.upto(len(data))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+            hashes.append((sums[end] - sums[start]) * down[start])
+        h1, h2 = hashes[0] * np.uint64(31) + (end - start).astype(np.uint64), hashes[1]
+        keys, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
+        second = h2[first]
+        alone = np.flatnonzero(h2 != second[inverse])  # equal first hashes of unequal words
+        if len(self._table.h1) + len(keys) > TABLE_WORDS:
+            self._table = _Table()
+        table = self._table
+        new = np.flatnonzero(table.find(keys, second) < 0)
+        long = (end - start)[first[new]] > WORD_BYTES
+        text = lambda i: raw[start[i] : end[i]].decode()
+        kept, once = new[~long], new[long]
+        if len(kept):
+            fresh = ~table.has(keys[kept])
+            kept, clash = kept[fresh], kept[~fresh]
+            once = np.concatenate([once, clash])
+            if len(kept):
+                table.add(keys[kept], second[kept], self._ask([text(first[i]) for i in kept]))
+        place = table.find(keys, second)
+        pool, pool_at, sizes = table.pool, table.at[place], table.size[place]
+        extra = [(i, ids) for i, ids in zip(once, self._ask([text(first[i]) for i in once]))] if len(once) else []
+        for i, ids in extra:
+            pool_at[i], sizes[i] = len(pool), len(ids)
+            pool = np.concatenate([pool, ids])
+        where, count = pool_at[inverse], sizes[inverse]
+        for i in alone:
+            ids = self._ask([text(i)])[0]
+            where[i], count[i] = len(pool), len(ids)
+            pool = np.concatenate([pool, ids])
+        stop = np.cumsum(count, dtype=np.int64)
+        take = np.arange(stop[-1]) + np.repeat(where - (stop - count), count)
+        out = pool[take].astype("<u4")
+        edges = np.append(np.searchsorted(start, begins), len(start))
+        totals = np.concatenate([[0], stop])[edges]
+        return [out[a:b].tobytes() for a, b in zip(totals[:-1], totals[1:])]
+
+    def raw(self, texts: Iterable[str | None]) -> list[bytes]:
+        """For each whole text its little-endian unsigned 32-bit ids; a null text has none."""
+        parts: list[list[bytes]] = []
+        run: list[bytes] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if run:
+                for i, ids in zip(owner, self._run(run)):
+                    parts[i].append(ids)
+            run.clear()
+            owner.clear()
+            size = 0
+
+        for text in texts:
+            parts.append([])
+            data = (text or "").encode()
+            while len(data) > RUN_BYTES:  # a very long text goes by pieces, cut where a word starts
+                starts = word_starts(np.frombuffer(data, np.uint8, RUN_BYTES), np.zeros(1, np.int64))
+                if (cut := int(starts[-1])) == 0:
+                    break
+                run.append(data[:cut])
+                owner.append(len(parts) - 1)
+                flush()
+                data = data[cut:]
+            if len(data) > RUN_BYTES:
+                flush()
+                parts[-1].append(self._ask([data.decode()])[0].astype("<u4").tobytes())
+            elif data:
+                run.append(data)
+                owner.append(len(parts) - 1)
+                size += len(data)
+                if size > RUN_BYTES:
+                    flush()
+        flush()
+        return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
+
+    def documents(self, texts: Sequence[str | None], at_once: int = 1_000) -> Iterator[bytes]:
+        """The ids of each text, and the end id."""
+        end = END_ID.to_bytes(4, "little")
+        for i in range(0, len(texts), at_once):
+            for ids in self.raw(texts[i : i + at_once]):
+                yield ids + end
 
 
 @lru_cache(maxsize=2)
