@@ -7,14 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import mixing, packing, token_store
-from asofkit.llm.common import work_path
+from asofkit.llm import ann, fingerprints, langid, linededup, mixing, packing, token_store, warc
+from asofkit.llm.common import remove, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Production parameters.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 SEQUENCE_TOKENS = 2048
+LINE_EDITS = 1
+LINE_CHARS = 20
 
 
 def tokenizer() -> str:
@@ -25,6 +27,31 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"), MIX_WEIGHTS, seed=1)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_edits=LINE_EDITS, min_chars=LINE_CHARS)
+    return docs.select("doc_id", "text", "lines_removed")
+
+
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arc, archives = work_path(spark, "arc"), work_path(spark, "warc")
+    warc.write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arc)
+    warc.arc_to_warc(spark, arc, archives, least_bytes=0)
+    remove(spark, arc)
+    return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "date")
+
+
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "planes")
     token_store.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer())
@@ -36,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_poisson_mix, op9_plane_tokens, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_line_dedup, op3_arc_to_warc, op5_multi_index_hashing, op6_language_id, op8_prefix_fingerprints, op9_plane_tokens, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
