@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import ann, fingerprints, langid, linededup, mixing, packing, token_store, warc
+from asofkit.llm import ann, fingerprints, langid, linededup, mixing, ngramjoin, packing, token_store, warc
 from asofkit.llm.common import remove, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "date")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=75)
+
+
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
 
@@ -63,7 +67,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_line_dedup, op3_arc_to_warc, op5_multi_index_hashing, op6_language_id, op8_prefix_fingerprints, op9_plane_tokens, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_line_dedup, op3_arc_to_warc, op4_ngram_jaccard, op5_multi_index_hashing, op6_language_id, op8_prefix_fingerprints, op9_plane_tokens, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,6 +46,17 @@ class _Powers:
 _powers = [_Powers(b) for b in _BASES]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two polynomial hashes modulo 2**64 of the spans of *data* from *start* up to *end*."""
+    hashes = []
+    for p in _powers:
+        up, down = p.upto(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        hashes.append((sums[end] - sums[start]) * down[start])
+    return hashes
+
+
 def word_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Where words start in UTF-8 *data*, whose texts start at *begins*."""
     n = len(data)
@@ -108,12 +119,7 @@ class TextEncoder:
         begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces[:-1]], dtype=np.int64)]).astype(np.int64)
         start = word_starts(data, begins)
         end = np.append(start[1:], len(data))
-        hashes = []
-        for p in _powers:
-            up, down = p.upto(len(data))
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-            hashes.append((sums[end] - sums[start]) * down[start])
+        hashes = span_hashes(data, start, end)
         h1, h2 = hashes[0] * np.uint64(31) + (end - start).astype(np.uint64), hashes[1]
         keys, first, inverse = np.unique(h1, return_index=True, return_inverse=True)
         second = h2[first]
