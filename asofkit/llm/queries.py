@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import ann, fingerprints, langid, linededup, mixing, ngramjoin, packing, token_store, warc
+from asofkit.llm import ann, fingerprints, langid, linededup, mixing, ngramjoin, packing, sitetree, token_store, warc
 from asofkit.llm.common import remove, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -67,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_line_dedup, op3_arc_to_warc, op4_ngram_jaccard, op5_multi_index_hashing, op6_language_id, op8_prefix_fingerprints, op9_plane_tokens, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_line_dedup, op3_arc_to_warc, op4_ngram_jaccard, op5_multi_index_hashing, op6_language_id, op7_site_style_tree, op8_prefix_fingerprints, op9_plane_tokens, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
