@@ -1 +1 @@
-"""See the modules."""
+"""Registered queries."""
