@@ -77,6 +77,15 @@ def drop_saved(df: DataFrame) -> None:
         remove(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+#: Bytes of rows that go to a Python worker at once: texts may be very long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers are bounded by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether *df* has at most *rows* rows; looks at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import partitions_for
+from asofkit.llm.common import bounded_batches, partitions_for
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_333 % PRIMES[0], 1_618_033_989 % PRIMES[1])
@@ -169,6 +169,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     by text. Only range bounds and the first key of each range pass the driver: as many as there are ranges.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions_for(spark)
     docs = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     cuts = docs.select(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
