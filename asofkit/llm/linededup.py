@@ -36,11 +36,15 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _segments(edits: int) -> Column:
-    """Structs (key, probe) of the column line: its own segments (probe false), and what it may share with shorter lines."""
-    size, out = F.char_length("line"), []
+    """Structs (key, probe) of the columns line and size: its own segments (probe false), and what it may share with shorter lines.
+
+    The key of a substring that would reach beyond the line is null.
+    """
+    size, out = F.col("size"), []
     for shorter in range(edits + 1):
         length = size - shorter
-        base, longer = F.floor(length / (edits + 1)), length % (edits + 1)
+        longer = length % (edits + 1)
+        base = ((length - longer) / (edits + 1)).cast("int")
         for i in range(1, edits + 2):
             # The last *longer* segments have one character more.
             extra = F.greatest(longer - (edits + 1 - i) - 1, F.lit(0))
@@ -48,11 +52,11 @@ def _segments(edits: int) -> Column:
             own = base + F.when(longer > edits + 1 - i, 1).otherwise(0)
             low, high = max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i))
             for shift in range(low, high + 1):
-                at = (start + shift + 1).cast("int")
+                at = start + shift + 1
                 fits = (at >= 1) & (at + own - 1 <= size)
-                key = F.xxhash64(F.lit(i), length, F.col("line").substr(at, own.cast("int")))
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(bool(shorter or shift)).alias("probe"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                key = F.xxhash64(F.lit(i), length, F.col("line").substr(at, own))
+                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(bool(shorter or shift)).alias("probe")))
+    return F.array(*out)
 
 
 def banded_distance(a: str, b: str, edits: int) -> Column:
@@ -87,8 +91,10 @@ def _chosen(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str) -
 
 def _near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame | None:
     """h1, g1, h2, g2: pairs of distinct lines within *edits* edits, in no given order."""
-    eligible = lines.filter(F.char_length("line") >= least).select("h", "g", "line")
-    segments = saved(eligible.select("h", F.explode(_segments(edits)).alias("s")).select("s.key", "h", "s.probe").distinct(), "segments")
+    sized = lines.select("h", "g", "line", F.char_length("line").alias("size")).filter(F.col("size") >= least)
+    eligible = sized.drop("size")
+    spread = sized.select("h", F.explode(_segments(edits)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
+    segments = saved(spread.distinct(), "segments")
     own, pairs = segments.filter(~F.col("probe")).select("key", F.col("h").alias("h1")), []
     if edits == 1:
         hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
