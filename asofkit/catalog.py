@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import prep
+from asofkit.plans import prep, state
 from asofkit.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["oracle_sql", "prep", "queries"]
+__all__ = ["oracle_sql", "prep", "queries", "state"]
 
 
 def queries() -> dict[str, Query]:
