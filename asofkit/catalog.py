@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import prep, state
+from asofkit.plans import prep, ranking, state
 from asofkit.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["oracle_sql", "prep", "queries", "state"]
+__all__ = ["oracle_sql", "prep", "queries", "ranking", "state"]
 
 
 def queries() -> dict[str, Query]:

@@ -438,13 +438,14 @@ def jaccard_similarity(spark, sf):
 
 
 @query(
-    """, m AS (SELECT item_id, avg(price) AS mp FROM ob GROUP BY item_id), c AS (SELECT user_id, reference AS item_id, seq FROM ev WHERE is_test = 0 AND reference IS NOT NULL), d AS (SELECT DISTINCT e.seq, c.item_id AS other FROM ev e JOIN c ON c.user_id = e.user_id AND c.seq < e.seq)
-    SELECT b.seq, b.rank, b.item_id, round(coalesce(avg(abs(x.mp - y.mp)), 1000), 2) AS price_diff FROM ob b JOIN m x USING (item_id) LEFT JOIN d ON d.seq = b.seq LEFT JOIN m y ON y.item_id = d.other GROUP BY b.seq, b.rank, b.item_id""",
+    """, m AS (SELECT item_id, round(avg(price))::BIGINT AS mp FROM ob GROUP BY item_id), c AS (SELECT user_id, reference AS item_id, seq FROM ev WHERE is_test = 0 AND reference IS NOT NULL), d AS (SELECT DISTINCT e.seq, c.item_id AS other FROM ev e JOIN c ON c.user_id = e.user_id AND c.seq < e.seq)
+    SELECT b.seq, b.rank, b.item_id, round(coalesce(avg(abs(x.mp - y.mp)), 1000), 6) AS price_diff FROM ob b JOIN m x USING (item_id) LEFT JOIN d ON d.seq = b.seq LEFT JOIN m y ON y.item_id = d.other GROUP BY b.seq, b.rank, b.item_id""",
     "o",
 )
 def price_item_similarity(spark, sf):
     ev, obs = _both(spark, sf)
-    return feat.price_item_similarity(ev, obs, side.mean_prices(obs)).withColumn("price_diff", F.round("price_diff", 2))
+    prices = side.mean_prices(obs).withColumn("mean_price", F.round("mean_price").cast("bigint"))
+    return rounded(feat.price_item_similarity(ev, obs, prices), "price_diff")
 
 
 @query(
