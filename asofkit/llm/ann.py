@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import saved
+from asofkit.llm.common import bounded_batches, saved
 
 #: Vectors that rotations and the radius are learned from.
 SAMPLE = 4_096
@@ -104,8 +104,9 @@ class Tables:
             bound = each if w <= more else each - 1
             if bound < 0:
                 continue
-            for v in np.flatnonzero(_ones[values ^ code[w]] <= bound):
-                hit[order[first[v] : first[v + 1]]] = True
+            v = np.flatnonzero(_ones[values ^ code[w]] <= bound)
+            size = first[v + 1] - first[v]
+            hit[order[np.repeat(first[v] - (np.cumsum(size) - size), size) + np.arange(size.sum())]] = True
         rows = np.flatnonzero(hit)
         return rows[_ones[self.codes[rows] ^ code].sum(axis=1) <= radius]
 
@@ -127,6 +128,7 @@ def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str =
     (with the least of their vectors). A query that finds fewer than k within the radius is compared with all rows. An empty table gives none.
     """
     spark = embeddings.sparkSession
+    bounded_batches(spark)
     rows = _usable(embeddings, key, vector)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
