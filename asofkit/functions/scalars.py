@@ -46,7 +46,12 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 def ratio100(a: Column, b: Column) -> Column:
     """a / b in hundredths, in single precision and truncated; NO_RATIO for b = 0."""
-    return F.when(b == 0, F.lit(NO_RATIO)).otherwise((a.cast("float") / b.cast("float") * F.lit(100).cast("float")).cast("int"))
+    return F.when(b == 0, F.lit(NO_RATIO)).otherwise(times(single_divide(a, b), 100))
+
+
+def single_divide(a: Column, b: Column) -> Column:
+    """a / b in single precision: the engine divides in double precision, which rounds to the same."""
+    return (a.cast("float") / b.cast("float")).cast("float")
 
 
 def times(a: Column, factor: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import NO_COMPARISON, NO_RATIO, ratio100, times
+from asofkit.functions.scalars import NO_COMPARISON, NO_RATIO, ratio100, single_divide, times
 from asofkit.operators.prequential import as_of
 
 TOPS = (3, 5, 7)
@@ -29,7 +29,7 @@ def counters(ev: DataFrame, obs: DataFrame) -> DataFrame:
     values = ["imp", "ver", "pos", *[f"t{t}" for t in TOPS], "clk", "cpos"]
     out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", "item_id"), ["item_id"], {f"_{k}": v for k, v in sums.items()}, values)
     zero = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0))
-    mean = lambda s, n: F.when(zero(n) == 0, F.lit(NO_RATIO)).otherwise(times(zero(s).cast("float") / zero(n).cast("float"), 100))
+    mean = lambda s, n: F.when(zero(n) == 0, F.lit(NO_RATIO)).otherwise(times(single_divide(zero(s), zero(n)), 100))
     return out.select(
         "seq", "rank", "item_id", *[zero(c).alias(c) for c in ("impressions", "verified", "clickouts", *[f"top_{t}" for t in TOPS])], mean("pos", "impressions").alias("mean_rank"), mean("cpos", "clickouts").alias("clicked_mean_rank")
     )
@@ -37,7 +37,7 @@ def counters(ev: DataFrame, obs: DataFrame) -> DataFrame:
 
 def comparisons(counted: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Ratios of counters in ten-thousandths; NO_COMPARISON for a zero denominator."""
-    ratio = lambda a, b: F.when(F.col(b) == 0, F.lit(NO_COMPARISON)).otherwise(times(F.col(a).cast("float") / F.col(b).cast("float"), 10_000))
+    ratio = lambda a, b: F.when(F.col(b) == 0, F.lit(NO_COMPARISON)).otherwise(times(single_divide(F.col(a), F.col(b)), 10_000))
     return counted.select("seq", "rank", "item_id", *[ratio(a, b).alias(f"{a}_vs_{b}") for a, b in pairs])
 
 
@@ -58,10 +58,10 @@ def list_comparison(obs: DataFrame, value: str, names: Sequence[str] | None = No
     out: dict[str, Column] = {"pure": v}
 
     def mean(c: Column, w) -> Column:
-        return F.sum(c).over(w).cast("float") / F.count(c).over(w).cast("float")
+        return single_divide(F.sum(c).over(w), F.count(c).over(w))
 
     def against(c: Column, of: Column = v) -> Column:
-        return F.when(of == 0, F.lit(NO_RATIO)).otherwise((c.cast("float") / of.cast("float") * F.lit(100).cast("float")).cast("int"))
+        return ratio100(c, of)
 
     for label, w in (("", whole), ("_before", before), ("_after", after)):
         stats = {"mean": mean(v, w), "min": F.min(v).over(w), "max": F.max(v).over(w)}
