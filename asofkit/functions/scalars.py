@@ -89,3 +89,38 @@ def sha1_bucket(text: Column | str, digits: int = 8) -> Column:
     for i in range(0, 40, 5):
         out = (out * (16**5 % m) + F.conv(F.substring(h, i + 1, 5), 16, 10).cast("bigint")) % m
     return out
+
+
+def lookup(key: Column | str, table: dict, default=None) -> Column:
+    """The value of *key* in a small fixed table, *default* (null) without one."""
+    names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(names, key if isinstance(key, Column) else F.col(key))
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def country_of(city: Column | str) -> Column:
+    """What stands behind the last comma of a city, trimmed."""
+    return F.trim(F.element_at(F.split(city, ","), -1))
+
+
+def country_is_platform(city: Column | str, platform: Column | str, codes: dict[str, str]) -> Column:
+    """Whether the country of a city has the platform's code; false for countries without one."""
+    return F.coalesce(lookup(country_of(city), codes) == (platform if isinstance(platform, Column) else F.col(platform)), F.lit(False)).cast("int")
+
+
+def local_time(seconds: Column, platform: Column | str, zones: dict[str, str]) -> Column:
+    """Epoch seconds as the platform's local time; UTC for platforms without a zone."""
+    return F.from_utc_timestamp(F.timestamp_seconds(seconds), lookup(platform, zones, "UTC"))
+
+
+def sequence_text(groups: Column | str) -> Column:
+    """Lists of places as words: BEG 3 4 , 2 END. Place 0 and missing ones are left out."""
+    words = F.transform(groups, lambda g: F.array_join(F.transform(F.filter(g, lambda x: x.isNotNull() & (x != 0)), lambda x: x.cast("string")), " "))
+    return F.concat_ws(" ", F.lit("BEG"), F.array_join(F.filter(words, lambda w: w != ""), " , "), F.lit("END"))
+
+
+def numeric_columns(df) -> list[str]:
+    """The names of a frame's numeric columns."""
+    from pyspark.sql import types as T
+
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

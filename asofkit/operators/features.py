@@ -121,9 +121,12 @@ def list_clicks(ev: DataFrame, obs_keyed: DataFrame, key: str) -> DataFrame:
     return counts_before(updates, obs_keyed.select("seq", "rank", key, "item_id"), [key, "item_id"], "n")
 
 
-def list_clicks_of_others(ev: DataFrame, obs_keyed: DataFrame, key: str) -> DataFrame:
-    """Clicks on the item under the same list key by other users, all clicks of others there, and their ratio (+1)."""
-    updates = ev.filter("is_test = 0 and reference is not null").select(key, F.col("reference").alias("item_id"), "user_id", "seq")
+def list_clicks_of_others(ev: DataFrame, obs_keyed: DataFrame, key: str, update_key: str | None = None) -> DataFrame:
+    """Clicks on the item under the same list key by other users, all clicks of others there, and their ratio (+1).
+
+    Updates may go by another key of *ev*, such as that of the list as it was shown when it was left out.
+    """
+    updates = ev.filter("is_test = 0 and reference is not null").select(F.col(update_key or key).alias(key), F.col("reference").alias("item_id"), "user_id", "seq")
     out = obs_keyed.select("seq", "rank", key, "item_id", "user_id")
     for name, keys in (("ci", [key, "item_id"]), ("cu", [key, "item_id", "user_id"]), ("ai", [key]), ("au", [key, "user_id"])):
         out = counts_before(updates, out, keys, name)
@@ -299,14 +302,17 @@ def click_sequence_gzip(ev: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def last_places(ev: DataFrame, obs: DataFrame, n: int = 5) -> DataFrame:
-    """The last n clicked places of the user, newest first, each minus the rank, and the length of the trailing run of clicks on this rank."""
+    """The last n clicked places of the user, newest first, each minus the rank, the seconds since, and the length of the trailing run of clicks on this rank."""
     value = F.when((F.col("is_test") == 0) & (F.col("idx") >= 0), F.col("idx"))
     w = prior("user_id")
-    at = ev.select("seq", last_n(value, w, n).alias("last"), F.collect_list(value).over(w).alias("all"))
+    times = F.when(value.isNotNull(), F.col("ts"))
+    at = ev.select("seq", "ts", last_n(value, w, n).alias("last"), last_n(times, w, n).alias("last_ts"), F.collect_list(value).over(w).alias("all"))
     rows = obs.select("seq", "rank", "item_id").join(at, "seq")
     run = F.aggregate(F.reverse("all"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & (x == F.col("rank"))).cast("int")).alias("n"), (s["on"] & (x == F.col("rank"))).alias("on")), lambda s: s["n"])
     newest = lambda i: F.get(F.reverse("last"), F.lit(i))
-    return rows.select("seq", "rank", "item_id", *[newest(i).alias(f"place_{i}") for i in range(n)], *[(newest(i) - F.col("rank")).alias(f"place_{i}_rel") for i in range(n)], run.alias("consecutive"))
+    since = lambda i: F.col("ts") - F.get(F.reverse("last_ts"), F.lit(i))
+    cells = [c for i in range(n) for c in (newest(i).alias(f"place_{i}"), (newest(i) - F.col("rank")).alias(f"place_{i}_rel"), since(i).alias(f"since_{i}"))]
+    return rows.select("seq", "rank", "item_id", *cells, run.alias("consecutive"))
 
 
 def last_actions(ac: DataFrame, n: int = 9) -> DataFrame:

@@ -41,3 +41,25 @@ def score(df: DataFrame, model: PipelineModel, features: Sequence[str], keys: Se
     ready = df.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features if c not in keys])
     out = model.transform(ready)
     return out.select(*keys, (F.col("score") if "score" in out.columns else vector_to_array("probability")[1]).alias("score"))
+
+
+def validate_models(train: DataFrame, val: DataFrame, configs: Sequence[dict], features: Sequence[str], label: str, group: str, tie: str = "item_id") -> DataFrame:
+    """Fits one ranker per configuration (name, model_class, params) and scores *val*: group, tie, label and a column of scores per name, each over its deviation in the group + 1."""
+    from asofkit.operators.groupwise import normalised
+
+    out = val.select(group, tie, F.col(label).alias("label"))
+    for c in configs:
+        model = fit_ranker(train, features, label, c["model_class"], **c.get("params", {}))
+        scored = normalised(score(val, model, features, [group, tie]), group, "score").select(group, tie, F.col("by_sd").alias(c["name"]))
+        out = out.join(scored, [group, tie])
+    return out
+
+
+def usable_runs(runs: DataFrame, rows: int, least: float, group: str, score_column: str, clicked: str, tie: str = "item_id") -> DataFrame:
+    """run, n, mrr of runs with exactly *rows* predictions and a mean reciprocal rank above *least*; *runs* has a column run."""
+    from asofkit.operators.metrics import reciprocal_ranks
+
+    keyed = runs.withColumn("_group", F.struct("run", group))
+    per = reciprocal_ranks(keyed, "_group", score_column, clicked, tie).groupBy(F.col("_group.run").alias("run")).agg(F.avg("rr").alias("mrr"))
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == rows)
+    return counts.join(per, "run").filter(F.col("mrr") > least)

@@ -257,3 +257,17 @@ def loo_users(spark, sf):
 @query(_LOO.format(k="item_id, platform"), "o")
 def loo_users_by_platform(spark, sf):
     return _loo(spark, sf, "item_id", "platform")
+
+
+@query(
+    """ SELECT seq, trim(split_part(city, ',', -1)) AS country, (trim(split_part(city, ',', -1)) = platform AND platform IN ('NATION_1', 'NATION_2'))::INTEGER AS country_eq_platform, substr(user_id::VARCHAR, 1, 1) AS user_first,
+    hour(make_timestamp((ts + CASE WHEN platform = 'NATION_1' THEN 18000 ELSE 0 END) * 1000000))::INTEGER AS local_hour, 'BEG ' || CASE WHEN idx > 0 THEN idx::VARCHAR || ' , ' || n::VARCHAR ELSE n::VARCHAR END || ' END' AS places FROM ev""",
+    "o",
+)
+def event_projections(spark, sf):
+    """Country of the city, whether it is the platform's, the user's first letter, local hours, places as words."""
+    ev = _o(spark, sf)
+    return ev.select(
+        "seq", S.country_of("city").alias("country"), S.country_is_platform("city", "platform", {"NATION_1": "NATION_1", "NATION_2": "NATION_2"}).alias("country_eq_platform"), F.substring(F.col("user_id").cast("string"), 1, 1).alias("user_first"),
+        F.hour(S.local_time(F.col("ts"), "platform", {"NATION_1": "UTC+5"})).alias("local_hour"), S.sequence_text(F.array(F.array(F.greatest("idx", F.lit(0))), F.array("n"))).alias("places"),
+    )

@@ -257,3 +257,25 @@ def ranker_fit(spark, sf):
     features = ["price", "rank", "n", "step"]
     model = rk.fit_ranker(obs.filter("is_test = 0 and late = 0"), features, "was_clicked", "boosted", maxIter=3, maxDepth=3)
     return rk.score(obs.filter("late = 1"), model, features, ["seq", "rank", "item_id"]).select("seq", "rank", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    _SC + """, r AS (SELECT 'run' || k AS run, s.*, CASE k WHEN 0 THEN s1 WHEN 1 THEN s2 ELSE s1 - s2 END AS sc FROM s, (VALUES (0), (1), (2)) v(k) WHERE k < 2 OR rank > 0), o AS (SELECT *, row_number() OVER (PARTITION BY run, seq ORDER BY sc DESC, item_id) AS place FROM r),
+    m AS (SELECT run, seq, min(place) FILTER (WHERE was_clicked = 1) AS p FROM o GROUP BY ALL) SELECT run, (SELECT count(*) FROM s) AS n, round(avg(1.0::DOUBLE / p), 6) AS mrr FROM m WHERE p IS NOT NULL AND run <> 'run2' GROUP BY run HAVING avg(1.0::DOUBLE / p) > 0.3""",
+    "o",
+)
+def prediction_filter(spark, sf):
+    """Of three runs those that are complete and good enough."""
+    df = _scored(spark, sf)
+    runs = df.withColumn("run", F.explode(F.array(*[F.lit(f"run{k}") for k in range(3)]))).filter("run <> 'run2' or rank > 0")
+    runs = runs.withColumn("sc", F.when(F.col("run") == "run0", F.col("s1")).when(F.col("run") == "run1", F.col("s2")).otherwise(F.col("s1") - F.col("s2")))
+    return rk.usable_runs(runs, df.count(), 0.3, "seq", "sc", "was_clicked").select("run", "n", F.round("mrr", 6).alias("mrr"))
+
+
+@query()
+def models_validated(spark, sf):
+    """Two rankers on early events, their normalised scores on late ones."""
+    obs = _ob(spark, sf).withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
+    configs = [{"name": "boosted", "model_class": "boosted", "params": {"maxIter": 2, "maxDepth": 2}}, {"name": "logistic", "model_class": "logistic"}]
+    train, val = obs.filter("is_test = 0 and late = 0"), obs.filter("late = 1").dropDuplicates(["seq", "item_id"])
+    return rk.validate_models(train, val, configs, ["price", "rank", "n", "step"], "was_clicked", "seq").withColumns({n: F.round(n, 6) for n in ("boosted", "logistic")})

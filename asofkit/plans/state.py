@@ -364,10 +364,10 @@ def click_sequence_gzip(spark, sf):
 
 
 @query(
-    """, c AS (SELECT user_id, seq, idx, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM ev WHERE is_test = 0 AND idx >= 0), m AS (SELECT e.seq, coalesce(max(c.k), 0) AS k FROM ev e LEFT JOIN c ON c.user_id = e.user_id AND c.seq < e.seq GROUP BY e.seq),
+    """, c AS (SELECT user_id, seq, idx, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k, ts FROM ev WHERE is_test = 0 AND idx >= 0), m AS (SELECT e.seq, coalesce(max(c.k), 0) AS k FROM ev e LEFT JOIN c ON c.user_id = e.user_id AND c.seq < e.seq GROUP BY e.seq),
     z AS (SELECT p.seq, p.rank, p.item_id, m.k, coalesce(max(c.k), 0) AS other FROM ob p JOIN m USING (seq) LEFT JOIN c ON c.user_id = p.user_id AND c.k <= m.k AND c.idx <> p.rank GROUP BY ALL)
     SELECT z.seq, z.rank, z.item_id, """
-    + ", ".join(f"c{i}.idx AS place_{i}, c{i}.idx - z.rank AS place_{i}_rel" for i in range(5))
+    + ", ".join(f"c{i}.idx AS place_{i}, c{i}.idx - z.rank AS place_{i}_rel, e.ts - c{i}.ts AS since_{i}" for i in range(5))
     + ", (z.k - z.other)::INTEGER AS consecutive FROM z JOIN ev e USING (seq) "
     + " ".join(f"LEFT JOIN c c{i} ON c{i}.user_id = e.user_id AND c{i}.k = z.k - {i}" for i in range(5)),
     "o",
