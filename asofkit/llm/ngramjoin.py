@@ -2,14 +2,14 @@
 
 Sets that are equal become one node. Under one global order of shingles (rare ones by hash, then frequent ones by
 document frequency) two sets with Jaccard similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each:
-their prefixes. The lists of nodes by prefix shingle are the index. Two kinds of relations spare comparisons:
+their prefixes. The lists of nodes by prefix shingle are the index. Relations between sets spare comparisons:
 
-* Index level. Entries of a list stand at positions of their sets. A common shingle at positions i and j leaves room for
-  min(i, j) + 1 + min(n_x - i - 1, n_y - j - 1) common ones, so blocks of entries of like positions and sizes whose bound falls short are
-  skipped whole.
-* Answer level. Each list has a hub, its least node, and all entries are compared with it first. What x and z have in common then is at
-  most min(o_x, o_z) + min(n_x - o_x, n_z - o_z), where o is what each shares with the hub: a set that is highly similar to the hub gets its answers from
-  the hub's, by the few shingles that it has beyond it. Only pairs that this leaves open, in different components still, are compared.
+* Answer level. Each list has a hub, its node with the largest share of shingles that others have as well, and all entries are compared with it first. Once o_x, what x
+  shares with the hub, and r_x, the shingles of x beyond it, are known, the answers of x follow from the hub's: |x & z| <= min(o_x, o_z) + |r_x & r_z|. Lists
+  whose entries are in one component by now are done. In others, x and z can only be similar if min(o_x, o_z) suffices by itself, or if they share one of the
+  first few of the shingles beyond the hub, which are indexed in turn.
+* Index level. Entries of those lists stand at positions of their sets. A common shingle at positions i and j leaves room for min(i, j) + 1 + min(|r_x| - i - 1, |r_z| - j - 1)
+  common ones, so blocks of entries of like positions and sizes whose bound falls short are skipped whole.
 
 The shingles of frequent lists, those of large groups and of passages that many documents share, are handled as rows with partial aggregation; lists
 of other shingles are short by definition and are handled in numpy, many to a block.
@@ -26,24 +26,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_saved, partitions_for, saved, small
+from asofkit.llm.common import bounded_batches, drop_saved, partitions_for, saved, small
 from asofkit.llm.components import components
 from asofkit.llm.tokens import span_hashes
 
 WORDS = 5
 #: The similarity in hundredths.
 PERCENT = 75
-#: A shingle in at least so many documents is frequent.
+#: A shingle in at least so many documents is frequent: its list is handled as rows.
 FREQUENT = 256
-#: The most frequent shingles whose frequencies take part in the order: 12 bytes each are broadcast.
+#: Shingles in at least so many documents are ordered by frequency, after all others.
+ORDERED_FROM = 4
+#: The most frequent shingles whose frequencies take part in the order: 8 bytes each are broadcast.
 ORDERED = 1_000_000
 #: Bits of a shingle's hash by which frequencies are counted. Shingles that share them count together, which changes the order only.
 KEY_BITS = 32
 #: Entries of an open list that one task compares with as many others.
 BLOCK = 2_048
 BROADCAST_ROWS = 200_000
-_COUNT_AT = 6_000_000
+_COUNT_AT = 2_000_000
+_GROUP = 100_000
 _SKIP = 32
+#: Lists are cut by size: a node of band b goes to the lists of bands b and b + 1, so that two nodes of like sizes meet and others don't.
+_BAND = np.log(4 / 3)
 _spaces = np.zeros(256, bool)
 _spaces[[32, *range(9, 14)]] = True
 _weights = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -55,7 +60,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def shingle_sets(texts: list[str | None], at_once: int = 2_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], at_once: int = 1_000_000) -> Iterator[np.ndarray]:
     """For each whole text the sorted hashes of its distinct shingles.
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, with A-Z in lower case. A text of
@@ -115,7 +120,7 @@ def _short(node: bytes) -> int:
 
 
 def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (leading bits) of frequent shingles, ascending, and how many documents each has: the ORDERED most frequent at most."""
+    """Keys (leading bits) of shingles in several documents, ascending, and how many documents each has: the most frequent ones, no more than ORDERED."""
     import zstandard
 
     shift = np.uint64(64 - KEY_BITS)
@@ -153,22 +158,44 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         sums = np.add.reduceat(counts, first)
-        often = sums >= FREQUENT
-        return pd.DataFrame({"key": keys[first][often], "n": sums[often]})
+        often = sums >= ORDERED_FROM
+        return pd.DataFrame({"keys": [keys[first][often].astype(np.uint32).tobytes()], "counts": [np.minimum(sums[often], 1 << 31).astype(np.uint32).tobytes()]})
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c in batch["counts"]:
+                n, rows = np.unique(np.minimum(np.frombuffer(c, np.uint32), 1 << 16), return_counts=True)
+                yield pd.DataFrame({"n": n.astype(np.int64), "rows": rows})
 
     blocks = docs.select("t").mapInPandas(count, "part int, n int, steps binary, first bigint, counts binary")
-    found = saved(blocks.groupBy("part").applyInPandas(total, "key bigint, n bigint"), "frequent")
-    top = found.orderBy(F.desc("n"), "key").limit(ORDERED).toPandas().sort_values("key")
-    return top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64)
+    found = saved(blocks.groupBy("part").applyInPandas(total, "keys binary, counts binary"), "frequent")
+    # From which frequency on there are no more than ORDERED: a number of rows for each of 65,536 frequencies at most.
+    tally = sorted(found.mapInPandas(sizes, "n bigint, rows bigint").groupBy("n").agg(F.sum("rows").alias("rows")).collect(), reverse=True)
+    least, room = 1 << 17, ORDERED
+    for n, rows in tally:
+        if (room := room - rows) < 0:
+            break
+        least = n
+
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, c in zip(batch["keys"], batch["counts"]):
+                keep = np.frombuffer(c, np.uint32) >= least
+                yield pd.DataFrame({"keys": [np.frombuffer(k, np.uint32)[keep].tobytes()], "counts": [np.frombuffer(c, np.uint32)[keep].tobytes()]})
+
+    got = found.mapInPandas(top, "keys binary, counts binary").collect()
+    keys = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(r["keys"], np.uint32) for r in got]])
+    counts = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(r["counts"], np.uint32) for r in got]])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 # ---------------------------------------------------------------- nodes, prefixes and lists
 
 
 def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """For each document: id, n, node, rare (rare prefix shingles), often (frequent ones); those two are empty for an empty set."""
+    """For each document: id, n, node, rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
-    shift = np.uint64(64 - KEY_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
@@ -177,26 +204,29 @@ def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int)
             for id_, s in zip(batch["id"], shingle_sets(batch["t"].tolist())):
                 n = len(s)
                 if not n:
-                    rows.append((id_, 0, None, None, None))
+                    rows.append((id_, 0, None, None, None, 0))
                     continue
                 reach = n - -(-percent * n // 100) + 1
-                if len(keys):
-                    k = s >> shift
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    weight = np.where(keys[at] == k, counts[at], 0)
-                    rare = s[weight == 0]
-                    often = s[np.lexsort((s, weight))[len(rare) :]][: max(0, reach - len(rare))] if len(rare) < reach else s[:0]
-                else:
-                    rare, often = s, s[:0]
-                rows.append((id_, n, _node(s), rare[:reach].tobytes(), often.tobytes()))
-            out = pd.DataFrame(rows, columns=["id", "n", "node", "rare", "often"])
-            yield out
+                weight = _weights_of(s, keys, counts)
+                prefix = np.lexsort((s, weight))[:reach]
+                split = int(np.searchsorted(weight[prefix], FREQUENT))
+                rows.append((id_, n, _node(s), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
+            yield pd.DataFrame(rows, columns=["id", "n", "node", "rare", "often", "share"])
 
-    return docs.select(F.col("id").cast("string").alias("id"), "t").mapInPandas(run, "id string, n int, node binary, rare binary, often binary").withColumn("id", F.col("id").cast("bigint"))
+    return docs.select(F.col("id").cast("string").alias("id"), "t").mapInPandas(run, "id string, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
+
+
+def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The frequencies by which shingles are ordered; 0 for those not in the table."""
+    if not len(keys):
+        return np.zeros(len(tokens), np.uint32)
+    k = (tokens >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    return np.where(keys[at] == k, counts[at], 0)
 
 
 def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
-    """nodes array<bigint> (ascending), sizes, places: distinct lists of two or more nodes that share a rare prefix shingle."""
+    """list, hub, node, n: distinct lists of two or more nodes that share a rare prefix shingle; a row for each node but the hub."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,51 +236,53 @@ def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
                 continue
             token = np.concatenate(tokens)
             node = np.repeat(np.array([_short(bytes(b)) for b in batch["node"]], np.int64), sizes)
-            n = np.repeat(batch["n"].to_numpy(np.int32), sizes)
-            place = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            n, share = (np.repeat(batch[c].to_numpy(np.int32), sizes) for c in ("n", "share"))
             order = np.argsort(token)
-            token, node, n, place = token[order], node[order], n[order], place[order]
+            token, node, n, share = token[order], node[order], n[order], share[order]
             part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             cut = np.searchsorted(part, np.arange(parts + 1))
-            yield pd.DataFrame([(p, token[a:b].tobytes(), node[a:b].tobytes(), n[a:b].tobytes(), place[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a], columns=["part", "token", "node", "n", "place"])
+            yield pd.DataFrame([(p, token[a:b].tobytes(), node[a:b].tobytes(), n[a:b].tobytes(), share[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a], columns=["part", "token", "node", "n", "share"])
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         col = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c]])
-        token, node, n, place = col("token", np.uint64), col("node", np.int64), col("n", np.int32), col("place", np.int32)
-        order = np.lexsort((node, token))
-        token = token[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, node, n, share = col("token", np.uint64), col("node", np.int64), col("n", np.int32), col("share", np.int32)
+        band = np.floor(np.log(n) / _BAND).astype(np.int16)
+        token, node, n, share, band = np.tile(token, 2), np.tile(node, 2), np.tile(n, 2), np.tile(share, 2), np.concatenate([band, band + 1])
+        order = np.lexsort((node, -share, band, token))  # the hub comes first
+        token, band = token[order], band[order]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]))
         size = np.diff(np.append(first, len(token)))
         seen, rows = set(), []
         for a, m in zip(first[size > 1], size[size > 1]):
             at = order[a : a + m]
             if (mark := node[at].tobytes()) not in seen:
                 seen.add(mark)
-                rows.append((node[at], n[at], place[at]))
-        return pd.DataFrame(rows, columns=["nodes", "sizes", "places"])
+                rows.append((node[at], n[at]))
+        return pd.DataFrame(rows, columns=["nodes", "sizes"])
 
-    schema = "nodes array<bigint>, sizes array<int>, places array<int>"
-    blocks = nodes.select("node", "n", "rare").mapInPandas(spread, "part int, token binary, node binary, n binary, place binary")
-    lists = blocks.groupBy("part").applyInPandas(gather, schema)
-    return lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
+    blocks = nodes.select("node", "n", "share", "rare").mapInPandas(spread, "part int, token binary, node binary, n binary, share binary")
+    lists = blocks.groupBy("part").applyInPandas(gather, "nodes array<bigint>, sizes array<int>")
+    lists = lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
+    members = lists.select("list", F.get("nodes", F.lit(0)).alias("hub"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
+    return members.select("list", "hub", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")).filter("node <> hub")
 
 
 def _often_lists(nodes: DataFrame) -> DataFrame:
-    """list, node, n, place, hub, hub_n, hub_place: members of distinct lists of frequent prefix shingles, one row each."""
+    """The same for frequent prefix shingles; lists are told apart by sums over their members, never gathered."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, n, often, rare in zip(batch["node"], batch["n"], batch["often"], batch["rare_n"]):
-                token = np.frombuffer(often, np.int64)
-                yield pd.DataFrame({"token": token, "node": _short(bytes(node)), "n": n, "place": np.arange(rare, rare + len(token), dtype=np.int32)})
+            for node, n, share, often in zip(batch["node"], batch["n"], batch["share"], batch["often"]):
+                yield pd.DataFrame({"token": np.frombuffer(often, np.int64), "node": _short(bytes(node)), "n": n, "share": share})
 
-    rows = saved(nodes.filter(F.octet_length("often") > 0).select("node", "n", "often", (F.octet_length("rare") / 8).cast("int").alias("rare_n")).mapInPandas(_batched(spread), "token bigint, node bigint, n int, place int"), "often_rows")
-    sums = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node") % 1_000_000_007).alias("a"), F.bit_xor(F.xxhash64("node")).alias("b"), F.min("node").alias("hub")).filter("m > 1")
-    kept = saved(sums.groupBy("m", "a", "b", "hub").agg(F.min("token").alias("token")).select("token", "hub"), "often_lists")
-    members = saved(rows.join(F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept, "token"), "often_members")
-    hubs = members.filter("node = hub").select("token", F.col("n").alias("hub_n"), F.col("place").alias("hub_place")).dropDuplicates(["token"])
-    hubs = saved(hubs, "often_hubs")
-    return members.join(F.broadcast(hubs) if small(hubs, BROADCAST_ROWS) else hubs, "token").withColumnRenamed("token", "list")
+    rows = saved(nodes.filter(F.octet_length("often") > 0).select("node", "n", "share", "often").mapInPandas(_batched(spread), "token bigint, node bigint, n int, share int"), "often_rows")
+    mark = F.xxhash64("node")
+    band = F.floor(F.log("n") / float(_BAND)).cast("int")
+    rows = rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("token", F.xxhash64("token", "band")).drop("band")
+    sums = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(mark % 1_000_000_007).alias("a"), F.bit_xor(mark).alias("b"), F.max(F.struct("share", (-F.col("node")).alias("v"))).alias("hub")).filter("m > 1")
+    kept = saved(sums.groupBy("m", "a", "b").agg(F.min(F.struct("token", "hub")).alias("t")).select("t.token", (-F.col("t.hub.v")).alias("hub")), "often_lists")
+    members = rows.join(F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept, "token")
+    return members.filter("node <> hub").select(F.col("token").alias("list"), "hub", "node", "n")
 
 
 def _batched(spread):
@@ -270,24 +302,23 @@ def _batched(spread):
     return run
 
 
-def _possible(percent: int):
-    """Whether sizes and positions of two members leave room for enough common shingles: columns of a and b."""
-    room = F.least("place", "hub_place") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("hub_n") - F.col("hub_place") - 1)
-    need = F.ceil(percent * (F.col("n") + F.col("hub_n")) / (100 + percent))
-    return (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (room >= need)
-
-
 # ---------------------------------------------------------------- comparisons
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b, common: the exact intersection sizes of pairs of nodes, from the whole texts of one document of each."""
+def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """a, b, common, a_n, b_n, beyond, rest: the exact intersection sizes of pairs of nodes, from the whole texts of one document of each.
+
+    With *order*, and where the column with_rest of *pairs* is true, rest holds the first of the shingles of b that a lacks, in the global order, as many
+    as an index may need; beyond says how many there are. Rows that repeat an id may repeat a row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(order) if order else None
     ends = saved(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct(), "ends")
     chosen = members.join(F.broadcast(ends) if small(ends, BROADCAST_ROWS) else ends, "short", "left_semi").groupBy("short", "node").agg(F.min("id").alias("id"))
     chosen = saved(chosen, "chosen").withColumnRenamed("id", "rep")
     texts = docs.join(F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("short", "node", "t")
     side = lambda x: texts.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("t").alias(f"{x}_t"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "a_node", "a_t", "b", "b_node", "b_t")
+    flag = F.col("with_rest") if "with_rest" in pairs.columns else F.lit(False).alias("with_rest")
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "a_node", "a_t", "b", "b_node", "b_t", flag)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: OrderedDict[bytes, np.ndarray | None] = OrderedDict()
@@ -304,39 +335,39 @@ def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
 
         for batch in batches:
             out = []
-            for a, an, at, b, bn, bt in batch[["a", "a_node", "a_t", "b", "b_node", "b_t"]].itertuples(index=False):
+            for a, an, at, b, bn, bt, more in batch[["a", "a_node", "a_t", "b", "b_node", "b_t", "with_rest"]].itertuples(index=False):
                 x, y = tokens(bytes(an), at), tokens(bytes(bn), bt)
                 if x is not None and y is not None:
-                    few, many = (x, y) if len(x) < len(y) else (y, x)
-                    place = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                    out.append((a, b, int(np.count_nonzero(many[place] == few)), len(x), len(y)))
-            yield pd.DataFrame(out, columns=["a", "b", "common", "a_n", "b_n"])
+                    there = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    common, rest = int(np.count_nonzero(there)), None
+                    if more and shared is not None:
+                        rest = y[~there]
+                        need = max(1, -(-percent * len(y) // 100) - common)
+                        rest = rest[np.lexsort((rest, _weights_of(rest, *shared.value)))][: max(0, len(rest) - need + 1)].tobytes()
+                    out.append((a, b, common, len(x), len(y), len(y) - common, rest))
+            yield pd.DataFrame(out, columns=["a", "b", "common", "a_n", "b_n", "beyond", "rest"])
 
-    return saved(joined.mapInPandas(run, "a bigint, b bigint, common int, a_n int, b_n int").distinct(), "compared")
+    return saved(joined.mapInPandas(run, "a bigint, b bigint, common int, a_n int, b_n int, beyond int, rest binary"), "compared")
 
 
-def open_pairs(n: np.ndarray, place: np.ndarray, shared: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions, one of *left* and one of *right*, that sizes, positions and hub answers leave open, in different components.
+def open_pairs(n: np.ndarray, common: np.ndarray, rest: np.ndarray, place: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries, one of *left* and one of *right*, in different components, that hub answers, sizes and positions leave open.
 
-    *shared* is what each entry has in common with the hub, or -1 if unknown. Entries of *right* go by blocks of like positions and sizes; a
-    block whose bounds fall short for an entry of *left* is skipped whole.
+    An entry shares *common* shingles with the hub and has *rest* more, in which the list's shingle stands at *place*. Entries of *right* go by blocks of
+    like positions and sizes; a block whose bounds fall short for an entry of *left* is skipped whole.
     """
-    right = right[np.lexsort((n[right], place[right]))]
+    after = rest - place  # the list's shingle and those behind it
+    right = right[np.lexsort((n[right], common[right], place[right]))]
     blocks = [right[i : i + _SKIP] for i in range(0, len(right), _SKIP)]
-    limits = [(n[b].min(), n[b].max(), place[b].min(), place[b].max(), (n[b] - place[b]).max()) for b in blocks]
+    limits = [(n[b].min(), n[b].max(), common[b].max(), place[b].max(), after[b].max()) for b in blocks]
     out_a, out_b = [], []
     for x in left:
-        for block, (n0, n1, p0, p1, rest) in zip(blocks, limits):
-            if 100 * min(n[x], n1) < percent * max(n[x], n0) or min(place[x], p1) + min(n[x] - place[x], rest) < _least_common(n[x], n0, percent):
+        for block, (n0, n1, c1, p1, a1) in zip(blocks, limits):
+            if 100 * min(n[x], n1) < percent * max(n[x], n0) or min(common[x], c1) + min(place[x], p1) + min(after[x], a1) < _least_common(n[x], n0, percent):
                 continue
             y = block[comp[block] != comp[x]]
-            need = _least_common(n[x], n[y], percent)
-            room = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
-            room = np.minimum(room, np.minimum(n[x], n[y]))
-            if shared[x] >= 0:
-                through = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - shared[x], n[y] - shared[y])
-                room = np.where(shared[y] >= 0, np.minimum(room, through), room)
-            y = y[room >= need]
+            room = np.minimum(common[x], common[y]) + np.minimum(place[x], place[y]) + np.minimum(after[x], after[y])
+            y = y[(room >= _least_common(n[x], n[y], percent)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
             out_a.append(np.full(len(y), x))
             out_b.append(y)
     if not out_a:
@@ -344,30 +375,67 @@ def open_pairs(n: np.ndarray, place: np.ndarray, shared: np.ndarray, comp: np.nd
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _beyond_hub(near: DataFrame, percent: int) -> DataFrame:
+    """list, node, n, comp, common, rest, place: the lists that are left after the comparisons with hubs.
+
+    *near* has hub, node, n, comp, common, beyond, rest (the first of the shingles beyond the hub, in the global order) and least, the smallest n around the hub. A node that needs k
+    shingles beyond the hub in common with any other is listed under the first |rest| - k + 1 of them; one that may need none also under the hub itself.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for hub, node, n, comp, common, beyond, rest, least in batch[["hub", "node", "n", "comp", "common", "beyond", "rest", "least"]].itertuples(index=False):
+                need = int(_least_common(n, max(int(least), -(-percent * n // 100)), percent)) - common
+                tokens = np.frombuffer(rest, np.int64)[: max(0, beyond - max(need, 1) + 1)]
+                frame = {"token": tokens, "rest": beyond, "place": np.arange(len(tokens), dtype=np.int32)}
+                if need <= 0:  # a list of their own: nothing beyond the hub in common
+                    frame = {"token": np.append(tokens, 0), "rest": np.append(np.full(len(tokens), beyond), 0), "place": np.append(frame["place"], 0)}
+                out = pd.DataFrame(frame)
+                out[["hub", "node", "n", "comp", "common"]] = hub, node, n, comp, common
+                yield out
+
+    rows = near.mapInPandas(_batched(spread), "token bigint, rest int, place int, hub bigint, node bigint, n int, comp bigint, common int")
+    return rows.withColumn("list", F.xxhash64("hub", "token")).drop("token", "hub")
+
+
 def _open(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of list members that are still open after the comparisons with hubs."""
-    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("common").alias("shared"))
-    labelled = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = saved(labelled.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("list"), "open_lists")
+    spark = members.sparkSession
+    hubs = members.select("list", "hub").distinct().select("list", F.col("hub").alias("node"))
+    labelled = members.select("list", "node").unionByName(hubs).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = saved(labelled.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("list"), "open_lists")
     if mixed.isEmpty():
-        return members.sparkSession.createDataFrame([], "a bigint, b bigint")
-    live = saved(labelled.join(F.broadcast(mixed) if small(mixed, BROADCAST_ROWS) else mixed, "list"), "open_members")
-    answered = live.join(known, ["hub", "node"], "left").withColumn("shared", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))))
-    blocks = live.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = answered.join(saved(blocks, "open_sizes"), "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        return spark.createDataFrame([], "a bigint, b bigint")
+    around = saved(members.join(F.broadcast(mixed) if small(mixed, BROADCAST_ROWS) else mixed, "list").select("hub", "node", "n").distinct(), "open_around")
+    sizes = saved(around.groupBy("hub").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "open_hubs")
+    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common", "beyond", "rest")
+    near = around.join(sizes, "hub").join(known, ["hub", "node"]).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = saved(_beyond_hub(near, percent), "open_rows")
+    lists = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 1 and x <> y")
+    lists = saved(lists.select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open_tokens")
+    live = rows.join(F.broadcast(lists) if small(lists, BROADCAST_ROWS) else lists, "list")
+    cut = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tasks = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    # Many lists go to one group, of about _GROUP rows.
+    total = lists.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(partitions_for(spark), -(-int(total) // (_GROUP // 100)))
+    marked = tasks.withColumn("task", F.xxhash64("list", "p", "q")).withColumn("group", F.pmod("task", F.lit(parts)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("task", kind="stable")
         col = lambda c: group[c].to_numpy(np.int64)
-        node, own = col("node"), col("own")
-        p, q = group["p"].iloc[0], group["q"].iloc[0]
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a, b = open_pairs(col("n"), col("place"), col("shared"), col("comp"), left, right, percent)
-        a, b = node[a], node[b]
-        lower = np.minimum(a, b)
-        return pd.DataFrame({"a": lower, "b": np.maximum(a, b)}).drop_duplicates()
-
-    pairs = tasks.groupBy("list", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
+        task, node, own, p, q, n, common, rest, place, comp = map(col, ("task", "node", "own", "p", "q", "n", "common", "rest", "place", "comp"))
+        edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+        found = []
+        for i, j in zip(edges[:-1], edges[1:]):
+            left, right = i + np.flatnonzero(own[i:j] == p[i]), i + np.flatnonzero(own[i:j] == q[i])
+            a, b = open_pairs(n, common, rest, place, comp, left, right, percent)
+            if len(a):
+                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    pairs = marked.select("group", "task", "node", "own", "p", "q", "n", "common", "rest", "place", "comp").groupBy("group").applyInPandas(run, "a bigint, b bigint").distinct()
     return pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -380,27 +448,25 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "d
     least; a component of null keys only has a null component_id. Other columns aren't read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = partitions_for(spark)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     keys, counts = _frequent(docs, parts)
     wide = saved(_nodes(docs, keys, counts, percent), "nodes")
-    distinct = wide.filter("n > 0").select("node", "n", "rare", "often").dropDuplicates(["node"])
-    rare = saved(_rare_lists(distinct, parts), "rare_lists")
-    often = saved(_often_lists(wide.filter("n > 0 and octet_length(often) > 0").select("node", "n", "rare", "often").dropDuplicates(["node"])), "often")
+    distinct = wide.filter("n > 0").dropDuplicates(["node"])
+    rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts)
+    often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]))
+    lists = saved(rare.unionByName(often), "lists")
     members = saved(_with_short(wide.select("id", "n", "node")), "members")
     drop_saved(wide)
-    unrolled = rare.select("list", F.col("nodes")[0].alias("hub"), F.col("sizes")[0].alias("hub_n"), F.col("places")[0].alias("hub_place"), F.explode(F.arrays_zip("nodes", "sizes", "places")).alias("x"), F.size("nodes").alias("m"))
-    unrolled = unrolled.select("list", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), F.col("x.places").alias("place"), "hub", "hub_n", "hub_place", "m")
-    entries = unrolled.drop("m").unionByName(often.select("list", "node", "n", "place", "hub", "hub_n", "hub_place"))
-    stars = entries.filter("node <> hub").filter(_possible(percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _compared(saved(stars, "stars"), docs, members)
+    sizes = lists.groupBy("list").agg((F.count(F.lit(1)) > 1).alias("more"))
+    stars = lists.join(sizes, "list").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("with_rest"))
+    stars = _compared(saved(stars, "stars"), docs, members, percent, (keys, counts))
     link = f"100 * common >= {percent} * (a_n + b_n - common)"
-    edges = stars.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = saved(components(edges), "labels")
-    long = unrolled.filter("m > 2").drop("m").unionByName(often.select("list", "node", "n", "place", "hub", "hub_n", "hub_place"))
-    rest = saved(_open(long, labels, stars, percent), "open_pairs")
+    labels = saved(components(stars.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    rest = saved(_open(lists, labels, stars, percent), "open_pairs")
     if not rest.isEmpty():
-        more = _compared(rest, docs, members).filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        more = _compared(rest, docs, members, percent).filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)), "labels")
     by_node = members.filter("n > 0").groupBy("node", "short").agg(F.min("id").alias("least"))
     by_node = by_node.join(labels.withColumnRenamed("node", "short"), "short", "left").select("node", F.coalesce("comp", "short").alias("comp"), "least")
