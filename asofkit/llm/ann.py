@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, saved
+from asofkit.llm.common import bounded_batches, releasing, saved
 
 #: Vectors that rotations and the radius are learned from.
 SAMPLE = 4_096
@@ -192,7 +192,7 @@ def _probe(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, book: Codebook
                 out.append(pd.DataFrame({"query_id": q, "vec_id": keys[at[order]], "score": score[order]}))
             yield pd.concat(out, ignore_index=True)
 
-    return rows.mapInPandas(probe, "query_id bigint, vec_id bigint, score double")
+    return rows.mapInPandas(releasing(probe), "query_id bigint, vec_id bigint, score double")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -51,7 +53,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    conf = spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    p.getFileSystem(conf).delete(p, True)
 
 
 def _sweep() -> None:
@@ -86,6 +89,27 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; idle workers share the executor with others."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(f):
+    """*f*, a function over batches, followed by release()."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether *df* has at most *rows* rows; looks at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

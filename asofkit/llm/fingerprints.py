@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, partitions_for
+from asofkit.llm.common import bounded_batches, partitions_for, releasing
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_333 % PRIMES[0], 1_618_033_989 % PRIMES[1])
@@ -225,4 +225,4 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return with_next(docs, key, text).select("part", "extra", F.col("k").cast("string").alias("k"), "t").mapInPandas(run, OUT)
+    return with_next(docs, key, text).select("part", "extra", F.col("k").cast("string").alias("k"), "t").mapInPandas(releasing(run), OUT)

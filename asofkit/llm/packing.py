@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import saved
+from asofkit.llm.common import bounded_batches, releasing, saved
 from asofkit.llm.tokens import encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, ordinal bigint"
@@ -123,7 +123,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(cut, PIECES)
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(releasing(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,4 +158,4 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, key: str = "d
             yield batch.drop(columns="ordinal")
 
     wide = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ordinal") + F.col("before")).alias("ordinal"))
-    return wide.mapInPandas(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return wide.mapInPandas(releasing(place), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, fresh, saved, small, without
+from asofkit.llm.common import bounded_batches, fresh, releasing, saved, small, without
 
 #: A site needs so many pages with a node before it is judged.
 LEAST_PAGES = 8
@@ -45,6 +45,8 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar widget widgets pagination pager login search copyright disclaimer skip".split()
 )
+#: Of these, what may name a layout that holds the article too: an article element inside overrules it.
+LAYOUT_WORDS = frozenset("sidebar sidebars header footer nav navbar menu menus banner search social share sharing widget widgets".split())
 #: An opening tag of the first kind ends an open element of the second kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl td th body html article section main".split())
@@ -77,8 +79,9 @@ def _ruled_out(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
         return ""
     for name in ("class", "id"):
         if value := attrs.get(name):
-            if CUT_WORDS.intersection(w.lower() for w in _words.findall(value)) or CUT_WORDS.intersection(re.split(r"[\W_]+", value.lower())):
-                return "class"
+            found = CUT_WORDS.intersection([w.lower() for w in _words.findall(value)] + re.split(r"[\W_]+", value.lower()))
+            if found:
+                return "class" if found <= LAYOUT_WORDS else "tag"
     return ""
 
 
@@ -244,7 +247,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
             out.insert(0, "host", hosts)
             yield out
 
-    rows = pages.mapInPandas(features, "host string, node bigint, parent bigint, kind int, feature bigint")
+    rows = pages.mapInPandas(releasing(features), "host string, node bigint, parent bigint, kind int, feature bigint")
     counts = rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     logs = F.col("c") * F.log("c")

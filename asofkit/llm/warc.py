@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import saved, small
+from asofkit.llm.common import bounded_batches, releasing, saved, small
 
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -202,48 +202,50 @@ def write_arc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "
                 at += len(out[-1]) + 1
             yield pd.DataFrame({"record": out})
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
-    _write(rows.mapInPandas(records, "record binary"), path, "\n", compression)
+    _write(rows.mapInPandas(releasing(records), "record binary"), path, "\n", compression)
 
 
 def arc_to_warc(spark: SparkSession, arc: str, warc: str, *, least_bytes: int = 0, compression: str = "gzip") -> None:
     """Converts the ARC files under *arc* into WARC files under *warc*, a file for each task.
 
-    Of records with equal payloads of at least *least_bytes* bytes, that with the largest key (then the largest id) is the
+    Of records with equal payloads of at least *least_bytes* bytes, that with the largest key (then the largest id and place) is the
     response and others are revisits that refer to it. Only digests that repeat are gathered.
     """
-    files = spark.read.format("binaryFile").load(arc).select("content")
+    bounded_batches(spark)
+    files = spark.read.format("binaryFile").load(arc).select("path", "content")
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
+            for path, data in zip(batch["path"], batch["content"]):
                 out = []
                 for n, r in enumerate(read_arc(bytes(data))):
                     head, body = http_payload(r.block)
                     if len(body) >= least_bytes:
                         k, sha, date = head_field(head, KEY_HEADER), digest(body), r.fields["Archive-date"]
-                        out.append((sha, k, record_id(r.fields["URL"], date, k, sha), date))
-                yield pd.DataFrame(out, columns=["sha", "k", "id", "date"])
+                        out.append((sha, k, record_id(r.fields["URL"], date, k, sha), date, path, n))
+                yield pd.DataFrame(out, columns=["sha", "k", "id", "date", "path", "n"])
 
-    seen = files.mapInPandas(digests, "sha string, k string, id string, date string")
-    best = F.max(F.struct(F.col("k").cast("decimal(38,0)").alias("n"), "id", "k", "date"))
-    repeats = saved(seen.groupBy("sha").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "b.id", "b.k", "b.date"), "repeats")
+    seen = files.mapInPandas(releasing(digests), "sha string, k string, id string, date string, path string, n bigint")
+    best = F.max(F.struct(F.col("k").cast("decimal(38,0)").alias("number"), "id", "path", "n", "k", "date"))
+    repeats = seen.groupBy("sha").agg(best.alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    repeats = saved(repeats.select("sha", "b.id", "b.k", "b.date", F.col("b.path").alias("of_path"), F.col("b.n").alias("of_n")), "repeats")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
+            for path, data in zip(batch["path"], batch["content"]):
                 rows, size = [], 0
                 for n, r in enumerate(read_arc(bytes(data))):
                     body = http_payload(r.block)[1]
-                    rows.append((digest(body) if len(body) >= least_bytes else None, n, r.version, list(r.fields.values()), r.block))
+                    rows.append((digest(body) if len(body) >= least_bytes else None, path, n, r.version, list(r.fields.values()), r.block))
                     size += len(r.block)
                     if size > 8_000_000:
-                        yield pd.DataFrame(rows, columns=["sha", "n", "version", "fields", "block"])
+                        yield pd.DataFrame(rows, columns=["sha", "path", "n", "version", "fields", "block"])
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=["sha", "n", "version", "fields", "block"])
+                yield pd.DataFrame(rows, columns=["sha", "path", "n", "version", "fields", "block"])
 
     def converted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chosen: set[str] = set()
         for batch in batches:
             out = []
             for version, fields, block, id_, k, date in zip(batch["version"], batch["fields"], batch["block"], batch["id"], batch["k"], batch["date"]):
@@ -251,10 +253,10 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, *, least_bytes: int =
                 out.append(convert(r, (id_, k or "", warc_date(date)) if id_ is not None else None))
             yield pd.DataFrame({"record": out})
 
-    records = files.mapInPandas(parsed, "sha string, n bigint, version int, fields array<string>, block binary")
+    records = files.mapInPandas(releasing(parsed), "sha string, path string, n bigint, version int, fields array<string>, block binary")
     hint = F.broadcast(repeats) if small(repeats, BROADCAST_DIGESTS) else repeats
-    joined = records.join(hint, "sha", "left")
-    _write(joined.select("version", "fields", "block", "id", "k", "date").mapInPandas(converted, "record binary"), warc, "\r\n\r\n", compression)
+    joined = records.join(hint, "sha", "left").withColumn("id", F.when((F.col("path") != F.col("of_path")) | (F.col("n") != F.col("of_n")), F.col("id")))
+    _write(joined.select("version", "fields", "block", "id", "k", "date").mapInPandas(releasing(converted), "record binary"), warc, "\r\n\r\n", compression)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -282,7 +284,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield _whole(pd.DataFrame(out, columns=columns))
 
     schema = "page_id bigint, record_id string, target_uri string, date string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(releasing(rows), schema)
 
 
 def _whole(df: pd.DataFrame) -> pd.DataFrame:
