@@ -19,10 +19,10 @@ ACTION_LETTERS = {
     "interaction item deals": "d",
     "interaction item image": "e",
     "interaction item info": "f",
-    "interaction item rating": "g",
-    "search for destination": "h",
-    "search for item": "i",
-    "search for poi": "j",
+    "interaction item rating": "j",
+    "search for destination": "g",
+    "search for item": "h",
+    "search for poi": "i",
 }
 ITEM_ACTIONS = ("clickout item", "interaction item deals", "interaction item image", "interaction item info", "interaction item rating", "search for item")
 

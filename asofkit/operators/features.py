@@ -416,6 +416,7 @@ def click_probability(ev: DataFrame, obs: DataFrame, probs: DataFrame, key: str)
     first = probs.select("bucket", "offset", F.col("prob").alias("p1"))
     second = probs.filter("bucket = 120").select("offset", F.col("prob").alias("p2"))
     looked = rows.join(F.broadcast(first), ["bucket", "offset"], "left").join(F.broadcast(second), "offset", "left")
+    # The chances of the first places, and of all others.
     plain = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in (0.3, 0.2, 0.1, 0.07, 0.05)]), F.col("rank") + 1), F.lit(0.03))
     return looked.select("seq", "rank", "item_id", F.coalesce("p1", F.when(F.col("offset").isNotNull(), F.col("p2")), plain).alias("click_prob"))
 

@@ -229,7 +229,7 @@ def last_selections(spark, sf):
     return out.withColumn("last_item", F.when(F.col("last_item") == S.UNKNOWN, "0").otherwise(F.col("last_item")))
 
 
-_LETTER = "CASE action_type WHEN 'clickout item' THEN 'b' WHEN 'interaction item info' THEN 'f' WHEN 'interaction item deals' THEN 'd' WHEN 'filter selection' THEN 'c' ELSE 'j' END"
+_LETTER = "CASE action_type WHEN 'clickout item' THEN 'b' WHEN 'interaction item info' THEN 'f' WHEN 'interaction item deals' THEN 'd' WHEN 'filter selection' THEN 'c' ELSE 'i' END"
 
 
 @query(f" SELECT seq, action_type, 'q' || coalesce(string_agg({_LETTER}, '') OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || 'x' AS actions FROM ac", "e")
@@ -239,7 +239,7 @@ def action_string(spark, sf):
 
 @query(
     " SELECT seq, "
-    + ", ".join(f"ts - max(CASE WHEN action_type = '{n}' THEN ts END) OVER w AS since_{x}" for n, x in (("clickout item", "b"), ("filter selection", "c"), ("interaction item deals", "d"), ("interaction item info", "f"), ("search for poi", "j")))
+    + ", ".join(f"ts - max(CASE WHEN action_type = '{n}' THEN ts END) OVER w AS since_{x}" for n, x in (("clickout item", "b"), ("filter selection", "c"), ("interaction item deals", "d"), ("interaction item info", "f"), ("search for poi", "i")))
     + " FROM ac WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "e",
 )
