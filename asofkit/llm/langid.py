@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import without
+from asofkit.llm.common import bounded_batches, release, releasing, without
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -25,7 +25,7 @@ SMOOTHING = 0.5
 #: Log-probability matrices have 2**BUCKET_BITS rows of this many columns at most.
 MAX_LANGS = 200
 UNKNOWN = "und"
-_CHUNK = 1_000_000
+_CHUNK = 400_000
 _GAP = " " * max(ORDERS)
 _LOW = 0x3000
 
@@ -112,7 +112,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         at, bucket = np.nonzero(table)
         yield pd.DataFrame({"at": at, "bucket": bucket, "n": table[at, bucket]})
 
-    counted = rows.filter(drawn < F.element_at(shares, F.col("l"))).select("t", "l").mapInPandas(count, "at bigint, bucket bigint, n bigint")
+    counted = rows.filter(drawn < F.element_at(shares, F.col("l"))).select("t", "l").mapInPandas(releasing(count), "at bigint, bucket bigint, n bigint")
     cells = counted.groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     table = np.zeros((len(langs), 1 << BUCKET_BITS))
     table[cells["at"], cells["bucket"]] = cells["n"]
@@ -131,13 +131,20 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     docs = without(docs, "lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def best(texts: pd.Series) -> pd.DataFrame:
-        scores = shared.value.scores(texts.fillna("").tolist())
-        at = scores.argmax(axis=1)
-        return pd.DataFrame({"lang": np.array(shared.value.langs, object)[at], "score": scores[np.arange(len(at)), at]})
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                scores = shared.value.scores(texts.fillna("").tolist())
+                at = scores.argmax(axis=1)
+                yield pd.DataFrame({"lang": np.array(shared.value.langs, object)[at], "score": scores[np.arange(len(at)), at]})
+        finally:
+            release()
+
+    best = best.asNondeterministic()  # or a filter on the score would have it computed twice
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     found = docs.withColumn("lang_pred", best(F.col(text)))

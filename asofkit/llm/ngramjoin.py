@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, drop_saved, partitions_for, saved, small
+from asofkit.llm.common import bounded_batches, drop_saved, partitions_for, releasing, saved, small
 from asofkit.llm.components import components
 from asofkit.llm.tokens import span_hashes
 
@@ -167,10 +167,10 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
                 n, rows = np.unique(np.minimum(np.frombuffer(c, np.uint32), 1 << 16), return_counts=True)
                 yield pd.DataFrame({"n": n.astype(np.int64), "rows": rows})
 
-    blocks = docs.select("t").mapInPandas(count, "part int, n int, steps binary, first bigint, counts binary")
+    blocks = docs.select("t").mapInPandas(releasing(count), "part int, n int, steps binary, first bigint, counts binary")
     found = saved(blocks.groupBy("part").applyInPandas(total, "keys binary, counts binary"), "frequent")
     # From which frequency on there are no more than ORDERED: a number of rows for each of 65,536 frequencies at most.
-    tally = sorted(found.mapInPandas(sizes, "n bigint, rows bigint").groupBy("n").agg(F.sum("rows").alias("rows")).collect(), reverse=True)
+    tally = sorted(found.mapInPandas(releasing(sizes), "n bigint, rows bigint").groupBy("n").agg(F.sum("rows").alias("rows")).collect(), reverse=True)
     least, room = 1 << 17, ORDERED
     for n, rows in tally:
         if (room := room - rows) < 0:
@@ -183,7 +183,7 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
                 keep = np.frombuffer(c, np.uint32) >= least
                 yield pd.DataFrame({"keys": [np.frombuffer(k, np.uint32)[keep].tobytes()], "counts": [np.frombuffer(c, np.uint32)[keep].tobytes()]})
 
-    got = found.mapInPandas(top, "keys binary, counts binary").collect()
+    got = found.mapInPandas(releasing(top), "keys binary, counts binary").collect()
     keys = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(r["keys"], np.uint32) for r in got]])
     counts = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(r["counts"], np.uint32) for r in got]])
     order = np.argsort(keys)
@@ -213,7 +213,7 @@ def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int)
                 rows.append((id_, n, _node(s), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
             yield pd.DataFrame(rows, columns=["id", "n", "node", "rare", "often", "share"])
 
-    return docs.select(F.col("id").cast("string").alias("id"), "t").mapInPandas(run, "id string, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
+    return docs.select(F.col("id").cast("string").alias("id"), "t").mapInPandas(releasing(run), "id string, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
 
 
 def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
                 rows.append((node[at], n[at]))
         return pd.DataFrame(rows, columns=["nodes", "sizes"])
 
-    blocks = nodes.select("node", "n", "share", "rare").mapInPandas(spread, "part int, token binary, node binary, n binary, share binary")
+    blocks = nodes.select("node", "n", "share", "rare").mapInPandas(releasing(spread), "part int, token binary, node binary, n binary, share binary")
     lists = blocks.groupBy("part").applyInPandas(gather, "nodes array<bigint>, sizes array<int>")
     lists = lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
     members = lists.select("list", F.get("nodes", F.lit(0)).alias("hub"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
@@ -275,7 +275,7 @@ def _often_lists(nodes: DataFrame) -> DataFrame:
             for node, n, share, often in zip(batch["node"], batch["n"], batch["share"], batch["often"]):
                 yield pd.DataFrame({"token": np.frombuffer(often, np.int64), "node": _short(bytes(node)), "n": n, "share": share})
 
-    rows = saved(nodes.filter(F.octet_length("often") > 0).select("node", "n", "share", "often").mapInPandas(_batched(spread), "token bigint, node bigint, n int, share int"), "often_rows")
+    rows = saved(nodes.filter(F.octet_length("often") > 0).select("node", "n", "share", "often").mapInPandas(releasing(_batched(spread)), "token bigint, node bigint, n int, share int"), "often_rows")
     mark = F.xxhash64("node")
     band = F.floor(F.log("n") / float(_BAND)).cast("int")
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("token", F.xxhash64("token", "band")).drop("band")
@@ -347,7 +347,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
                     out.append((a, b, common, len(x), len(y), len(y) - common, rest))
             yield pd.DataFrame(out, columns=["a", "b", "common", "a_n", "b_n", "beyond", "rest"])
 
-    return saved(joined.mapInPandas(run, "a bigint, b bigint, common int, a_n int, b_n int, beyond int, rest binary"), "compared")
+    return saved(joined.mapInPandas(releasing(run), "a bigint, b bigint, common int, a_n int, b_n int, beyond int, rest binary"), "compared")
 
 
 def open_pairs(n: np.ndarray, common: np.ndarray, rest: np.ndarray, place: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -394,7 +394,7 @@ def _beyond_hub(near: DataFrame, percent: int) -> DataFrame:
                 out[["hub", "node", "n", "comp", "common"]] = hub, node, n, comp, common
                 yield out
 
-    rows = near.mapInPandas(_batched(spread), "token bigint, rest int, place int, hub bigint, node bigint, n int, comp bigint, common int")
+    rows = near.mapInPandas(releasing(_batched(spread)), "token bigint, rest int, place int, hub bigint, node bigint, n int, comp bigint, common int")
     return rows.withColumn("list", F.xxhash64("hub", "token")).drop("token", "hub")
 
 
@@ -492,4 +492,4 @@ def keep_one_of_each(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc
     kept = similar_components(docs, percent=percent, key=key, text=text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     kept = saved(kept, "kept")
     right = F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept
-    return docs.join(right, F.coalesce(F.col(key) == F.col("_kept"), F.lit(False)), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    return docs.join(right, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
