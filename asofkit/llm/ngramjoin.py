@@ -130,15 +130,16 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
         def out() -> pd.DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * np.uint64(1 << KEY_BITS) // np.uint64(parts))
+            edges = (np.arange(parts, dtype=np.uint64) * np.uint64(1 << KEY_BITS) // np.uint64(parts)).astype(np.uint32)
+            cut = np.append(np.searchsorted(keys, edges), len(keys))
             zip_ = zstandard.ZstdCompressor(level=1).compress
-            rows = [(p, b - a, zip_(np.diff(keys[a:b], prepend=keys[a : a + 1]).astype(np.uint32).reshape(-1, 1).view(np.uint8).T.tobytes()), int(keys[a]), zip_(n[a:b].astype(np.uint32).tobytes())) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows = [(p, b - a, zip_(np.diff(keys[a:b], prepend=keys[a : a + 1]).reshape(-1, 1).view(np.uint8).T.tobytes()), int(keys[a]), zip_(n[a:b].astype(np.uint32).tobytes())) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             return pd.DataFrame(rows, columns=["part", "n", "steps", "first", "counts"])
 
         for batch in batches:
             for s in shingle_sets(batch["t"].tolist()):
                 if len(s):
-                    held.append((s >> shift).astype(np.uint32).astype(np.uint64))
+                    held.append((s >> shift).astype(np.uint32))
                     size += len(s)
                 if size > _COUNT_AT:
                     yield out()
@@ -150,14 +151,14 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
         unzip = zstandard.ZstdDecompressor().decompress
         keys, counts = [], []
         for n, steps, first, c in zip(group["n"], group["steps"], group["first"], group["counts"]):
-            d = np.frombuffer(unzip(steps), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel().astype(np.int64)
-            keys.append(first + np.cumsum(d) - d[0])
-            counts.append(np.frombuffer(unzip(c), np.uint32).astype(np.int64))
+            d = np.frombuffer(unzip(steps), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel()
+            keys.append((np.cumsum(d, dtype=np.int64) + (first - int(d[0]))).astype(np.uint32))
+            counts.append(np.frombuffer(unzip(c), np.uint32))
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        sums = np.add.reduceat(counts, first)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(counts, first, dtype=np.int64)
         often = sums >= ORDERED_FROM
         return pd.DataFrame({"keys": [keys[first][often].astype(np.uint32).tobytes()], "counts": [np.minimum(sums[often], 1 << 31).astype(np.uint32).tobytes()]})
 
