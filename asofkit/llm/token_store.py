@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import partitions_for, saved
+from asofkit.llm.common import bounded_batches, partitions_for, releasing, saved
 from asofkit.llm.tokens import encoder
 
 MAGIC = b"PLN1"
@@ -106,7 +106,7 @@ class PlaneReader:
     def __init__(self, data: bytes):
         import zstandard
 
-        self.data, self._unzip = data, zstandard.ZstdDecompressor().decompress
+        self.data, self._unzip, self._broken = data, zstandard.ZstdDecompressor().decompress, zstandard.ZstdError
         magic, bits, self.block_ids, self.ordinal = HEADER.unpack_from(data)
         docs_at, docs_len, index_at, index_len, self.n_docs, self.n_ids, blocks, tail = TRAILER.unpack_from(data, len(data) - TRAILER.size - 1)
         if magic != MAGIC or tail != MAGIC:
@@ -122,7 +122,10 @@ class PlaneReader:
         at, count, crc, *lengths = self.index[number]
         planes = []
         for n in lengths:
-            planes.append(self._unzip(self.data[at : at + n]))
+            try:
+                planes.append(self._unzip(self.data[at : at + n]))
+            except self._broken as e:
+                raise ValueError(f"block {number} is damaged") from e
             at += n
         ids = join_planes(planes, count, self.kind)
         if zlib.crc32(ids.tobytes()) != crc:
@@ -163,29 +166,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_
             for section in writer.finish():
                 yield pd.DataFrame({"section": [section]})
 
+    bounded_batches(docs.sparkSession)
     # As text, a key keeps all its digits where the column has nulls.
     dealt = docs.select(F.col(key).cast("bigint").alias("o"), F.col(text).alias("t")).repartitionByRange(files or partitions_for(docs.sparkSession), F.col("o").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("o").asc_nulls_first(), F.col("t").asc_nulls_first()).select(F.col("o").cast("string").alias("k"), "t")
-    out = ordered.mapInPandas(sections, "section binary")
+    out = ordered.mapInPandas(releasing(sections), "section binary")
     out.select(F.col("section").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document in the files under *path*: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document in the files under *path*: doc_id, file, place (in the file), at (ids before it there), n_tokens, ids_crc32, and ids (null without *with_ids*)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
                 reader, kept, size, at = PlaneReader(bytes(data)), [], 0, 0
                 for n, (key, ids) in enumerate(reader.documents()):
-                    kept.append((key, reader.ordinal, n, at, len(ids) // 4, zlib.crc32(ids), ids))
-                    size, at = size + len(ids), at + len(ids) // 4
+                    kept.append((key, reader.ordinal, n, at, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None))
+                    size, at = size + (len(ids) if with_ids else 64), at + len(ids) // 4
                     if size > 8_000_000:
                         yield _frame(kept)
                         kept, size = [], 0
                 yield _frame(kept)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "doc_id bigint, file bigint, place bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    bounded_batches(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(releasing(rows), "doc_id bigint, file bigint, place bigint, at bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -196,7 +201,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """read_tokens() without the ids, with start: what each document's ids are, and where they begin in the whole."""
-    docs = saved(read_tokens(spark, path).drop("ids"), "token_index")
+    docs = saved(read_tokens(spark, path, with_ids=False).drop("ids"), "token_index")
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # One row for each file.
     before = totals.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

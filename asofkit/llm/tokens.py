@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts, by the tokenizers library, each distinct word asked for once.
 
 A single space between two characters that aren't white space always starts a new pre-token of the
-byte-level pattern, so texts may be cut before such spaces and the ids of the words put together. Words of a
+byte-level pattern, and so does an ASCII mark after a letter and an ASCII letter after a single line feed, so texts may be cut
+there and the ids of the words put together. Words of a
 run of texts are found, hashed (two polynomials modulo 2**64 over their bytes, 128 bits and the length) and matched with a
 bounded table of known words in numpy; only new words pass through the tokenizer. Where a character
 beside a space might be white space the texts aren't cut, which only makes words longer.
@@ -18,14 +19,17 @@ import numpy as np
 #: End-of-document id that follows the ids of every document.
 END_ID = 0
 #: Known words that a worker keeps, at most, and the bytes of the longest one it keeps.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 600_000
 WORD_BYTES = 48
 #: Bytes of a run.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 1_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _space = np.zeros(256, bool)
 _space[[*range(9, 14), *range(28, 33)]] = True
+_letter, _mark = np.zeros(256, bool), np.zeros(256, bool)
+_letter[[*range(65, 91), *range(97, 123)]] = True
+_mark[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: First bytes of characters that might be white space: U+0085 and U+00A0, and U+1680 up to U+3000.
 _lead3 = np.zeros(256, bool)
 _lead3[[0xE1, 0xE2, 0xE3]] = True
@@ -58,7 +62,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np
 
 
 def word_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Where words start in UTF-8 *data*, whose texts start at *begins*."""
+    """Where words start in UTF-8 *data*, whose texts start at *begins*: at places where a pre-token is sure to start."""
     n = len(data)
     at = np.flatnonzero(data == 32)
     at = at[(at > 2) & (at < n - 2)]  # at the rim a word is just longer
@@ -68,6 +72,14 @@ def word_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     at = at[~odd]
     first = np.zeros(n + 1, bool)
     first[at] = True
+    mark = np.flatnonzero(_mark[data])
+    mark = mark[mark > 1]
+    last, lead = data[mark - 1], data[mark - 2]
+    first[mark[_letter[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]] = True
+    line = np.flatnonzero(data == 10) + 1
+    line = line[(line < n) & (line > 1)]
+    alone = data[line - 2]
+    first[line[_letter[data[line]] & (alone < 0x80) & ~_space[alone]]] = True
     first[begins] = True
     return np.flatnonzero(first[:n])
 
@@ -79,7 +91,8 @@ class _Table:
         self.h1 = self.h2 = np.empty(0, np.uint64)
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int32)
-        self.pool = np.empty(0, np.uint32)
+        self.runs = np.empty(0, np.int32)  # in how many runs a word was met
+        self.pool, self.used = np.empty(0, np.uint32), 0
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Positions, or -1."""
@@ -91,13 +104,33 @@ class _Table:
     def has(self, h1: np.ndarray) -> np.ndarray:
         return self.h1[np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)] == h1 if len(self.h1) else np.zeros(len(h1), bool)
 
-    def add(self, h1: np.ndarray, h2: np.ndarray, ids: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in ids], np.int32)
-        at = len(self.pool) + np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)])
-        self.pool = np.concatenate([self.pool, *ids])
-        order = np.argsort(keys := np.concatenate([self.h1, h1]), kind="stable")
-        self.h1, self.h2 = keys[order], np.concatenate([self.h2, h2])[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, sizes])[order]
+    def add(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds words in ascending order of *h1*; their ids follow each other in *ids*."""
+        at = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.append(ids)
+        place = np.searchsorted(self.h1, h1)
+        self.h1, self.h2 = np.insert(self.h1, place, h1), np.insert(self.h2, place, h2)
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, sizes)
+        self.runs = np.insert(self.runs, place, 0)
+
+    def trim(self) -> None:
+        """Forgets words that were met in one run only, and the less frequent half if too many are left."""
+        keep = self.runs > 1
+        if keep.sum() > TABLE_WORDS // 2:
+            keep = self.runs > np.partition(self.runs, -TABLE_WORDS // 2)[-TABLE_WORDS // 2]
+        at, size = self.at[keep], self.size[keep]
+        stop = np.cumsum(size, dtype=np.int64)
+        take = np.arange(stop[-1] if len(stop) else 0) + np.repeat(at - (stop - size), size)
+        self.pool, self.used = self.pool[take], len(take)
+        self.h1, self.h2, self.at, self.size, self.runs = self.h1[keep], self.h2[keep], stop - size, size, self.runs[keep]
+
+    def append(self, ids: np.ndarray) -> int:
+        """Puts *ids* at the end of the pool and says where."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(self.used, np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
 
 
 class TextEncoder:
@@ -108,10 +141,29 @@ class TextEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._table = _Table()
+        self._bytes = np.zeros(self._tokenizer.get_vocab_size(), np.int64)  # of each token: the alphabet has one character per byte
+        for token, i in self._tokenizer.get_vocab().items():
+            self._bytes[i] = len(token)
 
     def _ask(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _ask_joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has, from one text of all of them.
+
+        Each word starts with a space before other than white space and ends with other than white space, so that all words are pre-tokens
+        of their own in that text too; their ids are told apart by the tokens' lengths in bytes.
+        """
+        length = end - start
+        stop = np.cumsum(length)
+        joined = data[np.repeat(start - (stop - length), length) + np.arange(stop[-1])].tobytes().decode()
+        ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        reached = np.cumsum(self._bytes[ids])
+        last = np.searchsorted(reached, stop)
+        if reached[-1] != stop[-1] or (reached[last] != stop).any():
+            raise AssertionError("words aren't pre-tokens of their own")
+        return ids, np.diff(last + 1, prepend=0).astype(np.int32)
+
     def _run(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece; none is empty."""
         raw = b"".join(pieces)
@@ -125,7 +177,7 @@ class TextEncoder:
         second = h2[first]
         alone = np.flatnonzero(h2 != second[inverse])  # equal first hashes of unequal words
         if len(self._table.h1) + len(keys) > TABLE_WORDS:
-            self._table = _Table()
+            self._table.trim()
         table = self._table
         new = np.flatnonzero(table.find(keys, second) < 0)
         long = (end - start)[first[new]] > WORD_BYTES
@@ -135,22 +187,29 @@ class TextEncoder:
             fresh = ~table.has(keys[kept])
             kept, clash = kept[fresh], kept[~fresh]
             once = np.concatenate([once, clash])
-            if len(kept):
-                table.add(keys[kept], second[kept], self._ask([text(first[i]) for i in kept]))
+            s, e = start[first[kept]], end[first[kept]]
+            tail, before = data[e - 1], data[np.maximum(e - 2, 0)]
+            closed = (tail < 0x80) & ~_space[tail] | (tail >= 0x80) & (before == 0xC3)
+            plain = (data[s] == 32) & (e - s > 1) & closed & ~np.isin(s, begins)
+            if plain.any():
+                table.add(keys[kept[plain]], second[kept[plain]], *self._ask_joined(data, s[plain], e[plain]))
+            if len(rest := kept[~plain]):
+                ids = self._ask([text(first[i]) for i in rest])
+                table.add(keys[rest], second[rest], np.concatenate(ids), np.array([len(x) for x in ids], np.int32))
         place = table.find(keys, second)
-        pool, pool_at, sizes = table.pool, table.at[place], table.size[place]
-        extra = [(i, ids) for i, ids in zip(once, self._ask([text(first[i]) for i in once]))] if len(once) else []
-        for i, ids in extra:
-            pool_at[i], sizes[i] = len(pool), len(ids)
-            pool = np.concatenate([pool, ids])
+        table.runs[place[place >= 0]] += 1
+        pool_at, sizes = (table.at[place], table.size[place]) if len(table.h1) else (np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32))
+        end_of_words = table.used
+        for i, ids in zip(once, self._ask([text(first[i]) for i in once]) if len(once) else []):
+            pool_at[i], sizes[i] = table.append(ids), len(ids)
         where, count = pool_at[inverse], sizes[inverse]
         for i in alone:
             ids = self._ask([text(i)])[0]
-            where[i], count[i] = len(pool), len(ids)
-            pool = np.concatenate([pool, ids])
+            where[i], count[i] = table.append(ids), len(ids)
         stop = np.cumsum(count, dtype=np.int64)
         take = np.arange(stop[-1]) + np.repeat(where - (stop - count), count)
-        out = pool[take].astype("<u4")
+        out = table.pool[take].astype("<u4")
+        table.used = end_of_words  # what isn't kept
         edges = np.append(np.searchsorted(start, begins), len(start))
         totals = np.concatenate([[0], stop])[edges]
         return [out[a:b].tobytes() for a, b in zip(totals[:-1], totals[1:])]
