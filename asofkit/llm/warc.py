@@ -175,7 +175,7 @@ def convert(record: ArcRecord, refers: tuple[str, str, str] | None = None) -> by
 
 
 def _write(df: DataFrame, path: str, separator: str, compression: str) -> None:
-    df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", compression).text(path)
+    df.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000", compression: str = "gzip") -> None:
