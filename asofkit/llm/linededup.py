@@ -100,7 +100,8 @@ def _near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame | None:
         hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
         if not hot.isEmpty():
             crowd = saved(_chosen(segments, hot, "key", "left_semi").select("h").distinct(), "hot_lines")
-            pairs.append(_deletion_pairs(_chosen(eligible, crowd, "h", "left_semi").distinct()))
+            met = _chosen(lines.filter(F.char_length("line") >= least), crowd, "h", "left_semi")
+            pairs.append(_deletion_pairs(met.groupBy("h", "g", "line").agg(F.min(F.struct("k", "t", "n")).alias("first"))))
             segments, own = _chosen(segments, hot, "key", "left_anti"), _chosen(own, hot, "key", "left_anti")
     met = own.join(segments.select("key", F.col("h").alias("h2"), "probe"), "key").filter((F.col("h1") != F.col("h2")) & (F.col("probe") | (F.col("h1") < F.col("h2"))))
     candidates = saved(met.select("h1", "h2").distinct(), "candidates")
@@ -119,16 +120,17 @@ def _near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame | None:
 
 
 def _deletion_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs one edit apart among *lines* (h, g, line): a number of rows linear in their characters, none verified pair by pair.
+    """Pairs one edit apart among *lines* (h, g, line, first): a number of rows linear in their characters, none verified pair by pair.
 
     Lines that become equal without the character at one place are one substitution apart: each is paired with the
-    least of them. A line that becomes another one without a character is one deletion apart.
+    earliest of them, whose *first* is least, so that all others are found to have one before them. A line that becomes another one
+    without a character is one deletion apart.
     """
-    cut = lines.select("h", "g", F.char_length("line").alias("size"), F.explode(F.expr("transform(sequence(1, char_length(line)), p -> struct(p, concat(substr(line, 1, p - 1), substr(line, p + 1)) as rest))")).alias("c"))
+    cut = lines.select("h", "g", "first", F.char_length("line").alias("size"), F.explode(F.expr("transform(sequence(1, char_length(line)), p -> struct(p, concat(substr(line, 1, p - 1), substr(line, p + 1)) as rest))")).alias("c"))
     h, g = _two_hashes(F.col("c.rest"))
-    cut = cut.select("h", "g", "size", F.col("c.p").alias("p"), h.alias("rh"), g.alias("rg"))
-    least = cut.groupBy("size", "p", "rh", "rg").agg(F.min(F.struct("h", "g")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    swapped = cut.join(least, ["size", "p", "rh", "rg"]).filter(F.col("h") != F.col("m.h")).select(F.col("m.h").alias("h1"), F.col("m.g").alias("g1"), F.col("h").alias("h2"), F.col("g").alias("g2"))
+    cut = cut.select("h", "g", "first", "size", F.col("c.p").alias("p"), h.alias("rh"), g.alias("rg"))
+    least = cut.groupBy("size", "p", "rh", "rg").agg(F.min(F.struct("first", "h", "g")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    swapped = cut.drop("first").join(least, ["size", "p", "rh", "rg"]).filter(F.col("h") != F.col("m.h")).select(F.col("m.h").alias("h1"), F.col("m.g").alias("g1"), F.col("h").alias("h2"), F.col("g").alias("g2"))
     shorter = cut.join(lines.select(F.col("h").alias("rh"), F.col("g").alias("rg")), ["rh", "rg"]).select(F.col("rh").alias("h1"), F.col("rg").alias("g1"), F.col("h").alias("h2"), F.col("g").alias("g2"))
     return swapped.union(shorter).distinct()
 

@@ -65,6 +65,20 @@ def test_against_all_pairs(spark, monkeypatch, edits, hot):
     assert sorted(map(tuple, got), key=str) == brute(docs, hashes, edits, 5)
 
 
+def test_numbered_template_beyond_hot_key(spark):
+    """Lines that differ at one place: of each group the earliest stays, not the one of least hash."""
+    r = random.Random(3)
+    numbers = [f"{i:02d}{i:02d}{x}" for i in range(70) for x in "abcdef"]  # lines of other i are two edits apart at least
+    r.shuffle(numbers)
+    assert len(numbers) > linededup.HOT_KEY
+    docs = [(d, "\n".join(f"see the long table, entry number {x}" for x in numbers[d::9])) for d in range(9)]
+    docs += [(None, f"see the long table, entry number {numbers[-1]}"), (20, f"see the long table, entry number {numbers[0]}1")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    hashes = {x[0]: x[1] for x in df.select("text", F.xxhash64("text")).collect()}
+    got = linededup.dedup_lines(df, max_edits=1).select("doc_id", "text", "lines_removed").collect()
+    assert sorted(map(tuple, got), key=str) == brute([(*x, None) for x in docs], hashes, 1, 20)
+
+
 @pytest.mark.parametrize("edits", [1, 2, 5])
 def test_distance(spark, edits):
     r = random.Random(2)
