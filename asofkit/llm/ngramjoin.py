@@ -47,8 +47,6 @@ BROADCAST_ROWS = 200_000
 _COUNT_AT = 2_000_000
 _GROUP = 100_000
 _SKIP = 32
-#: Lists are cut by size: a node of band b goes to the lists of bands b and b + 1, so that two nodes of like sizes meet and others don't.
-_BAND = np.log(4 / 3)
 _spaces = np.zeros(256, bool)
 _spaces[[32, *range(9, 14)]] = True
 _weights = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -108,6 +106,14 @@ def _least_common(n_x, n_y, percent: int):
     return -(-percent * (n_x + n_y) // (100 + percent))
 
 
+def _band_width(percent: int) -> float:
+    """Lists are cut by size: a node of band b goes to the lists of bands b and b + 1, so that two nodes of like sizes meet and others don't.
+
+    Sizes of similar sets differ by the factor 100 / percent at most, and so by one band; the width is a trifle more, for logarithms are rounded.
+    """
+    return float(np.log(100 / min(percent, 99))) * (1 + 1e-9)
+
+
 def _node(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -226,8 +232,9 @@ def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.
     return np.where(keys[at] == k, counts[at], 0)
 
 
-def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
+def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
     """list, hub, node, n: distinct lists of two or more nodes that share a rare prefix shingle; a row for each node but the hub."""
+    width = _band_width(percent)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -247,7 +254,7 @@ def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         col = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c]])
         token, node, n, share = col("token", np.uint64), col("node", np.int64), col("n", np.int32), col("share", np.int32)
-        band = np.floor(np.log(n) / _BAND).astype(np.int16)
+        band = np.floor(np.log(n) / width).astype(np.int16)
         token, node, n, share, band = np.tile(token, 2), np.tile(node, 2), np.tile(n, 2), np.tile(share, 2), np.concatenate([band, band + 1])
         order = np.lexsort((node, -share, band, token))  # the hub comes first
         token, band = token[order], band[order]
@@ -268,7 +275,7 @@ def _rare_lists(nodes: DataFrame, parts: int) -> DataFrame:
     return members.select("list", "hub", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")).filter("node <> hub")
 
 
-def _often_lists(nodes: DataFrame) -> DataFrame:
+def _often_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """The same for frequent prefix shingles; lists are told apart by sums over their members, never gathered."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,7 +285,7 @@ def _often_lists(nodes: DataFrame) -> DataFrame:
 
     rows = saved(nodes.filter(F.octet_length("often") > 0).select("node", "n", "share", "often").mapInPandas(releasing(_batched(spread)), "token bigint, node bigint, n int, share int"), "often_rows")
     mark = F.xxhash64("node")
-    band = F.floor(F.log("n") / float(_BAND)).cast("int")
+    band = F.floor(F.log("n") / _band_width(percent)).cast("int")
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("token", F.xxhash64("token", "band")).drop("band")
     sums = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(mark % 1_000_000_007).alias("a"), F.bit_xor(mark).alias("b"), F.max(F.struct("share", (-F.col("node")).alias("v"))).alias("hub")).filter("m > 1")
     kept = saved(sums.groupBy("m", "a", "b").agg(F.min(F.struct("token", "hub")).alias("t")).select("t.token", (-F.col("t.hub.v")).alias("hub")), "often_lists")
@@ -455,8 +462,8 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "d
     keys, counts = _frequent(docs, parts)
     wide = saved(_nodes(docs, keys, counts, percent), "nodes")
     distinct = wide.filter("n > 0").dropDuplicates(["node"])
-    rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts)
-    often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]))
+    rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts, percent)
+    often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]), percent)
     lists = saved(rare.unionByName(often), "lists")
     members = saved(_with_short(wide.select("id", "n", "node")), "members")
     drop_saved(wide)

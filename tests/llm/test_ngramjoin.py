@@ -64,6 +64,19 @@ def test_against_all_pairs(spark, monkeypatch, seed, frequent):
     assert sorted(map(tuple, ngramjoin.similar_components(df).collect()), key=str) == brute(rows, 75)
 
 
+@pytest.mark.parametrize("frequent", [2, 256])
+@pytest.mark.parametrize("percent", [50, 60, 100])
+def test_contained_sets_at_other_percents(spark, monkeypatch, percent, frequent):
+    """Sets inside larger ones, of sizes as far apart as links at *percent* allow."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
+    rows = []
+    for g, n in enumerate([1, 2, 4, 8, 64, 133, 150, 200]):
+        words = [f"g{g}w{i}" for i in range(500)]
+        rows += [(10 * g + k, " ".join(words[: m + 4])) for k, m in enumerate([n, 100 * n // percent, 100 * n // percent + 1])]
+    got = ngramjoin.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=percent).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, percent)
+
+
 def test_one_group_of_near_copies(spark):
     """Copies with growing numbers of edits, many of them linked with nothing."""
     r = random.Random(4)
