@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, drop_saved, partitions_for, releasing, saved, small
+from asofkit.llm.common import bounded_batches, drop_saved, fresh, partitions_for, releasing, saved, small
 from asofkit.llm.components import components
 from asofkit.llm.tokens import span_hashes
 
@@ -201,26 +201,26 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """For each document: id, n, node, rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
+    """For each document: id, th (hash of the text), n, node, rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = shared.value
         for batch in batches:
             rows = []
-            for id_, s in zip(batch["id"], shingle_sets(batch["t"].tolist())):
+            for id_, th, s in zip(batch["id"], batch["th"], shingle_sets(batch["t"].tolist())):
                 n = len(s)
                 if not n:
-                    rows.append((id_, 0, None, None, None, 0))
+                    rows.append((id_, th, 0, None, None, None, 0))
                     continue
                 reach = n - -(-percent * n // 100) + 1
                 weight = _weights_of(s, keys, counts)
                 prefix = np.lexsort((s, weight))[:reach]
                 split = int(np.searchsorted(weight[prefix], FREQUENT))
-                rows.append((id_, n, _node(s), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
-            yield pd.DataFrame(rows, columns=["id", "n", "node", "rare", "often", "share"])
+                rows.append((id_, th, n, _node(s), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
+            yield pd.DataFrame(rows, columns=["id", "th", "n", "node", "rare", "often", "share"])
 
-    return docs.select(F.col("id").cast("string").alias("id"), "t").mapInPandas(releasing(run), "id string, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
+    return docs.select(F.col("id").cast("string").alias("id"), "t", F.xxhash64("t").alias("th")).mapInPandas(releasing(run), "id string, th bigint, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
 
 
 def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -447,14 +447,8 @@ def _open(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int)
     return pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, the least doc_id reachable over links.
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct shingles of WORDS words. A document of
-    fewer words has its whole sequence as one shingle; one without words (a null text too) has none and is a
-    component of its own. Rows that repeat a key are documents of their own that happen to have equal ids. Null keys are never the
-    least; a component of null keys only has a null component_id. Other columns aren't read. An empty table gives an empty table.
-    """
+def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """members (id, th, n, node, short: a row for each document) and node, comp, least (id), first (keyless, id, th: null keys come last): a row for each node."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = partitions_for(spark)
@@ -465,7 +459,7 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "d
     rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts, percent)
     often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]), percent)
     lists = saved(rare.unionByName(often), "lists")
-    members = saved(_with_short(wide.select("id", "n", "node")), "members")
+    members = saved(_with_short(wide.select("id", "th", "n", "node")), "members")
     drop_saved(wide)
     sizes = lists.groupBy("list").agg((F.count(F.lit(1)) > 1).alias("more"))
     stars = lists.join(sizes, "list").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("with_rest"))
@@ -476,9 +470,20 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "d
     if not rest.isEmpty():
         more = _compared(rest, docs, members, percent).filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)), "labels")
-    by_node = members.filter("n > 0").groupBy("node", "short").agg(F.min("id").alias("least"))
-    by_node = by_node.join(labels.withColumnRenamed("node", "short"), "short", "left").select("node", F.coalesce("comp", "short").alias("comp"), "least")
-    by_node = saved(by_node, "node_labels")
+    by_node = members.filter("n > 0").groupBy("node", "short").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("keyless"), "id", "th")).alias("first"))
+    by_node = by_node.join(labels.withColumnRenamed("node", "short"), "short", "left").select("node", F.coalesce("comp", "short").alias("comp"), "least", "first")
+    return members, saved(by_node, "node_labels")
+
+
+def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, the least doc_id reachable over links.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct shingles of WORDS words. A document of
+    fewer words has its whole sequence as one shingle; one without words (a null text too) has none and is a
+    component of its own. Rows that repeat a key are documents of their own that happen to have equal ids. Null keys are never the
+    least; a component of null keys only has a null component_id. Other columns aren't read. An empty table gives an empty table.
+    """
+    members, by_node = _labelled(docs, percent, key, text)
     by_comp = saved(by_node.groupBy("comp").agg(F.min("least").alias("component_id")), "component_ids")
     final = saved(by_node.join(by_comp, "comp").select("node", "component_id"), "node_components")
     done = members.join(final, "node", "left")
@@ -496,8 +501,23 @@ def _with_short(rows: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the least of their component, and those without a key; all columns as they are."""
-    kept = similar_components(docs, percent=percent, key=key, text=text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = saved(kept, "kept")
-    right = F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept
-    return docs.join(right, F.col(key) == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    """One document of each component, all columns as they are: the one of the least key, and of the least text hash among those.
+
+    A document with a null key stays only if its component has no other. Of rows that repeat both key and text exactly one stays, any of
+    them. A document without words is a component of its own and stays, however often its row is repeated.
+    """
+    members, by_node = _labelled(docs, percent, key, text)
+    firsts = by_node.groupBy("comp").agg(F.min("first").alias("first")).select("first.id", "first.th")
+    counts = members.filter("n > 0").groupBy("id", "th").agg((F.count(F.lit(1)) > 1).alias("again"))
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th"))
+    kept = firsts.alias("a").join(counts.alias("b"), same).select("a.id", "a.th", "again")
+    kept = kept.unionByName(members.filter("n = 0").select("id", "th", F.lit(False).alias("again")).distinct())
+    id_, th, again = fresh(docs, "_kept"), fresh(docs, "_text_hash"), fresh(docs, "_again")
+    kept = saved(kept.toDF(id_, th, again), "kept")
+
+    def found(wanted: DataFrame) -> DataFrame:
+        right = F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted
+        return docs.join(right, F.col(key).cast("bigint").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text)) == F.col(th)))
+
+    out, repeated = found(kept.filter(~F.col(again))).select(*docs.columns), kept.filter(again)
+    return out if repeated.isEmpty() else out.unionByName(found(repeated).dropDuplicates([id_, th]).select(*docs.columns))

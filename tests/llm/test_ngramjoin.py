@@ -96,6 +96,17 @@ def test_empty_table(spark):
     assert ngramjoin.keep_one_of_each(spark.createDataFrame([(None, "a")], "doc_id bigint, text string")).count() == 1
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, repeated keys of other texts, and null keys."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (None, a, "x"), (2, a + " more", "x"), (None, b, "x"), (None, b, "x"), (1, c, "x"), (0, c, "x"), (1, d, "x"), (7, "", "x"), (7, "", "x"), (None, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _kept string")
+    got = ngramjoin.keep_one_of_each(df)
+    assert got.columns == df.columns
+    want = [(1, a), (None, b), (0, c), (1, d), (7, ""), (7, ""), (None, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
