@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -48,11 +49,13 @@ def recommendations(df: DataFrame, keys: Sequence[str], item: str, score: str) -
     return df.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["i"].cast("string")), " ").alias("item_recommendations"))
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 60, step: float = 0.25) -> np.ndarray:
-    """Minimises *f* without derivatives; deterministic."""
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int | None = 60, step: float = 0.25, close: float = 1e-3) -> np.ndarray:
+    """Minimises *f* without derivatives; deterministic. Without a number of *rounds* it ends once all corners are within *close* of the best."""
     simplex = [np.array(start, float)] + [np.array(start, float) + step * np.eye(len(start))[i] for i in range(len(start))]
     values = [f(p) for p in simplex]
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else itertools.count():
+        if rounds is None and max(np.abs(p - simplex[int(np.argmin(values))]).max() for p in simplex) <= close:
+            break
         order = np.argsort(values, kind="stable")
         simplex, values = [simplex[i] for i in order], [values[i] for i in order]
         centre, worst = np.mean(simplex[:-1], axis=0), simplex[-1]
@@ -71,8 +74,8 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int
     return simplex[int(np.argmin(values))]
 
 
-def fit_blend(df: DataFrame, scores: Sequence[str], group: str, clicked: str, rounds: int = 12) -> dict[str, float]:
-    """Weights that maximise the mean reciprocal rank, found by Nelder-Mead; each try is one aggregation over the data."""
+def fit_blend(df: DataFrame, scores: Sequence[str], group: str, clicked: str, rounds: int | None = 12) -> dict[str, float]:
+    """Weights that maximise the mean reciprocal rank, found by Nelder-Mead (rounds None: until its simplex is small); each try is one aggregation over the data."""
 
     def loss(w: np.ndarray) -> float:
         mixed = blend(df, dict(zip(scores, w)))

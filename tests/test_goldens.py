@@ -143,6 +143,13 @@ def test_row_order_does_not_matter(spark, sf):
     assert f(ev) == f(mixed)
 
 
+def test_nelder_mead_until_the_simplex_is_small():
+    import numpy as np
+
+    for loss, want in ((lambda x: (x[0] - 1) ** 2 + (x[1] + 2) ** 2, [1, -2]), (lambda x: 0.0, [0, 0])):
+        assert np.allclose(mt.nelder_mead(loss, np.zeros(2), rounds=None), want, atol=0.05)
+
+
 def test_nelder_mead():
     import numpy as np
 
