@@ -5,14 +5,18 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ours: list[tuple[SparkSession, str]] = []
+#: Paths written by the operators that are running, the innermost last.
+_running: list[list[str]] = []
 
 
 def columns_ci(df: DataFrame) -> set[str]:
@@ -34,9 +38,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names.
+
+    Where it is unset, a session within one process (local[...]) takes the temporary folder; others raise, for executors might not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/checkpoints"
     return base.rstrip("/")
 
@@ -47,9 +56,40 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not _ours:
         atexit.register(_sweep)
     _ours.append((spark, path))
+    if _running:
+        _running[-1].append(path)
     return path
 
 
+def tidy(f):
+    """*f*, an operator, followed by the removal of what it wrote and its result doesn't read."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        _running.append(written := [])
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            _running.pop()
+        files = out.inputFiles() if written else []
+        read = {p for p in written if any(f"/{_folder(p)}/" in x for x in files)}
+        for path in written:
+            if path in read:
+                if _running:
+                    _running[-1].append(path)
+            else:
+                remove(out.sparkSession, path.rsplit("/", 1)[0])
+                _ours.remove((out.sparkSession, path))
+        return out
+
+    return run
+
+
+def _folder(path: str) -> str:
+    """The last two names of a work path, which tell it apart."""
+    return "/".join(path.rsplit("/", 2)[1:])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,13 +113,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Removes what saved() wrote, once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
-
-
 #: Bytes of rows that go to a Python worker at once: texts may be very long.
 BATCH_BYTES = 4 << 20
 

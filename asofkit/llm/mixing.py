@@ -85,7 +85,7 @@ def mix_to_weights(
     rates = stats.select(src, F.when(F.col("m") > 0, F.col("w") / F.lit(float(sums["w"] or 1.0)) * F.lit(goal) / F.col("m")).otherwise(0.0).alias(rate))
     if small(rates, BROADCAST_SOURCES):
         rates = F.broadcast(rates)
-    joined = docs.join(rates.withColumnRenamed(src, f"{src}_"), F.col(source).eqNullSafe(F.col(f"{src}_"))).drop(f"{src}_")
+    joined = docs.join(rates, F.col(source).eqNullSafe(F.col(src))).drop(src)
     parts = F.greatest(F.ceil(F.col(rate) / PART_MEAN), F.lit(1)).cast("int")
     draw = lambda i: inverse_poisson(unit(F.lit(seed), F.col(key), i), F.col(rate) / parts)
     single = draw(F.lit(0))
