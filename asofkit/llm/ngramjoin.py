@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, drop_saved, fresh, partitions_for, releasing, saved, small
+from asofkit.llm.common import bounded_batches, fresh, partitions_for, releasing, saved, small, tidy
 from asofkit.llm.components import components
 from asofkit.llm.tokens import span_hashes
 
@@ -44,8 +44,11 @@ KEY_BITS = 32
 #: Entries of an open list that one task compares with as many others.
 BLOCK = 2_048
 BROADCAST_ROWS = 200_000
-_COUNT_AT = 2_000_000
+_COUNT_AT = 1_000_000
 _GROUP = 100_000
+#: Bytes of text whose shingles are counted in one group, and entries of rare lists that are gathered in one: the number of groups grows with the data.
+COUNT_BYTES = 6 << 20
+GATHER_ENTRIES = 500_000
 _SKIP = 32
 _spaces = np.zeros(256, bool)
 _spaces[[32, *range(9, 14)]] = True
@@ -114,6 +117,11 @@ def _band_width(percent: int) -> float:
     return float(np.log(100 / min(percent, 99))) * (1 + 1e-9)
 
 
+def _groups(total: int | None, each: int) -> int:
+    """How many groups hold *total* if each takes *each*."""
+    return max(1, -(-int(total or 0) // each))
+
+
 def _node(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
@@ -125,11 +133,12 @@ def _short(node: bytes) -> int:
 # ---------------------------------------------------------------- the global order
 
 
-def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys (leading bits) of shingles in several documents, ascending, and how many documents each has: the most frequent ones, no more than ORDERED."""
     import zstandard
 
     shift = np.uint64(64 - KEY_BITS)
+    parts = _groups(docs.agg(F.sum(F.octet_length("t"))).first()[0], COUNT_BYTES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -201,7 +210,7 @@ def _frequent(docs: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """For each document: id, th (hash of the text), n, node, rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
+    """For each document: id, th (hash of the text), n, node, short (its first 8 bytes, least significant first), rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,16 +220,16 @@ def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int)
             for id_, th, s in zip(batch["id"], batch["th"], shingle_sets(batch["t"].tolist())):
                 n = len(s)
                 if not n:
-                    rows.append((id_, th, 0, None, None, None, 0))
+                    rows.append((id_, th, 0, None, 0, None, None, 0))
                     continue
                 reach = n - -(-percent * n // 100) + 1
                 weight = _weights_of(s, keys, counts)
                 prefix = np.lexsort((s, weight))[:reach]
                 split = int(np.searchsorted(weight[prefix], FREQUENT))
-                rows.append((id_, th, n, _node(s), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
-            yield pd.DataFrame(rows, columns=["id", "th", "n", "node", "rare", "often", "share"])
+                rows.append((id_, th, n, node := _node(s), _short(node), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
+            yield pd.DataFrame(rows, columns=["id", "th", "n", "node", "short", "rare", "often", "share"])
 
-    return docs.select(F.col("id").cast("string").alias("id"), "t", F.xxhash64("t").alias("th")).mapInPandas(releasing(run), "id string, th bigint, n int, node binary, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
+    return docs.select(F.col("id").cast("string").alias("id"), "t", F.xxhash64("t").alias("th")).mapInPandas(releasing(run), "id string, th bigint, n int, node binary, short bigint, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
 
 
 def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -233,7 +242,7 @@ def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """list, hub, node, n: distinct lists of two or more nodes that share a rare prefix shingle; a row for each node but the hub."""
+    """list, hub, node, n, more (whether the list has others than these two): distinct lists of two or more nodes that share a rare prefix shingle; a row for each node but the hub."""
     width = _band_width(percent)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,12 +262,16 @@ def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         col = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in group[c]])
-        token, node, n, share = col("token", np.uint64), col("node", np.int64), col("n", np.int32), col("share", np.int32)
+        token = col("token", np.uint64)
+        order = np.argsort(token)
+        same = token[order[1:]] == token[order[:-1]]
+        met = order[np.append(same, False) | np.append(False, same)]  # most shingles have one node only
+        token, node, n, share = token[met], col("node", np.int64)[met], col("n", np.int32)[met], col("share", np.int32)[met]
         band = np.floor(np.log(n) / width).astype(np.int16)
         token, node, n, share, band = np.tile(token, 2), np.tile(node, 2), np.tile(n, 2), np.tile(share, 2), np.concatenate([band, band + 1])
         order = np.lexsort((node, -share, band, token))  # the hub comes first
         token, band = token[order], band[order]
-        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), (token[1:] != token[:-1]) | (band[1:] != band[:-1])]))
         size = np.diff(np.append(first, len(token)))
         seen, rows = set(), []
         for a, m in zip(first[size > 1], size[size > 1]):
@@ -271,8 +284,8 @@ def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
     blocks = nodes.select("node", "n", "share", "rare").mapInPandas(releasing(spread), "part int, token binary, node binary, n binary, share binary")
     lists = blocks.groupBy("part").applyInPandas(gather, "nodes array<bigint>, sizes array<int>")
     lists = lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
-    members = lists.select("list", F.get("nodes", F.lit(0)).alias("hub"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
-    return members.select("list", "hub", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")).filter("node <> hub")
+    members = lists.select("list", F.get("nodes", F.lit(0)).alias("hub"), (F.size("nodes") > 2).alias("more"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
+    return members.select("list", "hub", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), "more").filter("node <> hub")
 
 
 def _often_lists(nodes: DataFrame, percent: int) -> DataFrame:
@@ -288,9 +301,9 @@ def _often_lists(nodes: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log("n") / _band_width(percent)).cast("int")
     rows = rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("token", F.xxhash64("token", "band")).drop("band")
     sums = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(mark % 1_000_000_007).alias("a"), F.bit_xor(mark).alias("b"), F.max(F.struct("share", (-F.col("node")).alias("v"))).alias("hub")).filter("m > 1")
-    kept = saved(sums.groupBy("m", "a", "b").agg(F.min(F.struct("token", "hub")).alias("t")).select("t.token", (-F.col("t.hub.v")).alias("hub")), "often_lists")
+    kept = saved(sums.groupBy("m", "a", "b").agg(F.min(F.struct("token", "hub")).alias("t")).select("t.token", (-F.col("t.hub.v")).alias("hub"), (F.col("m") > 2).alias("more")), "often_lists")
     members = rows.join(F.broadcast(kept) if small(kept, BROADCAST_ROWS) else kept, "token")
-    return members.filter("node <> hub").select(F.col("token").alias("list"), "hub", "node", "n")
+    return members.filter("node <> hub").select(F.col("token").alias("list"), "hub", "node", "n", "more")
 
 
 def _batched(spread):
@@ -321,7 +334,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
     """
     shared = docs.sparkSession.sparkContext.broadcast(order) if order else None
     ends = saved(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct(), "ends")
-    chosen = members.join(F.broadcast(ends) if small(ends, BROADCAST_ROWS) else ends, "short", "left_semi").groupBy("short", "node").agg(F.min("id").alias("id"))
+    chosen = members.filter("n > 0").join(F.broadcast(ends) if small(ends, BROADCAST_ROWS) else ends, "short", "left_semi").groupBy("short", "node").agg(F.min("id").alias("id"))
     chosen = saved(chosen, "chosen").withColumnRenamed("id", "rep")
     texts = docs.join(F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("short", "node", "t")
     side = lambda x: texts.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("t").alias(f"{x}_t"))
@@ -451,18 +464,16 @@ def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataF
     """members (id, th, n, node, short: a row for each document) and node, comp, least (id), first (keyless, id, th: null keys come last): a row for each node."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = partitions_for(spark)
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    keys, counts = _frequent(docs, parts)
+    keys, counts = _frequent(docs)
     wide = saved(_nodes(docs, keys, counts, percent), "nodes")
     distinct = wide.filter("n > 0").dropDuplicates(["node"])
+    parts = _groups(wide.agg(F.sum(F.octet_length("rare"))).first()[0], 8 * GATHER_ENTRIES)
     rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts, percent)
     often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]), percent)
     lists = saved(rare.unionByName(often), "lists")
-    members = saved(_with_short(wide.select("id", "th", "n", "node")), "members")
-    drop_saved(wide)
-    sizes = lists.groupBy("list").agg((F.count(F.lit(1)) > 1).alias("more"))
-    stars = lists.join(sizes, "list").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("with_rest"))
+    members = wide.select("id", "th", "n", "node", "short")
+    stars = lists.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("with_rest"))
     stars = _compared(saved(stars, "stars"), docs, members, percent, (keys, counts))
     link = f"100 * common >= {percent} * (a_n + b_n - common)"
     labels = saved(components(stars.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
@@ -475,6 +486,7 @@ def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataF
     return members, saved(by_node, "node_labels")
 
 
+@tidy
 def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the least doc_id reachable over links.
 
@@ -490,16 +502,7 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, key: str = "d
     return done.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _with_short(rows: DataFrame) -> DataFrame:
-    """Adds short, the bigint of the first 8 bytes of node (least significant first)."""
-
-    @F.pandas_udf("bigint")
-    def low(nodes: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else _short(bytes(b)) for b in nodes], dtype="Int64")
-
-    return rows.withColumn("short", low("node"))
-
-
+@tidy
 def keep_one_of_each(docs: DataFrame, *, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, all columns as they are: the one of the least key, and of the least text hash among those.
 

@@ -55,13 +55,15 @@ def made_up(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 4), (2, 256)])
-def test_against_all_pairs(spark, monkeypatch, seed, frequent):
+@pytest.mark.parametrize(("seed", "frequent", "percent"), [(1, 4, 75), (2, 256, 75), (3, 4, 30), (4, 256, 50), (5, 8, 90)])
+def test_against_all_pairs(spark, monkeypatch, seed, frequent, percent):
     monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
     monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    monkeypatch.setattr(ngramjoin, "COUNT_BYTES", 5_000)
+    monkeypatch.setattr(ngramjoin, "GATHER_ENTRIES", 300)
     rows = made_up(seed)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, component_id string")
-    assert sorted(map(tuple, ngramjoin.similar_components(df).collect()), key=str) == brute(rows, 75)
+    assert sorted(map(tuple, ngramjoin.similar_components(df, percent=percent).collect()), key=str) == brute(rows, percent)
 
 
 @pytest.mark.parametrize("frequent", [2, 256])
