@@ -6,11 +6,16 @@ there and the ids of the words put together. Words of a
 run of texts are found, hashed (two polynomials modulo 2**64 over their bytes, 128 bits and the length) and matched with a
 bounded table of known words in numpy; only new words pass through the tokenizer. Where a character
 beside a space might be white space the texts aren't cut, which only makes words longer.
+
+Strings of added tokens, special ones too, become their ids as in the library's plain call: texts are cut there first. The texts of a
+tokenizer with a normalizer, another pre-tokenizer, or added tokens that take in what stands around them aren't cut at all.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
@@ -139,11 +144,16 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._table = _Table()
         self._bytes = np.zeros(self._tokenizer.get_vocab_size(), np.int64)  # of each token: the alphabet has one character per byte
         for token, i in self._tokenizer.get_vocab().items():
             self._bytes[i] = len(token)
+        parts = json.loads(self._tokenizer.to_str())
+        before, added = parts["pre_tokenizer"] or {}, parts["added_tokens"]
+        around = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self._cuts = not parts["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not around
+        self._added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self._at_added = re.compile("|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)) or r"(?!)")
 
     def _ask(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -218,41 +228,60 @@ class TextEncoder:
         """For each whole text its little-endian unsigned 32-bit ids; a null text has none."""
         parts: list[list[bytes]] = []
         run: list[bytes] = []
-        owner: list[int] = []
+        owner: list[tuple[int, int]] = []
         size = 0
 
         def flush() -> None:
             nonlocal size
             if run:
-                for i, ids in zip(owner, self._run(run)):
-                    parts[i].append(ids)
+                for (i, place), ids in zip(owner, self._run(run)):
+                    parts[i][place] = ids
             run.clear()
             owner.clear()
             size = 0
 
+        def later(data: bytes) -> None:
+            nonlocal size
+            run.append(data)
+            owner.append((len(parts) - 1, len(parts[-1])))
+            parts[-1].append(b"")
+            size += len(data)
+            if size > RUN_BYTES:
+                flush()
+
         for text in texts:
             parts.append([])
-            data = (text or "").encode()
-            while len(data) > RUN_BYTES:  # a very long text goes by pieces, cut where a word starts
-                starts = word_starts(np.frombuffer(data, np.uint8, RUN_BYTES), np.zeros(1, np.int64))
-                if (cut := int(starts[-1])) == 0:
-                    break
-                run.append(data[:cut])
-                owner.append(len(parts) - 1)
-                flush()
-                data = data[cut:]
-            if len(data) > RUN_BYTES:
-                flush()
-                parts[-1].append(self._ask([data.decode()])[0].astype("<u4").tobytes())
-            elif data:
-                run.append(data)
-                owner.append(len(parts) - 1)
-                size += len(data)
-                if size > RUN_BYTES:
+            if not self._cuts:
+                parts[-1].append(self._ask([text or ""])[0].astype("<u4").tobytes())
+                continue
+            for piece in self._pieces(text or ""):
+                if (known := self._added.get(piece)) is not None:
+                    parts[-1].append(known)
+                    continue
+                data = piece.encode()
+                while len(data) > RUN_BYTES:  # a very long text goes by pieces, cut where a word starts
+                    starts = word_starts(np.frombuffer(data, np.uint8, RUN_BYTES), np.zeros(1, np.int64))
+                    if (cut := int(starts[-1])) == 0:
+                        break
+                    later(data[:cut])
                     flush()
+                    data = data[cut:]
+                if len(data) > RUN_BYTES:
+                    parts[-1].append(self._ask([data.decode()])[0].astype("<u4").tobytes())
+                elif data:
+                    later(data)
         flush()
         return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """*text* cut around the strings of added tokens."""
+        at = 0
+        for m in self._at_added.finditer(text) if any(t in text for t in self._added) else ():
+            yield text[at : m.start()]
+            yield m[0]
+            at = m.end()
+        yield text[at:]
+
     def documents(self, texts: Sequence[str | None], at_once: int = 1_000) -> Iterator[bytes]:
         """The ids of each text, and the end id."""
         end = END_ID.to_bytes(4, "little")

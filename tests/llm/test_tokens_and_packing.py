@@ -10,13 +10,12 @@ from asofkit.llm import packing, token_store
 from asofkit.llm.tokens import TextEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", None, " ", "  a", "a  b", "a \n b", "x\n\n y z ", "don't stop 's 5 %% é..! b c", "日本 語 text", "A" * 500 + " b", "<|endoftext|> a", "a\t b", "\x1c a \x1cb", "ÿ×÷ aº ª b²", "one.\nTwo it's", "a  b", "　 x", " lead", "a b"]
+ODD = ["", None, " ", "  a", "a  b", "a \n b", "x\n\n y z ", "don't stop 's 5 %% é..! b c", "日本 語 text", "A" * 500 + " b", "<|endoftext|> a", "a<|endoftext|>", "a <|endoftext|><|endoftext|>b c<|endoftext", "<|endoftext|>", "word<|endoftext|> next one", "a\t b", "\x1c a \x1cb", "ÿ×÷ aº ª b²", "one.\nTwo it's", "a  b", "　 x", " lead", "a b"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
