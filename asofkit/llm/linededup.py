@@ -1,20 +1,21 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines within *max_edits* edits of each other share one of max_edits + 1 segments, at a place that differs by
-few characters: each distinct line puts its segments in an index keyed by (segment, length, content), and probes the
-index with the substrings that could match segments of lines that are up to max_edits shorter. Candidates
-pass a filter on letter counts and are verified by a banded bit-parallel edit distance.
-
-Index keys that more than HOT_KEY lines share are left to deletion neighbourhoods, which find pairs one edit apart in a
-number of rows that is linear in the lines (for larger max_edits such keys are joined like all others, pair by pair).
+Lines are sequences of symbols: characters, or words, which is what stands between single spaces. Lines within *max_edits* edits of
+each other share one of max_edits + 1 segments, at a place that differs by few symbols: each distinct line puts its segments in an
+index keyed by (segment, length, content), and probes the index with the substrings that could match segments of lines that are up to
+max_edits shorter. Candidates pass a filter on letter counts (of characters) and are verified by a banded bit-parallel edit distance.
+
+Index keys that more than HOT_KEY lines share are not joined pair by pair. For one edit, deletion neighbourhoods find what stands behind
+a near-equal line, in a row for each symbol of those lines. For more edits each such line is compared with the earliest
+one under its key, and only lines that this doesn't settle are compared with the others. Either way the same lines go as without hot keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import fresh, saved, small, without
+from asofkit.llm.common import fresh, saved, small, tidy, without
 
 #: Distinct lines that may share an index key before it counts as hot.
 HOT_KEY = 256
@@ -22,21 +23,38 @@ HOT_KEY = 256
 BROADCAST_ROWS = 200_000
 #: Letters whose counts are compared before the edit distance is.
 _LETTERS = ("e", "t", "a", "n", "o", "i")
+#: Hashes of symbols at their places are summed: so many bits leave room for lines of 4 million symbols.
+_SYMBOL_BITS = 41
+_WHITE = " \t\x0b\x0c\r"
 
 
 def _two_hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
 
+def _blank(line: Column) -> Column:
+    """Whether a line has nothing but white space."""
+    return F.btrim(line, F.lit(_WHITE)) == ""
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, t (hash of the text), n (from 0), line, h, g (its two hashes): a row for each line that isn't blank."""
     split = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
     h, g = _two_hashes(F.col("line"))
-    return split.filter(F.trim("line") != "").withColumns({"h": h, "g": g})
+    return split.filter(~_blank(F.col("line"))).withColumns({"h": h, "g": g})
+
+
+def _symbols(line: Column, words: bool) -> Column:
+    return F.split(line, " ") if words else F.split(line, "")
 
 
-def _segments(edits: int) -> Column:
-    """Structs (key, probe) of the columns line and size: its own segments (probe false), and what it may share with shorter lines.
+def _size(line: Column, words: bool) -> Column:
+    """How many symbols a line has."""
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 if words else F.char_length(line)
+
+
+def _segments(edits: int, words: bool) -> Column:
+    """Structs (key, probe) of the columns line (of words: an array) and size: its own segments (probe false), and what it may share with shorter lines.
 
     The key of a substring that would reach beyond the line is null.
     """
@@ -46,7 +64,7 @@ def _segments(edits: int) -> Column:
         longer = length % (edits + 1)
         base = ((length - longer) / (edits + 1)).cast("int")
         for i in range(1, edits + 2):
-            # The last *longer* segments have one character more.
+            # The last *longer* segments have one symbol more.
             extra = F.greatest(longer - (edits + 1 - i) - 1, F.lit(0))
             start = base * (i - 1) + extra
             own = base + F.when(longer > edits + 1 - i, 1).otherwise(0)
@@ -54,13 +72,13 @@ def _segments(edits: int) -> Column:
             for shift in range(low, high + 1):
                 at = start + shift + 1
                 fits = (at >= 1) & (at + own - 1 <= size)
-                key = F.xxhash64(F.lit(i), length, F.col("line").substr(at, own))
-                out.append(F.struct(F.when(fits, key).alias("key"), F.lit(bool(shorter or shift)).alias("probe")))
+                piece = F.slice("line", at, own) if words else F.col("line").substr(at, own)
+                out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), length, piece)).alias("key"), F.lit(bool(shorter or shift)).alias("probe")))
     return F.array(*out)
 
 
-def banded_distance(a: str, b: str, edits: int) -> Column:
-    """Edit distance of the columns *a* and *b*, or a number above *edits* if it is more.
+def banded_distance(a: str, b: str, edits: int, words: bool = False) -> Column:
+    """Edit distance of the columns *a* and *b* in characters or words, or a number above *edits* if it is more.
 
     Bits of a word of 2 * edits + 1 stand for the rows of one column of the table that are in the band around
     the diagonal; the word slides down with the columns. Deltas between cells are kept as bit vectors (vp, vn: one
@@ -78,10 +96,11 @@ def banded_distance(a: str, b: str, edits: int) -> Column:
     bound = f"get(transform(array({rows}), pm -> get(transform(array({d0}), z -> {step}), 0)), 0)"
     far = edits + 1
     walk = f"aggregate(sequence(1, x.n), named_struct('vp', {start}L, 'vn', 0L, 'd', {edits}), (s, j) -> {bound}, s -> s.d)"
-    plain = "levenshtein(array_join(x.a, ''), array_join(x.b, ''))"
+    # Where the band is wider than the table: of words no line is that short.
+    plain = f"{far}" if words else "levenshtein(array_join(x.a, ''), array_join(x.b, ''))"
     body = f"if(abs(x.m - x.n) > {edits}, {far}, if(x.m <= {edits} or x.n = 0, {plain}, {walk}))"
-    chars = lambda c: f"filter(split({c}, ''), q -> q <> '')"
-    return F.expr(f"get(transform(array(named_struct('a', {chars(a)}, 'b', {chars(b)}, 'm', char_length({a}), 'n', char_length({b}))), x -> {body}), 0)")
+    symbols = lambda c: f"split({c}, ' ')" if words else f"filter(split({c}, ''), q -> q <> '')"
+    return F.expr(f"get(transform(array(named_struct('a', {symbols(a)}, 'b', {symbols(b)})), y -> get(transform(array(named_struct('a', y.a, 'b', y.b, 'm', size(y.a), 'n', size(y.b))), x -> {body}), 0)), 0)")
 
 
 def _chosen(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str) -> DataFrame:
@@ -89,90 +108,126 @@ def _chosen(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str) -
     return rows.join(F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted, on, how)
 
 
-def _near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame | None:
-    """h1, g1, h2, g2: pairs of distinct lines within *edits* edits, in no given order."""
-    sized = lines.select("h", "g", "line", F.char_length("line").alias("size")).filter(F.col("size") >= least)
-    eligible = sized.drop("size")
-    spread = sized.select("h", F.explode(_segments(edits)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
-    segments = saved(spread.distinct(), "segments")
-    own, pairs = segments.filter(~F.col("probe")).select("key", F.col("h").alias("h1")), []
-    if edits == 1:
-        hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
-        if not hot.isEmpty():
-            crowd = saved(_chosen(segments, hot, "key", "left_semi").select("h").distinct(), "hot_lines")
-            met = _chosen(lines.filter(F.char_length("line") >= least), crowd, "h", "left_semi")
-            pairs.append(_deletion_pairs(met.groupBy("h", "g", "line").agg(F.min(F.struct("k", "t", "n")).alias("first"))))
-            segments, own = _chosen(segments, hot, "key", "left_anti"), _chosen(own, hot, "key", "left_anti")
-    met = own.join(segments.select("key", F.col("h").alias("h2"), "probe"), "key").filter((F.col("h1") != F.col("h2")) & (F.col("probe") | (F.col("h1") < F.col("h2"))))
-    candidates = saved(met.select("h1", "h2").distinct(), "candidates")
+def _verified(candidates: DataFrame, eligible: DataFrame, edits: int, words: bool) -> DataFrame:
+    """h1, g1, h2, g2: those of the *candidates* (h1, h2) that are within *edits* edits."""
     needed = saved(candidates.select(F.col("h1").alias("h")).union(candidates.select(F.col("h2").alias("h"))).distinct(), "needed")
     texts = saved(_chosen(eligible, needed, "h", "left_semi").distinct(), "needed_lines")
     side = lambda x: texts.select(F.col("h").alias(f"h{x}"), F.col("g").alias(f"g{x}"), F.col("line").alias(f"l{x}"))
     both = candidates.join(side(1), "h1").join(side(2), "h2")
-    counts = lambda c: [F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in _LETTERS]
-    apart = sum((F.abs(x - y) for x, y in zip(counts("l1"), counts("l2"))), F.lit(0))
-    likely = both.filter((F.abs(F.char_length("l1") - F.char_length("l2")) <= edits) & (apart <= 2 * edits))
-    pairs.append(likely.filter(banded_distance("l1", "l2", edits) <= edits).select("h1", "g1", "h2", "g2"))
+    if not words:
+        counts = lambda c: [F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in _LETTERS]
+        apart = sum((F.abs(x - y) for x, y in zip(counts("l1"), counts("l2"))), F.lit(0))
+        both = both.filter((F.abs(F.char_length("l1") - F.char_length("l2")) <= edits) & (apart <= 2 * edits))
+    return both.filter(banded_distance("l1", "l2", edits, words) <= edits).select("h1", "g1", "h2", "g2")
+
+
+def _near_pairs(lines: DataFrame, firsts: DataFrame, edits: int, least: int, words: bool) -> DataFrame:
+    """h1, g1, h2, g2: pairs of distinct lines within *edits* edits, in no given order; of hot keys as many as show which lines have an earlier one."""
+    eligible = lines.filter(_size(F.col("line"), words) >= least).select("h", "g", "line")
+    sized = eligible.select("h", F.split("line", " ").alias("line")).withColumn("size", F.size("line")) if words else eligible.select("h", "line", F.char_length("line").alias("size"))
+    spread = sized.select("h", F.explode(_segments(edits, words)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
+    segments = saved(spread.distinct(), "segments")
+    own, pairs = segments.filter(~F.col("probe")).select("key", F.col("h").alias("h1")), []
+    hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
+    if not hot.isEmpty():
+        crowd = saved(_chosen(segments, hot, "key", "left_semi"), "hot_segments")
+        hot_lines = saved(crowd.select("h").distinct(), "hot_lines")
+        known = saved(_chosen(firsts, hot_lines, "h", "left_semi"), "hot_firsts")
+        if edits == 1:
+            met = saved(_chosen(eligible, hot_lines, "h", "left_semi").distinct(), "hot_texts")
+            pairs.append(_deletion_pairs(met.join(known, ["h", "g"]), words))
+        else:
+            pairs += _settled(crowd, known, eligible, edits, words)
+        segments, own = _chosen(segments, hot, "key", "left_anti"), _chosen(own, hot, "key", "left_anti")
+    met = own.join(segments.select("key", F.col("h").alias("h2"), "probe"), "key").filter((F.col("h1") != F.col("h2")) & (F.col("probe") | (F.col("h1") < F.col("h2"))))
+    pairs.append(_verified(saved(met.select("h1", "h2").distinct(), "candidates"), eligible, edits, words))
     out = pairs[0]
     for p in pairs[1:]:
         out = out.union(p)
     return out
 
 
-def _deletion_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs one edit apart among *lines* (h, g, line, first): a number of rows linear in their characters, none verified pair by pair.
+def _settled(crowd: DataFrame, firsts: DataFrame, eligible: DataFrame, edits: int, words: bool) -> list[DataFrame]:
+    """Pairs among the lines of hot keys (*crowd*: key, h, probe) that show which of them have an earlier one.
+
+    Under each key all are compared with the earliest of them. A line that is near it is settled; others are compared with all earlier ones.
+    """
+    placed = saved(crowd.select("key", "h").distinct().join(firsts.groupBy("h").agg(F.min("first").alias("first")), "h"), "hot_placed")
+    hubs = saved(placed.groupBy("key").agg(F.min(F.struct("first", "h")).alias("m")).select("key", F.col("m.h").alias("hub")), "hot_hubs")
+    around = placed.join(hubs, "key").filter("h <> hub").select(F.col("hub").alias("h1"), F.col("h").alias("h2")).distinct()
+    near = saved(_verified(saved(around, "hot_candidates"), eligible, edits, words), "hot_near")
+    left = placed.join(near.select(F.col("h2").alias("h")).distinct(), "h", "left_anti")
+    left = left.join(hubs, "key").filter("h <> hub").select("key", F.col("h").alias("h2"), F.col("first").alias("f2"))
+    others = placed.select("key", F.col("h").alias("h1"), F.col("first").alias("f1")).join(left, "key").filter("f1 < f2").select("h1", "h2").distinct()
+    return [near, _verified(saved(others, "hot_others"), eligible, edits, words)]
+
+
+def _deletion_pairs(lines: DataFrame, words: bool) -> DataFrame:
+    """Pairs one edit apart among *lines* (h, g, line, first): a row for each symbol, none verified pair by pair.
 
-    Lines that become equal without the character at one place are one substitution apart: each is paired with the
+    Lines that become equal without the symbol at one place are one substitution apart: each is paired with the
     earliest of them, whose *first* is least, so that all others are found to have one before them. A line that becomes another one
-    without a character is one deletion apart.
+    without a symbol is one deletion apart. What is left of a line is told by sums of hashes of its symbols at their places.
     """
-    cut = lines.select("h", "g", "first", F.char_length("line").alias("size"), F.explode(F.expr("transform(sequence(1, char_length(line)), p -> struct(p, concat(substr(line, 1, p - 1), substr(line, p + 1)) as rest))")).alias("c"))
-    h, g = _two_hashes(F.col("c.rest"))
-    cut = cut.select("h", "g", "first", "size", F.col("c.p").alias("p"), h.alias("rh"), g.alias("rg"))
+    cut = lines.select("h", "g", "first", F.posexplode(_symbols(F.col("line"), words)).alias("p", "c"))
+    if not words:
+        cut = cut.filter("c <> ''")
+    hashed = lambda seed, place: F.pmod(F.xxhash64(F.lit(seed), F.col("c"), place), F.lit(1 << _SYMBOL_BITS))
+    whole, before = Window.partitionBy("h", "g"), Window.partitionBy("h", "g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums, rests = {"size": F.count(F.lit(1)).over(whole)}, {}
+    for name, seed in (("rh", 1), ("rg", 2)):
+        cut = cut.withColumns({f"{name}_here": hashed(seed, F.col("p")), f"{name}_back": hashed(seed, F.col("p") - 1)})
+        sums |= {f"{name}_whole": F.sum(f"{name}_here").over(whole), f"{name}_all": F.sum(f"{name}_back").over(whole)}
+        sums |= {f"{name}_left": F.coalesce(F.sum(f"{name}_here").over(before), F.lit(0)), f"{name}_gone": F.coalesce(F.sum(f"{name}_back").over(before), F.lit(0))}
+        rests[name] = F.col(f"{name}_left") + F.col(f"{name}_all") - F.col(f"{name}_gone") - F.col(f"{name}_back")
+    cut = saved(cut.withColumns(sums).withColumns(rests).select("h", "g", "first", "p", "size", "rh", "rg", "rh_whole", "rg_whole"), "hot_rests")
     least = cut.groupBy("size", "p", "rh", "rg").agg(F.min(F.struct("first", "h", "g")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     swapped = cut.drop("first").join(least, ["size", "p", "rh", "rg"]).filter(F.col("h") != F.col("m.h")).select(F.col("m.h").alias("h1"), F.col("m.g").alias("g1"), F.col("h").alias("h2"), F.col("g").alias("g2"))
-    shorter = cut.join(lines.select(F.col("h").alias("rh"), F.col("g").alias("rg")), ["rh", "rg"]).select(F.col("rh").alias("h1"), F.col("rg").alias("g1"), F.col("h").alias("h2"), F.col("g").alias("g2"))
+    wholes = cut.filter("p = 0").select(F.col("h").alias("h1"), F.col("g").alias("g1"), (F.col("size") + 1).alias("size"), F.col("rh_whole").alias("rh"), F.col("rg_whole").alias("rg"))
+    shorter = cut.join(wholes, ["size", "rh", "rg"]).select("h1", "g1", F.col("h").alias("h2"), F.col("g").alias("g2"))
     return swapped.union(shorter).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_chars: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+@tidy
+def dedup_lines(docs: DataFrame, *, max_edits: int = 1, min_size: int = 8, unit: str = "word", key: str = "doc_id", text: str = "text") -> DataFrame:
     """*docs* with every line removed from *text* that has an earlier duplicate, and ``lines_removed`` int.
 
     Lines end with line feeds and are ordered by (key, hash of the text, place). A line is removed if the same line stands
-    anywhere before it, or, for lines of at least *min_chars* characters, one within *max_edits* edits (insertions, deletions
-    and substitutions of characters), whether that one stays or not: of any chain of near-equal lines the first stays.
-    Blank lines aren't looked at and stay. Lines keep their order; a text may become empty, its row stays.
+    anywhere before it, or, for lines of at least *min_size* symbols, one within *max_edits* edits (insertions, deletions
+    and substitutions of symbols), whether that one stays or not: of any chain of near-equal lines the first stays. Symbols are
+    characters or words as *unit*, "char" or "word", says; words are what stands between single spaces, and may be empty.
+    Lines of nothing but white space aren't looked at and stay. Lines keep their order; a text may become empty, its row stays.
 
     A null text stays null with 0 lines removed. Null keys come before others. Rows that repeat both key and text count as
     one document, and get equal results. Other columns are carried as they are; an input column named lines_removed is
     replaced. An empty table gives an empty table.
     """
-    if max_edits < 0 or min_chars <= max_edits:
-        raise ValueError("min_chars must exceed max_edits, which is 0 or more")
+    if max_edits < 0 or min_size <= max_edits or unit not in ("char", "word"):
+        raise ValueError("min_size must exceed max_edits, which is 0 or more, and unit must be char or word")
     docs = without(docs, "lines_removed")
     lines = _lines(docs, key, text)
     firsts = saved(lines.groupBy("h", "g").agg(F.min(F.struct("k", "t", "n")).alias("first")), "first_lines")
     kept = firsts
     if max_edits:
-        pairs = saved(_near_pairs(lines, max_edits, min_chars), "near_lines")
+        pairs = saved(_near_pairs(lines, firsts, max_edits, min_size, unit == "word"), "near_lines")
         ends = saved(pairs.select(F.col("h1").alias("h"), F.col("g1").alias("g")).union(pairs.select("h2", "g2")).distinct(), "near_ends")
         known = saved(_chosen(firsts, ends, ["h", "g"], "left_semi"), "near_firsts")
         at = lambda x: known.select(F.col("h").alias(f"h{x}"), F.col("g").alias(f"g{x}"), F.col("first").alias(f"f{x}"))
         placed = pairs.join(at(1), ["h1", "g1"]).join(at(2), ["h2", "g2"])
         near = _linked_to_earlier(placed)
         kept = _chosen(firsts, saved(near, "later_lines"), ["h", "g"], "left_anti")
-    ours, mark, size = fresh(docs, "_kept"), fresh(docs, "_text_hash"), fresh(docs, "_k")
-    by_doc = kept.select("first.*").groupBy(F.col("k").alias(size), F.col("t").alias(mark)).agg(F.collect_list("n").alias(ours))
-    joined = docs.withColumn(f"{mark}_", F.xxhash64(F.col(text))).join(by_doc, F.col(key).eqNullSafe(F.col(size)) & (F.col(f"{mark}_") == F.col(mark)), "left")
+    ours, mark, theirs, k = (fresh(docs, x) for x in ("_kept", "_text_hash", "_kept_hash", "_kept_key"))
+    by_doc = kept.select("first.*").groupBy(F.col("k").alias(k), F.col("t").alias(theirs)).agg(F.collect_list("n").alias(ours))
+    joined = docs.withColumn(mark, F.xxhash64(F.col(text))).join(by_doc, F.col(key).eqNullSafe(F.col(k)) & (F.col(theirs) == F.col(mark)), "left")
+    blank = f"btrim(get(x.a, i), '{_WHITE}') = ''"
     rebuilt = F.expr(
         f"""get(transform(array(named_struct('a', split(`{text}`, '\n'), 'k', coalesce(`{ours}`, cast(array() as array<int>)))), x ->
-            struct(array_join(transform(array_sort(array_union(x.k, filter(sequence(0, size(x.a) - 1), i -> trim(get(x.a, i)) = ''))), i -> get(x.a, i)), '\n') as text,
-                   cast(size(x.a) as int) as n,
-                   cast(size(array_union(x.k, filter(sequence(0, size(x.a) - 1), i -> trim(get(x.a, i)) = ''))) as int) as m)), 0)"""
+            get(transform(array(array_sort(array_union(x.k, filter(sequence(0, size(x.a) - 1), i -> {blank})))), q ->
+                struct(if(size(q) = size(x.a), `{text}`, array_join(transform(q, i -> get(x.a, i)), '\n')) as text, cast(size(x.a) - size(q) as int) as n)), 0)), 0)"""
     )
     done = joined.withColumn(ours, F.when(F.col(text).isNotNull(), rebuilt))
     cells = [F.col(f"{ours}.text").alias(c) if c.lower() == text.lower() else F.col(c) for c in docs.columns]
-    return done.select(*cells, F.coalesce(F.col(f"{ours}.n") - F.col(f"{ours}.m"), F.lit(0)).alias("lines_removed"))
+    return done.select(*cells, F.coalesce(F.col(f"{ours}.n"), F.lit(0)).alias("lines_removed"))
 
 
 def _linked_to_earlier(placed: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Production parameters.
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 SEQUENCE_TOKENS = 2048
-LINE_EDITS = 1
-LINE_CHARS = 20
+#: A line of so many words goes if it is one word's insertion, deletion or substitution from an earlier one.
+LINE_DEDUP = {"max_edits": 1, "min_size": 8, "unit": "word"}
 
 
 def tokenizer() -> str:
@@ -28,7 +28,7 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_edits=LINE_EDITS, min_chars=LINE_CHARS)
+    docs = linededup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), **LINE_DEDUP)
     return docs.select("doc_id", "text", "lines_removed")
 
 

@@ -39,7 +39,7 @@ def test_lines(steps):
     before, after = steps[1]
     rows = [(r["doc_id"], r["text"], None) for r in before.collect()]
     hashes = {r[0]: r[1] for r in before.select("text", F.xxhash64("text")).collect()}
-    want = {k: t for k, t, gone in lines.brute(rows, hashes, 1, 20) if not gone or re.search(r"\S", t)}
+    want = {k: t for k, t, gone in lines.brute(rows, hashes, 1, 8, "word") if not gone or re.search(r"\S", t)}
     got = {r["doc_id"]: r for r in after.collect()}
     assert {k: r["text"] for k, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
