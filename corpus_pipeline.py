@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from asofkit.llm import langid, linededup, mixing, ngramjoin, packing
 from asofkit.llm.common import saved
-from asofkit.llm.queries import LINE_CHARS, LINE_EDITS, MIX_WEIGHTS, SEQUENCE_TOKENS, tokenizer
+from asofkit.llm.queries import LINE_DEDUP, MIX_WEIGHTS, SEQUENCE_TOKENS, tokenizer
 
 #: Documents whose language has a lower posterior probability go.
 LEAST_SCORE = 0.5
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others had before; one of which nothing but blank lines is left goes."""
-    cleaned = linededup.dedup_lines(docs, max_edits=LINE_EDITS, min_chars=LINE_CHARS)
+    cleaned = linededup.dedup_lines(docs, **LINE_DEDUP)
     left = cleaned.filter((F.col("lines_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
