@@ -9,10 +9,17 @@ with the number of pages for each. From these follow, with logarithms to the bas
     composite importance      of an inner node (1 - g**l) * presentation + g**l * the mean over its children (g = DAMPING, l children);
                               of a leaf its content importance
 
-A branch whose nodes all have low importance is the same all over the site: it is cut from each page. Elements that are no part of an
-article by their names, roles or classes are cut as well, also from sites too small for statistics, and what remains of the
-article or main elements, where there are any, is the text. Counts are aggregated by (host, node, text), so that a host with a great many
-pages is no hot group; what reaches the pages is each host's list of cut nodes.
+A branch whose nodes all have low importance is the same all over the site: it is cut from each page. Besides, for sites too small for
+statistics, three kinds of elements are cut:
+
+    never part of an article   scripts, navigation, footers, asides and the like, by element or role, and what is hidden; headers outside articles
+    comments                   by class or id, unless the page has no other text
+    doubtful                   forms, and what a class or id names as a notice, an advert, a menu ...: only if no article or main element and
+                               no more than half of the page's text stands inside
+
+What remains inside of article or main elements, where there are any, is the text; where there are none, all that remains. Counts are aggregated
+by (host, node, text), so that a host with a great many pages is no hot group; a host's nodes that LEAST_PAGES pages or more have in common meet
+in one group, forty bytes each, and what reaches the pages is each host's list of cut nodes.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, fresh, releasing, saved, small, without
+from asofkit.llm.common import bounded_batches, fresh, releasing, saved, small, tidy, without
 
 #: A site needs so many pages with a node before it is judged.
 LEAST_PAGES = 8
@@ -40,13 +47,15 @@ BROADCAST_NODES = 100_000
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-CUT_TAGS = frozenset("head nav footer aside form button select option svg canvas audio video object dialog menu map datalist math".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar widget widgets pagination pager login search copyright disclaimer skip".split()
+CUT_TAGS = frozenset("head nav footer aside button select option svg canvas audio video object dialog menu map datalist math".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar toolbar tablist".split())
+DOUBTFUL_ROLES = frozenset("search form".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+DOUBTFUL_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar widget widgets pagination pager login search copyright disclaimer skip".split()
 )
-#: Of these, what may name a layout that holds the article too: an article element inside overrules it.
-LAYOUT_WORDS = frozenset("sidebar sidebars header footer nav navbar menu menus banner search social share sharing widget widgets".split())
+#: Why an element is cut, or may be.
+NEVER, COMMENTS, DOUBTFUL = 3, 2, 1
 #: An opening tag of the first kind ends an open element of the second kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl td th body html article section main".split())
@@ -60,43 +69,61 @@ _digits = re.compile(r"\d+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "cut", "main", "styles", "children")
+    __slots__ = ("tag", "path", "parent", "why", "main", "children", "holds", "size", "cut")
 
-    def __init__(self, tag: str, path: str, parent, cut: str, main: int):
-        self.tag, self.path, self.parent, self.cut, self.main = tag, path, parent, cut, main
+    def __init__(self, tag: str, path: str, parent, why: int, main: bool):
+        self.tag, self.path, self.parent, self.why, self.main = tag, path, parent, why, main
         self.children: list[str] = []
+        self.holds = False  # whether an article or main element is inside
+        self.size = 0  # characters of the text inside that may be an article's
+        self.cut = 0
 
 
-def _ruled_out(tag: str, attrs: dict[str, str], inside_article: bool) -> str:
-    """Why an element is no part of an article: "tag", "class" (which an article within may overrule), or nothing."""
-    if tag in CUT_TAGS or tag == "header" and not inside_article:
-        return "tag"
+def _why(tag: str, attrs: dict[str, str], in_main: bool) -> int:
+    """Why an element may be no part of an article: NEVER, COMMENTS, DOUBTFUL, or 0."""
+    if tag in CUT_TAGS or tag == "header" and not in_main:
+        return NEVER
     if not attrs or tag in ("html", "body"):
-        return ""
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in CUT_ROLES or _hidden.search(attrs.get("style", "")):
-        return "tag"
+        return DOUBTFUL if tag == "form" else 0
+    role = attrs.get("role", "").lower()
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in CUT_ROLES or _hidden.search(attrs.get("style", "")):
+        return NEVER
     if tag == "main":
-        return ""
-    for name in ("class", "id"):
-        if value := attrs.get(name):
-            found = CUT_WORDS.intersection([w.lower() for w in _words.findall(value)] + re.split(r"[\W_]+", value.lower()))
-            if found:
-                return "class" if found <= LAYOUT_WORDS else "tag"
-    return ""
+        return 0
+    words = {w for name in ("class", "id") if (v := attrs.get(name)) for w in [w.lower() for w in _words.findall(v)] + re.split(r"[\W_]+", v.lower())}
+    if words & COMMENT_WORDS:
+        return COMMENTS
+    return DOUBTFUL if tag == "form" or role in DOUBTFUL_ROLES or words & DOUBTFUL_WORDS else 0
 
 
 class Page:
-    """A page's blocks in order: (node, text, cut, main), and its elements; main is 0 outside, 1 in main, 2 in an article."""
+    """A page's blocks of text in order, each with its element, and its block elements."""
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[_Element, str]] = []
         self.elements: list[_Element] = []
+        self._all: list[_Element] = []  # inline ones too, parents before their children
         self._parse(source or "")
+        self._judge()
+
+    def _judge(self) -> None:
+        """Sets what is cut of each element."""
+        for e in self._all:
+            e.cut = max(e.parent.cut, e.why if e.why >= COMMENTS else 0)
+        total = 0
+        for e, text in self.blocks:
+            if not e.cut:
+                total += len(text)
+                while e is not None:
+                    e.size += len(text)
+                    e = e.parent
+        for e in self._all:
+            doubtful = e.why == DOUBTFUL and not e.holds and 2 * e.size <= total
+            e.cut = max(e.parent.cut, e.why if e.why >= COMMENTS or doubtful else 0)
 
     def _parse(self, source: str) -> None:
-        root = _Element("", "", None, "", 0)
+        root = _Element("", "", None, 0, False)
         stack, held, at, n = [root], [], 0, len(source)
-        block = root
 
         def flush() -> None:
             if held:
@@ -127,7 +154,7 @@ class Page:
                 place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
                 if place:
                     gone = stack[place:]
-                    if any(e.tag in BLOCKS or e.cut != stack[place - 1].cut for e in gone):
+                    if any(e.tag in BLOCKS or e.why for e in gone):
                         flush()
                     del stack[place:]
                 continue
@@ -161,34 +188,37 @@ class Page:
                 if tag == "hr":
                     continue
             above = stack[-1]
-            why = _ruled_out(tag, attrs, above.main == 2)
+            why = _why(tag, attrs, above.main)
             if tag in BLOCKS:
                 name = tag + ("." + _digits.sub("#", c.split()[0]) if (c := attrs.get("class", "").strip()) else "")
                 path = f"{above.path}/{name}"
             else:
                 path = above.path
-            cut, main = above.cut or why, above.main
-            if tag in ("article", "main") and not why:
-                cut, main = ("" if above.cut == "class" else above.cut), max(main, 2 if tag == "article" else 1)
-            e = _Element(tag, path, above, cut, main)
+            core = tag in ("article", "main") and why < COMMENTS
+            e = _Element(tag, path, above, why, above.main or core)
+            self._all.append(e)
+            if core and not any(x.why >= COMMENTS for x in stack):
+                for x in stack:
+                    x.holds = True
+                e.holds = True
             if tag in BLOCKS:
                 above.children.append(name)
                 self.elements.append(e)
-            elif bool(why):
+            elif why:
                 flush()
             if not m[0].endswith("/>") or tag in BLOCKS:
                 stack.append(e)
         flush()
 
     def text(self, low: frozenset[int] = frozenset()) -> str:
-        """The main text: blocks that aren't ruled out nor in a branch of *low* nodes (unless nothing else is left)."""
-        kept = [(e, t) for e, t in self.blocks if not e.cut]
-        level = max((e.main for e, _ in kept), default=0)
-        kept = [(e, t) for e, t in kept if e.main == level]
-        if low:
-            rest = [(e, t) for e, t in kept if node_hash(e.path) not in low]
-            kept = rest or kept
-        return "\n".join(t for _, t in kept)
+        """The main text: blocks that aren't cut nor in a branch of *low* nodes.
+
+        Where *low* nodes take all that article or main elements hold, their text stays: a site of copies of one page is no boilerplate.
+        """
+        kept = [(e, t) for e, t in self.blocks if not e.cut] or [(e, t) for e, t in self.blocks if e.cut < NEVER]
+        core = [(e, t) for e, t in kept if e.main]
+        rest = [(e, t) for e, t in core or kept if node_hash(e.path) not in low] if low else core or kept
+        return "\n".join(t for _, t in rest or core)
 
 
 def node_hash(path: str) -> int:
@@ -218,11 +248,11 @@ def _composite(nodes: pd.DataFrame) -> dict[int, float]:
         children.setdefault(parent, []).append(node)
     own = {r.node: r for r in nodes.itertuples(index=False)}
     found: dict[int, float] = {}
-    order, queue = [], [n for n in own if own[n].parent not in own]
+    order, queue = {}, [n for n in own if own[n].parent not in own]
     while queue:
-        order.append(n := queue.pop())
+        order[n := queue.pop()] = True
         queue += [c for c in children.get(n, []) if c not in order]
-    for n in reversed(order):
+    for n in reversed(list(order)):
         below = [found[c] for c in children.get(n, []) if c in found]
         content = None if pd.isna(own[n].content) else own[n].content
         if below:
@@ -269,6 +299,7 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     return judged.groupBy("host").applyInPandas(cut, "host string, low array<bigint>")
 
 
+@tidy
 def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """*pages* with text (main text of the whole html, "" if there is none) and n_chars (its code points).
 
@@ -278,11 +309,11 @@ def extract_text(pages: DataFrame, *, url: str = "url", html: str = "html") -> D
     """
     bounded_batches(pages.sparkSession)
     pages = without(pages, "text", "n_chars")
-    host, low = fresh(pages, "_host"), fresh(pages, "_low")
+    host, site, low = fresh(pages, "_host"), fresh(pages, "_site"), fresh(pages, "_low")
     placed = pages.withColumn(host, F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
-    sites = saved(low_nodes(placed.select(F.col(host).alias("host"), F.col(html).alias("html"))), "low_nodes").select(F.col("host").alias(f"{host}_"), F.col("low").alias(low))
+    sites = saved(low_nodes(placed.select(F.col(host).alias("host"), F.col(html).alias("html"))), "low_nodes").select(F.col("host").alias(site), F.col("low").alias(low))
     few = small(sites.select(F.explode(low)), BROADCAST_NODES)
-    joined = placed.join(F.broadcast(sites) if few else sites, F.col(host) == F.col(f"{host}_"), "left").drop(host, f"{host}_")
+    joined = placed.join(F.broadcast(sites) if few else sites, F.col(host) == F.col(site), "left").drop(host, site)
 
     @F.pandas_udf("string")
     def main_text(sources: pd.Series, lows: pd.Series) -> pd.Series:

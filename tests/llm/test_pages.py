@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -75,6 +76,81 @@ def test_blocks_of_an_article():
     assert sitetree.Page("<div>a</div>b<p>c").text() == "a\nb\nc"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<form id=aspnetForm><article><p>The whole article.</p></article></form>", "The whole article."),
+        ("<main><h1>Title</h1><p>Body one.</p><article><p>Teaser.</p></article><p>Body two.</p></main>", "Title\nBody one.\nTeaser.\nBody two."),
+        ("<div class='post-share'><p>All the text.</p></div>", "All the text."),
+        ("<div id=alert-story><p>A long story about alerts.</p></div><p>End</p>", "A long story about alerts.\nEnd"),
+        ("<div class='widget-area'><p>All the text.</p></div>", "All the text."),
+        ("<div class=notice-board><article><p>Text.</p></article></div><div class=notice>cookies</div>", "Text."),
+        ("<p>Some text of an article.</p><div class=share>share this</div><form>name</form>", "Some text of an article."),
+        ("<p>Short.</p><div class=comments><article>A comment longer than the article itself.</article></div>", "Short."),
+        ("<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>Text.</p><aside>beside</aside></main>", "Title\nText."),
+        ("<span><div>in a span</div></span><span class=ad>buy</span><p>more text here", "in a span\nmore text here"),
+        ("<div role=navigation>menu</div><div hidden>no</div><p style='display: none'>no</p><p>yes", "yes"),
+        ("<!-- a --><p>a&nbsp;&amp;b &lt;c&gt;\t d</p>" + "<div>" * 300 + "deep", "a &b <c> d\ndeep"),
+    ],
+)
+def test_rules(html, text):
+    assert sitetree.Page(html).text() == text
+
+
+def naive_low(pages):
+    """host -> nodes (paths) in branches of low importance, by plain counting."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    seen, styles, texts, above = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), {}
+    for host, html in pages:
+        page = sitetree.Page(html)
+        for path in {e.path for e in page.elements}:
+            seen[host][path] += 1
+            above[path] = path.rsplit("/", 1)[0]
+        for x in {(e.path, tuple(e.children)) for e in page.elements}:
+            styles[host, x[0]][x[1]] += 1
+        for x in {(e.path, t) for e, t in page.blocks if e.path}:
+            texts[host, x[0]][x[1]] += 1
+    out = {}
+    for host, count in seen.items():
+        judged = {p for p, n in count.items() if n >= sitetree.LEAST_PAGES}
+
+        def importance(p):
+            n, s = count[p], sum(styles[host, p].values())
+            style = -sum(c / s * log(c / s) for c in styles[host, p].values()) / log(n)
+            own = texts[host, p]
+            content = 1 - sum(log(c) for c in own.values()) / len(own) / log(n) if own else None
+            below = [importance(q) for q in sorted(judged) if above[q] == p]
+            if not below:
+                return 1.0 if content is None else content
+            share = sitetree.DAMPING ** len(below)
+            below += [content] if content is not None else []
+            return (1 - share) * style + share * sum(below) / len(below)
+
+        high = {p for p in judged if importance(p) >= sitetree.LOW}
+        low = {p for p in judged - high if not any(q.startswith(p + "/") for q in high)}
+        if low:
+            out[host] = low
+    return out
+
+
+def test_importance_against_plain_counts(spark):
+    r, pages = random.Random(4), []
+    for i in range(240):
+        side = "".join(f"<div class=c{j}><p>{r.choice(['same', 'same', f'own {i}']) if j % 2 else 'fixed'}</p></div>" for j in r.sample(range(4), r.randint(1, 4)))
+        pages.append((f"h{i % 5}", f"<body><div class=menu-x><ul><li>a<li>b</ul></div>{side}<div class=t><p>text {i}<p>{r.choice(['x', 'y'])}</div>{'<table><tr><td>1</table>' if i % 3 else ''}</body>"))
+    df = spark.createDataFrame(pages + [("few", "<p>x")] * 3 + [("few", None)], "host string, html string")
+    got = {x["host"]: set(x["low"]) for x in sitetree.low_nodes(df).collect()}
+    assert got == {h: {sitetree.node_hash(p) for p in low} for h, low in naive_low(pages).items()} and len(got) == 5
+
+
+def test_clashing_names_of_pages(spark):
+    names = ["page_id", "url", "html", "_host", "_host_", "_site", "_low", "text", "n_chars"]
+    df = spark.createDataFrame([(1, "http://a/", "<p>x", 1, 2, 3, 4, 5, 6)], "page_id int, url string, html string, _host int, _host_ int, _site int, _low int, text int, n_chars int")
+    assert sitetree.extract_text(df).first().asDict() == dict(zip(names, (1, "http://a/", "<p>x", 1, 2, 3, 4, "x", 1)))
+
+
 def test_site_templates_are_cut(spark):
     """What is the same on all pages of a host goes, though nothing in its markup says so."""
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class=alpha><p>Welcome here</p></div><div class=beta><p>Text {i} of its own, number {i * 7}.</p></div></body>") for i in range(60)]
