@@ -53,10 +53,17 @@ def _size(line: Column, words: bool) -> Column:
     return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 if words else F.char_length(line)
 
 
-def _segments(edits: int, words: bool) -> Column:
-    """Structs (key, probe) of the columns line (of words: an array) and size: its own segments (probe false), and what it may share with shorter lines.
+def _words(line: Column, first: Column | None, last: Column | None, n: Column) -> Column:
+    """The *n* words of a line from *first* to *last*, counted from 1; None for the line's first and last. No array of words is made."""
+    index = lambda s, k: F.call_function("substring_index", s, F.lit(" "), k)
+    upto = line if last is None else index(line, last)
+    return upto if first is None else index(upto, -n)
 
-    The key of a substring that would reach beyond the line is null.
+
+def _segments(edits: int, least: int, words: bool) -> Column:
+    """Structs (key, probe) of the columns line and size: its own segments (probe false), and what it may share with shorter lines.
+
+    The key of a substring that would reach beyond the line is null, and so are those of lines of fewer than *least* symbols.
     """
     size, out = F.col("size"), []
     for shorter in range(edits + 1):
@@ -71,8 +78,8 @@ def _segments(edits: int, words: bool) -> Column:
             low, high = max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i))
             for shift in range(low, high + 1):
                 at = start + shift + 1
-                fits = (at >= 1) & (at + own - 1 <= size)
-                piece = F.slice("line", at, own) if words else F.col("line").substr(at, own)
+                fits = (size >= least) & (at >= 1) & (at + own - 1 <= size)
+                piece = _words(F.col("line"), None if i == 1 else at, None if i == edits + 1 else at + own - 1, own) if words else F.col("line").substr(at, own)
                 out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), length, piece)).alias("key"), F.lit(bool(shorter or shift)).alias("probe")))
     return F.array(*out)
 
@@ -108,11 +115,11 @@ def _chosen(rows: DataFrame, wanted: DataFrame, on: str | list[str], how: str) -
     return rows.join(F.broadcast(wanted) if small(wanted, BROADCAST_ROWS) else wanted, on, how)
 
 
-def _verified(candidates: DataFrame, eligible: DataFrame, edits: int, words: bool) -> DataFrame:
+def _verified(candidates: DataFrame, texts: DataFrame, edits: int, words: bool) -> DataFrame:
     """h1, g1, h2, g2: those of the *candidates* (h1, h2) that are within *edits* edits."""
     needed = saved(candidates.select(F.col("h1").alias("h")).union(candidates.select(F.col("h2").alias("h"))).distinct(), "needed")
-    texts = saved(_chosen(eligible, needed, "h", "left_semi").distinct(), "needed_lines")
-    side = lambda x: texts.select(F.col("h").alias(f"h{x}"), F.col("g").alias(f"g{x}"), F.col("line").alias(f"l{x}"))
+    found = saved(_chosen(texts, needed, "h", "left_semi").distinct(), "needed_lines")
+    side = lambda x: found.select(F.col("h").alias(f"h{x}"), F.col("g").alias(f"g{x}"), F.col("line").alias(f"l{x}"))
     both = candidates.join(side(1), "h1").join(side(2), "h2")
     if not words:
         counts = lambda c: [F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in _LETTERS]
@@ -123,9 +130,9 @@ def _verified(candidates: DataFrame, eligible: DataFrame, edits: int, words: boo
 
 def _near_pairs(lines: DataFrame, firsts: DataFrame, edits: int, least: int, words: bool) -> DataFrame:
     """h1, g1, h2, g2: pairs of distinct lines within *edits* edits, in no given order; of hot keys as many as show which lines have an earlier one."""
-    eligible = lines.filter(_size(F.col("line"), words) >= least).select("h", "g", "line")
-    sized = eligible.select("h", F.split("line", " ").alias("line")).withColumn("size", F.size("line")) if words else eligible.select("h", "line", F.char_length("line").alias("size"))
-    spread = sized.select("h", F.explode(_segments(edits, words)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
+    texts = lines.select("h", "g", "line")
+    sized = texts.select("h", "line", _size(F.col("line"), words).alias("size"))
+    spread = sized.select("h", F.explode(_segments(edits, least, words)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
     segments = saved(spread.distinct(), "segments")
     own, pairs = segments.filter(~F.col("probe")).select("key", F.col("h").alias("h1")), []
     hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
@@ -134,20 +141,20 @@ def _near_pairs(lines: DataFrame, firsts: DataFrame, edits: int, least: int, wor
         hot_lines = saved(crowd.select("h").distinct(), "hot_lines")
         known = saved(_chosen(firsts, hot_lines, "h", "left_semi"), "hot_firsts")
         if edits == 1:
-            met = saved(_chosen(eligible, hot_lines, "h", "left_semi").distinct(), "hot_texts")
+            met = saved(_chosen(texts, hot_lines, "h", "left_semi").distinct(), "hot_texts")
             pairs.append(_deletion_pairs(met.join(known, ["h", "g"]), words))
         else:
-            pairs += _settled(crowd, known, eligible, edits, words)
+            pairs += _settled(crowd, known, texts, edits, words)
         segments, own = _chosen(segments, hot, "key", "left_anti"), _chosen(own, hot, "key", "left_anti")
     met = own.join(segments.select("key", F.col("h").alias("h2"), "probe"), "key").filter((F.col("h1") != F.col("h2")) & (F.col("probe") | (F.col("h1") < F.col("h2"))))
-    pairs.append(_verified(saved(met.select("h1", "h2").distinct(), "candidates"), eligible, edits, words))
+    pairs.append(_verified(saved(met.select("h1", "h2").distinct(), "candidates"), texts, edits, words))
     out = pairs[0]
     for p in pairs[1:]:
         out = out.union(p)
     return out
 
 
-def _settled(crowd: DataFrame, firsts: DataFrame, eligible: DataFrame, edits: int, words: bool) -> list[DataFrame]:
+def _settled(crowd: DataFrame, firsts: DataFrame, texts: DataFrame, edits: int, words: bool) -> list[DataFrame]:
     """Pairs among the lines of hot keys (*crowd*: key, h, probe) that show which of them have an earlier one.
 
     Under each key all are compared with the earliest of them. A line that is near it is settled; others are compared with all earlier ones.
@@ -155,11 +162,11 @@ def _settled(crowd: DataFrame, firsts: DataFrame, eligible: DataFrame, edits: in
     placed = saved(crowd.select("key", "h").distinct().join(firsts.groupBy("h").agg(F.min("first").alias("first")), "h"), "hot_placed")
     hubs = saved(placed.groupBy("key").agg(F.min(F.struct("first", "h")).alias("m")).select("key", F.col("m.h").alias("hub")), "hot_hubs")
     around = placed.join(hubs, "key").filter("h <> hub").select(F.col("hub").alias("h1"), F.col("h").alias("h2")).distinct()
-    near = saved(_verified(saved(around, "hot_candidates"), eligible, edits, words), "hot_near")
+    near = saved(_verified(saved(around, "hot_candidates"), texts, edits, words), "hot_near")
     left = placed.join(near.select(F.col("h2").alias("h")).distinct(), "h", "left_anti")
     left = left.join(hubs, "key").filter("h <> hub").select("key", F.col("h").alias("h2"), F.col("first").alias("f2"))
     others = placed.select("key", F.col("h").alias("h1"), F.col("first").alias("f1")).join(left, "key").filter("f1 < f2").select("h1", "h2").distinct()
-    return [near, _verified(saved(others, "hot_others"), eligible, edits, words)]
+    return [near, _verified(saved(others, "hot_others"), texts, edits, words)]
 
 
 def _deletion_pairs(lines: DataFrame, words: bool) -> DataFrame:
