@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, list_key, sorted_key, time_bucket
-from asofkit.operators.prequential import as_of, first_seen, last_n, new_flag, prior, prior_range
+from asofkit.operators.prequential import as_of, before, first_seen, last_n, new_flag, prior
 
 
 def _zero(c: Column) -> Column:
@@ -28,7 +28,18 @@ def clicks(ev: DataFrame, *carry: str) -> DataFrame:
 def counts_before(updates: DataFrame, probes: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """*probes* with the number of updates of the same keys before."""
     marked = updates.select(*keys, "seq", F.lit(1).alias("_one"))
-    return as_of(marked, probes, keys, {name: F.sum("_one")}, ["_one"]).withColumn(name, _zero(F.col(name)))
+    return as_of(marked, probes, keys, {name: ("count", "_one")})
+
+
+def marked(ev: DataFrame, obs: DataFrame, *carry: str) -> DataFrame:
+    """Shown items as updates and probes at once: seq, rank, item_id, *carry*, imp and clk (1 or 0, only of train events).
+
+    A click is marked on the first place of the item; one on an item that the list doesn't hold is a row without a rank, which is no probe.
+    """
+    train = F.col("is_test") == 0
+    shown = obs.select("seq", "rank", "item_id", *carry, train.cast("int").alias("imp"), (train & (F.col("rank") == F.col("idx"))).cast("int").alias("clk"))
+    strays = ev.filter("is_test = 0 and reference is not null and idx < 0")
+    return shown.unionByName(strays.select("seq", F.lit(None).cast("int").alias("rank"), F.col("reference").alias("item_id"), *carry, F.lit(0).alias("imp"), F.lit(1).alias("clk")))
 
 
 # ---------------------------------------------------------------- click-through
@@ -37,19 +48,17 @@ def counts_before(updates: DataFrame, probes: DataFrame, keys: Sequence[str], na
 def item_ctr(ev: DataFrame, obs: DataFrame, *keys: str) -> DataFrame:
     """clicks, impressions, corrected impressions (down to the clicked place) and ratios of each shown item, by further keys."""
     by = ["item_id", *keys]
-    shown = obs.filter("is_test = 0").select(*by, "seq", F.lit(1).alias("imp"), (F.col("rank") <= F.col("idx")).cast("int").alias("cor"), F.lit(0).alias("clk"))
-    clicked = clicks(ev, *keys).select(*by, "seq", F.lit(0).alias("imp"), F.lit(0).alias("cor"), F.lit(1).alias("clk"))
-    out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", *by), by, {"clicks": F.sum("clk"), "impressions": F.sum("imp"), "corrected": F.sum("cor")}, ["imp", "cor", "clk"])
-    out = out.withColumns({c: _zero(F.col(c)) for c in ("clicks", "impressions", "corrected")})
+    rows = marked(ev, obs, *keys, "idx").withColumn("cor", F.when(F.col("rank") <= F.col("idx"), F.col("imp")))
+    out = before(rows, by, {"clicks": ("sum", "clk"), "impressions": ("sum", "imp"), "corrected": ("sum", "cor")}).filter("rank is not null")
+    out = out.select("seq", "rank", *by, *[_zero(F.col(c)).alias(c) for c in ("clicks", "impressions", "corrected")])
     return out.withColumns({"ctr": F.col("clicks") / (F.col("impressions") + 1), "ctr_corr": F.col("clicks") / (F.col("corrected") + 1)})
 
 
 def ctr_rank_weighted(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """Clicks weigh their place + 1, impressions theirs."""
-    shown = obs.filter("is_test = 0").select("item_id", "seq", (F.col("rank") + 1).alias("imp"), F.lit(0).alias("clk"))
-    clicked = clicks(ev, "idx").select("item_id", "seq", F.lit(0).alias("imp"), (F.col("idx") + 1).alias("clk"))
-    out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", "item_id"), ["item_id"], {"weighted_clicks": F.sum("clk"), "weighted_impressions": F.sum("imp")}, ["imp", "clk"])
-    out = out.withColumns({c: _zero(F.col(c)) for c in ("weighted_clicks", "weighted_impressions")})
+    rows = marked(ev, obs, "idx").withColumns({"w_imp": F.col("imp") * (F.col("rank") + 1), "w_clk": F.col("clk") * (F.col("idx") + 1)})
+    out = before(rows, ["item_id"], {"weighted_clicks": ("sum", "w_clk"), "weighted_impressions": ("sum", "w_imp")}).filter("rank is not null")
+    out = out.select("seq", "rank", "item_id", *[_zero(F.col(c)).alias(c) for c in ("weighted_clicks", "weighted_impressions")])
     return out.withColumn("ctr", F.col("weighted_clicks") / (F.col("weighted_impressions") + 1))
 
 
@@ -63,7 +72,7 @@ def ctr_in_sequence(ev: DataFrame, obs: DataFrame) -> DataFrame:
     lasts = last.filter("rev = 1").select("seq")
     shown = obs.filter("is_test = 0").join(lasts, "seq", "left_semi").select("item_id", "seq", F.lit(1).alias("imp"), F.lit(0).alias("clk"), F.lit(None).cast("int").alias("pos"))
     clicked = clicks(last, "rev").select("item_id", "seq", F.lit(0).alias("imp"), (F.col("rev") == 1).cast("int").alias("clk"), F.col("rev").alias("pos"))
-    out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", "item_id"), ["item_id"], {"clicks": F.sum("clk"), "impressions": F.sum("imp"), "places": F.sum("pos"), "n": F.count("pos")}, ["imp", "clk", "pos"])
+    out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", "item_id"), ["item_id"], {"clicks": ("sum", "clk"), "impressions": ("sum", "imp"), "places": ("sum", "pos"), "n": ("count", "pos")})
     out = out.withColumns({c: _zero(F.col(c)) for c in ("clicks", "impressions", "places", "n")})
     return out.select("seq", "rank", "item_id", "clicks", "impressions", (F.col("clicks") / (F.col("impressions") + 1)).alias("ctr"), (F.col("places") / (F.col("n") + 1)).alias("avg_reverse_place"))
 
@@ -77,7 +86,7 @@ def rank_based_ctr(ev: DataFrame, obs: DataFrame, credit: str = "last") -> DataF
     shown = obs.filter("is_test = 0").select("item_id", F.col("rank").alias("place"), "seq", F.lit(1).alias("imp"), F.lit(0).alias("clk"))
     clicked = ev.filter("is_test = 0 and idx >= 0").select(target.alias("item_id"), F.col("idx").alias("place"), "seq", F.lit(0).alias("imp"), F.lit(1).alias("clk"))
     probes = obs.select("seq", "rank", "item_id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side")).withColumn("place", F.col("rank") + F.col("side"))
-    out = as_of(shown.unionByName(clicked), probes, ["item_id", "place"], {"c": F.sum("clk"), "i": F.sum("imp")}, ["imp", "clk"])
+    out = as_of(shown.unionByName(clicked), probes, ["item_id", "place"], {"c": ("sum", "clk"), "i": ("sum", "imp")})
     rate = (_zero(F.col("c")) + 1) / (_zero(F.col("i")) + 2)
     size = obs.groupBy("seq").agg((F.max("rank") + 1).alias("size"))
     valued = out.join(size, "seq").withColumn("v", F.when(F.col("place") < 0, 0.3).when(F.col("place") >= F.col("size"), 0.2).otherwise(rate))
@@ -93,17 +102,16 @@ def place_counts(ev: DataFrame, obs: DataFrame, *keys: str) -> DataFrame:
 def item_average_rank(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """Last and mean clicked place of the item in the user's session (+1 in the denominator), -1 without one."""
     keys = ["user_id", "session_id", "item_id"]
-    updates = ev.filter("is_test = 0 and idx >= 0").select("user_id", "session_id", F.col("reference").alias("item_id"), "seq", F.col("idx").alias("place"))
-    out = as_of(updates, obs.select(*keys, "seq", "rank"), keys, {"last": F.max_by("place", F.when(F.col("place").isNotNull(), F.col("seq"))), "s": F.sum("place"), "n": F.count("place")}, ["place"])
-    return out.select("seq", "rank", "item_id", F.coalesce("last", F.lit(-1)).alias("last_place"), F.when(F.col("n") > 0, F.col("s") / (F.col("n") + 1)).otherwise(-1.0).alias("avg_place"))
+    updates = ev.filter("is_test = 0 and idx >= 0").select("user_id", "session_id", F.col("reference").alias("item_id"), "seq", F.col("idx").alias("place"), F.struct(F.col("seq").alias("at"), F.col("idx").alias("place")).alias("latest"))
+    out = as_of(updates, obs.select(*keys, "seq", "rank"), keys, {"last": ("max", "latest"), "s": ("sum", "place"), "n": ("count", "place")})
+    return out.select("seq", "rank", "item_id", F.coalesce("last.place", F.lit(-1)).alias("last_place"), F.when(F.col("n") > 0, F.col("s") / (F.col("n") + 1)).otherwise(-1.0).alias("avg_place"))
 
 
 def fresh_rank(obs: DataFrame) -> DataFrame:
     """Mean place of the item over events of the first two steps of sessions (+1 in the denominator), and that minus the place."""
-    w = prior_range("item_id")
     fresh = F.when((F.col("step") <= 2) & (F.col("is_test") == 0), F.col("rank"))
-    s, n = _zero(F.sum(fresh).over(w)), F.count(fresh).over(w)
-    return obs.select("seq", "rank", "item_id", (s / (n + 1)).alias("fresh_place")).withColumn("fresh_place_minus_rank", F.col("fresh_place") - F.col("rank"))
+    out = before(obs.select("seq", "rank", "item_id", fresh.alias("fresh")), ["item_id"], {"s": ("sum", "fresh"), "n": ("count", "fresh")})
+    return out.select("seq", "rank", "item_id", (_zero(F.col("s")) / (F.col("n") + 1)).alias("fresh_place")).withColumn("fresh_place_minus_rank", F.col("fresh_place") - F.col("rank"))
 
 
 def last_click_holders(ev: DataFrame, obs: DataFrame) -> DataFrame:
@@ -112,7 +120,7 @@ def last_click_holders(ev: DataFrame, obs: DataFrame) -> DataFrame:
     former = F.lag("reference").over(Window.partitionBy("session_id").orderBy("seq"))
     moved = train.select("seq", "reference", former.alias("former")).filter(F.col("former").isNull() | (F.col("former") != F.col("reference")))
     deltas = moved.select("seq", F.col("reference").alias("item_id"), F.lit(1).alias("d")).unionByName(moved.filter("former is not null").select("seq", F.col("former").alias("item_id"), F.lit(-1).alias("d")))
-    return as_of(deltas, obs.select("seq", "rank", "item_id"), ["item_id"], {"holders": F.sum("d")}, ["d"]).withColumn("holders", _zero(F.col("holders")))
+    return as_of(deltas, obs.select("seq", "rank", "item_id"), ["item_id"], {"holders": ("sum", "d")}).withColumn("holders", _zero(F.col("holders")))
 
 
 def list_clicks(ev: DataFrame, obs_keyed: DataFrame, key: str) -> DataFrame:
@@ -124,12 +132,15 @@ def list_clicks(ev: DataFrame, obs_keyed: DataFrame, key: str) -> DataFrame:
 def list_clicks_of_others(ev: DataFrame, obs_keyed: DataFrame, key: str, update_key: str | None = None) -> DataFrame:
     """Clicks on the item under the same list key by other users, all clicks of others there, and their ratio (+1).
 
-    Updates may go by another key of *ev*, such as that of the list as it was shown when it was left out.
+    Updates may go by another key of *ev*, such as that of the list as it was shown when it was left out. Keys of lists are long: rows go by their hash.
+    All clicks under (list, item) less the user's own come from one shuffle, those under the list from another one.
     """
-    updates = ev.filter("is_test = 0 and reference is not null").select(F.col(update_key or key).alias(key), F.col("reference").alias("item_id"), "user_id", "seq")
-    out = obs_keyed.select("seq", "rank", key, "item_id", "user_id")
-    for name, keys in (("ci", [key, "item_id"]), ("cu", [key, "item_id", "user_id"]), ("ai", [key]), ("au", [key, "user_id"])):
-        out = counts_before(updates, out, keys, name)
+    hashed = lambda c: F.md5(F.col(c)).alias("_list")
+    updates = ev.filter("is_test = 0 and reference is not null").select(hashed(update_key or key), F.col("reference").alias("item_id"), "user_id", "seq", F.lit(1).alias("_one"), F.lit(None).cast("int").alias("rank"))
+    rows = updates.unionByName(obs_keyed.select(hashed(key), "item_id", "user_id", "seq", F.lit(None).cast("int").alias("_one"), "rank"))
+    for name, keys in (("ci", ["_list", "item_id"]), ("cu", ["_list", "item_id", "user_id"]), ("ai", ["_list"]), ("au", ["_list", "user_id"])):
+        rows = before(rows, keys, {name: ("count", "_one")})
+    out = rows.filter("rank is not null")
     return out.select("seq", "rank", "item_id", (F.col("ci") - F.col("cu")).alias("n"), (F.col("ai") - F.col("au")).alias("n_all"), ((F.col("ci") - F.col("cu")) / (F.col("ai") - F.col("au") + 1)).alias("ctr"))
 
 
@@ -137,11 +148,11 @@ def poi_ctr(obs: DataFrame, ev: DataFrame, ac_label: str) -> DataFrame:
     """Clicks, impressions and ratio of the item under the label that the user had before the event (UNK without)."""
     label = F.coalesce(F.lag(ac_label).over(Window.partitionBy("user_id").orderBy("seq")), F.lit(UNKNOWN))
     at = ev.select("seq", label.alias("label"))
-    rows = obs.join(at, "seq")
-    w = prior_range("label", "item_id")
     train = F.col("is_test") == 0
-    c, i = _zero(F.sum(F.when(train, F.col("was_clicked"))).over(w)), _zero(F.sum(F.when(train, 1)).over(w))
-    return rows.select("seq", "rank", "item_id", "label", c.alias("clicks"), i.alias("impressions"), (c / (i + 1)).alias("ctr"))
+    rows = obs.join(at, "seq").select("seq", "rank", "item_id", "label", F.when(train, F.col("was_clicked")).alias("clk"), F.when(train, 1).alias("imp"))
+    out = before(rows, ["label", "item_id"], {"c": ("sum", "clk"), "i": ("sum", "imp")})
+    c, i = _zero(F.col("c")), _zero(F.col("i"))
+    return out.select("seq", "rank", "item_id", "label", c.alias("clicks"), i.alias("impressions"), (c / (i + 1)).alias("ctr"))
 
 
 def pairwise_ctr(ev: DataFrame, obs: DataFrame) -> DataFrame:
@@ -154,14 +165,13 @@ def pairwise_ctr(ev: DataFrame, obs: DataFrame) -> DataFrame:
     pairs = obs.select("seq", "rank", "is_test", F.col("item_id").alias("a"), after.alias("b"), "reference").filter("b is not null")
     hit = lambda c: F.coalesce(F.col(c) == F.col("reference"), F.lit(False))
     updates = pairs.filter("is_test = 0").select("a", "b", "seq", hit("a").cast("int").alias("wa"), (~hit("a") & hit("b")).cast("int").alias("wb"), (~hit("a") & ~hit("b")).cast("int").alias("dr"))
-    sums = {"fa": F.sum("wa"), "fb": F.sum("wb"), "fd": F.sum("dr")}
+    sums = {"fa": ("sum", "wa"), "fb": ("sum", "wb"), "fd": ("sum", "dr")}
     place = Window.partitionBy("seq").orderBy("rank")
     whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = obs.select("seq", "rank", F.coalesce(F.lag("item_id").over(place), F.last("item_id").over(whole)).alias("a"), F.col("item_id").alias("b"))
     right = obs.select("seq", "rank", F.col("item_id").alias("a"), after.alias("b")).filter("b is not null")
-    value = ["wa", "wb", "dr"]
-    lt = as_of(updates, left, ["a", "b"], sums, value).select("seq", "rank", F.col("b").alias("item_id"), _zero(F.col("fb")).alias("left_wins"), _zero(F.col("fa")).alias("left_losses"), _zero(F.col("fd")).alias("left_draws"))
-    rt = as_of(updates, right, ["a", "b"], sums, value).select("seq", "rank", _zero(F.col("fa")).alias("right_wins"), _zero(F.col("fb")).alias("right_losses"), _zero(F.col("fd")).alias("right_draws"))
+    lt = as_of(updates, left, ["a", "b"], sums).select("seq", "rank", F.col("b").alias("item_id"), _zero(F.col("fb")).alias("left_wins"), _zero(F.col("fa")).alias("left_losses"), _zero(F.col("fd")).alias("left_draws"))
+    rt = as_of(updates, right, ["a", "b"], sums).select("seq", "rank", _zero(F.col("fa")).alias("right_wins"), _zero(F.col("fb")).alias("right_losses"), _zero(F.col("fd")).alias("right_draws"))
     return lt.join(rt, ["seq", "rank"], "left").na.fill(0, ["right_wins", "right_losses", "right_draws"])
 
 
@@ -231,18 +241,17 @@ def interactions(ac: DataFrame, action: str) -> DataFrame:
     """For each click on an item: how often, and how long ago (seconds, at most a million, 0 for never), the user did *action* on it; whether it was the last one."""
     probes = ac.filter(F.col("action_type") == "clickout item").select("user_id", "reference", "seq", "ts")
     did = ac.filter(F.col("action_type") == action)
-    out = as_of(did.select("user_id", "reference", "seq", F.col("ts").alias("at")), probes, ["user_id", "reference"], {"n": F.count("at"), "last_at": F.max("at")}, ["at"])
-    last = as_of(did.select("user_id", "seq", F.col("reference").alias("ref")), out, ["user_id"], {"last_ref": F.max_by("ref", F.when(F.col("ref").isNotNull(), F.col("seq")))}, ["ref"])
-    return last.select("seq", "n", F.least(_zero(F.col("ts") - F.col("last_at")), F.lit(1_000_000)).alias("since"), F.coalesce(F.col("last_ref") == F.col("reference"), F.lit(False)).cast("int").alias("was_last"))
+    out = as_of(did.select("user_id", "reference", "seq", F.col("ts").alias("at")), probes, ["user_id", "reference"], {"n": ("count", "at"), "last_at": ("max", "at")})
+    last = as_of(did.filter("reference is not null").select("user_id", "seq", F.struct(F.col("seq").alias("s"), F.col("reference").alias("ref")).alias("latest")), out, ["user_id"], {"was": ("max", "latest")})
+    return last.select("seq", "n", F.least(_zero(F.col("ts") - F.col("last_at")), F.lit(1_000_000)).alias("since"), F.coalesce(F.col("was.ref") == F.col("reference"), F.lit(False)).cast("int").alias("was_last"))
 
 
 def interaction_ctr(ac: DataFrame) -> DataFrame:
     """For each click: clicks on the item before over item actions on it before (+1)."""
-    item = ac.filter(F.col("action_type").isin(*ITEM_ACTIONS))
-    click = (F.col("action_type") == "clickout item").cast("int")
-    w = prior("reference")
-    c, i = _zero(F.sum(click).over(w)), F.count(F.lit(1)).over(w)
-    return item.select("seq", "action_type", c.alias("clicks"), i.alias("actions"), (c / (i + 1)).alias("ctr")).filter("action_type = 'clickout item'").drop("action_type")
+    item = ac.filter(F.col("action_type").isin(*ITEM_ACTIONS)).withColumns({"one": F.lit(1), "click": (F.col("action_type") == "clickout item").cast("int")})
+    out = before(item, ["reference"], {"c": ("sum", "click"), "i": ("count", "one")})
+    c, i = _zero(F.col("c")), F.col("i")
+    return out.filter("click = 1").select("seq", c.alias("clicks"), i.alias("actions"), (c / (i + 1)).alias("ctr"))
 
 
 def distinct_interactions(ac: DataFrame, *keys: str) -> DataFrame:
@@ -269,7 +278,7 @@ def attention_span(ac: DataFrame) -> DataFrame:
 def global_last_click(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """Seconds since anybody's last click on the item, whether it was the same user, and the seconds only if it was another."""
     updates = ev.filter("is_test = 0 and reference is not null").select(F.col("reference").alias("item_id"), "seq", F.struct(F.col("seq").alias("s"), F.col("ts").alias("t"), F.col("user_id").alias("u")).alias("last"))
-    out = as_of(updates, obs.select("seq", "rank", "item_id", "user_id", "ts"), ["item_id"], {"was": F.max("last")}, ["last"])
+    out = as_of(updates, obs.select("seq", "rank", "item_id", "user_id", "ts"), ["item_id"], {"was": ("max", "last")})
     dt, same = F.col("ts") - F.col("was.t"), F.coalesce(F.col("was.u") == F.col("user_id"), F.lit(False))
     return out.select("seq", "rank", "item_id", dt.alias("since"), same.cast("int").alias("same_user"), F.when(~same, dt).alias("since_other"), F.col("was.u").alias("last_user"))
 
@@ -304,32 +313,35 @@ def click_sequence_gzip(ev: DataFrame, obs: DataFrame) -> DataFrame:
 def last_places(ev: DataFrame, obs: DataFrame, n: int = 5) -> DataFrame:
     """The last n clicked places of the user, newest first, each minus the rank, the seconds since, and the length of the trailing run of clicks on this rank."""
     value = F.when((F.col("is_test") == 0) & (F.col("idx") >= 0), F.col("idx"))
-    w = prior("user_id")
-    times = F.when(value.isNotNull(), F.col("ts"))
-    at = ev.select("seq", "ts", last_n(value, w, n).alias("last"), last_n(times, w, n).alias("last_ts"), F.collect_list(value).over(w).alias("all"))
+    user = Window.partitionBy("user_id").orderBy("seq")
+    at = ev.select("user_id", "seq", "ts", "idx", "is_test", value.alias("v"))
+    at = last_n(at, ["user_id"], {"last": F.when(F.col("v").isNotNull(), F.struct("v", "ts"))}, n)
+    # Runs of equal places: a click's place in its run is what a rank equal to it continues.
+    starts = F.col("v").isNotNull() & ~F.coalesce(F.col("v") == F.last("v", ignorenulls=True).over(prior("user_id")), F.lit(False))
+    at = at.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(user))
+    length = F.when(F.col("v").isNotNull(), F.count("v").over(Window.partitionBy("user_id", "run").orderBy("seq")))
+    at = at.withColumn("length", length).select("seq", "ts", F.reverse("last").alias("last"), F.last("length", ignorenulls=True).over(prior("user_id")).alias("length"))
     rows = obs.select("seq", "rank", "item_id").join(at, "seq")
-    run = F.aggregate(F.reverse("all"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & (x == F.col("rank"))).cast("int")).alias("n"), (s["on"] & (x == F.col("rank"))).alias("on")), lambda s: s["n"])
-    newest = lambda i: F.get(F.reverse("last"), F.lit(i))
-    since = lambda i: F.col("ts") - F.get(F.reverse("last_ts"), F.lit(i))
-    cells = [c for i in range(n) for c in (newest(i).alias(f"place_{i}"), (newest(i) - F.col("rank")).alias(f"place_{i}_rel"), since(i).alias(f"since_{i}"))]
-    return rows.select("seq", "rank", "item_id", *cells, run.alias("consecutive"))
+    newest = lambda i: F.get("last", F.lit(i))["v"]
+    cells = [c for i in range(n) for c in (newest(i).alias(f"place_{i}"), (newest(i) - F.col("rank")).alias(f"place_{i}_rel"), (F.col("ts") - F.get("last", F.lit(i))["ts"]).alias(f"since_{i}"))]
+    return rows.select("seq", "rank", "item_id", *cells, F.when(newest(0) == F.col("rank"), F.col("length")).otherwise(0).cast("int").alias("consecutive"))
 
 
 def last_actions(ac: DataFrame, n: int = 9) -> DataFrame:
     """The letters of the user's last n item actions before, newest first; an empty text beyond the first."""
     letter = F.when(F.col("action_type").isin(*ITEM_ACTIONS), F.concat(action_letter("action_type"), F.coalesce("reference", F.lit(""))))
-    last = last_n(letter, prior("user_id"), n)
-    rows = ac.select("seq", F.reverse(last).alias("last"))
+    rows = last_n(ac, ["user_id"], {"last": letter}, n).select("seq", F.reverse("last").alias("last"))
     return rows.select("seq", F.lit("").alias("action_0"), *[F.coalesce(F.get("last", F.lit(i)), F.lit("")).alias(f"action_{i + 1}") for i in range(n)])
 
 
 def actions_tracker(ac: DataFrame, n: int = 10) -> DataFrame:
-    """JSON: for each type of action, log(1 + seconds ago) of the user's last n."""
-    w = prior("user_id")
+    """JSON: for each type of action, log(1 + seconds ago) of the user's last n, newest first."""
+    upto = Window.partitionBy("user_id", "action_type").orderBy("seq").rowsBetween(1 - n, 0)
     names = {v: k for k, v in ACTION_LETTERS.items()}
-    lists = {x: last_n(F.when(F.col("action_type") == name, F.col("ts")), w, n) for x, name in names.items()}
-    rows = ac.select("seq", "ts", *[c.alias(x) for x, c in lists.items()])
-    logs = [F.transform(F.reverse(F.col(x)), lambda t: F.round(F.log1p((F.col("ts") - t).cast("double")), 4)).alias(x) for x in lists]
+    rows = ac.withColumn("upto", F.collect_list("ts").over(upto))
+    lists = [F.last(F.when(F.col("action_type") == name, F.col("upto")), ignorenulls=True).over(prior("user_id")).alias(x) for x, name in sorted(names.items())]
+    rows = rows.select("seq", "ts", *lists)
+    logs = [F.transform(F.reverse(F.coalesce(F.col(x), F.array())), lambda t: F.round(F.log1p((F.col("ts") - t).cast("double")), 4)).alias(x) for x in sorted(names)]
     return rows.select("seq", F.to_json(F.struct(*logs)).alias("tracker"))
 
 
@@ -359,10 +371,12 @@ def price_similarity(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """Mean absolute difference to the user's distinct clicked prices before, and the last of those minus the price; 1000 without any."""
     price = F.when((F.col("is_test") == 0) & (F.col("idx") >= 0), F.get("prices", F.col("idx")))
     w = prior("user_id")
-    at = ev.select("seq", F.collect_set(price).over(w).alias("seen"), F.last(price, ignorenulls=True).over(w).alias("last"))
-    rows = obs.select("seq", "rank", "item_id", "price").join(at, "seq")
-    far = F.aggregate("seen", F.lit(0).cast("bigint"), lambda a, p: a + F.abs(p - F.col("price"))) / F.size("seen")
-    return rows.select("seq", "rank", "item_id", F.when(F.size("seen") > 0, far).otherwise(1000.0).alias("mean_diff"), F.coalesce(F.col("last") - F.col("price"), F.lit(1000)).alias("last_diff"))
+    at = ev.select("seq", "items", "prices", F.collect_set(price).over(w).alias("seen"), F.last(price, ignorenulls=True).over(w).alias("last"))
+    # Reckoned in the event's row, so that no list member carries the prices.
+    far = lambda p: F.aggregate("seen", F.lit(0).cast("bigint"), lambda a, q: a + F.abs(q - p)) / F.size("seen")
+    cells = F.transform("prices", lambda p: F.struct(p.alias("price"), F.when(F.size("seen") > 0, far(p)).alias("far")))
+    rows = at.select("seq", "last", F.posexplode(F.arrays_zip(F.col("items").alias("item_id"), cells.alias("x"))).alias("rank", "y"))
+    return rows.select("seq", "rank", "y.item_id", F.coalesce("y.x.far", F.lit(1000.0)).alias("mean_diff"), F.coalesce(F.col("last") - F.col("y.x.price"), F.lit(1000)).alias("last_diff"))
 
 
 def price_features(ev: DataFrame, obs: DataFrame) -> DataFrame:
@@ -378,29 +392,41 @@ def price_features(ev: DataFrame, obs: DataFrame) -> DataFrame:
     return rows.select("seq", "rank", "item_id", (F.col("high") - F.col("price")).alias("below_max"), F.try_divide(F.col("price"), F.col("mean")).alias("vs_mean"), (F.col("price") % 100).alias("cents"), "ascending", "descending", "sorted_until", (F.col("rank") < F.col("sorted_until")).cast("int").alias("in_sorted"), (F.col("asked") & (F.col("ascending") == 0)).cast("int").alias("wrong_sorting"))
 
 
-def set_similarity(ev: DataFrame, obs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Similarity of the item's property set to that of the item the user clicked last, and its mean over those clicked before; 0 without any.
+#: Similarities are averaged as integers, so that no sum depends on its order.
+_UNIT = 10**12
 
-    *sets* maps item_id to an array of properties.
-    """
-    click = F.when(F.col("is_test") == 0, F.col("reference"))
-    w = prior("user_id")
-    at = ev.select("seq", F.last(click, ignorenulls=True).over(w).alias("last"), F.collect_set(click).over(w).alias("seen"))
-    own = obs.select("seq", "rank", "item_id").join(sets.select("item_id", F.col("properties").alias("p")), "item_id", "left").join(at, "seq")
-    other = sets.select(F.col("item_id").alias("other"), F.col("properties").alias("q"))
-    each = own.select("seq", "rank", "item_id", "p", "last", F.explode_outer("seen").alias("other")).join(other, "other", "left")
-    return each.groupBy("seq", "rank", "item_id").agg(
-        F.coalesce(F.max(F.when(F.col("other") == F.col("last"), jaccard("p", "q"))), F.lit(0.0)).alias("to_last"), F.coalesce(F.avg(F.when(F.col("other").isNotNull(), jaccard("p", "q"))), F.lit(0.0)).alias("to_seen")
-    )
 
+def set_similarity(ev: DataFrame, obs: DataFrame, sets: DataFrame, *keys: str, acts: DataFrame | None = None) -> DataFrame:
+    """Similarity of the item's property set to that of the item the user clicked last, and its mean over the items met before under *keys* (the user); 0 without any.
 
-def price_item_similarity(ev: DataFrame, obs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Mean absolute difference of the item's mean price to those of items that the user clicked before and that have one; 1000 without any."""
+    *sets* maps item_id to an array of properties. Met are the items clicked, or those of the actions *acts* (seq, keys, reference). Each
+    pair of items is compared once.
+    """
+    keys = keys or ("user_id",)
     click = F.when(F.col("is_test") == 0, F.col("reference"))
-    at = ev.select("seq", F.collect_set(click).over(prior("user_id")).alias("seen"))
-    own = obs.select("seq", "rank", "item_id").join(prices, "item_id", "left").join(at, "seq")
-    each = own.select("seq", "rank", "item_id", "mean_price", F.explode_outer("seen").alias("other")).join(prices.select(F.col("item_id").alias("other"), F.col("mean_price").alias("q")), "other", "left")
-    return each.groupBy("seq", "rank", "item_id").agg(F.coalesce(F.avg(F.abs(F.col("mean_price") - F.col("q"))), F.lit(1000.0)).alias("price_diff"))
+    last = ev.select("seq", F.last(click, ignorenulls=True).over(prior("user_id")).alias("last"))
+    met = ev.filter("is_test = 0") if acts is None else acts
+    seen = first_seen(met.filter("reference is not null"), *keys, "reference").withColumnRenamed("reference", "other")
+    probes = obs.select("seq", "rank", "item_id", *keys)
+    each = probes.join(seen, list(keys)).filter("first_seq < seq").select("seq", "rank", "item_id", "other")
+    to_last = probes.join(last, "seq").select("seq", "rank", "item_id", F.col("last").alias("other"))
+    pairs = each.select("item_id", "other").union(to_last.select("item_id", "other")).filter("other is not null").distinct()
+    side = lambda item, p: sets.select(F.col("item_id").alias(item), F.col("properties").alias(p))
+    pairs = pairs.join(side("item_id", "p"), "item_id").join(side("other", "q"), "other", "left")
+    pairs = pairs.select("item_id", "other", F.round(jaccard("p", "q") * _UNIT).cast("bigint").alias("s"))
+    sums = each.join(pairs, ["item_id", "other"]).groupBy("seq", "rank").agg(F.sum("s").alias("s"), F.count("s").alias("n"))
+    lasts = to_last.join(pairs, ["item_id", "other"], "left").select("seq", "rank", "item_id", F.coalesce(F.col("s") / _UNIT, F.lit(0.0)).alias("to_last"))
+    return lasts.join(sums, ["seq", "rank"], "left").select("seq", "rank", "item_id", "to_last", F.coalesce(F.col("s") / (F.col("n") * F.lit(_UNIT)), F.lit(0.0)).alias("to_seen"))
+
+
+def price_item_similarity(ev: DataFrame, obs: DataFrame, prices: DataFrame, *keys: str, acts: DataFrame | None = None) -> DataFrame:
+    """Mean absolute difference of the item's mean price to those of items met before under *keys* (the user) that have one; 1000 without any."""
+    keys = keys or ("user_id",)
+    met = ev.filter("is_test = 0") if acts is None else acts
+    seen = first_seen(met.filter("reference is not null"), *keys, "reference").join(prices.select(F.col("item_id").alias("reference"), F.col("mean_price").alias("q")), "reference")
+    probes = obs.select("seq", "rank", "item_id", *keys).join(prices, "item_id", "left")
+    each = probes.join(seen, list(keys)).filter("first_seq < seq").groupBy("seq", "rank").agg(F.avg(F.abs(F.col("mean_price") - F.col("q"))).alias("price_diff"))
+    return obs.select("seq", "rank", "item_id").join(each, ["seq", "rank"], "left").select("seq", "rank", "item_id", F.coalesce("price_diff", F.lit(1000.0)).alias("price_diff"))
 
 
 def click_probability(ev: DataFrame, obs: DataFrame, probs: DataFrame, key: str) -> DataFrame:
@@ -415,7 +441,7 @@ def click_probability(ev: DataFrame, obs: DataFrame, probs: DataFrame, key: str)
     rows = obs.select("seq", "rank", "item_id").join(at, "seq").withColumns({"offset": F.when(same, F.col("rank") - F.col("li")), "bucket": F.when(same, time_bucket(F.col("t") - F.col("lt")).cast("int"))})
     first = probs.select("bucket", "offset", F.col("prob").alias("p1"))
     second = probs.filter("bucket = 120").select("offset", F.col("prob").alias("p2"))
-    looked = rows.join(F.broadcast(first), ["bucket", "offset"], "left").join(F.broadcast(second), "offset", "left")
+    looked = rows.join(first, ["bucket", "offset"], "left").join(second, "offset", "left")
     # The chances of the first places, and of all others.
     plain = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in (0.3, 0.2, 0.1, 0.07, 0.05)]), F.col("rank") + 1), F.lit(0.03))
     return looked.select("seq", "rank", "item_id", F.coalesce("p1", F.when(F.col("offset").isNotNull(), F.col("p2")), plain).alias("click_prob"))
@@ -430,14 +456,19 @@ def edges(ev: DataFrame) -> DataFrame:
 
 
 def similar_users(ev: DataFrame, obs: DataFrame) -> DataFrame:
-    """Paths item - other user - item that the user clicked, all edges before the event."""
+    """Paths item - other user - item that the user clicked, all edges before the event.
+
+    Counted without listing paths: users of both items come from the pairs of items of each user, whose number doesn't depend on how
+    many users an item has, and a probe adds up those of the user's items, less the user's own.
+    """
     e = edges(ev)
-    mine = e.select("user_id", F.col("item_id").alias("i"), F.col("first_seq").alias("f1"))
-    theirs = e.select(F.col("user_id").alias("v"), F.col("item_id").alias("i"), F.col("first_seq").alias("f2"))
-    last = e.select(F.col("user_id").alias("v"), F.col("item_id"), F.col("first_seq").alias("f3"))
-    # One row per path, with the time from which it is there.
-    paths = mine.join(theirs, "i").filter("user_id <> v").join(last, "v").select("user_id", "item_id", F.greatest("f1", "f2", "f3").alias("seq"))
-    return counts_before(paths, obs.select("seq", "rank", "user_id", "item_id"), ["user_id", "item_id"], "paths").select("seq", "rank", "item_id", "paths")
+    one, two = (e.select("user_id", F.col("item_id").alias(x), F.col("first_seq").alias(f)) for x, f in (("a", "f1"), ("item_id", "f2")))
+    pairs = one.join(two, "user_id").select("a", "item_id", F.greatest("f1", "f2").alias("seq"), F.lit(1).alias("_one"))
+    probes = obs.select("seq", "rank", "user_id", "item_id").join(one, "user_id").filter("f1 < seq").select("seq", "rank", "user_id", "item_id", "a")
+    counted = as_of(pairs, probes, ["a", "item_id"], {"users": ("count", "_one")})
+    met = counted.join(two.withColumnRenamed("f2", "mine"), ["user_id", "item_id"], "left")
+    paths = met.groupBy("seq", "rank").agg(F.sum(F.col("users") - F.coalesce((F.col("mine") < F.col("seq")).cast("int"), F.lit(0))).alias("paths"))
+    return obs.select("seq", "rank", "item_id").join(paths, ["seq", "rank"], "left").withColumn("paths", _zero(F.col("paths")))
 
 
 def neighbours(ev: DataFrame, k: int = 1, score: str = "intersection") -> DataFrame:

@@ -12,22 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import NO_COMPARISON, NO_RATIO, ratio100, single_divide, times
-from asofkit.operators.prequential import as_of
+from asofkit.operators.prequential import before
 
 TOPS = (3, 5, 7)
 
 
 def counters(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """For each list member, counts of its item before: impressions, verified ones (down to the click), clicks, mean places (times 100) and top places."""
-    shown = obs.select(
-        "item_id", "seq", F.lit(1).alias("imp"), (F.col("rank") <= F.when(F.col("idx") >= 0, F.col("idx")).otherwise(F.col("n"))).cast("int").alias("ver"), F.col("rank").alias("pos"),
-        *[(F.col("rank") < t).cast("int").alias(f"t{t}") for t in TOPS], F.lit(None).cast("int").alias("clk"), F.lit(None).cast("int").alias("cpos"),
+    place = F.when(F.col("idx") >= 0, F.col("idx"))
+    clicked = F.col("rank") == place
+    rows = obs.select(
+        "seq", "rank", "item_id", F.lit(1).alias("imp"), (F.col("rank") <= F.coalesce(place, "n")).cast("int").alias("ver"), F.col("rank").alias("pos"),
+        *[(F.col("rank") < t).cast("int").alias(f"t{t}") for t in TOPS], F.when(clicked, 1).alias("clk"), F.when(clicked, place).alias("cpos"),
     )
-    none = F.lit(None).cast("int")
-    clicked = ev.filter("idx >= 0").select(F.col("reference").alias("item_id"), "seq", none.alias("imp"), none.alias("ver"), none.alias("pos"), *[none.alias(f"t{t}") for t in TOPS], F.lit(1).alias("clk"), F.col("idx").alias("cpos"))
-    sums = {"impressions": F.sum("imp"), "verified": F.sum("ver"), "clickouts": F.sum("clk"), "pos": F.sum("pos"), "cpos": F.sum("cpos")} | {f"top_{t}": F.sum(f"t{t}") for t in TOPS}
-    values = ["imp", "ver", "pos", *[f"t{t}" for t in TOPS], "clk", "cpos"]
-    out = as_of(shown.unionByName(clicked), obs.select("seq", "rank", "item_id"), ["item_id"], {f"_{k}": v for k, v in sums.items()}, values)
+    sums = {"impressions": "imp", "verified": "ver", "clickouts": "clk", "pos": "pos", "cpos": "cpos"} | {f"top_{t}": f"t{t}" for t in TOPS}
+    out = before(rows, ["item_id"], {f"_{k}": ("sum", c) for k, c in sums.items()})
     zero = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0))
     mean = lambda s, n: F.when(zero(n) == 0, F.lit(NO_RATIO)).otherwise(times(single_divide(zero(s), zero(n)), 100))
     return out.select(

@@ -11,7 +11,7 @@ from asofkit.operators import listcompare as lc
 from asofkit.operators import metrics as mt
 from asofkit.operators import ranking as rk
 from asofkit.operators import vectorize as vz
-from asofkit.operators.prequential import as_of_sums
+from asofkit.operators.prequential import before
 from asofkit.plans.prep import _o, _ob
 from asofkit.plans.registry import query
 from asofkit.plans.state import _both, rounded
@@ -238,9 +238,10 @@ def run_hash(spark, sf):
 def hot_key_sums(spark, sf):
     """Prior sums by a key that few values share all rows, in two levels."""
     obs = _ob(spark, sf)
-    updates = obs.filter("is_test = 0").select("platform", "seq", F.lit(1).alias("one"), F.col("price").alias("paid"))
-    out = as_of_sums(updates, obs.select("seq", "rank", "item_id", "platform"), ["platform"], {"impressions": "one", "spent": "paid"}, width=300 * 10_000_000)
-    return out.drop("platform")
+    train = F.col("is_test") == 0
+    rows = obs.select("seq", "rank", "item_id", "platform", F.when(train, 1).alias("one"), F.when(train, F.col("price")).alias("paid"))
+    out = before(rows, ["platform"], {"impressions": ("count", "one"), "spent": ("sum", "paid")}, ranges=8)
+    return out.select("seq", "rank", "item_id", "impressions", F.coalesce("spent", F.lit(0)).alias("spent"))
 
 
 @query()

@@ -429,8 +429,8 @@ def price_features(spark, sf):
 @query(
     """, pr AS (SELECT p_partkey AS item_id, list_distinct(list_concat([p_brand, p_type, 'size' || p_size::VARCHAR], string_split(p_name, ' '))) AS p FROM part), c AS (SELECT user_id, reference AS item_id, seq FROM ev WHERE is_test = 0 AND reference IS NOT NULL),
     l AS (SELECT e.seq, max_by(c.item_id, c.seq) AS last FROM ev e LEFT JOIN c ON c.user_id = e.user_id AND c.seq < e.seq GROUP BY e.seq), d AS (SELECT DISTINCT e.seq, c.item_id AS other FROM ev e JOIN c ON c.user_id = e.user_id AND c.seq < e.seq),
-    j AS (SELECT b.seq, b.rank, b.item_id, d.other, l.last, len(list_intersect(x.p, y.p)) / (len(list_distinct(list_concat(x.p, y.p))) + 1)::DOUBLE AS s FROM ob b JOIN l USING (seq) JOIN pr x ON x.item_id = b.item_id LEFT JOIN d ON d.seq = b.seq LEFT JOIN pr y ON y.item_id = d.other)
-    SELECT seq, rank, item_id, round(coalesce(max(s) FILTER (WHERE other = last), 0), 6) AS to_last, round(coalesce(avg(s), 0), 6) AS to_seen FROM j GROUP BY seq, rank, item_id""",
+    j AS (SELECT b.seq, b.rank, b.item_id, d.other, l.last, round(len(list_intersect(x.p, y.p)) / (len(list_distinct(list_concat(x.p, y.p))) + 1)::DOUBLE * 1000000000000)::BIGINT AS s FROM ob b JOIN l USING (seq) JOIN pr x ON x.item_id = b.item_id LEFT JOIN d ON d.seq = b.seq LEFT JOIN pr y ON y.item_id = d.other)
+    SELECT seq, rank, item_id, round(coalesce((max(s) FILTER (WHERE other = last)) / 1000000000000.0::DOUBLE, 0), 6) AS to_last, round(coalesce(sum(s)::DOUBLE / (count(s) * 1000000000000), 0), 6) AS to_seen FROM j GROUP BY seq, rank, item_id""",
     "o",
 )
 def jaccard_similarity(spark, sf):

@@ -11,7 +11,7 @@ from asofkit.operators import groupwise as gw
 from asofkit.operators import listcompare as lc
 from asofkit.operators import metrics as mt
 from asofkit.operators import vectorize as vz
-from asofkit.operators.prequential import as_of, as_of_sums
+from asofkit.operators.prequential import as_of, last_n
 from asofkit.sources.feeds import observations
 
 A, B, C = 1, 2, 3
@@ -108,17 +108,34 @@ def test_scalars(spark):
     assert row["sha"] == int(hashlib.sha1(b"abc").hexdigest(), 16) % 10**8
 
 
-@pytest.mark.parametrize("width", [3, 50, 10_000])
-def test_as_of_against_a_fold(spark, width):
+@pytest.mark.parametrize("ranges", [None, 2, 17, 1000])
+def test_as_of_against_a_fold(spark, ranges):
+    """Plain and in ranges, null keys and null values too."""
     r = random.Random(3)
-    ups = [(r.choice("abc") if r.random() < 0.9 else "hot", r.randrange(400), r.randrange(10)) for _ in range(300)]
-    probes = [(r.choice(["a", "b", "c", "hot", "new"]), r.randrange(420), i) for i in range(300)]
+    ups = [(r.choice(["a", "b", None]) if r.random() < 0.3 else "hot", r.randrange(400), r.choice([None, *range(10)])) for _ in range(300)]
+    probes = [(r.choice(["a", "b", None, "hot", "new"]), r.randrange(420), i) for i in range(300)]
     u, p = spark.createDataFrame(ups, "k string, seq bigint, v int"), spark.createDataFrame(probes, "k string, seq bigint, id int")
-    want = {i: sum(v for k2, s2, v in ups if k2 == k and s2 < s) for k, s, i in probes}
-    got = {x["id"]: x["s"] or 0 for x in as_of(u, p, ["k"], {"s": F.sum("v")}, ["v"]).collect()}
-    assert got == want
-    got = {x["id"]: x["s"] for x in as_of_sums(u, p, ["k"], {"s": "v"}, width).collect()}
-    assert got == want
+    u = u.withColumn("at", F.when(F.col("v").isNotNull(), F.struct("seq", "v")))
+    got = {x["id"]: (x["s"], x["n"], x["m"]) for x in as_of(u, p, ["k"], {"s": ("sum", "v"), "n": ("count", "v"), "m": ("max", "at")}, ranges=ranges).collect()}
+    for k, s, i in probes:
+        seen = [(s2, v) for k2, s2, v in ups if k2 == k and s2 < s and v is not None]
+        assert got[i] == (sum(v for _, v in seen) if seen else None, len(seen), max(seen, default=None))
+    assert as_of(u.limit(0), p.limit(0), ["k"], {"s": ("sum", "v")}, ranges=ranges).count() == 0
+
+
+def test_last_n_against_slices(spark):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), s, r.choice([None, *range(5)])) for s in range(120)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, v int")
+    for x in last_n(df, ["k"], {"last": F.col("v")}, 3).collect():
+        assert x["last"] == [v for k, s, v in rows if k == x["k"] and s < x["seq"] and v is not None][-3:]
+
+
+def test_clicks_outside_lists_count(spark, log):
+    """A click on an item that its list doesn't hold counts for later events."""
+    more = log.unionByName(log.filter("seq = 5").withColumns({"seq": F.lit(6).cast("bigint"), "reference": F.lit(9).cast("bigint"), "idx": F.lit(S.MISSING)}))
+    more = more.unionByName(log.filter("seq = 5").withColumns({"seq": F.lit(7).cast("bigint"), "items": F.array(F.lit(9).cast("bigint")), "prices": F.array(F.lit(1).cast("bigint"))}))
+    assert by_item(feat.item_ctr(more, observations(more)), "clicks", "impressions", "corrected")[7, 9] == (1, 0, 0)
 
 
 def test_no_event_sees_later_ones(spark, sf):
