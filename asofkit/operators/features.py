@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, list_key, sorted_key, time_bucket
+from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, leading_int, list_key, sorted_key, time_bucket
 from asofkit.operators.prequential import as_of, before, first_seen, last_n, new_flag, prior
 
 
@@ -197,6 +197,41 @@ def last_index(ev: DataFrame, obs: DataFrame, *keys: str, strict: bool = True) -
     return obs.select("seq", "rank", "item_id").join(at, "seq").select("seq", "rank", "item_id", F.coalesce(F.col("was") - F.col("rank"), F.lit(MISSING)).alias("last_index"))
 
 
+def since_same_list(ev: DataFrame, key: str) -> DataFrame:
+    """Seconds since the user's last train event with the same list, 0 without one."""
+    was = F.max(F.when(F.col("is_test") == 0, F.col("ts"))).over(prior("user_id", key))
+    return ev.select("seq", _zero(F.col("ts") - was).alias("since"))
+
+
+def last_place_same_list(ev: DataFrame, obs: DataFrame, key: str) -> DataFrame:
+    """The rank less the last place that the user clicked in the same list, whatever it was; MISSING counts where there is none."""
+    at = ev.select("seq", F.last(F.when(F.col("is_test") == 0, F.col("idx")), ignorenulls=True).over(prior("user_id", key)).alias("was"))
+    return obs.select("seq", "rank", "item_id").join(at, "seq").select("seq", "rank", "item_id", (F.col("rank") - F.coalesce("was", F.lit(MISSING))).alias("last_place"))
+
+
+def shown_before(obs: DataFrame, *keys: str) -> DataFrame:
+    """How often train events have shown the item under the keys."""
+    rows = obs.select("seq", "rank", "item_id", *keys, F.when(F.col("is_test") == 0, 1).alias("_one"))
+    return before(rows, [*keys, "item_id"], {"n": ("count", "_one")}).select("seq", "rank", "item_id", "n")
+
+
+def references_before(ac: DataFrame, obs: DataFrame, actions: Sequence[str] | None = None) -> DataFrame:
+    """How many events before refer to the item, whoever's: of the given *actions*, or of any whose reference starts with its number."""
+    did = ac.filter("is_test = 0").filter(F.col("action_type").isin(*actions) if actions else F.lit(True))
+    updates = did.select((F.col("item") if actions else leading_int("reference")).alias("item_id"), "seq").filter("item_id is not null")
+    return counts_before(updates, obs.select("seq", "rank", "item_id"), ["item_id"], "n")
+
+
+def item_actions(ac: DataFrame, obs: DataFrame, action: str) -> DataFrame:
+    """For each list member, how often and how long ago the user did *action* on it: n, since (0 without), signed_since (now - last, uncapped, null without) and whether it was the user's last one of that type."""
+    did = ac.filter((F.col("action_type") == action) & (F.col("is_test") == 0) & F.col("item").isNotNull()).select("user_id", F.col("item").alias("item_id"), "seq", F.col("ts").alias("at"))
+    out = as_of(did, obs.select("seq", "rank", "user_id", "item_id", "ts"), ["user_id", "item_id"], {"n": ("count", "at"), "last_at": ("max", "at")})
+    latest = ac.select("seq", F.last(F.when((F.col("action_type") == action) & (F.col("is_test") == 0), F.col("item")), ignorenulls=True).over(prior("user_id")).alias("last_item"))
+    out = out.join(latest, "seq")
+    gap = F.col("ts") - F.col("last_at")
+    return out.select("seq", "rank", "item_id", "n", F.least(_zero(gap), F.lit(1_000_000)).alias("since"), gap.alias("signed_since"), F.coalesce(F.col("last_item") == F.col("item_id"), F.lit(False)).cast("int").alias("was_last"))
+
+
 def last_values(ac: DataFrame, values: dict[str, Column], default: str = UNKNOWN) -> DataFrame:
     """For each action the last non-null of each value of the user before."""
     w = prior("user_id")
@@ -299,15 +334,18 @@ def click_sequence_gzip(ev: DataFrame, obs: DataFrame) -> DataFrame:
     """Compressed length of the session's clicked places with the rank added, and its ratio to that without; MISSING if there are none."""
     import gzip
 
-    seqs = ev.select("seq", F.array_join(F.transform(F.collect_list(F.when(F.col("is_test") == 0, F.col("idx"))).over(prior("user_id", "session_id")), lambda x: x.cast("string")), ",").alias("past"))
+    past = F.collect_list(F.when(F.col("is_test") == 0, F.col("idx"))).over(prior("user_id", "session_id"))
+    members = obs.groupBy("seq").agg((F.max("rank") + 1).alias("size"))
+    events = ev.select("seq", F.array_join(F.transform(past, lambda x: x.cast("string")), ",").alias("past")).join(members, "seq")
 
-    @F.pandas_udf("size double, ratio double")
-    def packed(past: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        size = lambda s: len(gzip.compress(s.encode(), mtime=0))
-        rows = [(size(f"{p},{r}"), size(p)) if p else (float(MISSING), 0) for p, r in zip(past, rank)]
-        return pd.DataFrame({"size": [float(a) for a, _ in rows], "ratio": [a / b if b else float(MISSING) for a, b in rows]})
+    @F.pandas_udf("base double, sizes array<double>")
+    def packed(past: pd.Series, size: pd.Series) -> pd.DataFrame:
+        length = lambda s: float(len(gzip.compress(s.encode(), mtime=0)))
+        return pd.DataFrame([(length(p), [length(f"{p},{r}") for r in range(n)]) if p else (None, None) for p, n in zip(past, size)], columns=["base", "sizes"])
 
-    return obs.select("seq", "rank", "item_id").join(seqs, "seq").withColumn("x", packed("past", "rank")).select("seq", "rank", "item_id", "x.size", "x.ratio")
+    at = obs.select("seq", "rank", "item_id").join(events.select("seq", packed("past", "size").alias("x")), "seq")
+    size, none = F.get("x.sizes", F.col("rank")), F.lit(float(MISSING))
+    return at.select("seq", "rank", "item_id", F.coalesce(size, none).alias("size"), F.coalesce(size / F.col("x.base"), none).alias("ratio"))
 
 
 def last_places(ev: DataFrame, obs: DataFrame, n: int = 5) -> DataFrame:
@@ -345,15 +383,55 @@ def actions_tracker(ac: DataFrame, n: int = 10) -> DataFrame:
     return rows.select("seq", F.to_json(F.struct(*logs)).alias("tracker"))
 
 
-def trends(ev: DataFrame, obs: DataFrame) -> DataFrame:
-    """Where the clicks of the user are heading: the line through the first and last click, and the regression line, at the time of the last event, minus the rank.
+def recent_events(ac: DataFrame, n: int = 10) -> DataFrame:
+    """For each clickout the user's last *n* train events of each type before, newest first: seq, letter columns of structs (ago, place), the
+    same of all item actions (interactions), and the price lists of the last two clickouts (prices).
+
+    ago is log(1 + seconds), place the place (from 1) of the event's item in the list shown next, null without one.
+    """
+    names = {v: k for k, v in ACTION_LETTERS.items()}
+    train = F.col("is_test") == 0
+    place = F.when(F.col("action_type").isin(*ITEM_ACTIONS) & (F.col("fake_idx") >= 0), F.col("fake_idx") + 1)
+    rows = ac.withColumn("what", F.when(train, F.struct("ts", place.alias("place"))))
+    upto = Window.partitionBy("user_id", "action_type", "is_test").orderBy("seq").rowsBetween(1 - n, 0)
+    rows = rows.withColumn("upto", F.when(train, F.collect_list("what").over(upto)))
+    rows = last_n(rows, ["user_id"], {"interactions": F.when(F.col("action_type").isin(*ITEM_ACTIONS), F.col("what"))}, n)
+    rows = last_n(rows, ["user_id"], {"prices": F.when(train, F.col("prices"))}, 2)
+    lists = [F.last(F.when(F.col("action_type") == name, F.col("upto")), ignorenulls=True).over(prior("user_id")).alias(x) for x, name in sorted(names.items())]
+    found = rows.select("seq", "ts", "action_type", "interactions", F.reverse("prices").alias("prices"), *lists).filter("action_type = 'clickout item'")
+    newest = lambda x: F.transform(F.reverse(F.coalesce(x, F.array())), lambda e: F.struct(F.log1p(F.greatest(F.col("ts") - e["ts"], F.lit(0)).cast("double")).alias("ago"), e["place"].alias("place")))
+    return found.select("seq", *[newest(F.col(x)).alias(x) for x in sorted(names)], newest(F.col("interactions")).alias("interactions"), F.transform("prices", lambda p: F.transform(p, lambda x: F.log1p(x.cast("double")))).alias("prices"))
+
+
+def tracker_json(ac: DataFrame, obs: DataFrame, n: int = 10) -> DataFrame:
+    """recent_events() of each list member as JSON; places come with their distance from the rank (rel)."""
+    recent = recent_events(ac, n)
+    letters = [*sorted(ACTION_LETTERS.values()), "interactions"]
+    against = lambda c: F.transform(c, lambda e: F.struct(F.round(e["ago"], 4).alias("ago"), e["place"], (F.col("rank") + 1 - e["place"]).alias("rel"))).alias(c)
+    prices = F.transform("prices", lambda p: F.transform(p, lambda x: F.round(x, 4))).alias("prices")
+    return obs.select("seq", "rank", "item_id").join(recent, "seq").select("seq", "rank", "item_id", F.to_json(F.struct(*[against(x) for x in letters], prices)).alias("tracker"))
+
+
+def last_action_places(ac: DataFrame, obs: DataFrame, n: int = 9) -> DataFrame:
+    """The session's last n item actions before, newest first, each as its type and the place of its item, and as its type and the rank less that place; empty beyond the first."""
+    what = F.when(F.col("action_type").isin(*ITEM_ACTIONS) & (F.col("is_test") == 0), F.struct("action_type", "fake_idx"))
+    last = last_n(ac, ["user_id", "session_id"], {"last": what}, n).filter("action_type = 'clickout item'").select("seq", F.reverse("last").alias("last"))
+    rows = obs.select("seq", "rank", "item_id").join(last, "seq")
+    at = lambda i: F.get("last", F.lit(i))
+    text = lambda i, place: F.coalesce(F.concat(at(i)["action_type"], place.cast("string")), F.lit(""))
+    cells = [c for i in range(n) for c in (text(i, at(i)["fake_idx"]).alias(f"action_{i + 1}"), text(i, F.col("rank") - at(i)["fake_idx"]).alias(f"action_{i + 1}_norm"))]
+    return rows.select("seq", "rank", "item_id", F.lit("").alias("action_0"), F.lit("").alias("action_0_norm"), *cells)
+
+
+def trends(ev: DataFrame, obs: DataFrame, key: str = "user_id") -> DataFrame:
+    """Where the clicks of the user (or another *key*) are heading: the line through the first and last click, and the regression line, at the time of the last event, minus the rank.
 
     -1 where there are no two clicks, or no spread in time or place.
     """
     y = F.when((F.col("is_test") == 0) & (F.col("idx") >= 0), F.col("idx").cast("double"))
     day = (F.col("ts") / 86400).cast("double")
     x = F.when(y.isNotNull(), day)
-    w = prior("user_id")
+    w = prior(key)
     at = ev.select(
         "seq", day.alias("now"), F.count(y).over(w).alias("n"), F.first(y, ignorenulls=True).over(w).alias("y0"), F.last(y, ignorenulls=True).over(w).alias("y1"), F.first(x, ignorenulls=True).over(w).alias("x0"), F.last(x, ignorenulls=True).over(w).alias("x1"),
         F.regr_slope(y, x).over(w).alias("slope"), F.avg(y).over(w).alias("my"), F.avg(x).over(w).alias("mx"), F.var_pop(y).over(w).alias("vy"), F.var_pop(x).over(w).alias("vx"),

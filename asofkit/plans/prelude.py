@@ -30,3 +30,28 @@ ac AS (
               WHEN 'signup' THEN 'filter selection' ELSE 'search for poi' END AS action_type,
          json_extract_string(props, '$.k') AS reference, floor(value)::BIGINT AS price
   FROM events)"""
+
+#: Feed M: clickouts of feed O with item actions before them. lg has all events with their next lists, mb a row per clickout and list member.
+FEED_M = (
+    FEED_O
+    + """,
+lg0 AS (
+  SELECT e.seq * 100 + ln.rank AS seq, e.user_id, e.session_id, e.ts - 600 + 40 * ln.rank AS ts,
+         CASE (e.event_id + ln.rank) % 6 WHEN 0 THEN 'interaction item image' WHEN 1 THEN 'interaction item rating' WHEN 2 THEN 'interaction item info' WHEN 3 THEN 'search for item' WHEN 4 THEN 'interaction item deals' ELSE 'change of sort order' END AS action_type,
+         CASE WHEN (e.event_id + ln.rank) % 6 = 5 THEN CASE ln.rank % 3 WHEN 0 THEN 'price only' WHEN 1 THEN 'distance' ELSE 'rating' END
+              WHEN ln.item_id % 7 = 0 THEN (ln.item_id + 1)::VARCHAR WHEN ln.item_id % 11 = 0 THEN '5 Star' ELSE ln.item_id::VARCHAR END AS reference,
+         0 AS is_test, e.platform, e.device, NULL::BIGINT[] AS items, NULL::BIGINT[] AS prices, NULL::INTEGER AS n, NULL::INTEGER AS idx
+  FROM ev e JOIN ln ON ln.l_orderkey = e.event_id
+  UNION ALL
+  SELECT seq * 100 + 99, user_id, session_id, ts, 'clickout item', reference::VARCHAR, is_test, platform, device, items, prices, n, idx FROM ev),
+lg1 AS (
+  SELECT *, try_cast(reference AS BIGINT) AS item, first_value(items IGNORE NULLS) OVER w AS fake_items, first_value(prices IGNORE NULLS) OVER w AS fake_prices
+  FROM lg0 WINDOW w AS (PARTITION BY user_id, session_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+lg AS (
+  SELECT *, coalesce(list_position(fake_items, item) - 1, -1000)::INTEGER AS fake_idx, array_to_string(fake_items, '|') AS fk,
+         action_type IN ('clickout item', 'interaction item deals', 'interaction item image', 'interaction item info', 'interaction item rating', 'search for item') AS on_item
+  FROM lg1),
+mb AS (
+  SELECT l.seq, l.user_id, l.session_id, l.ts, l.is_test, l.platform, l.device, l.n, l.idx, l.item, l.fk, ln.item_id, ln.price, ln.rank
+  FROM lg l JOIN ev ON l.seq = ev.seq * 100 + 99 JOIN ln ON ln.l_orderkey = ev.event_id)"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.plans.prelude import FEED_E, FEED_O
+from asofkit.plans.prelude import FEED_E, FEED_M, FEED_O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, feed: str = "") -> Callable[[Query], Query]:
-    """Registers a function under its name. *sql* follows the common tables of *feed* ("o" or "e"): more of them after a comma, or SELECT."""
+    """Registers a function under its name. *sql* follows the common tables of *feed* ("o", "e" or "m"): more of them after a comma, or SELECT."""
 
     def register(f: Query) -> Query:
         name = f.__name__
@@ -22,7 +22,7 @@ def query(sql: str | None = None, feed: str = "") -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered already")
         QUERIES[name] = f
         if sql:
-            start = {"o": f"WITH {FEED_O}", "e": f"WITH {FEED_E}", "": ""}[feed]
+            start = {"o": f"WITH {FEED_O}", "e": f"WITH {FEED_E}", "m": f"WITH {FEED_M}", "": ""}[feed]
             ORACLES[name] = f"{start}{sql}"
         return f
 

@@ -97,3 +97,31 @@ def action_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("reference"),
         F.floor("value").cast("bigint").alias("price"),
     )
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed M: the clickouts of feed O, each with actions on items of its list in the ten minutes before, of the types that feed E lacks.
+
+    References are texts: mostly items of the list to come, some items that it doesn't hold, some free text. item is the reference as an item, null for
+    text; idx is its place in the clickout's own list, null for other actions.
+    """
+    ev = order_events(spark, sf_dir)
+    kind = F.pmod(F.col("event_id") + F.col("rank"), F.lit(6))
+    names = F.array(*[F.lit(x) for x in ("interaction item image", "interaction item rating", "interaction item info", "search for item", "interaction item deals", "change of sort order")])
+    orders = F.array(F.lit("price only"), F.lit("distance"), F.lit("rating"))
+    shown = ev.select("seq", "event_id", "user_id", "session_id", "ts", "platform", "device", F.posexplode("items").alias("rank", "item"))
+    text = F.when(kind == 5, F.get(orders, F.col("rank") % 3)).when(F.col("item") % 7 == 0, (F.col("item") + 1).cast("string")).when(F.col("item") % 11 == 0, "5 Star").otherwise(F.col("item").cast("string"))
+    none = F.lit(None)
+    acts = shown.select(
+        (F.col("seq") * 100 + F.col("rank")).alias("seq"), "user_id", "session_id", (F.col("ts") - 600 + 40 * F.col("rank")).alias("ts"), F.get(names, kind.cast("int")).alias("action_type"), text.alias("reference"),
+        F.lit(0).alias("is_test"), "platform", "device", none.cast("array<bigint>").alias("items"), none.cast("array<bigint>").alias("prices"), none.cast("int").alias("n"), none.cast("int").alias("idx"),
+    )
+    clicks = ev.select((F.col("seq") * 100 + 99).alias("seq"), "user_id", "session_id", "ts", F.lit("clickout item").alias("action_type"), F.col("reference").cast("string").alias("reference"), "is_test", "platform", "device", "items", "prices", "n", "idx")
+    return acts.unionByName(clicks).withColumn("item", F.col("reference").try_cast("bigint"))
+
+
+def with_next_lists(events: DataFrame) -> DataFrame:
+    """Adds fake_items and fake_prices, the list of the session's next event that has one (its own, if it does), and fake_idx, the place of item in it, MISSING without."""
+    onward = Window.partitionBy("user_id", "session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumns({"fake_items": F.last("items", ignorenulls=True).over(onward), "fake_prices": F.last("prices", ignorenulls=True).over(onward)})
+    return out.withColumn("fake_idx", F.coalesce(index_of("fake_items", F.col("item")), F.lit(MISSING)))
