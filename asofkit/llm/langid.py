@@ -25,7 +25,9 @@ SMOOTHING = 0.5
 #: Log-probability matrices have 2**BUCKET_BITS rows of this many columns at most.
 MAX_LANGS = 200
 UNKNOWN = "und"
+#: Characters scored at a time, and matrix cells gathered for them: a long text goes by pieces.
 _CHUNK = 400_000
+_CELLS = 3_000_000
 _GAP = " " * max(ORDERS)
 _LOW = 0x3000
 
@@ -54,16 +56,23 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of about _CHUNK characters; a longer text is a run of its own."""
-    first, size = 0, 0
+def _runs(texts: list[str], chunk: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Pieces of texts, about *chunk* characters together: (text, piece, n-grams that start in it).
+
+    A piece that goes on is followed by the characters that its last n-grams reach into; they don't start any. A text's last piece has one n-gram
+    more, at its end.
+    """
+    run, size, over = [], 0, max(ORDERS) - 1
     for i, t in enumerate(texts):
-        if size and size + len(t) > _CHUNK:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+        for a in range(0, max(1, len(t)), chunk):
+            b = min(len(t), a + chunk)
+            run.append((i, t[a:] if b == len(t) else t[a : b + over], b - a + (b == len(t))))
+            size += b - a
+            if size >= chunk:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
 
 
 @dataclass
@@ -74,14 +83,16 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Posterior probabilities, texts x languages."""
-        parts = []
-        for a, b in _runs(texts):
-            grams, starts = gram_buckets(texts[a:b])
-            total = np.tile(self.priors, (b - a, 1))
+        logs = np.tile(self.priors, (len(texts), 1))
+        for run in _runs(texts, min(_CHUNK, _CELLS // len(self.langs))):
+            grams, starts = gram_buckets([t for _, t, _ in run])
+            # Sums from each start to its end: every other one of these.
+            stops = np.minimum(starts + [n for _, _, n in run], grams.shape[1])
+            edges = np.stack([starts, stops], axis=1).ravel()
+            owners = [i for i, _, _ in run]
             for row in grams:
-                total += np.add.reduceat(self.log_probs[row], starts, axis=0)
-            parts.append(total)
-        logs = np.concatenate(parts) if parts else np.empty((0, len(self.langs)))
+                cells = np.concatenate([self.log_probs[row], np.zeros((1, len(self.langs)))])
+                np.add.at(logs, owners, np.add.reduceat(cells, edges, axis=0)[::2])
         weights = np.exp(logs - logs.max(axis=1, keepdims=True))
         return weights / weights.sum(axis=1, keepdims=True)
 
@@ -105,18 +116,24 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         table = np.zeros((len(langs), 1 << BUCKET_BITS), np.int64)
         for batch in batches:
             for name, group in batch.groupby("l"):
-                texts = group["t"].tolist()
-                for a, b in _runs(texts):
-                    grams, _ = gram_buckets(texts[a:b])
-                    table[langs.index(name)] += np.bincount(grams.ravel(), minlength=1 << BUCKET_BITS)
+                for run in _runs(group["t"].tolist(), _CHUNK):
+                    grams, starts = gram_buckets([t for _, t, _ in run])
+                    for a, (_, _, n) in zip(starts, run):
+                        table[langs.index(name)] += np.bincount(grams[:, a : a + n].ravel(), minlength=1 << BUCKET_BITS)
         at, bucket = np.nonzero(table)
         yield pd.DataFrame({"at": at, "bucket": bucket, "n": table[at, bucket]})
 
     counted = rows.filter(drawn < F.element_at(shares, F.col("l"))).select("t", "l").mapInPandas(releasing(count), "at bigint, bucket bigint, n bigint")
-    cells = counted.groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
-    table = np.zeros((len(langs), 1 << BUCKET_BITS))
-    table[cells["at"], cells["bucket"]] = cells["n"]
-    table += SMOOTHING
+
+    def row(group: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(1 << BUCKET_BITS)
+        cells[group["bucket"]] = group["n"]
+        return pd.DataFrame({"at": [int(group["at"].iloc[0])], "cells": [cells.tobytes()]})
+
+    cells = counted.groupBy("at", "bucket").agg(F.sum("n").alias("n")).groupBy("at").applyInPandas(row, "at bigint, cells binary")
+    table = np.full((len(langs), 1 << BUCKET_BITS), SMOOTHING)
+    for r in cells.toLocalIterator():  # a row of half a megabyte for each language
+        table[r["at"]] += np.frombuffer(r["cells"])
     number = {r["l"]: r["n"] for r in sizes}
     priors = np.log(np.array([number[x] for x in langs], float) / sum(number.values()))
     return Model(langs, np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T), priors)

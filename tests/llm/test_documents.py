@@ -51,6 +51,49 @@ def test_held_out_accuracy(spark, sf):
     assert got.filter("score < 0 or score > 1").count() == 0
 
 
+def naive_bayes(train, texts):
+    """Posteriors by plain counting: (languages, one row of probabilities for each text)."""
+    from math import exp, log
+
+    def buckets(text):
+        points = [ord(c) if ord(c) >= 0x3000 else ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text + "   "]
+        out = []
+        for at in range(len(text) + 1):
+            value = 0
+            for n in (1, 2, 3):
+                value = (value * 0x9E3779B1 + points[at + n - 1] + n) % 2**32
+                out.append(((value ^ value >> 15) * 0x85EBCA6B % 2**32) >> (32 - langid.BUCKET_BITS))
+        return out
+
+    langs = sorted({x for _, x in train})
+    counts = {x: {} for x in langs}
+    for t, x in train:
+        for b in buckets(t):
+            counts[x][b] = counts[x].get(b, 0) + 1
+    total = {x: sum(counts[x].values()) + langid.SMOOTHING * 2**langid.BUCKET_BITS for x in langs}
+    out = []
+    for t in texts:
+        logs = [log(sum(y == x for _, y in train) / len(train)) + sum(log((counts[x].get(b, 0) + langid.SMOOTHING) / total[x]) for b in buckets(t)) for x in langs]
+        top = [exp(v - max(logs)) for v in logs]
+        out.append([v / sum(top) for v in top])
+    return langs, out
+
+
+def test_language_against_plain_counts(spark, monkeypatch):
+    r = random.Random(6)
+    alphabets = {"x": "abcde é", "y": "cdefg ü", "z": "日本語 ab"}
+    train = [("".join(r.choice(alphabets[x]) for _ in range(r.randint(1, 80))) + "a", x) for x in r.choices("xyz", [5, 3, 2], k=90)]
+    texts = ["".join(r.choice("abcdefg éü日本.1İ") for _ in range(r.randint(0, 12))) + "a" for _ in range(60)] + ["cde" * 40]
+    langs, want = naive_bayes(train, texts)
+    docs = spark.createDataFrame([(f"t{i}", t, x) for i, (t, x) in enumerate(train)], "doc_id string, text string, lang string")
+    for chunk in (400_000, 7):  # texts whole, and in pieces
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        model = langid.fit(docs)
+        assert model.langs == langs
+        assert np.allclose(model.scores(texts), want, atol=1e-9)
+        assert np.allclose(model.scores(texts[3:9]), want[3:9], atol=1e-9)
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)]
     odd = [(100, None, "en"), (101, "123 ...", "en"), (102, "", None), (None, "the dog", None), (103, "the " * 200_000, None)]
