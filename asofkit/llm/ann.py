@@ -1,34 +1,42 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Codes: the signs of vectors under rotations learned by iterative quantization on a bounded sample. Each code is
-split into substrings of 16 bits, and each part of the data has one table per substring, from its value to rows.
-Two codes within Hamming radius r differ by at most floor(r / m) bits in some one of their m substrings
-(generalised: the first r mod m + 1 substrings get that bound, the others one less), so probing every substring value
-within its bound finds every code within the radius; those are then reranked by exact distances.
+split into m substrings of 16 bits, and a row's substrings are its postings, dealt once by (substring, value). Two codes within Hamming
+radius m * (b + 1) - 1 differ by at most b bits in some substring (pigeonhole), so a query that probes all values within b bits of
+its own meets every code within that radius. Queries go on from b = 0; what they meet is reranked by exact distances.
+
+A query is done once its radius is wide enough for the distance of its k-th best: the sample tells within which Hamming distance the
+rows lie that are as near as that (a share TARGET_RECALL of them). On vectors that form clusters most queries are done after few probes. On
+vectors without any structure near rows have codes half as far as any others, and no substring probing can keep rows out; queries
+that aren't done at b = MOST_BITS differing bits, where probes meet a tenth of all rows, are compared with all codes, in blocks, and rerank
+what lies within their radius.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, releasing, saved
+from asofkit.llm.common import bounded_batches, partitions_for, releasing, saved, tidy, work_path
 
-#: Vectors that rotations and the radius are learned from.
+#: Vectors that rotations and radii are learned from.
 SAMPLE = 4_096
 SAMPLE_QUERIES = 256
 BITS = 128
 TARGET_RECALL = 0.985
-#: Queries that go round at a time: their vectors and codes are what is broadcast.
+#: The most differing bits of a substring that are probed: 697 values of 65,536.
+MOST_BITS = 3
+#: Queries that are compared with all codes at a time: their vectors and codes are what is broadcast.
 QUERY_BLOCK = 16_384
-#: Rows of a table part at a time.
+#: Rows that are compared with them at a time.
 INDEX_BLOCK = 65_536
-_ones = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 @dataclass
@@ -36,6 +44,9 @@ class Codebook:
     mean: np.ndarray
     rotations: np.ndarray  # dimensions x bits
     radius: int
+    #: Rows nearer than edges[i] lie within Hamming distance within[i]; others within radius.
+    edges: list[float] = field(default_factory=list)
+    within: list[int] = field(default_factory=list)
 
     @property
     def words(self) -> int:
@@ -46,6 +57,13 @@ class Codebook:
         bits = (vectors - self.mean) @ self.rotations > 0
         return np.packbits(bits, axis=1).view(">u2").astype(np.uint16)
 
+    def needed(self, distance: Column) -> Column:
+        """The Hamming radius that rows as near as *distance* need."""
+        out = F.lit(self.radius)
+        for edge, h in reversed(list(zip(self.edges, self.within))):
+            out = F.when(distance <= edge, h).otherwise(out)
+        return out
+
 
 def _rotations(x: np.ndarray, bits: int, rng: np.random.Generator, rounds: int = 25) -> np.ndarray:
     """Iterative quantization: alternately sets codes to signs and turns the axes onto the codes; one rotation for each *dimensions* bits."""
@@ -63,14 +81,15 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances between all rows of *a* and of *b*."""
     out = np.zeros((len(a), len(b)), np.uint16)
     for w in range(a.shape[1]):
-        out += _ones[a[:, w, None] ^ b[None, :, w]]
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
     return out
 
 
 def learn(sample: np.ndarray, k: int, bits: int = BITS, target: float = TARGET_RECALL, seed: int = 1) -> Codebook:
-    """Rotations, and the least radius that holds *target* of the sample queries' true k nearest in the sample.
+    """Rotations, and how far codes of near rows lie apart.
 
-    Nearest neighbours in all data are nearer than those in a sample, so the radius errs on the wide side.
+    radius is the least that holds *target* of the sample queries' true k nearest in the sample. Nearest neighbours in all data are nearer than
+    those in a sample, so it errs on the wide side; within[i] holds *target* of the sample's pairs at most edges[i] apart, for distances that have enough pairs.
     """
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
@@ -79,38 +98,20 @@ def learn(sample: np.ndarray, k: int, bits: int = BITS, target: float = TARGET_R
     asks = sample[rng.permutation(len(sample))[:SAMPLE_QUERIES]]
     d = (asks**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * asks @ sample.T
     near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]  # the query itself is among them
-    held = np.take_along_axis(hamming(book.codes(asks), book.codes(sample)), near, axis=1)[:, 1:].ravel()
-    if len(held):
-        book.radius = int(np.sort(held)[min(len(held) - 1, int(np.ceil(target * len(held))))])
+    far = hamming(book.codes(asks), book.codes(sample))
+    held = np.take_along_axis(far, near, axis=1)[:, 1:].ravel()
+    if not len(held):
+        return book
+    apart = np.sqrt(np.maximum(np.take_along_axis(d, near, axis=1)[:, 1:], 0)).ravel()
+    quantile = lambda x: int(np.sort(x)[min(len(x) - 1, int(np.ceil(target * len(x))))])
+    book.radius = quantile(held)
+    order = np.argsort(apart, kind="stable")
+    steps = np.array_split(order, max(1, min(32, len(order) // 60)))
+    book.edges = [float(apart[s[-1]]) for s in steps]
+    book.within = np.maximum.accumulate([min(book.radius, quantile(held[s])) for s in steps]).tolist()
     return book
 
 
-class Tables:
-    """Substring tables over a block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.parts = codes, []
-        for w in range(codes.shape[1]):
-            order = np.argsort(codes[:, w], kind="stable").astype(np.int32)
-            values, first = np.unique(codes[order, w], return_index=True)
-            self.parts.append((values, np.append(first, len(order)), order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes are within *radius* of *code*."""
-        m = self.codes.shape[1]
-        each, more = divmod(radius, m)
-        hit = np.zeros(len(self.codes), bool)
-        for w, (values, first, order) in enumerate(self.parts):
-            bound = each if w <= more else each - 1
-            if bound < 0:
-                continue
-            v = np.flatnonzero(_ones[values ^ code[w]] <= bound)
-            size = first[v + 1] - first[v]
-            hit[order[np.repeat(first[v] - (np.cumsum(size) - size), size) + np.arange(size.sum())]] = True
-        rows = np.flatnonzero(hit)
-        return rows[_ones[self.codes[rows] ^ code].sum(axis=1) <= radius]
-
-
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """k, v: rows with a key whose vectors have finite components and aren't all zeros."""
     v = F.col("v")
@@ -119,13 +120,20 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(~F.exists(v, odd) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", bits: int = BITS) -> DataFrame:
+def _masks(bits: int) -> list[int]:
+    """All 16-bit words with so many bits set."""
+    return [sum(1 << i for i in c) for c in combinations(range(16), bits)]
+
+
+@tidy
+def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", bits: int = BITS, report: dict | None = None) -> DataFrame:
     """The *k* nearest of each query found: query_id, rank (from 1), vec_id, score (Euclidean distance), ties to the smaller vec_id.
 
     Queries are the rows whose key *every* divides; candidates are all rows with another key. Vectors that are
     null, all zero, or hold a null or a component that isn't finite take no part; neither do rows without a key, nor vectors
     whose length differs from the most frequent one. Rows that repeat a key count once each as candidates and once as a query
-    (with the least of their vectors). A query that finds fewer than k within the radius is compared with all rows. An empty table gives none.
+    (with the least of their vectors). A query that finds fewer than k is compared with all rows. An empty table gives none.
+    A *report* gets the numbers of rows, queries, pairs met by probing, queries left to blocks, and pairs compared there.
     """
     spark = embeddings.sparkSession
     bounded_batches(spark)
@@ -139,71 +147,144 @@ def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str =
     drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / total)))
     sample = np.array([r["v"] for r in rows.filter(drawn).orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()] or [r["v"] for r in rows.limit(1).collect()])
     book = learn(sample, k, bits)
-    asked = rows.filter(F.pmod("k", F.lit(every)) == 0).groupBy("k").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-total // QUERY_BLOCK) // every)
-    out = None
+    # Each row by a number of its own, for keys may repeat.
+    coded = saved(_coded(rows, book).withColumn("id", F.monotonically_increasing_id()), "codes")
+    asked = coded.filter(F.pmod("k", F.lit(every)) == 0).groupBy("k").agg(F.min(F.struct("v", "code")).alias("x"))
+    live = saved(asked.select(F.col("k").alias("q"), F.col("x.v").alias("qv"), F.col("x.code").alias("qcode"), F.lit(book.radius).alias("radius")), "queries")
+    if report is not None:
+        report.update(rows=total, queries=live.count(), met=0, scanned=0, left=0)
+    best = spark.createDataFrame([], "q bigint, id bigint, k bigint, score double")
+    table = _postings(coded)
+    try:
+        for b in range(MOST_BITS + 1):
+            met = saved(_met(live, spark.table(table), b), "met")
+            if report is not None:
+                report["met"] += met.count()
+            best = saved(_top(best.unionByName(_reranked(met, coded, live)), k), "best")
+            worst = best.groupBy("q").agg(F.max("score").alias("d"), F.count(F.lit(1)).alias("n"))
+            needs = F.when(F.col("n") >= k, book.needed(F.col("d"))).otherwise(book.radius)
+            live = live.drop("radius").join(worst, "q", "left").withColumn("radius", needs).drop("d", "n")
+            live = saved(live.filter(F.col("radius") > book.words * (b + 1) - 1), "queries")
+            if live.isEmpty():
+                break
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if not live.isEmpty():
+        best = _top(best.unionByName(_in_blocks(live, best, coded, book, k, report)), k)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("score", "k", "id"))
+    return saved(best.select(F.col("q").alias("query_id"), place.alias("rank"), F.col("k").alias("vec_id"), "score"), "nearest")
+
+
+def _coded(rows: DataFrame, book: Codebook) -> DataFrame:
+    """Adds code: the substrings, as numbers from 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(book)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(code=list(shared.value.codes(np.stack(batch["v"].to_numpy())).astype(np.int32)))
+
+    return rows.mapInPandas(releasing(run), "k bigint, v array<double>, code array<int>")
+
+
+def _postings(coded: DataFrame) -> str:
+    """The name of a table of postings (w, value, id, k, code), bucketed by (w, value): later joins don't shuffle it again."""
+    spark, name = coded.sparkSession, f"asofkit_postings_{uuid.uuid4().hex}"
+    n = partitions_for(spark)
+    rows = coded.select("id", "k", "code", F.posexplode("code").alias("w", "value")).repartition(n, "w", "value")
+    rows.write.option("path", work_path(spark, "postings")).option("compression", "zstd").bucketBy(n, "w", "value").saveAsTable(name)
+    return name
+
+
+def _met(live: DataFrame, postings: DataFrame, bits: int) -> DataFrame:
+    """q, id: the rows that queries meet at substrings exactly *bits* bits away, and whose codes lie within their radius, each once."""
+    masks = F.array(*[F.lit(m) for m in _masks(bits)])
+    probes = live.select("q", "qcode", "radius", F.posexplode("qcode").alias("w", "own"))
+    probes = probes.select("q", "qcode", "radius", "w", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    apart = F.aggregate(F.zip_with("qcode", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return probes.join(postings, ["w", "value"]).filter((F.col("k") != F.col("q")) & (apart <= F.col("radius"))).select("q", "id").distinct()
+
+
+def _reranked(met: DataFrame, coded: DataFrame, live: DataFrame) -> DataFrame:
+    """q, id, k, score of the rows met."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                score = _apart(np.stack(batch["v"].to_numpy()), np.stack(batch["qv"].to_numpy()))
+                yield batch[["q", "id", "k"]].assign(score=score)
+
+    pairs = met.join(coded.select("id", "k", "v"), "id").join(live.select("q", "qv"), "q")
+    return pairs.select("q", "id", "k", "v", "qv").mapInPandas(releasing(run), "q bigint, id bigint, k bigint, score double")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows of *a* to *b*: the same sums whatever rows come together."""
+    return np.sqrt((np.ascontiguousarray(a - b) ** 2).sum(axis=1))
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, each row once."""
+    once = found.dropDuplicates(["q", "id"])
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("score", "k", "id"))).filter(F.col("place") <= k).drop("place")
+
+
+def _in_blocks(live: DataFrame, best: DataFrame, coded: DataFrame, book: Codebook, k: int, report: dict | None) -> DataFrame:
+    """q, id, k, score: the k nearest of each query within its radius in each block of rows; of one that finds fewer than k, without a radius.
+
+    Queries come to the driver QUERY_BLOCK at a time.
+    """
+    rest = saved(live.withColumn("block", F.xxhash64("q")), "left_queries")
+    n = rest.count()
+    if report is not None:
+        report["left"] = n
+    blocks, out = -(-n // QUERY_BLOCK), None
     for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        found = _search(rows, part, book, k)
+        part = rest if blocks == 1 else rest.filter(F.pmod("block", F.lit(blocks)) == b)
+        found = saved(_scan(coded, part.collect(), k), "scanned")
+        if report is not None:
+            report["scanned"] += part.count() * report["rows"]
+        both = found.select("q", "id").union(best.join(part.select("q"), "q", "left_semi").select("q", "id")).distinct()
+        few = part.join(both.groupBy("q").count().filter(F.col("count") >= k), "q", "left_anti").withColumn("radius", F.lit(16 * book.words))
+        if short := few.collect():  # these look at everything
+            found = found.unionByName(saved(_scan(coded, short, k), "scanned"))
         out = found if out is None else out.unionByName(found)
-    return out.select(*schema.replace(" bigint", "").replace(" int", "").replace(" double", "").split(", "))
-
-
-def _search(rows: DataFrame, asked: DataFrame, book: Codebook, k: int) -> DataFrame:
-    spark = rows.sparkSession
-    got = asked.orderBy("k").collect()  # a block of queries
-    ids, vectors = np.array([r["k"] for r in got], np.int64), np.array([r["v"] for r in got], float).reshape(len(got), -1)
-    found = saved(_probe(rows, ids, vectors, book, k), "near")
-    enough = {r["query_id"] for r in found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).collect()}
-    short = np.array([i not in enough for i in ids.tolist()], bool)
-    if short.any():  # these look at everything
-        wide = Codebook(book.mean, book.rotations, book.rotations.shape[1])
-        rest = saved(_probe(rows, ids[short], vectors[short], wide, k), "near")
-        found = found.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids[short]], "query_id bigint")), "query_id", "left_anti").unionByName(rest)
-
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "vec_id"]).head(k)
-        return group.assign(rank=np.arange(1, len(group) + 1, dtype=np.int32))
-
-    # At most k rows of a query from each block of the index.
-    return found.groupBy("query_id").applyInPandas(best, "query_id bigint, vec_id bigint, score double, rank int")
-
-
-def _probe(rows: DataFrame, ids: np.ndarray, vectors: np.ndarray, book: Codebook, k: int) -> DataFrame:
-    """The k nearest within the radius of each query in each block of rows."""
-    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors, book.codes(vectors) if len(ids) else None, book))
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, asks, book = shared.value
-        for keys, data in _blocks(batches):
-            if not len(ids):
-                return
-            tables = Tables(book.codes(data))
-            out = []
-            for q, v, code in zip(ids, vectors, asks):
-                at = tables.within(code, book.radius)
-                at = at[keys[at] != q]
-                score = np.sqrt(((data[at] - v) ** 2).sum(axis=1))
+    return out
+
+
+def _scan(coded: DataFrame, queries: list, k: int) -> DataFrame:
+    """The k nearest of each of some queries within its radius in each block of rows, by comparing all codes."""
+    ids, radius = (np.array([r[c] for r in queries], np.int64) for c in ("q", "radius"))
+    vectors, codes = np.array([r["qv"] for r in queries], float), np.array([r["qcode"] for r in queries], np.uint16)
+    shared = coded.sparkSession.sparkContext.broadcast((ids, vectors, codes, radius))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, codes, radius = shared.value
+        wide = np.ascontiguousarray(codes).view(np.uint64)
+        for own, keys, data, of in _blocks(batches):
+            of, out = np.ascontiguousarray(of.astype(np.uint16)).view(np.uint64), []
+            for q, v, code, r in zip(ids, vectors, wide, radius):
+                at = np.flatnonzero((np.bitwise_count(of ^ code).sum(axis=1) <= r) & (keys != q))
+                score = _apart(data[at], v)
                 if len(at) > k:
-                    edge = np.partition(score, k - 1)[k - 1]
-                    keep = score <= edge
+                    keep = score <= np.partition(score, k - 1)[k - 1]
                     at, score = at[keep], score[keep]
                 order = np.lexsort((keys[at], score))[:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": keys[at[order]], "score": score[order]}))
+                out.append(pd.DataFrame({"q": q, "id": own[at[order]], "k": keys[at[order]], "score": score[order]}))
             yield pd.concat(out, ignore_index=True)
 
-    return rows.mapInPandas(releasing(probe), "query_id bigint, vec_id bigint, score double")
+    return coded.select("id", "k", "v", "code").mapInPandas(releasing(scan), "q bigint, id bigint, k bigint, score double")
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    keys, data, size = [], [], 0
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+    """ids, keys, vectors and codes of INDEX_BLOCK rows or so."""
+    held, size = [], 0
     for batch in batches:
         if len(batch):
-            keys.append(batch["k"].to_numpy(np.int64))
-            data.append(np.stack(batch["v"].to_numpy()))
+            held.append((batch["id"].to_numpy(np.int64), batch["k"].to_numpy(np.int64), np.stack(batch["v"].to_numpy()), np.stack(batch["code"].to_numpy())))
             size += len(batch)
         if size >= INDEX_BLOCK:
-            yield np.concatenate(keys), np.concatenate(data)
-            keys, data, size = [], [], 0
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
     if size:
-        yield np.concatenate(keys), np.concatenate(data)
+        yield tuple(np.concatenate(x) for x in zip(*held))

@@ -168,11 +168,49 @@ def test_neighbours_against_all_pairs(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
-def test_every_code_within_the_radius_is_found():
+def nearest_of(x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return set(np.lexsort((np.arange(len(x)), d))[:k].tolist())
+
+
+@pytest.mark.parametrize("bits", range(ann.MOST_BITS + 1))
+def test_probes_meet_every_code_within_the_bound(spark, bits):
+    """What queries meet with up to *bits* differing bits holds every row within Hamming distance m * (bits + 1) - 1."""
     r = np.random.default_rng(5)
-    codes = r.integers(0, 1 << 16, (3000, 4), dtype=np.uint16)
-    tables = ann.Tables(codes)
-    for radius in (0, 3, 17, 22, 40):
-        q = codes[7] ^ np.array([1, 0, 3, 0], np.uint16)
-        want = np.flatnonzero(ann.hamming(q[None], codes)[0] <= radius)
-        assert (tables.within(q, radius) == want).all()
+    codes = r.integers(0, 1 << 16, (400, 4), dtype=np.uint16)
+    for i in range(0, 300):  # neighbours of the first code at all distances
+        codes[i + 1] = codes[0]
+        for b in r.permutation(64)[: i % 24]:
+            codes[i + 1, b // 16] ^= 1 << (b % 16)
+    rows = [(i, i, [float(i)], c.tolist()) for i, c in enumerate(codes)]
+    coded = spark.createDataFrame(rows, "id bigint, k bigint, v array<double>, code array<int>")
+    table = ann._postings(coded)
+    live = spark.createDataFrame([(0, codes[0].tolist(), 64)], "q bigint, qcode array<int>, radius int")
+    met = {x["id"] for b in range(bits + 1) for x in ann._met(live, spark.table(table), b).collect()}
+    spark.sql(f"DROP TABLE {table}")
+    far = ann.hamming(codes[:1], codes)[0]
+    assert {i for i in range(1, 400) if far[i] <= 4 * (bits + 1) - 1} <= met
+    assert met == {i for i in range(1, 400) if min(bin(int(a ^ b)).count("1") for a, b in zip(codes[0], codes[i])) <= bits}
+
+
+def test_few_rows_are_met_in_clusters(spark):
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((500, 64))
+    x = centres[r.integers(0, 500, 50_000)] + 0.25 * r.standard_normal((50_000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, every=1000, report=(report := {})).collect()
+    hits = sum(len({g["vec_id"] for g in got if g["query_id"] == q} & nearest_of(x, q)) for q in range(0, 50_000, 1000))
+    assert hits >= 0.95 * 500 and report["queries"] == 50
+    assert report["met"] + report["scanned"] < 0.1 * 50 * 50_000, report
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf, size):
+    rows = spark.read.parquet(f"{Path(sf).parent}/{size}/embeddings.parquet").orderBy("vec_id")
+    data = rows.collect()
+    x, ids = np.array([d["embedding"] for d in data], float), np.array([d["vec_id"] for d in data])
+    got = ann.nearest(rows).collect()
+    queries = np.flatnonzero(ids % 100 == 0)
+    hits = sum(len({g["vec_id"] for g in got if g["query_id"] == ids[q]} & {int(ids[i]) for i in nearest_of(x, q)}) for q in queries)
+    assert hits >= 0.95 * 10 * len(queries)
