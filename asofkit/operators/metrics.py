@@ -14,20 +14,28 @@ def _placed(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))
 
 
-def reciprocal_ranks(df: DataFrame, group: str, score: str, clicked: str, tie: str = "item_id", no_click: str = "drop") -> DataFrame:
-    """One row per group: 1 / (place of the first clicked row by descending score). Groups without a click are dropped, or count 1 / their size ("size")."""
+def reciprocal_ranks(df: DataFrame, group: str, score: str, clicked: str, tie: str = "item_id", no_click: str = "drop", single: bool = False) -> DataFrame:
+    """One row per group: 1 / (place of the first clicked row by descending score). Groups without a click are dropped, or count 1 / their size ("size"). *single*: in single precision."""
     per = _placed(df, group, score, tie).groupBy(group).agg(F.min(F.when(F.col(clicked) == 1, F.col("_place"))).alias("p"), F.count(F.lit(1)).alias("n"))
     if no_click == "drop":
         per = per.filter("p is not null")
-    return per.select(group, (1 / F.coalesce("p", "n")).alias("rr"))
+    rr = 1 / F.coalesce("p", "n")
+    return per.select(group, (rr.cast("float") if single else rr).alias("rr"))
+
+
+#: Ranges between the least and the greatest score.
+_RANGES = 4_096
 
 
 def auc(df: DataFrame, score: str, clicked: str) -> DataFrame:
     """Area under the ROC curve in one row, from counts by score: ties count half.
 
-    Scores are aggregated first and cut into ranges, whose totals go through one small window; no task sees all scores.
+    Scores are aggregated first and cut into _RANGES ranges, whose totals go through one small window; no task sees all scores.
     """
-    counts = df.groupBy(score).agg(F.sum(F.col(clicked)).alias("pos"), F.sum(1 - F.col(clicked)).alias("neg")).withColumn("_range", F.floor(F.col(score) * 64))
+    ends = df.agg(F.min(score).cast("double").alias("a"), F.max(score).cast("double").alias("b")).first()
+    span = (ends["b"] - ends["a"]) or 1.0 if ends["a"] is not None else 1.0
+    place = F.least(F.floor((F.col(score) - F.lit(ends["a"] or 0.0)) / F.lit(span) * _RANGES), F.lit(_RANGES - 1))
+    counts = df.groupBy(score).agg(F.sum(F.col(clicked)).alias("pos"), F.sum(1 - F.col(clicked)).alias("neg")).withColumn("_range", place)
     totals = counts.groupBy("_range").agg(F.sum("neg").alias("t"))
     before = totals.select("_range", F.coalesce(F.sum("t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,6 +44,35 @@ def auc(df: DataFrame, score: str, clicked: str) -> DataFrame:
     return ranked.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
+def exact_quantile(df: DataFrame, column: str, q: float, few: int = 10_000) -> float | None:
+    """The q-quantile of an integer column, interpolated between neighbours; null without rows.
+
+    Counts by range narrow the search until few rows or one value are left: nowhere do all values meet.
+    """
+    row = df.agg(F.count(column).alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).first()
+    if not row["n"]:
+        return None
+    place = q * (row["n"] - 1)
+
+    def at(k: int) -> int:
+        low, high, skip = row["a"], row["b"], k
+        while low < high:
+            part = df.filter(F.col(column).between(low, high))
+            width = (high - low) // 1_024 + 1
+            counts = sorted(part.groupBy(F.expr(f"(`{column}` - {low}L) div {width}L").alias("r")).count().collect())
+            for r, n in counts:
+                if skip < n:
+                    break
+                skip -= n
+            low, high = low + r * width, min(high, low + (r + 1) * width - 1)
+            if n <= few:
+                return sorted(x[0] for x in df.filter(F.col(column).between(low, high)).select(column).collect())[skip]
+        return low
+
+    below, above = at(int(place)), at(min(int(place) + 1, row["n"] - 1))
+    return below + (above - below) * (place - int(place))
+
+
 def blend(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     total = F.lit(0.0)
     for c, w in weights.items():
@@ -74,11 +111,41 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int
     return simplex[int(np.argmin(values))]
 
 
-def fit_blend(df: DataFrame, scores: Sequence[str], group: str, clicked: str, rounds: int | None = 12) -> dict[str, float]:
-    """Weights that maximise the mean reciprocal rank, found by Nelder-Mead (rounds None: until its simplex is small); each try is one aggregation over the data."""
+def powell(f: Callable[[np.ndarray], float], start: np.ndarray, rounds: int = 12, step: float = 0.5, close: float = 1e-3) -> np.ndarray:
+    """Minimises *f* by line searches along directions, the least useful of which gives way to the whole way of a round; deterministic."""
+    point, value, ways = np.array(start, float), f(np.array(start, float)), list(np.eye(len(start)))
+
+    def along(p: np.ndarray, v: float, way: np.ndarray) -> tuple[np.ndarray, float]:
+        size = step
+        while size > close:
+            tried = [(f(p + t * way), t) for t in (size, -size)]
+            best, t = min(tried)
+            if best < v:
+                p, v = p + t * way, best
+            else:
+                size /= 2
+        return p, v
+
+    for _ in range(rounds):
+        begun, gains = (point, value), []
+        for way in ways:
+            before = value
+            point, value = along(point, value, way)
+            gains.append(before - value)
+        moved = point - begun[0]
+        if begun[1] - value <= 0 or np.abs(moved).max() <= close:
+            break
+        ways.pop(int(np.argmax(gains)))
+        ways.append(moved / np.abs(moved).max())
+    return point
+
+
+def fit_blend(df: DataFrame, scores: Sequence[str], group: str, clicked: str, rounds: int | None = 12, tie: str = "item_id", method: str = "simplex") -> dict[str, float]:
+    """Weights that maximise the mean reciprocal rank, found by Nelder-Mead (rounds None: until its simplex is small) or, with "lines", by searches along conjugate directions; each try is one aggregation over the data."""
 
     def loss(w: np.ndarray) -> float:
         mixed = blend(df, dict(zip(scores, w)))
-        return -(reciprocal_ranks(mixed, group, "blend", clicked).agg(F.avg("rr")).first()[0] or 0.0)
+        return -(reciprocal_ranks(mixed, group, "blend", clicked, tie).agg(F.avg("rr")).first()[0] or 0.0)
 
-    return dict(zip(scores, nelder_mead(loss, np.full(len(scores), 1 / len(scores)), rounds).tolist()))
+    start = np.full(len(scores), 1 / len(scores))
+    return dict(zip(scores, (powell(loss, start, rounds or 12) if method == "lines" else nelder_mead(loss, start, rounds)).tolist()))

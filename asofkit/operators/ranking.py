@@ -8,8 +8,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,18 +43,89 @@ def score(df: DataFrame, model: PipelineModel, features: Sequence[str], keys: Se
     return out.select(*keys, (F.col("score") if "score" in out.columns else vector_to_array("probability")[1]).alias("score"))
 
 
-def validate_models(train: DataFrame, val: DataFrame, configs: Sequence[dict], features: Sequence[str], label: str, group: str, tie: str = "item_id") -> DataFrame:
-    """Fits one ranker per configuration (name, model_class, params) and scores *val*: group, tie, label and a column of scores per name, each over its deviation in the group + 1."""
+def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    ready = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    return VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="features").transform(ready)
+
+
+def _pulls(score: Column, group: str) -> tuple[Column, Column]:
+    """(gradient, loss of the group) of a list's pairs (clicked, other): log(1 + exp(other - clicked)), from window aggregates, no pair is listed."""
+    w = Window.partitionBy(group)
+    clicked = F.avg(F.when(F.col("label") == 1, score)).over(w)
+    gap = 1 / (1 + F.exp(F.greatest(F.least(clicked - score, F.lit(30.0)), F.lit(-30.0))))
+    other = F.when(F.col("label") == 0, gap)
+    push = F.sum(other).over(w) / F.greatest(F.sum("label").over(w), F.lit(1.0))
+    return F.when(F.col("label") == 1, push).otherwise(-gap), F.when(F.col("label") == 0, F.log1p(F.exp(F.least(score - clicked, F.lit(30.0)))))
+
+
+class GroupedRanker:
+    """Boosted trees for lists: each tree follows the gradient of the pairwise logistic loss between a list's clicked member and its others."""
+
+    def __init__(self, features: Sequence[str], group: str, rounds: int = 10, rate: float = 0.3, **tree):
+        self.features, self.group, self.rounds, self.rate = list(features), group, rounds, rate
+        self.tree = {"maxDepth": 4, "seed": 1, "minInstancesPerNode": 5} | tree
+        self.trees: list = []
+        self.losses: list[float] = []
+
+    def fit(self, df: DataFrame, label: str) -> GroupedRanker:
+        """Lists without a click, or without another member, have no pairs and take no part. losses gets the mean pair loss before each tree."""
+        rows = _vectors(df.withColumn("label", F.col(label).cast("double")), self.features).select(self.group, "label", "features")
+        w = Window.partitionBy(self.group)
+        rows = rows.withColumns({"_hits": F.sum("label").over(w), "_n": F.count(F.lit(1)).over(w)}).filter("_hits > 0 and _hits < _n").drop("_hits", "_n")
+        for _ in range(self.rounds):
+            scored = rows.withColumn("s", self._sum())
+            gradient, loss = _pulls(F.col("s"), self.group)
+            ready = scored.withColumns({"pull": gradient, "loss": loss})
+            self.losses.append(ready.agg(F.avg("loss")).first()[0] or 0.0)
+            self.trees.append(DecisionTreeRegressor(featuresCol="features", labelCol="pull", predictionCol="p", **self.tree).fit(ready.select("features", "pull")))
+            rows = self._applied(rows, len(self.trees) - 1)
+        return self
+
+    def _applied(self, rows: DataFrame, k: int) -> DataFrame:
+        return self.trees[k].setPredictionCol(f"_t{k}").transform(rows)
+
+    def _sum(self) -> Column:
+        out = F.lit(0.0)
+        for k in range(len(self.trees)):
+            out = out + F.col(f"_t{k}") * F.lit(self.rate)
+        return out
+
+    def score(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        rows = _vectors(df, self.features).select(*keys, "features")
+        for k in range(len(self.trees)):
+            rows = self._applied(rows, k)
+        return rows.select(*keys, self._sum().alias("score"))
+
+
+def validate_models(train: DataFrame, val: DataFrame, configs: Sequence[dict], features: Sequence[str], label: str, keys: Sequence[str]) -> DataFrame:
+    """Fits one ranker per configuration (name, model_class, params) and scores *val*: keys (the list, then what tells its members apart), label and a column
+    of scores per name, each over its deviation in the list + 1. The class "grouped" is GroupedRanker."""
     from asofkit.operators.groupwise import normalised
 
-    out = val.select(group, tie, F.col(label).alias("label"))
+    keys = list(keys)
+    out = val.select(*keys, F.col(label).alias("label"))
     for c in configs:
-        model = fit_ranker(train, features, label, c["model_class"], **c.get("params", {}))
-        scored = normalised(score(val, model, features, [group, tie]), group, "score").select(group, tie, F.col("by_sd").alias(c["name"]))
-        out = out.join(scored, [group, tie])
+        if c["model_class"] == "grouped":
+            scores = GroupedRanker(features, keys[0], **c.get("params", {})).fit(train, label).score(val, keys)
+        else:
+            scores = score(val, fit_ranker(train, features, label, c["model_class"], **c.get("params", {})), features, keys)
+        scored = normalised(scores, keys[0], "score").select(*keys, F.col("by_sd").alias(c["name"]))
+        out = out.join(scored, keys)
     return out
 
 
+def train_and_submit(train: DataFrame, val: DataFrame, test: DataFrame, configs: Sequence[dict], features: Sequence[str], label: str, keys: Sequence[str], submission: Sequence[str], item: str = "item_id", rounds: int | None = 8) -> tuple[dict[str, float], DataFrame]:
+    """Fits all configurations, finds the weights of their scores on *val* and ranks the lists of *test*: the weights, and one row per list of recommendations (columns *submission*)."""
+    from asofkit.operators.metrics import blend, fit_blend, recommendations
+
+    names = [c["name"] for c in configs]
+    stacked = validate_models(train, val, configs, features, label, keys)
+    weights = fit_blend(stacked, names, keys[0], "label", rounds, tie=keys[1])
+    scored = validate_models(train, test.withColumn(label, F.lit(0)), configs, features, label, keys)
+    mixed = blend(test.join(scored.drop("label"), list(keys)), weights)
+    return weights, recommendations(mixed, submission, item, "blend")
+
+
 def usable_runs(runs: DataFrame, rows: int, least: float, group: str, score_column: str, clicked: str, tie: str = "item_id") -> DataFrame:
     """run, n, mrr of runs with exactly *rows* predictions and a mean reciprocal rank above *least*; *runs* has a column run."""
     from asofkit.operators.metrics import reciprocal_ranks
@@ -63,3 +134,9 @@ def usable_runs(runs: DataFrame, rows: int, least: float, group: str, score_colu
     per = reciprocal_ranks(keyed, "_group", score_column, clicked, tie).groupBy(F.col("_group.run").alias("run")).agg(F.avg("rr").alias("mrr"))
     counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == rows)
     return counts.join(per, "run").filter(F.col("mrr") > least)
+
+
+def common_runs(val: DataFrame, submit: DataFrame) -> DataFrame:
+    """run: the hashes at the end of file names (name) that both lists have."""
+    run = F.regexp_extract("name", r"_([0-9a-f]+)\.[a-z]+$", 1).alias("run")
+    return val.select(run).intersect(submit.select(run))

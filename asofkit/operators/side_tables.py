@@ -89,9 +89,11 @@ def dwell_times(actions: DataFrame) -> DataFrame:
     return times.groupBy("reference").agg(F.min("dwell").alias("dwell_min"), F.max("dwell").alias("dwell_max"), F.avg("dwell").alias("dwell_mean"), F.percentile("dwell", 0.5).alias("dwell_median"))
 
 
-def loo_users(rows: DataFrame, *keys: str) -> DataFrame:
-    """Distinct users by keys and stat, as counts and as sorted lists: leave-one-out counts subtract a user who is among them."""
-    return rows.groupBy(*keys, "stat").agg(F.array_sort(F.collect_set("user_id")).alias("users")).withColumn("n_users", F.size("users"))
+def loo_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """For each of the distinct users by keys and stat, how many others there are: leave-one-out counts. One row per user, no list of them."""
+    members = rows.select(*keys, "stat", "user_id").distinct()
+    sizes = members.groupBy(*keys, "stat").agg(F.count(F.lit(1)).alias("n"))
+    return members.join(sizes, [*keys, "stat"]).select(*keys, "stat", "user_id", (F.col("n") - 1).alias("others"))
 
 
 def property_codes(properties: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def property_codes(properties: DataFrame) -> DataFrame:
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("property"))
-    return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "part").select("property", (F.col("before") + F.col("inside") - 1).cast("int").alias("code"))
+    return ranged.withColumn("inside", inside).join(offsets, "part").select("property", (F.col("before") + F.col("inside") - 1).cast("int").alias("code"))
 
 
 def dense_properties(items: DataFrame, scales: dict[str, dict[str, int]], flags: dict[str, str]) -> DataFrame:

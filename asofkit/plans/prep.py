@@ -239,14 +239,14 @@ def dwell_time(spark, sf):
     return side.dwell_times(_e(spark, sf)).withColumns({c: F.round(c, 6) for c in ("dwell_mean", "dwell_median")})
 
 
-_LOO = """, u AS (SELECT item_id, platform, user_id, 'impressions' AS stat FROM ob UNION ALL SELECT item_id, platform, user_id, 'clickout item' FROM ob WHERE was_clicked = 1)
-    SELECT {k}, stat, count(DISTINCT user_id)::INTEGER AS n_users, array_to_string(list_sort(list(DISTINCT user_id)), '|') AS users FROM u GROUP BY {k}, stat"""
+_LOO = """, u AS (SELECT item_id, platform, user_id, 'impressions' AS stat FROM ob UNION ALL SELECT item_id, platform, user_id, 'clickout item' FROM ob WHERE was_clicked = 1),
+    m AS (SELECT DISTINCT {k}, stat, user_id FROM u) SELECT {k}, stat, user_id, (count(*) OVER (PARTITION BY {k}, stat) - 1) AS others FROM m"""
 
 
 def _loo(spark, sf, *keys):
     ob = _ob(spark, sf)
     rows = ob.select("item_id", "platform", "user_id", F.explode(F.when(F.col("was_clicked") == 1, F.array(F.lit("impressions"), F.lit("clickout item"))).otherwise(F.array(F.lit("impressions")))).alias("stat"))
-    return side.loo_users(rows, *keys).select(*keys, "stat", "n_users", S.list_key("users").alias("users"))
+    return side.loo_counts(rows, *keys)
 
 
 @query(_LOO.format(k="item_id"), "o")

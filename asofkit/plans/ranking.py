@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from asofkit.functions import scalars as S
 from asofkit.operators import groupwise as gw
 from asofkit.operators import listcompare as lc
+from asofkit.operators import matrix as mx
 from asofkit.operators import metrics as mt
+from asofkit.operators import features as feat
 from asofkit.operators import ranking as rk
+from asofkit.operators import side_tables as side
 from asofkit.operators import vectorize as vz
-from asofkit.operators.prequential import before
+from asofkit.operators.prequential import as_of, before
 from asofkit.plans.prep import _o, _ob
 from asofkit.plans.registry import query
 from asofkit.plans.state import _both, rounded
@@ -196,7 +199,10 @@ def blend_score(spark, sf):
 def blend_weights(spark, sf):
     """Weights of two scores that Nelder-Mead finds for the mean reciprocal rank."""
     df = _scored(spark, sf).filter("is_test = 0").select("seq", "item_id", "s1", "s2", "was_clicked").cache()
-    w = mt.fit_blend(df, ["s1", "s2"], "seq", "was_clicked", rounds=None)
+    try:
+        w = mt.fit_blend(df, ["s1", "s2"], "seq", "was_clicked", rounds=None)
+    finally:
+        df.unpersist()
     return spark.createDataFrame(list(w.items()), "score string, weight double")
 
 
@@ -208,8 +214,7 @@ def submission_format(spark, sf):
 @query(", q AS (SELECT quantile_cont(seq, 0.9) AS c FROM ev) SELECT seq, user_id, (seq > c)::INTEGER AS is_val FROM ev, q", "o")
 def time_split(spark, sf):
     ev = _o(spark, sf).select("seq", "user_id")
-    cut = ev.agg(F.percentile("seq", 0.9).alias("c"))
-    return ev.join(F.broadcast(cut)).select("seq", "user_id", (F.col("seq") > F.col("c")).cast("int").alias("is_val"))
+    return ev.select("seq", "user_id", (F.col("seq") > F.lit(mt.exact_quantile(ev, "seq", 0.9))).cast("int").alias("is_val"))
 
 
 @query(", u AS (SELECT DISTINCT user_id FROM ev), k AS (SELECT user_id FROM u ORDER BY md5('7|' || user_id::VARCHAR), user_id LIMIT 200) SELECT e.seq, e.user_id, (k.user_id IS NOT NULL)::INTEGER AS sampled FROM ev e LEFT JOIN k USING (user_id) WHERE k.user_id IS NOT NULL OR e.is_test = 1", "o")
@@ -253,11 +258,11 @@ def ftrl(spark, sf):
 
 @query()
 def ranker_fit(spark, sf):
-    """A boosted ranker fitted on early train events, scores for the others."""
+    """A boosted ranker fitted on early train events, scores for all."""
     obs = _ob(spark, sf).withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
     features = ["price", "rank", "n", "step"]
     model = rk.fit_ranker(obs.filter("is_test = 0 and late = 0"), features, "was_clicked", "boosted", maxIter=3, maxDepth=3)
-    return rk.score(obs.filter("late = 1"), model, features, ["seq", "rank", "item_id"]).select("seq", "rank", "item_id", F.round("score", 6).alias("score"))
+    return rk.score(obs, model, features, ["seq", "rank", "item_id"]).select("seq", "rank", "item_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -278,5 +283,158 @@ def models_validated(spark, sf):
     """Two rankers on early events, their normalised scores on late ones."""
     obs = _ob(spark, sf).withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
     configs = [{"name": "boosted", "model_class": "boosted", "params": {"maxIter": 2, "maxDepth": 2}}, {"name": "logistic", "model_class": "logistic"}]
-    train, val = obs.filter("is_test = 0 and late = 0"), obs.filter("late = 1").dropDuplicates(["seq", "item_id"])
-    return rk.validate_models(train, val, configs, ["price", "rank", "n", "step"], "was_clicked", "seq").withColumns({n: F.round(n, 6) for n in ("boosted", "logistic")})
+    train = obs.filter("is_test = 0 and late = 0")
+    return rk.validate_models(train, obs, configs, ["price", "rank", "n", "step"], "was_clicked", ["seq", "rank"]).withColumns({n: F.round(n, 6) for n in ("boosted", "logistic")})
+
+
+@query()
+def ranker_grouped(spark, sf):
+    """Trees boosted on the pairs of each list, fitted on early train events; scores for all."""
+    obs = _ob(spark, sf).withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
+    model = rk.GroupedRanker(["price", "rank", "n", "step"], "seq", rounds=4, maxDepth=3).fit(obs.filter("is_test = 0 and late = 0"), "was_clicked")
+    return model.score(obs, ["seq", "rank", "item_id"]).withColumn("score", F.round("score", 6))
+
+
+@query()
+def trained_submission(spark, sf):
+    """Two rankers fitted, their weights found on later events, the lists of test events in the blend's order."""
+    obs = _ob(spark, sf).withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
+    configs = [{"name": "grouped", "model_class": "grouped", "params": {"rounds": 2, "maxDepth": 3}}, {"name": "logistic", "model_class": "logistic"}]
+    train, val = obs.filter("is_test = 0 and late = 0"), obs.filter("is_test = 0 and late = 1")
+    return rk.train_and_submit(train, val, obs.filter("is_test = 1"), configs, ["price", "rank", "n", "step"], "was_clicked", ["seq", "rank"], ["user_id", "session_id", "ts", "step"], rounds=3)[1]
+
+
+@query(_SC + " SELECT round(avg((1.0::DOUBLE / coalesce(p, n))::FLOAT::DOUBLE), 5) AS mrr, count(*) AS groups FROM g", "o")
+def mrr_single(spark, sf):
+    """In single precision, lists without a click at one over their length."""
+    return mt.reciprocal_ranks(_scored(spark, sf), "seq", "s1", "was_clicked", no_click="size", single=True).agg(F.round(F.avg(F.col("rr").cast("double")), 5).alias("mrr"), F.count(F.lit(1)).alias("groups"))
+
+
+@query(" SELECT seq, rank, n AS impressions_num, rank AS pos, round(rank / n::DOUBLE, 6) AS pos_norm FROM ob", "o")
+def list_positions(spark, sf):
+    return _ob(spark, sf).select("seq", "rank", F.col("n").alias("impressions_num"), F.col("rank").alias("pos"), F.round(F.col("rank") / F.col("n"), 6).alias("pos_norm"))
+
+
+# ---------------------------------------------------------------- the feature matrix
+
+
+_LISTED = ", m AS (SELECT p_partkey AS item_id, string_split(p_name, ' ') AS properties FROM part), x AS (SELECT ob.seq, ob.rank, ob.is_test, ob.price, ob.n, ob.step, ob.platform, ob.device, ob.filters, coalesce(m.properties, []) AS properties FROM ob LEFT JOIN m USING (item_id)), ft AS (SELECT * FROM x WHERE is_test = 1)"
+
+
+def _matrix_sql() -> str:
+    def lag(c: str, k: int) -> str:
+        return f"coalesce(lag({c}, {k}) OVER w, 0)", f"coalesce(lead({c}, {k}) OVER w, 0)"
+
+    dense = {}
+    for branch, c, reach in (("lag", "price", 1), ("lag_2", "rank", 2)):
+        for k in range(1, reach + 1):
+            for way, e in zip(("prev", "next"), lag(c, k)):
+                dense[f"{branch}_{c}_{way}_{k}"], dense[f"{branch}_{c}_{way}_{k}_diff"] = e, f"{c} - {e}"
+    dense["rank_asc"], dense["rank_desc"] = "(count(*) OVER (PARTITION BY seq ORDER BY price)) - 1", "(count(*) OVER (PARTITION BY seq ORDER BY price DESC)) - 1"
+    cols = ", ".join(f"({e})::DOUBLE AS {c}" for c, e in dense.items())
+    made = f"z AS (SELECT *, {cols}, max(CASE WHEN rank = 0 THEN price END) OVER (PARTITION BY seq) AS p0 FROM x WINDOW w AS (PARTITION BY seq ORDER BY rank))"
+    shifts = ", ".join(f"(SELECT CASE WHEN v IN (lo, hi) THEN v ELSE 0 END FROM (SELECT (SELECT {c} FROM z WHERE is_test = 1 GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS v, (SELECT min({c}) FROM z WHERE is_test = 1) AS lo, (SELECT max({c}) FROM z WHERE is_test = 1) AS hi)) AS {c}" for c in dense)
+    total = lambda names: " + ".join(f"(z.{c} - sh.{c})" for c in names)
+    bag = lambda col, least, alias: f"{alias}t AS (SELECT t FROM (SELECT DISTINCT seq, rank, unnest({col}) AS t FROM ft) GROUP BY t HAVING count(*) >= {least}), {alias} AS (SELECT seq, rank, count(*) AS v FROM (SELECT seq, rank, unnest({col}) AS t FROM x) JOIN {alias}t USING (t) GROUP BY ALL)"
+    grams = "list_transform(generate_series(1, greatest(length(device) - 2, 0)), lambda i: substr(device, i, 3))"
+    lags, lags2 = [c for c in dense if c.startswith("lag_price")], [c for c in dense if c.startswith("lag_2")]
+    return (
+        _LISTED
+        + f""", {made}, sh AS (SELECT {shifts}), {bag("properties", 20, "b1")}, {bag("string_split(filters, '|')", 2, "b2")}, {bag(grams, 2, "g3")},
+    c AS (SELECT platform, count(*) AS k FROM ft GROUP BY platform), d AS (SELECT device, count(*) AS k FROM ft GROUP BY device)
+    SELECT z.seq, z.rank, (coalesce(price, -9999) + step + z.n)::DOUBLE AS numeric, {total(lags)} AS lag, {total(lags2)} AS lag_2, {total(["rank_asc", "rank_desc"])} AS "rank_sum", round(price / p0::DOUBLE, 6) AS rank_0,
+    (coalesce(c.k >= 30, FALSE)::INTEGER + coalesce(d.k >= 5, FALSE)::INTEGER)::DOUBLE AS categorical, (coalesce(b1.v, 0) + coalesce(b2.v, 0))::DOUBLE AS bag, coalesce(g3.v, 0)::DOUBLE AS ngram, (price % 10 + z.rank)::DOUBLE AS map
+    FROM z CROSS JOIN sh LEFT JOIN b1 USING (seq, rank) LEFT JOIN b2 USING (seq, rank) LEFT JOIN g3 USING (seq, rank) LEFT JOIN c USING (platform) LEFT JOIN d USING (device)"""
+    )
+
+
+def _matrix_cells(spark, sf) -> DataFrame:
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("item_id"), F.split("p_name", " ").alias("properties"))
+    rows = _ob(spark, sf).join(names, "item_id", "left").withColumns({"terms": F.split("filters", r"\|"), "facts": F.create_map(F.lit("cents"), (F.col("price") % 10).cast("double"), F.lit("place"), F.col("rank").cast("double"))})
+    spec = mx.Branches(numeric=["price", "step", "n"], lagged=["price"], lagged_2=["rank"], ranked=["price"], categorical={"platform": 30, "device": 5}, bags={"properties": 20, "terms": 2}, ngrams={"device": (3, 2)}, maps=["facts"], at_rank_0=["price"])
+    return mx.FeatureMatrix(spec).fit(rows.filter("is_test = 1")).transform(rows)
+
+
+@query(_matrix_sql(), "o")
+def feature_matrix(spark, sf):
+    """The matrix, fitted on test rows as the original does it; each branch's cells added up by row."""
+    cells = _matrix_cells(spark, sf)
+    kinds = {"numeric": "numeric", "lag": "lag", "lag_2": "lag_2", "rank": "rank_sum", "rank_0": "rank_0", "categorical": "categorical", "bag": "bag", "ngram": "ngram", "map": "map"}
+    sums = cells.groupBy("seq", "rank").agg(*[F.coalesce(F.sum(F.when(F.col("branch") == b, F.col("value"))), F.lit(0.0)).alias(a) for b, a in kinds.items()])
+    return sums.withColumn("rank_0", F.round("rank_0", 6))
+
+
+@query()
+def feature_vectors(spark, sf):
+    """The same as sparse vectors: how many cells each row has."""
+    cells = _matrix_cells(spark, sf)
+    from pyspark.ml.functions import vector_to_array
+
+    vectors = mx.to_vectors(cells, cells.select("feature").distinct())
+    return vectors.select("seq", "rank", F.size(F.filter(vector_to_array("features"), lambda v: v != 0)).alias("cells"))
+
+
+_ENG = """, u AS (SELECT seq, user_id, reference, idx FROM ev WHERE is_test = 0 AND reference IS NOT NULL), l AS (SELECT e.seq, max_by(u.reference, u.seq) AS last_item, max_by(u.idx, u.seq) AS last_index FROM ev e LEFT JOIN u ON u.user_id = e.user_id AND u.seq < e.seq GROUP BY e.seq),
+    k AS (SELECT p.seq, p.rank, count(u.seq) AS clicks FROM ob p LEFT JOIN u ON u.user_id = p.user_id AND u.reference = p.item_id AND u.seq < p.seq GROUP BY p.seq, p.rank),
+    s AS (SELECT seq, rank, count(CASE WHEN is_test = 0 THEN 1 END) OVER (PARTITION BY user_id, item_id ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM ob),
+    dp AS (SELECT DISTINCT city, platform, item_id, price FROM ob), pp AS (SELECT DISTINCT platform, price, ((rank() OVER w) + (count(*) OVER w)) / 2.0 / (count(*) OVER (PARTITION BY platform)) AS pct FROM dp WINDOW w AS (PARTITION BY platform ORDER BY price)),
+    pc AS (SELECT DISTINCT city, price, ((rank() OVER w) + (count(*) OVER w)) / 2.0 / (count(*) OVER (PARTITION BY city)) AS pct_city FROM dp WINDOW w AS (PARTITION BY city ORDER BY price)),
+    di AS (SELECT DISTINCT item_id, price FROM ob), pr AS (SELECT item_id, price, count(*) OVER (PARTITION BY item_id ORDER BY price) AS price_rank_asc FROM di),
+    dd AS (SELECT DISTINCT a.item_id AS above, b.item_id AS below FROM ob a JOIN ob b ON a.seq = b.seq AND a.rank < b.rank WHERE contains(a.filters, 'URGENT')), dr AS (SELECT item_id, sum(win) / count(*)::DOUBLE AS rating FROM (SELECT above AS item_id, 1 AS win FROM dd UNION ALL SELECT below, 0 FROM dd) GROUP BY item_id)
+    SELECT ob.seq, ob.rank, ob.item_id, trim(split_part(city, ',', -1)) AS country, CASE platform WHEN 'NATION_1' THEN 'A' WHEN 'NATION_2' THEN 'B' END AS continent, (trim(split_part(city, ',', -1)) = platform AND platform IN ('NATION_1', 'NATION_2'))::INTEGER AS country_eq_platform,
+    coalesce(ob.item_id = last_item, FALSE)::INTEGER AS clicked_before, coalesce(ob.rank > last_index, FALSE)::INTEGER AS is_rank_greater_than_prv_click, round(clicks / (shown + 1)::DOUBLE, 6) AS user_item_ctr, substr(user_id::VARCHAR, 1, 1) AS user_id_1cat,
+    hour(make_timestamp(ts * 1000000))::INTEGER AS hour, minute(make_timestamp(ts * 1000000))::INTEGER AS minute, round(pct, 6) AS pct, round(pct_city, 6) AS pct_city, price_rank_asc, round(rating, 6) AS rating
+    FROM ob JOIN l USING (seq) JOIN k USING (seq, rank) JOIN s USING (seq, rank) LEFT JOIN pp USING (platform, price) LEFT JOIN pc USING (city, price) LEFT JOIN pr USING (item_id, price) LEFT JOIN dr USING (item_id)"""
+
+
+@query(_ENG, "o")
+def feature_eng(spark, sf):
+    """Derived columns with all side tables."""
+    ev, obs = _both(spark, sf)
+    train = ev.filter("is_test = 0 and reference is not null")
+    was = F.struct(F.col("seq").alias("at"), F.col("reference").alias("item"), "idx").alias("latest")
+    at = as_of(train.select("user_id", "seq", was), ev.select("user_id", "seq"), ["user_id"], {"was": ("max", "latest")})
+    rows = obs.join(at.select("seq", F.col("was.item").alias("last_item"), F.col("was.idx").alias("last_index")), "seq")
+    clicks = feat.counts_before(train.select("user_id", F.col("reference").alias("item_id"), "seq"), obs.select("seq", "rank", "user_id", "item_id"), ["user_id", "item_id"], "user_item_clicks").select("seq", "rank", "user_item_clicks")
+    shown = feat.shown_before(obs, "user_id").select("seq", "rank", F.col("n").alias("user_item_impressions"))
+    rows = mx.side_by_side([rows, clicks, shown], ["seq", "rank"])
+    tables = {
+        "platform": (side.price_percentiles(obs, "platform"), ["platform", "price"]),
+        "city": (side.price_percentiles(obs, "city").withColumnRenamed("pct", "pct_city"), ["city", "price"]),
+        "ranks": (side.price_ranks(obs).select("item_id", "price", "price_rank_asc"), ["item_id", "price"]),
+        "rating": (side.dominance_ratings(ev, F.contains(F.col("filters"), F.lit("URGENT"))), ["item_id"]),
+    }
+    out = mx.engineered(rows, codes={"NATION_1": "NATION_1", "NATION_2": "NATION_2"}, continents={"NATION_1": "A", "NATION_2": "B"}, tables=tables)
+    names = ["seq", "rank", "item_id", "country", "continent", "country_eq_platform", "clicked_before", "is_rank_greater_than_prv_click", "user_item_ctr", "user_id_1cat", "hour", "minute", "pct", "pct_city", "price_rank_asc", "rating"]
+    return rounded(out.select(*names), "user_item_ctr", "pct", "pct_city", "rating")
+
+
+@query(", dp AS (SELECT DISTINCT city, platform, item_id, price FROM ob), pp AS (SELECT DISTINCT platform, price, ((rank() OVER w) + (count(*) OVER w)) / 2.0 / (count(*) OVER (PARTITION BY platform)) AS pct FROM dp WINDOW w AS (PARTITION BY platform ORDER BY price)) SELECT ob.seq, ob.rank, round(pct, 6) AS pct FROM ob JOIN pp USING (platform, price)", "o")
+def strict_price_pct(spark, sf):
+    """A lookup that fails if a key is missing."""
+    obs = _ob(spark, sf)
+    found = mx.strict_lookup(obs.select("seq", "rank", "platform", "price"), side.price_percentiles(obs, "platform"), ["platform", "price"], "pct")
+    return found.select("seq", "rank", F.round("pct", 6).alias("pct"))
+
+
+@query(" SELECT seq, rank, price, n, step FROM ob", "o")
+def zipped_features(spark, sf):
+    """Feature tables of the same rows side by side."""
+    obs = _ob(spark, sf)
+    return mx.side_by_side([obs.select("seq", "rank", c) for c in ("price", "n", "step")], ["seq", "rank"])
+
+
+@query(" SELECT event_id, seq, n FROM ev WHERE event_id BETWEEN 100 AND 499", "o")
+def matrix_rows(spark, sf):
+    """A contiguous slice of rows."""
+    return mx.row_range(_o(spark, sf).select("event_id", "seq", "n"), "event_id", 100, 499)
+
+
+@query(
+    " , v AS (SELECT DISTINCT substr(sha1(platform), 1, 6) AS run FROM ev WHERE is_test = 0 AND user_id % 2 = 0), t AS (SELECT DISTINCT substr(sha1(platform), 1, 6) AS run FROM ev WHERE is_test = 1 AND user_id % 3 = 0) SELECT run FROM v INTERSECT SELECT run FROM t", "o"
+)
+def common_runs(spark, sf):
+    """Runs, told by the hashes in their file names, that have predictions of both kinds."""
+    ev = _o(spark, sf)
+    names = lambda d, kind: d.select(F.concat(F.lit(f"model_{kind}_"), F.substring(F.sha1("platform"), 1, 6), F.lit(".csv")).alias("name"))
+    return rk.common_runs(names(ev.filter("is_test = 0 and user_id % 2 = 0"), "val"), names(ev.filter("is_test = 1 and user_id % 3 = 0"), "submit"))

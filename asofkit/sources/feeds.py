@@ -54,7 +54,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lists = table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    people = table("customer").join(F.broadcast(table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    people = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
     joined = table("orders").join(lists, F.col("o_orderkey") == F.col("l_orderkey")).join(people, F.col("o_custkey") == F.col("c_custkey"))
     test = (F.col("o_orderkey") % 10 == 0).cast("int")
     flat = joined.select(
@@ -125,3 +125,30 @@ def with_next_lists(events: DataFrame) -> DataFrame:
     onward = Window.partitionBy("user_id", "session_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = events.withColumns({"fake_items": F.last("items", ignorenulls=True).over(onward), "fake_prices": F.last("prices", ignorenulls=True).over(onward)})
     return out.withColumn("fake_idx", F.coalesce(index_of("fake_items", F.col("item")), F.lit(MISSING)))
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, indices, values: the rows of compressed-row matrices in NPZ files (indptr, indices, data), one task for each file."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                m = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                ptr, at, values = m["indptr"], m["indices"].astype(np.int32), m["data"].astype(np.float64)
+                for a in range(0, len(ptr) - 1, 10_000):
+                    rows = range(a, min(a + 10_000, len(ptr) - 1))
+                    yield pd.DataFrame({"file": name, "row": list(rows), "indices": [at[ptr[r] : ptr[r + 1]] for r in rows], "values": [values[ptr[r] : ptr[r + 1]] for r in rows]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, row bigint, indices array<int>, values array<double>")
+
+
+def read_item_map(spark: SparkSession, path: str) -> DataFrame:
+    """item_id, properties: maps from items to sets, stored as JSON objects of lists, one per file or line."""
+    pairs = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("item_id", "properties"))
+    return pairs.select(F.col("item_id").cast("bigint").alias("item_id"), F.array_sort(F.array_distinct("properties")).alias("properties"))

@@ -49,3 +49,23 @@ def write_missing_parts(df: DataFrame, path: str, parts: Sequence[str]) -> list[
 
 def write_submission(df: DataFrame, path: str) -> None:
     df.select("user_id", "session_id", F.col("ts").alias("timestamp"), "step", "item_recommendations").write.option("header", True).csv(path)
+
+
+def append_matrix(vectors: DataFrame, path: str) -> None:
+    """Adds rows with sparse vectors to a stored matrix: indices and values are plain columns, so that ranges of rows can be read without the rest."""
+    from pyspark.ml.functions import vector_to_array
+
+    dense = vector_to_array("features")
+    cells = F.filter(F.transform(dense, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda c: c["v"] != 0)
+    rest = [c for c in vectors.columns if c != "features"]
+    vectors.select(*rest, F.size(dense).alias("size"), cells.alias("c")).select(*rest, "size", F.col("c.i").alias("indices"), F.col("c.v").alias("values")).write.mode("append").parquet(path)
+
+
+def write_model(model, path: str) -> None:
+    """A fitted model, in place of an older one."""
+    model.write().overwrite().save(path)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Adds lines to a metric log: JSON objects."""
+    rows.coalesce(1).write.mode("append").json(path)
