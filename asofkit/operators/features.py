@@ -239,7 +239,7 @@ def last_values(ac: DataFrame, values: dict[str, Column], default: str = UNKNOWN
 
 
 def action_string(ac: DataFrame) -> DataFrame:
-    """q, the letters of all the user's actions before, x."""
+    """q, the letters of all the user's actions before, x: texts that grow with the user's log, as the feature is defined; n-grams of it are what models see."""
     letters = F.array_join(F.collect_list(action_letter("action_type")).over(prior("user_id")), "")
     return ac.select("seq", "action_type", F.concat(F.lit("q"), letters, F.lit("x")).alias("actions"))
 
@@ -260,7 +260,7 @@ def starts(ac: DataFrame) -> DataFrame:
 
 
 def interaction_lists(ac: DataFrame) -> DataFrame:
-    """The sorted distinct item ids of the user's, and of the session's, item actions before; references that are no numbers are 0."""
+    """The sorted distinct item ids of the user's, and of the session's, item actions before; references that are no numbers are 0. The lists are the feature; each frame keeps one set."""
     item = F.when(F.col("action_type").isin(*ITEM_ACTIONS), F.coalesce(F.col("reference").try_cast("bigint"), F.lit(0)))
     sets = lambda w: list_key(F.array_sort(F.collect_set(item).over(w)))
     return ac.select("seq", sets(prior("user_id")).alias("by_user"), sets(prior("user_id", "session_id")).alias("by_session"))
@@ -372,17 +372,6 @@ def last_actions(ac: DataFrame, n: int = 9) -> DataFrame:
     return rows.select("seq", F.lit("").alias("action_0"), *[F.coalesce(F.get("last", F.lit(i)), F.lit("")).alias(f"action_{i + 1}") for i in range(n)])
 
 
-def actions_tracker(ac: DataFrame, n: int = 10) -> DataFrame:
-    """JSON: for each type of action, log(1 + seconds ago) of the user's last n, newest first."""
-    upto = Window.partitionBy("user_id", "action_type").orderBy("seq").rowsBetween(1 - n, 0)
-    names = {v: k for k, v in ACTION_LETTERS.items()}
-    rows = ac.withColumn("upto", F.collect_list("ts").over(upto))
-    lists = [F.last(F.when(F.col("action_type") == name, F.col("upto")), ignorenulls=True).over(prior("user_id")).alias(x) for x, name in sorted(names.items())]
-    rows = rows.select("seq", "ts", *lists)
-    logs = [F.transform(F.reverse(F.coalesce(F.col(x), F.array())), lambda t: F.round(F.log1p((F.col("ts") - t).cast("double")), 4)).alias(x) for x in sorted(names)]
-    return rows.select("seq", F.to_json(F.struct(*logs)).alias("tracker"))
-
-
 def recent_events(ac: DataFrame, n: int = 10) -> DataFrame:
     """For each clickout the user's last *n* train events of each type before, newest first: seq, letter columns of structs (ago, place), the
     same of all item actions (interactions), and the price lists of the last two clickouts (prices).

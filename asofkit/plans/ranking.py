@@ -125,20 +125,29 @@ def ngram3(spark, sf):
     return vz.bag_of_words(_o(spark, sf).withColumn("terms", vz.char_ngrams("device", 3)), ["seq"], "terms", 5)
 
 
-@query()
+@query(
+    ", x AS (SELECT price, price AS cost, rank, rank AS place FROM ob) SELECT 'cost' AS \"column\" FROM x HAVING count(*) FILTER (WHERE cost IS DISTINCT FROM price) = 0 UNION ALL SELECT 'place' FROM x HAVING count(*) FILTER (WHERE place IS DISTINCT FROM rank) = 0 UNION ALL SELECT 'rank' FROM x HAVING count(*) FILTER (WHERE rank IS DISTINCT FROM price) = 0",
+    "o",
+)
 def dup_columns(spark, sf):
     """Columns that repeat others: here a copy of the price and one of the rank."""
     obs = _ob(spark, sf).select("seq", "rank", "price", F.col("price").alias("cost"), F.col("rank").alias("place"), "item_id")
     return spark.createDataFrame([(c,) for c in vz.duplicate_columns(obs)], "column string")
 
 
-@query()
+@query(
+    ", t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::BIGINT AS a, max({c})::BIGINT AS b FROM ob" for c in ("seq", "rank", "price", "item_id", "n")) + ") SELECT \"column\", CASE WHEN a >= -128 AND b < 128 THEN 'tinyint' WHEN a >= -32768 AND b < 32768 THEN 'smallint' WHEN a >= -2147483648 AND b < 2147483648 THEN 'int' ELSE 'bigint' END AS type FROM t",
+    "o",
+)
 def mem_downcast(spark, sf):
     """The narrowest types that hold the observations."""
     return spark.createDataFrame(vz.downcast(_ob(spark, sf).select("seq", "rank", "price", "item_id", "n")).dtypes, "column string, type string")
 
 
-@query()
+@query(
+    ", f AS (SELECT seq, rank, is_test, unnest(string_split(filters, '|')) AS t FROM ob), k AS (SELECT t FROM (SELECT DISTINCT seq, rank, t FROM f WHERE is_test = 1) GROUP BY t HAVING count(*) >= 2), c AS (SELECT seq, rank, count(*) AS v FROM f JOIN k USING (t) GROUP BY ALL) SELECT seq, rank, round((coalesce(price, -9999) + n + rank + coalesce(c.v, 0))::DOUBLE, 6) AS feature_sum FROM ob LEFT JOIN c USING (seq, rank)",
+    "o",
+)
 def vectorizer(spark, sf):
     """Imputed numbers and bags of filters as one vector; fitted on test events, applied to all."""
     rows = _ob(spark, sf).select("seq", "rank", "is_test", "price", "n", F.split("filters", r"\|").alias("terms"))

@@ -247,7 +247,14 @@ def last_event_ts(spark, sf):
     return feat.since_actions(_e(spark, sf)).drop("as_json")
 
 
-@query()
+@query(
+    ", w AS (SELECT seq, "
+    + ", ".join(f"ts - max(CASE WHEN action_type = '{n}' THEN ts END) OVER w AS {x}" for n, x in (("clickout item", "b"), ("filter selection", "c"), ("interaction item deals", "d"), ("interaction item info", "f"), ("search for poi", "i")))
+    + " FROM ac WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT seq, '{' || concat_ws(',', "
+    + ", ".join(f"""'"{x}":' || {x}::VARCHAR""" for x in "bcdfi")
+    + ") || '}' AS as_json FROM w",
+    "e",
+)
 def last_event_ts_json(spark, sf):
     """The same as one JSON object for each event, without what there is not."""
     return feat.since_actions(_e(spark, sf)).select("seq", "as_json")
@@ -388,11 +395,6 @@ def last10_actions(spark, sf):
     return feat.last_actions(_e(spark, sf))
 
 
-@query()
-def actions_tracker(spark, sf):
-    return feat.actions_tracker(_e(spark, sf))
-
-
 @query(
     """, c AS (SELECT user_id, seq, idx::DOUBLE AS y, ts / 86400.0::DOUBLE AS x FROM ev WHERE is_test = 0 AND idx >= 0),
     m AS (SELECT e.seq, e.ts / 86400.0::DOUBLE AS now, count(c.seq) AS n, min_by(c.y, c.seq) AS y0, max_by(c.y, c.seq) AS y1, min_by(c.x, c.seq) AS x0, max_by(c.x, c.seq) AS x1, avg(c.y) AS my, avg(c.x) AS mx, covar_pop(c.y, c.x) AS cov, var_pop(c.x) AS vx, var_pop(c.y) AS vy FROM ev e LEFT JOIN c ON c.user_id = e.user_id AND c.seq < e.seq GROUP BY e.seq, e.ts)
