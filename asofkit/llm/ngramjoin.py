@@ -4,10 +4,11 @@ Sets that are equal become one node. Under one global order of shingles (rare on
 document frequency) two sets with Jaccard similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each:
 their prefixes. The lists of nodes by prefix shingle are the index. Relations between sets spare comparisons:
 
-* Answer level. Each list has a hub, its node with the largest share of shingles that others have as well, and all entries are compared with it first. Once o_x, what x
-  shares with the hub, and r_x, the shingles of x beyond it, are known, the answers of x follow from the hub's: |x & z| <= min(o_x, o_z) + |r_x & r_z|. Lists
-  whose entries are in one component by now are done. In others, x and z can only be similar if min(o_x, o_z) suffices by itself, or if they share one of the
-  first few of the shingles beyond the hub, which are indexed in turn.
+* Answer level. Each list has a hub, its node with the largest share of shingles that others have as well, and all entries are compared with it first. Once o_x, the set that x
+  shares with the hub, and r_x, the shingles of x beyond it, are known, the answers of x follow from the hub's: |x & z| = |o_x & o_z| + |r_x & r_z|. Lists
+  whose entries are in one component by now are done. In others, x and z can only be similar if min(|o_x|, |o_z|) suffices by itself, or if they share one of the
+  first few of the shingles beyond the hub, which are indexed in turn. o_x is kept as a bit for each shingle of the hub, so |o_x & o_z| is counted and not bounded, and
+  r_x as a bit for each of 1,024 parts of the hashes: a part that x has and z has not is a shingle that they don't share.
 * Index level. Entries of those lists stand at positions of their sets. A common shingle at positions i and j leaves room for min(i, j) + 1 + min(|r_x| - i - 1, |r_z| - j - 1)
   common ones, so blocks of entries of like positions and sizes whose bound falls short are skipped whole.
 
@@ -50,6 +51,7 @@ _GROUP = 100_000
 COUNT_BYTES = 6 << 20
 GATHER_ENTRIES = 500_000
 _SKIP = 32
+_PART_BITS = 10
 _spaces = np.zeros(256, bool)
 _spaces[[32, *range(9, 14)]] = True
 _weights = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -329,7 +331,8 @@ def _batched(spread):
 def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """a, b, common, a_n, b_n, beyond, rest: the exact intersection sizes of pairs of nodes, from the whole texts of one document of each.
 
-    With *order*, and where the column with_rest of *pairs* is true, rest holds the first of the shingles of b that a lacks, in the global order, as many
+    With *order*, and where the column with_rest of *pairs* is true, held has a bit for each shingle of a, set where b has it too, and then one for each
+    part of the hashes, set where b has a shingle that a lacks; rest holds the first of the shingles of b that a lacks, in the global order, as many
     as an index may need; beyond says how many there are. Rows that repeat an id may repeat a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order) if order else None
@@ -360,52 +363,76 @@ def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
                 x, y = tokens(bytes(an), at), tokens(bytes(bn), bt)
                 if x is not None and y is not None:
                     there = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
-                    common, rest = int(np.count_nonzero(there)), None
+                    common, rest, held = int(np.count_nonzero(there)), None, None
                     if more and shared is not None:
-                        rest = y[~there]
+                        rest = rest_all = y[~there]
                         need = max(1, -(-percent * len(y) // 100) - common)
                         rest = rest[np.lexsort((rest, _weights_of(rest, *shared.value)))][: max(0, len(rest) - need + 1)].tobytes()
-                    out.append((a, b, common, len(x), len(y), len(y) - common, rest))
-            yield pd.DataFrame(out, columns=["a", "b", "common", "a_n", "b_n", "beyond", "rest"])
+                        bits = np.zeros(-(-len(x) // 64) * 64, bool)
+                        bits[np.searchsorted(x, y[there])] = True
+                        parts = np.zeros(1 << _PART_BITS, bool)
+                        parts[rest_all >> np.uint64(64 - _PART_BITS)] = True
+                        held = np.packbits(np.append(parts, bits)).tobytes()
+                    out.append((a, b, common, len(x), len(y), len(y) - common, rest, held))
+            yield pd.DataFrame(out, columns=["a", "b", "common", "a_n", "b_n", "beyond", "rest", "held"])
 
-    return saved(joined.mapInPandas(releasing(run), "a bigint, b bigint, common int, a_n int, b_n int, beyond int, rest binary"), "compared")
+    return saved(joined.mapInPandas(releasing(run), "a bigint, b bigint, common int, a_n int, b_n int, beyond int, rest binary, held binary"), "compared")
 
 
-def open_pairs(n: np.ndarray, common: np.ndarray, rest: np.ndarray, place: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries, one of *left* and one of *right*, in different components, that hub answers, sizes and positions leave open.
+def open_pairs(n: np.ndarray, common: np.ndarray, held: np.ndarray, rest: np.ndarray, place: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sure): pairs of entries, one of *left* and one of *right*, that may link different components.
 
-    An entry shares *common* shingles with the hub and has *rest* more, in which the list's shingle stands at *place*. Entries of *right* go by blocks of
-    like positions and sizes; a block whose bounds fall short for an entry of *left* is skipped whole.
+    An entry shares *common* shingles with the hub and has *rest* more, in which the list's shingle stands at *place*. Its row of *held* has the bits of parts of the
+    hashes of those, then the bits of those that it shares (64 to a word). Entries of *right* go by blocks of like positions and sizes; a block whose bounds fall short for an entry of *left* is skipped whole.
+    A pair that what it shares of the hub makes similar by itself is sure: of these come as many as join components, and of the others, which
+    sizes and positions leave open, those between components that no sure pair has joined.
     """
     after = rest - place  # the list's shingle and those behind it
+    words = (1 << _PART_BITS) // 64
+    parts, shared = held[:, :words], held[:, words:]
     right = right[np.lexsort((n[right], common[right], place[right]))]
     blocks = [right[i : i + _SKIP] for i in range(0, len(right), _SKIP)]
     limits = [(n[b].min(), n[b].max(), common[b].max(), place[b].max(), after[b].max()) for b in blocks]
-    out_a, out_b = [], []
+    of = np.unique(comp, return_inverse=True)[1]
+    root = np.arange(of.max() + 1 if len(of) else 0)
+    out_a, out_b, sure = [], [], []
     for x in left:
         for block, (n0, n1, c1, p1, a1) in zip(blocks, limits):
             if 100 * min(n[x], n1) < percent * max(n[x], n0) or min(common[x], c1) + min(place[x], p1) + min(after[x], a1) < _least_common(n[x], n0, percent):
                 continue
-            y = block[comp[block] != comp[x]]
-            room = np.minimum(common[x], common[y]) + np.minimum(place[x], place[y]) + np.minimum(after[x], after[y])
-            y = y[(room >= _least_common(n[x], n[y], percent)) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+            y = block[root[of[block]] != root[of[x]]]
+            need, beyond = _least_common(n[x], n[y], percent), np.minimum(place[x], place[y]) + np.minimum(after[x], after[y])
+            likely = (np.minimum(common[x], common[y]) + beyond >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            y, need, beyond = y[likely], need[likely], beyond[likely]
+            if not len(y):
+                continue
+            both = np.bitwise_count(shared[x] & shared[y]).sum(axis=1, dtype=np.int64)
+            alone = rest[x] - np.bitwise_count(parts[x] & ~parts[y]).sum(axis=1, dtype=np.int64)
+            other = rest[y] - np.bitwise_count(parts[y] & ~parts[x]).sum(axis=1, dtype=np.int64)
+            beyond = np.minimum(beyond, np.maximum(np.minimum(alone, other), 0))
+            for z in y[both >= need]:
+                if root[of[z]] != root[of[x]]:
+                    root[root == root[of[z]]] = root[of[x]]
+                    sure.append((x, z))
+            y = y[(both < need) & (both + beyond >= need)]
             out_a.append(np.full(len(y), x))
             out_b.append(y)
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    a, b = (np.concatenate([np.empty(0, np.int64), *part]) for part in (out_a, out_b))
+    still = root[of[a]] != root[of[b]]
+    certain = np.array(sure, np.int64).reshape(-1, 2)
+    return np.append(certain[:, 0], a[still]), np.append(certain[:, 1], b[still]), np.append(np.ones(len(certain), bool), np.zeros(int(still.sum()), bool))
 
 
 def _beyond_hub(near: DataFrame, percent: int) -> DataFrame:
-    """list, node, n, comp, common, rest, place: the lists that are left after the comparisons with hubs.
+    """list, node, n, comp, common, held, rest, place: the lists that are left after the comparisons with hubs.
 
-    *near* has hub, node, n, comp, common, beyond, rest (the first of the shingles beyond the hub, in the global order) and least, the smallest n around the hub. A node that needs k
+    *near* has hub, node, n, comp, common, held, beyond, rest (the first of the shingles beyond the hub, in the global order) and least, the smallest n around the hub. A node that needs k
     shingles beyond the hub in common with any other is listed under the first |rest| - k + 1 of them; one that may need none also under the hub itself.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for hub, node, n, comp, common, beyond, rest, least in batch[["hub", "node", "n", "comp", "common", "beyond", "rest", "least"]].itertuples(index=False):
+            for hub, node, n, comp, common, held, beyond, rest, least in batch[["hub", "node", "n", "comp", "common", "held", "beyond", "rest", "least"]].itertuples(index=False):
                 need = int(_least_common(n, max(int(least), -(-percent * n // 100)), percent)) - common
                 tokens = np.frombuffer(rest, np.int64)[: max(0, beyond - max(need, 1) + 1)]
                 frame = {"token": tokens, "rest": beyond, "place": np.arange(len(tokens), dtype=np.int32)}
@@ -413,23 +440,24 @@ def _beyond_hub(near: DataFrame, percent: int) -> DataFrame:
                     frame = {"token": np.append(tokens, 0), "rest": np.append(np.full(len(tokens), beyond), 0), "place": np.append(frame["place"], 0)}
                 out = pd.DataFrame(frame)
                 out[["hub", "node", "n", "comp", "common"]] = hub, node, n, comp, common
+                out["held"] = [bytes(held)] * len(out)
                 yield out
 
-    rows = near.mapInPandas(releasing(_batched(spread)), "token bigint, rest int, place int, hub bigint, node bigint, n int, comp bigint, common int")
+    rows = near.mapInPandas(releasing(_batched(spread)), "token bigint, rest int, place int, hub bigint, node bigint, n int, comp bigint, common int, held binary")
     return rows.withColumn("list", F.xxhash64("hub", "token")).drop("token", "hub")
 
 
 def _open(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of list members that are still open after the comparisons with hubs."""
+    """a, b, sure: the pairs of list members that are still open after the comparisons with hubs, or found to be similar by them."""
     spark = members.sparkSession
     hubs = members.select("list", "hub").distinct().select("list", F.col("hub").alias("node"))
     labelled = members.select("list", "node").unionByName(hubs).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = saved(labelled.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y and m > 2").select("list"), "open_lists")
     if mixed.isEmpty():
-        return spark.createDataFrame([], "a bigint, b bigint")
+        return spark.createDataFrame([], "a bigint, b bigint, sure boolean")
     around = saved(members.join(F.broadcast(mixed) if small(mixed, BROADCAST_ROWS) else mixed, "list").select("hub", "node", "n").distinct(), "open_around")
     sizes = saved(around.groupBy("hub").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "open_hubs")
-    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common", "beyond", "rest")
+    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common", "held", "beyond", "rest")
     near = around.join(sizes, "hub").join(known, ["hub", "node"]).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = saved(_beyond_hub(near, percent), "open_rows")
     lists = rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("m > 1 and x <> y")
@@ -446,17 +474,20 @@ def _open(members: DataFrame, labels: DataFrame, stars: DataFrame, percent: int)
         group = group.sort_values("task", kind="stable")
         col = lambda c: group[c].to_numpy(np.int64)
         task, node, own, p, q, n, common, rest, place, comp = map(col, ("task", "node", "own", "p", "q", "n", "common", "rest", "place", "comp"))
+        bits = group["held"].tolist()
         edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
         found = []
         for i, j in zip(edges[:-1], edges[1:]):
-            left, right = i + np.flatnonzero(own[i:j] == p[i]), i + np.flatnonzero(own[i:j] == q[i])
-            a, b = open_pairs(n, common, rest, place, comp, left, right, percent)
-            if len(a):
-                found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-
-    pairs = marked.select("group", "task", "node", "own", "p", "q", "n", "common", "rest", "place", "comp").groupBy("group").applyInPandas(run, "a bigint, b bigint").distinct()
+            left, right = np.flatnonzero(own[i:j] == p[i]), np.flatnonzero(own[i:j] == q[i])
+            if len(left) and len(right):
+                words = np.stack([np.frombuffer(x, np.uint64) for x in bits[i:j]])  # of one hub
+                a, b, sure = open_pairs(n[i:j], common[i:j], words, rest[i:j], place[i:j], comp[i:j], left, right, percent)
+                a, b = node[i:j][a], node[i:j][b]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), sure], axis=1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1], "sure": out[:, 2].astype(bool)})
+
+    pairs = marked.select("group", "task", "node", "own", "p", "q", "n", "common", "held", "rest", "place", "comp").groupBy("group").applyInPandas(run, "a bigint, b bigint, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
     return pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
@@ -479,8 +510,15 @@ def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataF
     labels = saved(components(stars.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
     rest = saved(_open(lists, labels, stars, percent), "open_pairs")
     if not rest.isEmpty():
-        more = _compared(rest, docs, members, percent).filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)), "labels")
+        ends = [F.col("a").alias("u"), F.col("b").alias("v")]
+        sure = rest.filter("sure").select(*ends)
+        labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(sure)), "labels")
+        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
+        unsure = saved(rest.filter("not sure").join(comp("a"), "a", "left").join(comp("b"), "b", "left").filter(apart).select("a", "b"), "unsure_pairs")
+        if not unsure.isEmpty():
+            more = _compared(unsure, docs, members, percent).filter(link).select(*ends)
+            labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more)), "labels")
     by_node = members.filter("n > 0").groupBy("node", "short").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("keyless"), "id", "th")).alias("first"))
     by_node = by_node.join(labels.withColumnRenamed("node", "short"), "short", "left").select("node", F.coalesce("comp", "short").alias("comp"), "least", "first")
     return members, saved(by_node, "node_labels")
