@@ -273,9 +273,10 @@ def low_nodes(pages: DataFrame) -> DataFrame:
                 found = _features(Page(source))
                 hosts += [host] * len(found)
                 rows += found
-            out = pd.DataFrame(rows, columns=["node", "parent", "kind", "feature"])
-            out.insert(0, "host", hosts)
-            yield out
+            if rows:
+                out = pd.DataFrame(rows, columns=["node", "parent", "kind", "feature"])
+                out.insert(0, "host", hosts)
+                yield out
 
     rows = pages.mapInPandas(releasing(features), "host string, node bigint, parent bigint, kind int, feature bigint")
     counts = rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
