@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import bounded_batches, partitions_for, releasing, saved, tidy, work_path
+from asofkit.llm.common import bounded_batches, partitions_for, releasing, saved, small, tidy, work_path
 
 #: Vectors that rotations and radii are learned from.
 SAMPLE = 4_096
@@ -33,6 +33,7 @@ BITS = 128
 TARGET_RECALL = 0.985
 #: The most differing bits of a substring that are probed: 697 values of 65,536.
 MOST_BITS = 3
+BROADCAST_ROWS = 200_000
 #: Queries that are compared with all codes at a time: their vectors and codes are what is broadcast.
 QUERY_BLOCK = 16_384
 #: Rows that are compared with them at a time.
@@ -149,11 +150,12 @@ def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str =
     book = learn(sample, k, bits)
     # Each row by a number of its own, for keys may repeat.
     coded = saved(_coded(rows, book).withColumn("id", F.monotonically_increasing_id()), "codes")
-    asked = coded.filter(F.pmod("k", F.lit(every)) == 0).groupBy("k").agg(F.min(F.struct("v", "code")).alias("x"))
-    live = saved(asked.select(F.col("k").alias("q"), F.col("x.v").alias("qv"), F.col("x.code").alias("qcode"), F.lit(book.radius).alias("radius")), "queries")
+    asked = coded.filter(F.pmod("k", F.lit(every)) == 0).groupBy("k").agg(F.min(F.struct("v", "code", "wide")).alias("x"))
+    live = saved(asked.select(F.col("k").alias("q"), F.col("x.v").alias("qv"), F.col("x.code").alias("qcode"), F.col("x.wide").alias("qwide"), F.lit(book.radius).alias("radius")), "queries")
     if report is not None:
         report.update(rows=total, queries=live.count(), met=0, scanned=0, left=0)
     best = spark.createDataFrame([], "q bigint, id bigint, k bigint, score double")
+    coded = _first_copies(coded, k + 1)
     table = _postings(coded)
     try:
         for b in range(MOST_BITS + 1):
@@ -176,22 +178,39 @@ def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str =
 
 
 def _coded(rows: DataFrame, book: Codebook) -> DataFrame:
-    """Adds code: the substrings, as numbers from 0."""
+    """Adds code, the substrings as numbers from 0, and wide, the same four to a word."""
     shared = rows.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(code=list(shared.value.codes(np.stack(batch["v"].to_numpy())).astype(np.int32)))
+                code = np.ascontiguousarray(shared.value.codes(np.stack(batch["v"].to_numpy())))
+                yield batch.assign(code=list(code.astype(np.int32)), wide=list(code.view(np.int64)))
 
-    return rows.mapInPandas(releasing(run), "k bigint, v array<double>, code array<int>")
+    return rows.mapInPandas(releasing(run), "k bigint, v array<double>, code array<int>, wide array<bigint>")
+
+
+def _first_copies(coded: DataFrame, keep: int) -> DataFrame:
+    """Without the rows that have *keep* others of the same vector and smaller keys: they are among nobody's nearest, and a large group of copies would meet itself."""
+    marks = {"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(7), "v")}
+    marked = coded.select("id", "k", *[c.alias(n) for n, c in marks.items()])
+    crowds = saved(marked.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep).select("h", "g"), "crowds")
+    if crowds.isEmpty():
+        return coded
+    hint = F.broadcast(crowds) if small(crowds, BROADCAST_ROWS) else crowds
+    inside = marked.join(hint, ["h", "g"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
+    for by in (["h", "g", "salt"], ["h", "g"]):  # the first of each part, then of the whole
+        inside = inside.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("k", "id"))).filter(F.col("place") <= keep).drop("place")
+    first = saved(inside.select("id"), "first_copies")
+    others = coded.withColumns(marks).join(hint, ["h", "g"], "left_anti").drop("h", "g")
+    return saved(others.unionByName(coded.join(F.broadcast(first) if small(first, BROADCAST_ROWS) else first, "id", "left_semi").select(*others.columns)), "candidates")
 
 
 def _postings(coded: DataFrame) -> str:
-    """The name of a table of postings (w, value, id, k, code), bucketed by (w, value): later joins don't shuffle it again."""
+    """The name of a table of postings (w, value, id, k, wide), bucketed by (w, value): later joins don't shuffle it again."""
     spark, name = coded.sparkSession, f"asofkit_postings_{uuid.uuid4().hex}"
     n = partitions_for(spark)
-    rows = coded.select("id", "k", "code", F.posexplode("code").alias("w", "value")).repartition(n, "w", "value")
+    rows = coded.select("id", "k", "wide", F.posexplode("code").alias("w", "value")).repartition(n, "w", "value")
     rows.write.option("path", work_path(spark, "postings")).option("compression", "zstd").bucketBy(n, "w", "value").saveAsTable(name)
     return name
 
@@ -199,10 +218,12 @@ def _postings(coded: DataFrame) -> str:
 def _met(live: DataFrame, postings: DataFrame, bits: int) -> DataFrame:
     """q, id: the rows that queries meet at substrings exactly *bits* bits away, and whose codes lie within their radius, each once."""
     masks = F.array(*[F.lit(m) for m in _masks(bits)])
-    probes = live.select("q", "qcode", "radius", F.posexplode("qcode").alias("w", "own"))
-    probes = probes.select("q", "qcode", "radius", "w", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
-    apart = F.aggregate(F.zip_with("qcode", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return probes.join(postings, ["w", "value"]).filter((F.col("k") != F.col("q")) & (apart <= F.col("radius"))).select("q", "id").distinct()
+    probes = live.select("q", "qwide", "radius", F.posexplode("qcode").alias("w", "own"))
+    probes = probes.select("q", "qwide", "radius", "w", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    apart = F.aggregate(F.zip_with("qwide", "wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    # By merging: probes are many more rows than their plan shows, so they are no side to broadcast.
+    met = probes.join(postings.hint("merge"), ["w", "value"])
+    return met.filter((F.col("k") != F.col("q")) & (apart <= F.col("radius"))).select("q", "id").distinct()
 
 
 def _reranked(met: DataFrame, coded: DataFrame, live: DataFrame) -> DataFrame:
@@ -255,15 +276,14 @@ def _in_blocks(live: DataFrame, best: DataFrame, coded: DataFrame, book: Codeboo
 def _scan(coded: DataFrame, queries: list, k: int) -> DataFrame:
     """The k nearest of each of some queries within its radius in each block of rows, by comparing all codes."""
     ids, radius = (np.array([r[c] for r in queries], np.int64) for c in ("q", "radius"))
-    vectors, codes = np.array([r["qv"] for r in queries], float), np.array([r["qcode"] for r in queries], np.uint16)
+    vectors, codes = np.array([r["qv"] for r in queries], float), np.array([r["qwide"] for r in queries], np.int64).view(np.uint64)
     shared = coded.sparkSession.sparkContext.broadcast((ids, vectors, codes, radius))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors, codes, radius = shared.value
-        wide = np.ascontiguousarray(codes).view(np.uint64)
         for own, keys, data, of in _blocks(batches):
-            of, out = np.ascontiguousarray(of.astype(np.uint16)).view(np.uint64), []
-            for q, v, code, r in zip(ids, vectors, wide, radius):
+            of, out = of.astype(np.int64).view(np.uint64), []
+            for q, v, code, r in zip(ids, vectors, codes, radius):
                 at = np.flatnonzero((np.bitwise_count(of ^ code).sum(axis=1) <= r) & (keys != q))
                 score = _apart(data[at], v)
                 if len(at) > k:
@@ -273,7 +293,7 @@ def _scan(coded: DataFrame, queries: list, k: int) -> DataFrame:
                 out.append(pd.DataFrame({"q": q, "id": own[at[order]], "k": keys[at[order]], "score": score[order]}))
             yield pd.concat(out, ignore_index=True)
 
-    return coded.select("id", "k", "v", "code").mapInPandas(releasing(scan), "q bigint, id bigint, k bigint, score double")
+    return coded.select("id", "k", "v", "wide").mapInPandas(releasing(scan), "q bigint, id bigint, k bigint, score double")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -281,7 +301,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]
     held, size = [], 0
     for batch in batches:
         if len(batch):
-            held.append((batch["id"].to_numpy(np.int64), batch["k"].to_numpy(np.int64), np.stack(batch["v"].to_numpy()), np.stack(batch["code"].to_numpy())))
+            held.append((batch["id"].to_numpy(np.int64), batch["k"].to_numpy(np.int64), np.stack(batch["v"].to_numpy()), np.stack(batch["wide"].to_numpy())))
             size += len(batch)
         if size >= INDEX_BLOCK:
             yield tuple(np.concatenate(x) for x in zip(*held))

@@ -183,10 +183,10 @@ def test_probes_meet_every_code_within_the_bound(spark, bits):
         codes[i + 1] = codes[0]
         for b in r.permutation(64)[: i % 24]:
             codes[i + 1, b // 16] ^= 1 << (b % 16)
-    rows = [(i, i, [float(i)], c.tolist()) for i, c in enumerate(codes)]
-    coded = spark.createDataFrame(rows, "id bigint, k bigint, v array<double>, code array<int>")
+    rows = [(i, i, [float(i)], c.tolist(), c.view(np.int64).tolist()) for i, c in enumerate(codes)]
+    coded = spark.createDataFrame(rows, "id bigint, k bigint, v array<double>, code array<int>, wide array<bigint>")
     table = ann._postings(coded)
-    live = spark.createDataFrame([(0, codes[0].tolist(), 64)], "q bigint, qcode array<int>, radius int")
+    live = spark.createDataFrame([(0, codes[0].tolist(), codes[0].view(np.int64).tolist(), 64)], "q bigint, qcode array<int>, qwide array<bigint>, radius int")
     met = {x["id"] for b in range(bits + 1) for x in ann._met(live, spark.table(table), b).collect()}
     spark.sql(f"DROP TABLE {table}")
     far = ann.hamming(codes[:1], codes)[0]
