@@ -50,7 +50,7 @@ def _symbols(line: Column, words: bool) -> Column:
 
 def _size(line: Column, words: bool) -> Column:
     """How many symbols a line has."""
-    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 if words else F.char_length(line)
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 if words else F.char_length(line)
 
 
 def _words(line: Column, first: Column | None, last: Column | None, n: Column) -> Column:
@@ -60,12 +60,12 @@ def _words(line: Column, first: Column | None, last: Column | None, n: Column) -
     return upto if first is None else index(upto, -n)
 
 
-def _segments(edits: int, least: int, words: bool) -> Column:
-    """Structs (key, probe) of the columns line and size: its own segments (probe false), and what it may share with shorter lines.
+def _segments(edits: int, least: int, words: bool) -> list[Column]:
+    """Keys of the columns line and size: those of its edits + 1 own segments, then of what it may share with shorter lines.
 
     The key of a substring that would reach beyond the line is null, and so are those of lines of fewer than *least* symbols.
     """
-    size, out = F.col("size"), []
+    size, own_keys, probes = F.col("size"), [], []
     for shorter in range(edits + 1):
         length = size - shorter
         longer = length % (edits + 1)
@@ -80,8 +80,8 @@ def _segments(edits: int, least: int, words: bool) -> Column:
                 at = start + shift + 1
                 fits = (size >= least) & (at >= 1) & (at + own - 1 <= size)
                 piece = _words(F.col("line"), None if i == 1 else at, None if i == edits + 1 else at + own - 1, own) if words else F.col("line").substr(at, own)
-                out.append(F.struct(F.when(fits, F.xxhash64(F.lit(i), length, piece)).alias("key"), F.lit(bool(shorter or shift)).alias("probe")))
-    return F.array(*out)
+                (probes if shorter or shift else own_keys).append(F.when(fits, F.xxhash64(F.lit(i), length, piece)))
+    return own_keys + probes
 
 
 def banded_distance(a: str, b: str, edits: int, words: bool = False) -> Column:
@@ -132,7 +132,10 @@ def _near_pairs(lines: DataFrame, firsts: DataFrame, edits: int, least: int, wor
     """h1, g1, h2, g2: pairs of distinct lines within *edits* edits, in no given order; of hot keys as many as show which lines have an earlier one."""
     texts = lines.select("h", "g", "line")
     sized = texts.select("h", "line", _size(F.col("line"), words).alias("size"))
-    spread = sized.select("h", F.explode(_segments(edits, least, words)).alias("s")).select("s.key", "h", "s.probe").filter(F.col("key").isNotNull())
+    # Keys are columns before they are rows: generated code of all of them inside of an explode is too long to be compiled well.
+    keys = {f"k{i}": k for i, k in enumerate(_segments(edits, least, words))}
+    wide = sized.select("h", *[k.alias(n) for n, k in keys.items()])
+    spread = wide.select("h", F.posexplode(F.array(*keys)).alias("place", "key")).select("key", "h", (F.col("place") > edits).alias("probe")).filter(F.col("key").isNotNull())
     segments = saved(spread.distinct(), "segments")
     own, pairs = segments.filter(~F.col("probe")).select("key", F.col("h").alias("h1")), []
     hot = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_KEY).select("key"), "hot_keys")
