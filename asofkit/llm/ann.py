@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by multi-index hashing of learned rotated binary codes.
 
 Codes: the signs of vectors under rotations learned by iterative quantization on a bounded sample. Each code is
-split into m substrings of 16 bits, and a row's substrings are its postings, dealt once by (substring, value). Two codes within Hamming
-radius m * (b + 1) - 1 differ by at most b bits in some substring (pigeonhole), so a query that probes all values within b bits of
-its own meets every code within that radius. Queries go on from b = 0; what they meet is reranked by exact distances.
+split into m substrings of 16 bits, and a row's substrings are its postings, dealt once by (substring, value) into parts of about PART_ROWS. Two
+codes within Hamming radius m * (b + 1) - 1 differ by at most b bits in some substring (pigeonhole), so a query that probes all values within b
+bits of its own meets every code within that radius. Queries go on from b = 0, to the parts that hold such values; what they meet there is
+reranked by exact distances, and each part gives the k best.
 
 A query is done once its radius is wide enough for the distance of its k-th best: the sample tells within which Hamming distance the
 rows lie that are as near as that (a share TARGET_RECALL of them). On vectors that form clusters most queries are done after few probes. On
@@ -36,6 +37,8 @@ MOST_BITS = 3
 BROADCAST_ROWS = 200_000
 #: Queries that are compared with all codes at a time: their vectors and codes are what is broadcast.
 QUERY_BLOCK = 16_384
+#: Postings of a part.
+PART_ROWS = 65_536
 #: Rows that are compared with them at a time.
 INDEX_BLOCK = 65_536
 
@@ -156,13 +159,14 @@ def nearest(embeddings: DataFrame, *, k: int = 10, every: int = 100, key: str =
         report.update(rows=total, queries=live.count(), met=0, scanned=0, left=0)
     best = spark.createDataFrame([], "q bigint, id bigint, k bigint, score double")
     coded = _first_copies(coded, k + 1)
-    table = _postings(coded)
+    sizes = saved(_part_sizes(coded, total), "part_sizes")
+    table = _postings(coded, sizes)
+    met = spark.sparkContext.accumulator(0)
     try:
         for b in range(MOST_BITS + 1):
-            met = saved(_met(live, spark.table(table), b), "met")
+            best = saved(_top(best.unionByName(_probed(live, spark.table(table), sizes, b, k, met)), k), "best")
             if report is not None:
-                report["met"] += met.count()
-            best = saved(_top(best.unionByName(_reranked(met, coded, live)), k), "best")
+                report["met"] = met.value
             worst = best.groupBy("q").agg(F.max("score").alias("d"), F.count(F.lit(1)).alias("n"))
             needs = F.when(F.col("n") >= k, book.needed(F.col("d"))).otherwise(book.radius)
             live = live.drop("radius").join(worst, "q", "left").withColumn("radius", needs).drop("d", "n")
@@ -206,37 +210,75 @@ def _first_copies(coded: DataFrame, keep: int) -> DataFrame:
     return saved(others.unionByName(coded.join(F.broadcast(first) if small(first, BROADCAST_ROWS) else first, "id", "left_semi").select(*others.columns)), "candidates")
 
 
-def _postings(coded: DataFrame) -> str:
-    """The name of a table of postings (w, value, id, k, wide), bucketed by (w, value): later joins don't shuffle it again."""
-    spark, name = coded.sparkSession, f"asofkit_postings_{uuid.uuid4().hex}"
-    n = partitions_for(spark)
-    rows = coded.select("id", "k", "wide", F.posexplode("code").alias("w", "value")).repartition(n, "w", "value")
-    rows.write.option("path", work_path(spark, "postings")).option("compression", "zstd").bucketBy(n, "w", "value").saveAsTable(name)
-    return name
+def _prefix_bits(sizes: int) -> int:
+    """Leading bits of a value by which parts are told, for so many rows."""
+    return min(16, max(0, int(np.ceil(np.log2(max(1, sizes / PART_ROWS))))))
 
 
-def _met(live: DataFrame, postings: DataFrame, bits: int) -> DataFrame:
-    """q, id: the rows that queries meet at substrings exactly *bits* bits away, and whose codes lie within their radius, each once."""
-    masks = F.array(*[F.lit(m) for m in _masks(bits)])
-    probes = live.select("q", "qwide", "radius", F.posexplode("qcode").alias("w", "own"))
-    probes = probes.select("q", "qwide", "radius", "w", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
-    apart = F.aggregate(F.zip_with("qwide", "wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    # By merging: probes are many more rows than their plan shows, so they are no side to broadcast.
-    met = probes.join(postings.hint("merge"), ["w", "value"])
-    return met.filter((F.col("k") != F.col("q")) & (apart <= F.col("radius"))).select("q", "id").distinct()
+def _part_sizes(coded: DataFrame, total: int) -> DataFrame:
+    """w, prefix, salts: how many parts the postings of each range of values take; a range that very many rows share takes several."""
+    shift = 16 - _prefix_bits(total)
+    rows = coded.select(F.posexplode("code").alias("w", "value")).groupBy("w", F.shiftright("value", shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("w", "prefix", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("salts"), F.lit(shift).alias("shift"))
 
 
-def _reranked(met: DataFrame, coded: DataFrame, live: DataFrame) -> DataFrame:
-    """q, id, k, score of the rows met."""
+def _postings(coded: DataFrame, sizes: DataFrame) -> str:
+    """The name of a table of postings (part, value, id, k, wide, v), bucketed by part: it is dealt once, and no round shuffles it again."""
+    spark, name = coded.sparkSession, f"asofkit_postings_{uuid.uuid4().hex}"
+    n = partitions_for(spark)
+    shift = sizes.first()["shift"]
+    rows = coded.select("id", "k", "wide", "v", F.posexplode("code").alias("w", "value")).withColumn("prefix", F.shiftright("value", shift))
+    placed = rows.join(F.broadcast(sizes) if small(sizes, BROADCAST_ROWS) else sizes, ["w", "prefix"])
+    part = F.xxhash64("w", "prefix", F.pmod(F.xxhash64("id"), F.col("salts")))
+    dealt = placed.select(part.alias("part"), "value", "id", "k", "wide", "v").repartition(n, "part")
+    dealt.write.option("path", work_path(spark, "postings")).option("compression", "zstd").bucketBy(n, "part").saveAsTable(name)
+    return name
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                score = _apart(np.stack(batch["v"].to_numpy()), np.stack(batch["qv"].to_numpy()))
-                yield batch[["q", "id", "k"]].assign(score=score)
 
-    pairs = met.join(coded.select("id", "k", "v"), "id").join(live.select("q", "qv"), "q")
-    return pairs.select("q", "id", "k", "v", "qv").mapInPandas(releasing(run), "q bigint, id bigint, k bigint, score double")
+def _probed(live: DataFrame, postings: DataFrame, sizes: DataFrame, bits: int, k: int, met=None) -> DataFrame:
+    """q, id, k, score: of the rows that a query meets in each part, at a substring exactly *bits* bits away and within its radius, the k nearest.
+
+    A query goes once to each part that holds values to probe; *met*, an accumulator, gets the number of rows met.
+    """
+    shift = sizes.first()["shift"]
+    masks = np.array(_masks(bits), np.int32)
+    heads = F.array(*[F.lit(int(m)) for m in sorted({int(m) >> shift for m in masks})])
+    asked = live.select("q", "qv", "qwide", "radius", F.posexplode("qcode").alias("w", "own"))
+    asked = asked.withColumn("prefix", F.explode(F.transform(heads, lambda m: F.shiftright("own", shift).bitwiseXOR(m))))
+    asked = asked.join(F.broadcast(sizes) if small(sizes, BROADCAST_ROWS) else sizes, ["w", "prefix"])
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("part", F.xxhash64("w", "prefix", F.col("salt").cast("bigint")))
+
+    def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, np.int64), "k": np.empty(0, np.int64), "score": np.empty(0)})]
+        if len(rows) and len(queries):
+            rows = rows.sort_values("value", kind="stable")
+            values, own, keys = (rows[c].to_numpy() for c in ("value", "id", "k"))
+            codes, data = np.stack(rows["wide"].to_numpy()).astype(np.int64).view(np.uint64), np.stack(rows["v"].to_numpy())
+            for q, v, code, radius, value in zip(queries["q"], queries["qv"], queries["qwide"], queries["radius"], queries["own"]):
+                probes = value ^ masks
+                first, size = np.searchsorted(values, probes), 0
+                size = np.searchsorted(values, probes, "right") - first
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                far = np.bitwise_count(codes[at] ^ np.asarray(code, np.int64).view(np.uint64)).sum(axis=1)
+                at = at[(far <= radius) & (keys[at] != q)]
+                if met is not None:
+                    met.add(len(at))
+                at, score = _nearest_of(at, own, keys, data, v, k)
+                out.append(pd.DataFrame({"q": q, "id": own[at], "k": keys[at], "score": score}))
+        return pd.concat(out, ignore_index=True)
+
+    queries = asked.select("part", "q", "qv", "qwide", "radius", "own").groupBy("part")
+    return postings.groupBy("part").cogroup(queries).applyInPandas(meet, "q bigint, id bigint, k bigint, score double")
+
+
+def _nearest_of(at: np.ndarray, own: np.ndarray, keys: np.ndarray, data: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest to *v* of the rows *at*, ties to the smaller key, and their distances."""
+    score = _apart(data[at], v)
+    if len(at) > k:
+        keep = score <= np.partition(score, k - 1)[k - 1]
+        at, score = at[keep], score[keep]
+    order = np.lexsort((own[at], keys[at], score))[:k]
+    return at[order], score[order]
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,12 +327,8 @@ def _scan(coded: DataFrame, queries: list, k: int) -> DataFrame:
             of, out = of.astype(np.int64).view(np.uint64), []
             for q, v, code, r in zip(ids, vectors, codes, radius):
                 at = np.flatnonzero((np.bitwise_count(of ^ code).sum(axis=1) <= r) & (keys != q))
-                score = _apart(data[at], v)
-                if len(at) > k:
-                    keep = score <= np.partition(score, k - 1)[k - 1]
-                    at, score = at[keep], score[keep]
-                order = np.lexsort((keys[at], score))[:k]
-                out.append(pd.DataFrame({"q": q, "id": own[at[order]], "k": keys[at[order]], "score": score[order]}))
+                at, score = _nearest_of(at, own, keys, data, v, k)
+                out.append(pd.DataFrame({"q": q, "id": own[at], "k": keys[at], "score": score}))
             yield pd.concat(out, ignore_index=True)
 
     return coded.select("id", "k", "v", "wide").mapInPandas(releasing(scan), "q bigint, id bigint, k bigint, score double")

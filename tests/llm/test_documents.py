@@ -175,7 +175,7 @@ def nearest_of(x, q, k=10):
 
 
 @pytest.mark.parametrize("bits", range(ann.MOST_BITS + 1))
-def test_probes_meet_every_code_within_the_bound(spark, bits):
+def test_probes_meet_every_code_within_the_bound(spark, monkeypatch, bits):
     """What queries meet with up to *bits* differing bits holds every row within Hamming distance m * (bits + 1) - 1."""
     r = np.random.default_rng(5)
     codes = r.integers(0, 1 << 16, (400, 4), dtype=np.uint16)
@@ -185,13 +185,16 @@ def test_probes_meet_every_code_within_the_bound(spark, bits):
             codes[i + 1, b // 16] ^= 1 << (b % 16)
     rows = [(i, i, [float(i)], c.tolist(), c.view(np.int64).tolist()) for i, c in enumerate(codes)]
     coded = spark.createDataFrame(rows, "id bigint, k bigint, v array<double>, code array<int>, wide array<bigint>")
-    table = ann._postings(coded)
-    live = spark.createDataFrame([(0, codes[0].tolist(), codes[0].view(np.int64).tolist(), 64)], "q bigint, qcode array<int>, qwide array<bigint>, radius int")
-    met = {x["id"] for b in range(bits + 1) for x in ann._met(live, spark.table(table), b).collect()}
-    spark.sql(f"DROP TABLE {table}")
-    far = ann.hamming(codes[:1], codes)[0]
-    assert {i for i in range(1, 400) if far[i] <= 4 * (bits + 1) - 1} <= met
-    assert met == {i for i in range(1, 400) if min(bin(int(a ^ b)).count("1") for a, b in zip(codes[0], codes[i])) <= bits}
+    for rows_of_a_part in (1 << 16, 16):  # in one part for each substring, and in many
+        monkeypatch.setattr(ann, "PART_ROWS", rows_of_a_part)
+        sizes = ann._part_sizes(coded, 400).cache()
+        table = ann._postings(coded, sizes)
+        live = spark.createDataFrame([(0, [0.0], codes[0].tolist(), codes[0].view(np.int64).tolist(), 64)], "q bigint, qv array<double>, qcode array<int>, qwide array<bigint>, radius int")
+        met = {x["id"] for b in range(bits + 1) for x in ann._probed(live, spark.table(table), sizes, b, 400).collect()}
+        spark.sql(f"DROP TABLE {table}")
+        far = ann.hamming(codes[:1], codes)[0]
+        assert {i for i in range(1, 400) if far[i] <= 4 * (bits + 1) - 1} <= met
+        assert met == {i for i in range(1, 400) if min(bin(int(a ^ b)).count("1") for a, b in zip(codes[0], codes[i])) <= bits}
 
 
 def test_few_rows_are_met_in_clusters(spark):
