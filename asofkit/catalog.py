@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from asofkit.plans import mixed, prep, ranking, state
+from asofkit.plans import files, mixed, prep, ranking, state
 from asofkit.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["mixed", "oracle_sql", "prep", "queries", "ranking", "state"]
+__all__ = ["files", "mixed", "oracle_sql", "prep", "queries", "ranking", "state"]
 
 
 def queries() -> dict[str, Query]:

@@ -66,6 +66,15 @@ def list_compare_36(spark, sf):
     return lc.list_comparison(_ob(spark, sf), "price")
 
 
+_CHOSEN = ("pure", "mean_vs_item", "value_rank_norm", "vs_place_m1", "recent3_max_vs_item")
+
+
+@query(f" SELECT seq, rank, item_id, {', '.join(_CHOSEN)} FROM (WITH z AS (SELECT seq, rank, item_id, n, price AS v FROM ob) {_compare_sql().split('FROM ob)', 1)[1]})", "o")
+def list_compare_chosen(spark, sf):
+    """Only the comparisons that are asked for."""
+    return lc.list_comparison(_ob(spark, sf), "price", _CHOSEN)
+
+
 # ---------------------------------------------------------------- groupwise
 
 
