@@ -179,3 +179,19 @@ def test_downcast_and_duplicates(spark):
     assert dict(vz.downcast(df).dtypes) == {"a": "tinyint", "b": "int", "c": "tinyint", "d": "double"}
     assert vz.duplicate_columns(df) == ["c"]
     assert vz.sparse_columns(df, ["a", "b"], 3) == []
+
+
+def test_compressed_sequences(spark, log):
+    """Sizes of compressed places against the library's own, from the places of earlier events in the session."""
+    import gzip
+
+    rows = [(1, "U", "S", [A, B, C], B), (2, "U", "S", [C, A], C), (3, "U", "T", [A, B], A), (4, "U", "S", [A, B, C], None)]
+    ev = spark.createDataFrame([(s, u, x, i, [1] * len(i), r, int(r is None), 10 * s) for s, u, x, i, r in rows], "seq bigint, user_id string, session_id string, items array<bigint>, prices array<bigint>, reference bigint, is_test int, ts bigint")
+    ev = ev.withColumn("idx", F.coalesce(S.index_of("items", F.col("reference")), F.lit(S.MISSING)))
+    got = {(r["seq"], r["rank"]): (r["size"], r["ratio"]) for r in feat.click_sequence_gzip(ev, observations(ev)).collect()}
+    size = lambda t: float(len(gzip.compress(t.encode(), mtime=0)))
+    past = {2: "1", 4: "1,0"}
+    for (seq, rank), cell in got.items():
+        want = (size(f"{past[seq]},{rank}"), size(f"{past[seq]},{rank}") / size(past[seq])) if seq in past else (-1000.0, -1000.0)
+        assert cell == want
+    assert len(got) == 10
