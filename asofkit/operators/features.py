@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, leading_int, list_key, sorted_key, time_bucket
-from asofkit.operators.prequential import as_of, before, first_seen, last_n, new_flag, prior
+from asofkit.operators.prequential import as_of, before, first_seen, input_bytes, last_n, new_flag, prior
 
 
 def _zero(c: Column) -> Column:
@@ -463,27 +463,45 @@ def price_features(ev: DataFrame, obs: DataFrame) -> DataFrame:
 _UNIT = 10**12
 
 
-def set_similarity(ev: DataFrame, obs: DataFrame, sets: DataFrame, *keys: str, acts: DataFrame | None = None) -> DataFrame:
+#: Sets from so many bytes of files are compared once for each pair of items; smaller ones go with the rows.
+SETS_BYTES = 64 << 20
+
+
+def set_similarity(ev: DataFrame, obs: DataFrame, sets: DataFrame, *keys: str, acts: DataFrame | None = None, by_pairs: bool | None = None) -> DataFrame:
     """Similarity of the item's property set to that of the item the user clicked last, and its mean over the items met before under *keys* (the user); 0 without any.
 
-    *sets* maps item_id to an array of properties. Met are the items clicked, or those of the actions *acts* (seq, keys, reference). Each
-    pair of items is compared once.
+    *sets* maps item_id to an array of properties. Met are the items clicked, or those of the actions *acts* (seq, keys, reference). With
+    *by_pairs* (by default where the sets come from SETS_BYTES or more) each pair of items is compared once and rows carry no sets.
     """
     keys = keys or ("user_id",)
     click = F.when(F.col("is_test") == 0, F.col("reference"))
     last = ev.select("seq", F.last(click, ignorenulls=True).over(prior("user_id")).alias("last"))
     met = ev.filter("is_test = 0") if acts is None else acts
     seen = first_seen(met.filter("reference is not null"), *keys, "reference").withColumnRenamed("reference", "other")
-    probes = obs.select("seq", "rank", "item_id", *keys)
-    each = probes.join(seen, list(keys)).filter("first_seq < seq").select("seq", "rank", "item_id", "other")
-    to_last = probes.join(last, "seq").select("seq", "rank", "item_id", F.col("last").alias("other"))
-    pairs = each.select("item_id", "other").union(to_last.select("item_id", "other")).filter("other is not null").distinct()
+    rows = obs.select("seq", "rank", "item_id", *keys).join(last, "seq")
     side = lambda item, p: sets.select(F.col("item_id").alias(item), F.col("properties").alias(p))
-    pairs = pairs.join(side("item_id", "p"), "item_id").join(side("other", "q"), "other", "left")
-    pairs = pairs.select("item_id", "other", F.round(jaccard("p", "q") * _UNIT).cast("bigint").alias("s"))
-    sums = each.join(pairs, ["item_id", "other"]).groupBy("seq", "rank").agg(F.sum("s").alias("s"), F.count("s").alias("n"))
-    lasts = to_last.join(pairs, ["item_id", "other"], "left").select("seq", "rank", "item_id", F.coalesce(F.col("s") / _UNIT, F.lit(0.0)).alias("to_last"))
-    return lasts.join(sums, ["seq", "rank"], "left").select("seq", "rank", "item_id", "to_last", F.coalesce(F.col("s") / (F.col("n") * F.lit(_UNIT)), F.lit(0.0)).alias("to_seen"))
+    similar = F.when(F.col("p").isNotNull(), F.round(jaccard("p", "q") * _UNIT).cast("bigint"))
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Adds *name*: how similar item_id, whose set is p, and other are; null without other or p."""
+        return pairs.join(side("other", "q"), "other", "left").withColumn(name, F.when(F.col("other").isNotNull(), similar)).drop("q")
+
+    def with_met(rows: DataFrame) -> DataFrame:
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        return rows.alias("a").join(seen.alias("b"), [*same, F.col("b.first_seq") < F.col("a.seq")], "left").select("a.*", "b.other").drop(*keys)
+
+    if by_pairs if by_pairs is not None else input_bytes(sets) >= SETS_BYTES:
+        each, lasts = with_met(rows), rows.select("seq", "rank", "item_id", F.col("last").alias("other"))
+        pairs = each.select("item_id", "other").union(lasts.select("item_id", "other")).filter("other is not null").distinct()
+        known = compared(pairs.join(side("item_id", "p"), "item_id", "left"), "s").drop("p")
+        lasts = lasts.join(known, ["item_id", "other"], "left").select("seq", "rank", F.col("s").alias("s_last"))
+        each = each.join(known, ["item_id", "other"], "left").join(lasts, ["seq", "rank"])
+    else:
+        to_last = compared(rows.join(side("item_id", "p"), "item_id", "left").withColumn("other", F.col("last")), "s_last").drop("other")
+        each = compared(with_met(to_last.drop("p")).join(side("item_id", "p"), "item_id", "left"), "s")  # no set is shuffled
+    sums = each.groupBy("seq", "rank", "item_id").agg(F.max("s_last").alias("l"), F.sum("s").alias("s"), F.count("s").alias("n"))
+    mean = F.col("s") / (F.col("n") * F.lit(_UNIT))
+    return sums.select("seq", "rank", "item_id", F.coalesce(F.col("l") / _UNIT, F.lit(0.0)).alias("to_last"), F.coalesce(F.when(F.col("n") > 0, mean), F.lit(0.0)).alias("to_seen"))
 
 
 def price_item_similarity(ev: DataFrame, obs: DataFrame, prices: DataFrame, *keys: str, acts: DataFrame | None = None) -> DataFrame:

@@ -195,3 +195,12 @@ def test_compressed_sequences(spark, log):
         want = (size(f"{past[seq]},{rank}"), size(f"{past[seq]},{rank}") / size(past[seq])) if seq in past else (-1000.0, -1000.0)
         assert cell == want
     assert len(got) == 10
+
+
+def test_similarity_by_pairs_or_by_rows(spark, sf):
+    from asofkit.plans import mixed, prep
+
+    acts, clicks, obs = mixed._all(spark, sf)
+    sets = prep._properties(spark, sf).filter("item_id % 9 <> 0")
+    rows = [sorted(map(str, feat.set_similarity(clicks, obs, sets, "user_id", acts=acts.filter("is_test = 0"), by_pairs=x).collect())) for x in (True, False)]
+    assert rows[0] == rows[1] and len(rows[0]) == 6000
