@@ -1,8 +1,10 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from asofkit.llm import ngramjoin
 from asofkit.llm.components import components
@@ -119,3 +121,15 @@ def test_components(spark):
             if u != v:
                 least[u] = least[v] = min(least[u], least[v])
     assert got == least
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    from asofkit.llm.common import saved
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(b) for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before = files()
+    table = saved(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    time.sleep(1)
+    assert not files() - before
+    assert table.count() == 100
