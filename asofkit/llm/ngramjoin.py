@@ -45,6 +45,8 @@ KEY_BITS = 32
 #: Entries of an open list that one task compares with as many others.
 BLOCK = 2_048
 BROADCAST_ROWS = 200_000
+#: Ids of texts are told from others by a table of 2 ** FILTER_BITS bits (8 MB).
+FILTER_BITS = 26
 _COUNT_AT = 1_000_000
 _GROUP = 100_000
 #: Bytes of text whose shingles are counted in one group, and entries of rare lists that are gathered in one: the number of groups grows with the data.
@@ -328,6 +330,31 @@ def _batched(spread):
 # ---------------------------------------------------------------- comparisons
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of *docs* whose id is in the one column of *ids*, and a few others: told by a bit for each hash, so that no other text is shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    word = 1 << 16
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(word, bool)
+        bits[group["p"].to_numpy() % word] = True
+        return pd.DataFrame({"at": [int(group["p"].iloc[0]) // word], "bits": [np.packbits(bits).tobytes()]})
+
+    places = ids.select(place(ids.columns[0]).alias("p")).distinct()
+    got = places.groupBy(F.floor(F.col("p") / word).alias("at")).applyInPandas(packed, "at bigint, bits binary").collect()
+    table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in got:
+        table[r["at"] * word // 8 : (r["at"] + 1) * word // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return docs.filter(known(place("id")))
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """a, b, common, a_n, b_n, beyond, rest: the exact intersection sizes of pairs of nodes, from the whole texts of one document of each.
 
@@ -339,7 +366,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: in
     ends = saved(pairs.select(F.col("a").alias("short")).union(pairs.select("b")).distinct(), "ends")
     chosen = members.filter("n > 0").join(F.broadcast(ends) if small(ends, BROADCAST_ROWS) else ends, "short", "left_semi").groupBy("short", "node").agg(F.min("id").alias("id"))
     chosen = saved(chosen, "chosen").withColumnRenamed("id", "rep")
-    texts = docs.join(F.broadcast(chosen) if small(chosen, BROADCAST_ROWS) else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("short", "node", "t")
+    few = small(chosen, BROADCAST_ROWS)
+    texts = (docs if few else _among(docs, chosen.select("rep"))).join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("rep"))).select("short", "node", "t")
+    texts = texts if few else saved(texts, "texts")
     side = lambda x: texts.select(F.col("short").alias(x), F.col("node").alias(f"{x}_node"), F.col("t").alias(f"{x}_t"))
     flag = F.col("with_rest") if "with_rest" in pairs.columns else F.lit(False).alias("with_rest")
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "a_node", "a_t", "b", "b_node", "b_t", flag)

@@ -133,3 +133,14 @@ def test_saved_tables_leave_no_shuffle_files(spark):
     time.sleep(1)
     assert not files() - before
     assert table.count() == 100
+
+
+def test_texts_are_told_by_their_ids_where_they_are_many(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, f"t{d}") for d in [*range(3000), None]], "id bigint, t string")
+    wanted = [0, 7, 2999, None]
+    got = {r["id"] for r in ngramjoin._among(docs, spark.createDataFrame([(d,) for d in wanted], "rep bigint")).collect()}
+    assert set(wanted) <= got and len(got) < 20
+    monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", 0)
+    rows = made_up(1)
+    found = ngramjoin.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows, 75)
