@@ -139,3 +139,13 @@ def test_stored_matrices(spark, tmp_path):
     for k in (1, 2):
         sinks.append_metrics(spark.createDataFrame([("run", 0.5 * k)], "name string, mrr double"), str(tmp_path / "log"))
     assert sorted(r["mrr"] for r in spark.read.json(str(tmp_path / "log")).collect()) == [0.5, 1.0]
+
+
+def test_blend_tries_pass_over_gathered_lists(spark):
+    rows = [(g, i, (g * 7 + i * 3) % 5 / 4.0, None if (g + i) % 11 == 0 else (g + i) % 3 / 2.0, int((g * i) % 4 == 1)) for g in range(40) for i in range(g % 6 + 1)]
+    df = spark.createDataFrame(rows, "seq int, rank int, a double, b double, hit int")
+    blocks = mt._blocks(df, ["a", "b"], "seq", "hit", "rank")
+    for w in ([0.5, 0.5], [1.0, 0.0], [-0.3, 0.7]):
+        want = sorted(round(1 / r["rr"]) for r in mt.reciprocal_ranks(mt.blend(df, dict(zip("ab", w))), "seq", "blend", "hit", "rank").collect())
+        got = blocks.mapInPandas(mt._places_of(w), "p int, n bigint").collect()
+        assert sorted(p for r in got for p in [r["p"]] * r["n"]) == want
