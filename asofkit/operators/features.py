@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, leading_int, list_key, sorted_key, time_bucket
 from asofkit.operators.prequential import as_of, before, first_seen, input_bytes, last_n, new_flag, prior
+from asofkit.sources.work import written
 
 
 def _zero(c: Column) -> Column:
@@ -129,17 +130,29 @@ def list_clicks(ev: DataFrame, obs_keyed: DataFrame, key: str) -> DataFrame:
     return counts_before(updates, obs_keyed.select("seq", "rank", key, "item_id"), [key, "item_id"], "n")
 
 
+#: Rows of one list's key beyond which no task takes them all; they are counted where the rows come from so many bytes.
+HOT_LIST = 5_000_000
+COUNT_BYTES = 128 << 20
+
+
 def list_clicks_of_others(ev: DataFrame, obs_keyed: DataFrame, key: str, update_key: str | None = None) -> DataFrame:
     """Clicks on the item under the same list key by other users, all clicks of others there, and their ratio (+1).
 
     Updates may go by another key of *ev*, such as that of the list as it was shown when it was left out. Keys of lists are long: rows go by their hash.
-    All clicks under (list, item) less the user's own come from one shuffle, those under the list from another one.
+    What one session did before a list, and the members of one list, are a row until all rows of a list's key are together: then one shuffle serves
+    all four counts, unless a key has more than HOT_LIST rows. In that case each count cuts the order into ranges.
     """
-    hashed = lambda c: F.md5(F.col(c)).alias("_list")
-    updates = ev.filter("is_test = 0 and reference is not null").select(hashed(update_key or key), F.col("reference").alias("item_id"), "user_id", "seq", F.lit(1).alias("_one"), F.lit(None).cast("int").alias("rank"))
-    rows = updates.unionByName(obs_keyed.select(hashed(key), "item_id", "user_id", "seq", F.lit(None).cast("int").alias("_one"), "rank"))
-    for name, keys in (("ci", ["_list", "item_id"]), ("cu", ["_list", "item_id", "user_id"]), ("ai", ["_list"]), ("au", ["_list", "user_id"])):
-        rows = before(rows, keys, {name: ("count", "_one")})
+    hashed = lambda c: F.unhex(F.md5(F.col(c))).alias("_list")
+    own = [c for c in ("user_id", "session_id") if c in ev.columns and c in obs_keyed.columns]
+    member = lambda item, rank: F.collect_list(F.struct("seq", item.alias("item_id"), rank.cast("int").alias("rank"))).alias("m")
+    did = ev.filter("is_test = 0 and reference is not null").groupBy(*own, hashed(update_key or key)).agg(member(F.col("reference"), F.lit(None)))
+    shown = obs_keyed.groupBy(*own, "seq", hashed(key)).agg(member(F.col("item_id"), F.col("rank")))
+    lists = written(did.select("_list", "user_id", "m")).unionByName(written(shown.select("_list", "user_id", "m")))  # one after the other: each removes its shuffles
+    hot = input_bytes(lists) >= COUNT_BYTES and (lists.groupBy("_list").agg(F.sum(F.size("m")).alias("rows")).agg(F.max("rows")).first()[0] or 0) > HOT_LIST
+    rows = (lists if hot else lists.repartition("_list")).select("_list", "user_id", F.inline("m"))
+    rows = rows.withColumn("_one", F.when(F.col("rank").isNull(), 1))
+    for name, keys in (("ai", ["_list"]), ("au", ["_list", "user_id"]), ("ci", ["_list", "item_id"]), ("cu", ["_list", "item_id", "user_id"])):
+        rows = before(rows, keys, {name: ("count", "_one")}, ranges=None if hot else 1)
     out = rows.filter("rank is not null")
     return out.select("seq", "rank", "item_id", (F.col("ci") - F.col("cu")).alias("n"), (F.col("ai") - F.col("au")).alias("n_all"), ((F.col("ci") - F.col("cu")) / (F.col("ai") - F.col("au") + 1)).alias("ctr"))
 

@@ -204,3 +204,18 @@ def test_similarity_by_pairs_or_by_rows(spark, sf):
     sets = prep._properties(spark, sf).filter("item_id % 9 <> 0")
     rows = [sorted(map(str, feat.set_similarity(clicks, obs, sets, "user_id", acts=acts.filter("is_test = 0"), by_pairs=x).collect())) for x in (True, False)]
     assert rows[0] == rows[1] and len(rows[0]) == 6000
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_clicks_of_others_share_a_shuffle(spark, sf, monkeypatch, hot):
+    from asofkit.plans.prep import _o
+
+    ev = _o(spark, sf).withColumn("lk", S.list_key(F.slice("items", 1, 1)))
+    plain = sorted(map(str, feat.list_clicks_of_others(ev, observations(ev), "lk").collect()))
+    monkeypatch.setattr("asofkit.sources.work.LEAST_BYTES", 0)
+    monkeypatch.setattr(feat, "COUNT_BYTES", 0)
+    monkeypatch.setattr(feat, "HOT_LIST", 0 if hot else 10**9)
+    got = feat.list_clicks_of_others(ev, observations(ev), "lk")
+    assert sorted(map(str, got.collect())) == plain
+    plan = got._jdf.queryExecution().sparkPlan().toString() if hot else got._jdf.queryExecution().executedPlan().toString()
+    assert hot or plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
