@@ -7,6 +7,7 @@ ev has one row per event (seq, user_id, session_id, ts, items, prices, reference
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.scalars import ACTION_LETTERS, ITEM_ACTIONS, MISSING, UNKNOWN, action_letter, jaccard, leading_int, list_key, sorted_key, time_bucket
 from asofkit.operators.prequential import as_of, before, first_seen, input_bytes, last_n, new_flag, prior
-from asofkit.sources.work import written
+from asofkit.sources.work import cleaned, written
 
 
 def _zero(c: Column) -> Column:
@@ -553,20 +554,45 @@ def edges(ev: DataFrame) -> DataFrame:
     return first_seen(ev.filter("is_test = 0 and reference is not null").select("user_id", F.col("reference").alias("item_id"), "seq"), "user_id", "item_id")
 
 
-def similar_users(ev: DataFrame, obs: DataFrame) -> DataFrame:
+#: Rows of one item beyond which no task takes them all; they are counted where the input has COUNT_BYTES.
+HOT_ITEM = 20_000_000
+#: Bytes of the table of probes for each part that is counted on its own.
+PART_BYTES = 128 << 20
+
+
+def similar_users(ev: DataFrame, obs: DataFrame, parts: int | None = None) -> DataFrame:
     """Paths item - other user - item that the user clicked, all edges before the event.
 
     Counted without listing paths: users of both items come from the pairs of items of each user, whose number doesn't depend on how
-    many users an item has, and a probe adds up those of the user's items, less the user's own.
+    many users an item has, and a probe adds up those of the user's items, less the user's own. The items that a user clicked travel as one
+    array with each probe until all rows of the probed item are together; where an item has more than HOT_ITEM rows, pairs travel one by one.
+    Large inputs are counted in *parts* by item, one after the other, and of each only the probes with paths are kept.
     """
-    e = edges(ev)
-    one, two = (e.select("user_id", F.col("item_id").alias(x), F.col("first_seq").alias(f)) for x, f in (("a", "f1"), ("item_id", "f2")))
-    pairs = one.join(two, "user_id").select("a", "item_id", F.greatest("f1", "f2").alias("seq"), F.lit(1).alias("_one"))
-    probes = obs.select("seq", "rank", "user_id", "item_id").join(one, "user_id").filter("f1 < seq").select("seq", "rank", "user_id", "item_id", "a")
-    counted = as_of(pairs, probes, ["a", "item_id"], {"users": ("count", "_one")})
-    met = counted.join(two.withColumnRenamed("f2", "mine"), ["user_id", "item_id"], "left")
-    paths = met.groupBy("seq", "rank").agg(F.sum(F.col("users") - F.coalesce((F.col("mine") < F.col("seq")).cast("int"), F.lit(0))).alias("paths"))
-    return obs.select("seq", "rank", "item_id").join(paths, ["seq", "rank"], "left").withColumn("paths", _zero(F.col("paths")))
+    e = edges(ev).groupBy("user_id").agg(F.collect_list(F.struct("item_id", F.col("first_seq").alias("f"))).alias("e"))
+    clicked = written(e)
+    known = F.transform(F.filter("e", lambda x: x["f"] < F.col("seq")), lambda x: x["item_id"])
+    kind = dict(obs.dtypes)["item_id"]
+    shown = obs.select("seq", "rank", "user_id", "item_id").join(clicked, "user_id", "left")
+    shown = written(shown.select("seq", "rank", "item_id", F.coalesce(known, F.array().cast(f"array<{kind}>")).alias("mine")))
+    n = parts or max(1, -(-input_bytes(shown) // PART_BYTES))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    both = clicked.select("e", F.inline("e").alias("item_id", "f"))
+    both = both.select("item_id", none("seq", "bigint"), none("rank", "int"), none("own", "int"), F.transform("e", lambda x: F.struct(x["item_id"].alias("a"), F.greatest(x["f"], F.col("f")).alias("at"))).alias("m"))
+    own = F.array_contains("mine", F.col("item_id")).cast("int").alias("own")
+    probes = shown.filter(F.size("mine") > 0).select("item_id", "seq", "rank", own, F.transform("mine", lambda x: F.struct(x.alias("a"), F.col("seq").alias("at"))).alias("m"))
+    lists = both.unionByName(probes)
+    with cleaned(ev.sparkSession):
+        hot = input_bytes(lists) >= COUNT_BYTES and (lists.groupBy("item_id").agg(F.sum(F.size("m")).alias("rows")).agg(F.max("rows")).first()[0] or 0) > HOT_ITEM
+    found = []
+    for k in range(n):
+        part = lists.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else lists
+        rows = (part if hot else part.repartition("item_id")).select("item_id", "rank", "own", F.col("seq").alias("event"), F.inline("m").alias("a", "seq"))
+        rows = rows.withColumn("_one", F.when(F.col("rank").isNull(), 1))
+        met = before(rows, ["item_id", "a"], {"users": ("count", "_one")}, ranges=None if hot else 1).filter("rank is not null and users > own")
+        some = met.groupBy(F.col("event").alias("seq"), "rank").agg(F.sum(F.col("users") - F.col("own")).alias("paths"))
+        found.append(written(some, 0) if n > 1 else some)
+    paths = reduce(DataFrame.unionByName, found)
+    return shown.select("seq", "rank", "item_id").join(paths, ["seq", "rank"], "left").withColumn("paths", _zero(F.col("paths")))
 
 
 def neighbours(ev: DataFrame, k: int = 1, score: str = "intersection") -> DataFrame:

@@ -10,6 +10,7 @@ from asofkit.operators import side_tables as side
 from asofkit.plans.prep import _e, _o, _properties
 from asofkit.plans.registry import query
 from asofkit.sources import feeds
+from asofkit.sources.work import written
 
 
 def _both(spark, sf):
@@ -475,7 +476,8 @@ _G = ", g AS (SELECT user_id, reference AS item_id, min(seq) AS f FROM ev WHERE
     _G + " SELECT p.seq, p.rank, p.item_id, count(c.f) AS paths FROM ob p LEFT JOIN (SELECT a.user_id, c.item_id, greatest(a.f, b.f, c.f) AS f FROM g a JOIN g b ON a.item_id = b.item_id AND a.user_id <> b.user_id JOIN g c ON c.user_id = b.user_id) c ON c.user_id = p.user_id AND c.item_id = p.item_id AND c.f < p.seq GROUP BY p.seq, p.rank, p.item_id", "o"
 )
 def similar_users_2hop(spark, sf):
-    return feat.similar_users(*_both(spark, sf))
+    ev = written(_o(spark, sf).select("seq", "user_id", "is_test", "reference", "items"))
+    return feat.similar_users(ev, ev.select("seq", "user_id", F.posexplode("items").alias("rank", "item_id")))
 
 
 _N = (

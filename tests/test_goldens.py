@@ -56,6 +56,20 @@ def test_paths_of_similar_users(log):
     assert (got[5, A], got[5, B], got[5, C]) == ((1,), (1,), (0,))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_paths_in_parts(spark, sf, monkeypatch, hot):
+    """The same paths in parts and for hot items; before they are exploded, a probe is one row whatever its user clicked."""
+    from asofkit.plans.prep import _o
+
+    ev = _o(spark, sf)
+    plain = sorted(map(str, feat.similar_users(ev, observations(ev)).collect()))
+    monkeypatch.setattr("asofkit.sources.work.LEAST_BYTES", 0)
+    monkeypatch.setattr(feat, "COUNT_BYTES", 0)
+    monkeypatch.setattr(feat, "HOT_ITEM", 0 if hot else 10**9)
+    got = feat.similar_users(ev, observations(ev), parts=3)
+    assert sorted(map(str, got.collect())) == plain and any(not x.endswith("paths=0)") for x in plain)
+
+
 G2 = {
     0: "100,12666,126,80,80,200,200,1,33,10000,100,100,100,100,100,12666,126,80,80,200,200,0,0,1,33,80,200,126,100,100,100,125,50,100,100,100",
     1: "80,12666,158,80,100,200,250,0,0,9000,112,80,100,100,125,14000,175,80,100,200,250,0,0,0,0,100,250,158,80,80,80,40,40,100,125,112",
