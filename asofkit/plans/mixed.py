@@ -12,14 +12,15 @@ from asofkit.plans.prep import _o, _properties
 from asofkit.plans.registry import query
 from asofkit.plans.state import rounded
 from asofkit.sources import feeds
+from asofkit.sources.work import written
 
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _IA = ", ia AS (SELECT * FROM lg WHERE on_item AND is_test = 0), cl AS (SELECT * FROM lg WHERE action_type = 'clickout item')"
 _KEY = "seq, rank, item_id"
 
 
-def _log(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.with_next_lists(feeds.mixed_events(spark, sf)).withColumns({"fk": S.list_key("fake_items"), "lk": S.list_key("items"), "lh": S.sorted_key("items"), "top": S.list_key(F.slice("fake_items", 1, 1))})
+def _log(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> DataFrame:
+    return feeds.with_next_lists(feeds.mixed_events(spark, sf, ev)).withColumns({"fk": S.list_key("fake_items"), "lk": S.list_key("items"), "lh": S.sorted_key("items"), "top": S.list_key(F.slice("fake_items", 1, 1))})
 
 
 def _clickouts(lg: DataFrame) -> DataFrame:
@@ -32,9 +33,9 @@ def _placed(lg: DataFrame) -> DataFrame:
     return lg.withColumns({"reference": F.when(on_item, F.col("item")), "idx": F.when(on_item, F.col("fake_idx"))})
 
 
-def _all(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _all(spark: SparkSession, sf: str, ev: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Item actions by their places in the next lists, clickouts, list members."""
-    lg = _log(spark, sf)
+    lg = _log(spark, sf, ev)
     clicks = _clickouts(lg)
     return _placed(lg), clicks, feeds.observations(clicks)
 
@@ -259,13 +260,13 @@ def _similar_sql(sets: str, keys: str) -> str:
     )
 
 
-def _similarity(spark: SparkSession, sf: str, sets: DataFrame, *keys: str) -> DataFrame:
-    acts, clicks, obs = _all(spark, sf)
+def _similarity(spark: SparkSession, sf: str, sets: DataFrame, *keys: str, ev: DataFrame | None = None) -> DataFrame:
+    acts, clicks, obs = _all(spark, sf, ev)
     return rounded(feat.set_similarity(clicks, obs, sets, *keys, acts=acts.filter("is_test = 0")), "to_last", "to_seen")
 
 
-def _pois(spark: SparkSession, sf: str) -> DataFrame:
-    return side.item_sets(_o(spark, sf).withColumn("label", F.col("device"))).withColumnRenamed("labels", "properties")
+def _pois(ev: DataFrame) -> DataFrame:
+    return side.item_sets(ev.withColumn("label", F.col("device"))).withColumnRenamed("labels", "properties")
 
 
 @query(_similar_sql(_PARTS, "user_id"), "m")
@@ -280,12 +281,13 @@ def similarity_in_session(spark, sf):
 
 @query(_similar_sql(_POIS, "user_id"), "m")
 def poi_similarity(spark, sf):
-    return _similarity(spark, sf, _pois(spark, sf), "user_id")
+    ev = written(_o(spark, sf).drop("city", "filters", "step"))
+    return _similarity(spark, sf, _pois(ev), "user_id", ev=ev)
 
 
 @query(f", pr AS ({_POIS}) SELECT b.seq, b.rank, b.item_id, len(p)::INTEGER AS num_pois FROM mb b JOIN pr USING (item_id)", "m")
 def num_pois(spark, sf):
-    return _all(spark, sf)[2].join(_pois(spark, sf), "item_id").select("seq", "rank", "item_id", F.size("properties").alias("num_pois"))
+    return _all(spark, sf)[2].join(_pois(_o(spark, sf)), "item_id").select("seq", "rank", "item_id", F.size("properties").alias("num_pois"))
 
 
 def _price_sql(keys: str) -> str:

@@ -220,6 +220,24 @@ def test_similarity_by_pairs_or_by_rows(spark, sf):
     assert rows[0] == rows[1] and len(rows[0]) == 6000
 
 
+@pytest.mark.parametrize("keys", [("user_id",), ("user_id", "session_id")])
+def test_similarity_of_few_kinds_makes_no_pairs(spark, sf, monkeypatch, keys):
+    """Sets of few kinds, some null, empty or missing: the same numbers, and no join that makes a row of each pair of items."""
+    from asofkit.plans import mixed, prep
+
+    ev = prep._o(spark, sf)
+    acts, clicks, obs = mixed._all(spark, sf)
+    sets = mixed._pois(ev).filter("item_id % 9 <> 0").withColumn("properties", F.when(F.col("item_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("item_id") % 7 > 0, F.col("properties")))
+    one = lambda: feat.set_similarity(clicks, obs, sets, *keys, acts=acts.filter("is_test = 0"))
+    plain = sorted(map(str, one().collect()))
+    monkeypatch.setattr(feat, "SETS_BYTES", 0)
+    got = one()
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing is added up over rows
+    assert sorted(map(str, got.collect())) == plain and len(plain) == 6000
+    monkeypatch.setattr(feat, "MOST_KINDS", 3)
+    assert sorted(map(str, one().collect())) == plain
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_clicks_of_others_share_a_shuffle(spark, sf, monkeypatch, hot):
     from asofkit.plans.prep import _o
