@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from asofkit.operators import groupwise as gw
 from asofkit.operators import vectorize as vz
 from asofkit.operators.side_tables import property_codes
 
+#: So many fitted features are a table that fits into each task.
+MOST_FEATURES = 1 << 16
+
 
 @dataclass
 class Branches:
@@ -90,9 +95,13 @@ class FeatureMatrix:
         dense, names = self._dense(df)
         shifted = [c for branch in ("lag", "lag_2", "rank") for c in names.get(branch, [])]
         if shifted:
-            stats = dense.agg(*[x for c in shifted for x in (F.mode(c, deterministic=True).alias(f"{c}__m"), F.min(c).alias(f"{c}__a"), F.max(c).alias(f"{c}__b"))]).first()
-            self.shifts = {c: float(m) for c in shifted if (m := stats[f"{c}__m"]) is not None and m in (stats[f"{c}__a"], stats[f"{c}__b"])}
-        counts = self._cells(df).groupBy("branch", "feature").agg(F.count(F.lit(1)).alias("rows"))
+            # Values are counted as rows: no buffer holds all different values of a column.
+            values = dense.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in shifted])).alias("x")).select("x.*").filter("v is not null")
+            counts = values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k"))
+            stats = counts.groupBy("c").agg(F.max_by("v", F.struct("k", -F.col("v"))).alias("m"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+            self.shifts = {r["c"]: r["m"] for r in stats if r["m"] in (r["a"], r["b"])}
+        found = F.array_distinct(F.transform(self._terms(df), lambda t: F.struct(t["branch"].alias("branch"), t["feature"].alias("feature"))))
+        counts = df.select(F.explode(found).alias("t")).select("t.*").groupBy("branch", "feature").agg(F.count(F.lit(1)).alias("rows"))
         self.kept = counts.filter(F.col("rows") >= self._least()).select("branch", "feature")
         return self
 
@@ -110,6 +119,45 @@ class FeatureMatrix:
             sparse = rows.unionByName(sparse)
         return sparse.filter("value <> 0 and not isnan(value)")
 
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """keys and features, a sparse vector: one for each row of *df* that has cells. Numbers are places of all fitted features in alphabetical order.
+
+        Up to MOST_FEATURES are looked up where a row is, and no cell becomes a row of its own; beyond that cells are joined.
+        """
+        dense, names = self._dense(df)
+        kept = [tuple(r) for r in self.kept.limit(MOST_FEATURES + 1).collect()]
+        parts = sorted([(c, ("dense", c)) for columns in names.values() for c in columns] + [(f, self._owner(b, f)) for b, f in kept if f is not None])
+        blocks = [(owner, [f for f, _ in rows]) for owner, rows in groupby(parts, key=lambda x: x[1])]
+        if len(kept) > MOST_FEATURES or len({owner for owner, _ in blocks}) < len(blocks):
+            columns = df.sparkSession.createDataFrame([(c,) for cs in names.values() for c in cs], "feature string")
+            return to_vectors(self.transform(df), columns.union(self.kept.select("feature")).distinct(), self.keys)
+        number = lambda c: F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+        inputs, models, ngrams = {}, [], self.branches.ngrams
+        for i, ((kind, c), features) in enumerate(blocks):
+            name = f"_part_{i}"
+            if kind == "dense":
+                inputs[name] = number(F.col(c).cast("double") - F.lit(self.shifts.get(c, 0.0)))
+            elif kind == "map":
+                inputs[name] = number(F.try_element_at(F.col(c[0]), F.lit(c[1])))
+            else:
+                terms = {"categorical": lambda: F.array(F.coalesce(F.col(c).cast("string"), F.lit("UNK"))), "bag": lambda: F.coalesce(c, F.array()), "ngram": lambda: vz.char_ngrams(c, ngrams[c][0])}[kind]()
+                inputs[f"_terms_{i}"] = terms
+                models.append(CountVectorizerModel.from_vocabulary([f[len(c) + 1 :] for f in features], inputCol=f"_terms_{i}", outputCol=name))
+        out = dense.select(*self.keys, *[value.alias(name) for name, value in inputs.items()])
+        for m in models:
+            out = m.transform(out)
+        out = VectorAssembler(inputCols=[f"_part_{i}" for i in range(len(blocks))], outputCol="features").transform(out)
+        # The array of one keeps the filter from computing the vector again.
+        out = out.select(*self.keys, F.explode(F.array("features")).alias("features"))
+        return out.filter(F.exists(F.unwrap_udt("features")["values"], lambda v: v != 0))
+
+    def _owner(self, branch: str, feature: str) -> tuple:
+        """Which column a fitted feature is of; a key of a map stands alone."""
+        b = self.branches
+        sep, columns = {"categorical": ("=", b.categorical), "bag": (":", b.bags), "ngram": ("~", b.ngrams), "map": (".", b.maps)}[branch]
+        c = next(c for c in sorted(columns, key=len, reverse=True) if feature.startswith(c + sep))
+        return ("map", (c, feature[len(c) + 1 :])) if branch == "map" else (branch, c)
+
 
 def to_vectors(cells: DataFrame, features: DataFrame, keys: Sequence[str] = ("seq", "rank")) -> DataFrame:
     """keys and features, a sparse vector: one for each row that has cells. *features* has feature; its numbers are places in alphabetical order."""

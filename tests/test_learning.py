@@ -77,6 +77,27 @@ def test_training_ends_in_a_submission(spark, lists):
     assert {u: len(set(items)) for u, items in got.items()} == sizes
 
 
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_vectors_hold_the_cells(spark, monkeypatch, most):
+    """Vectors against cells, with nulls, repeated terms, unseen values and a row without cells; no cell is a row unless there are very many features."""
+    rows = spark.createDataFrame(
+        [(1, 0, 5.0, "a", ["x", "x", "y"], {"k": 2.0}), (1, 1, None, "b", None, None), (2, 0, 3.0, None, ["y", None, "z"], {"k": float("nan"), "j": 1.0}), (2, 1, 0.0, "q", [], {"k": None}), (3, 0, 0.0, "q", ["w"], {})],
+        "seq bigint, rank int, price double, kind string, bag array<string>, facts map<string,double>",
+    )
+    spec = mx.Branches(numeric=["price"], lagged=["price"], ranked=["price"], categorical={"kind": 1}, bags={"bag": 1}, ngrams={"kind": (1, 1)}, maps=["facts"], at_rank_0=["price"])
+    fitted = mx.FeatureMatrix(spec, impute=0.0).fit(rows.filter("kind is null or kind <> 'q'"))
+    want = {}
+    for r in fitted.transform(rows).collect():
+        want.setdefault((r["seq"], r["rank"]), {})[r["feature"]] = r["value"]
+    monkeypatch.setattr(mx, "MOST_FEATURES", most)
+    out = fitted.vectors(rows)
+    assert most == 0 or "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    dense = [c for cs in fitted._dense(rows)[1].values() for c in cs]
+    names = sorted({*dense, *(r["feature"] for r in fitted.kept.collect() if r["feature"])})
+    got = {(r["seq"], r["rank"]): {names[i]: v for i, v in enumerate(r["features"].toArray()) if v} for r in out.collect()}
+    assert got == want and len(want) >= 3
+
+
 def test_ftrl_against_a_plain_learner(spark, sf):
     """The hashed learner without collisions is the textbook's with a dictionary."""
     r = random.Random(1)
