@@ -52,6 +52,29 @@ def test_gradient_of_pairs(lists):
             assert np.allclose(others["pull"], -want) and np.allclose(clicked["pull"], want.sum()) and np.allclose(others["loss"], np.log1p(np.exp(others["s"] - c)))
 
 
+def test_pulls_of_lists_as_rows(lists):
+    """Lists as one row each give the gradients and losses that windows give; a fitted tree as a column gives its predictions."""
+    odd = lists.withColumn("label", F.when(F.col("seq") % 7 == 3, F.when(F.col("rank") > 0, 1.0).otherwise(0.0)).otherwise(F.col("hit").cast("double"))).filter("seq % 11 > 0")
+    pull, loss = rk._pulls(F.col("x"), "seq")
+    key = lambda rows: sorted((r["x"], round(r["pull"], 12), -1 if r["loss"] is None else round(r["loss"], 12)) for r in rows)
+    want = key(odd.select("x", pull.alias("pull"), loss.alias("loss")).collect())
+    gathered = odd.groupBy("seq").agg(F.collect_list(F.struct("label", "x")).alias("m"))
+    got = gathered.select(F.inline(rk._list_pulls(lambda m: m["x"]))).select("x.x", "pull", "loss")
+    assert key(got.collect()) == want
+    model = rk.GroupedRanker(["x", "y"], "seq", rounds=3).fit(lists, "hit")
+    rows = lists.withColumn("s", model._member_score(F.struct(F.col("x").alias("f0"), F.col("y").alias("f1"))))
+    assert rows.join(model.score(lists, ["seq", "rank"]), ["seq", "rank"]).filter("s <> score").count() == 0
+
+
+def test_models_are_fitted_once(lists, monkeypatch):
+    fits = []
+    monkeypatch.setattr(rk.GroupedRanker, "fit", lambda self, df, label, f=rk.GroupedRanker.fit: fits.append(1) or f(self, df, label))
+    rows = lists.withColumns({"item_id": F.col("rank") + 10, "user_id": F.col("seq")})
+    train, val, test = (rows.filter(f"seq % 3 = {k}") for k in range(3))
+    rk.train_and_submit(train, val, test, [{"name": "g", "model_class": "grouped", "params": {"rounds": 1}}], ["x", "y"], "hit", ["seq", "rank"], ["user_id"], rounds=1)
+    assert len(fits) == 1
+
+
 @pytest.mark.parametrize("method", ["simplex", "lines"])
 def test_blend_weights_are_better_than_each_score(lists, method):
     scores = lists.withColumns({"a": F.col("x"), "b": -F.col("y")}).select("seq", "rank", "hit", "a", "b").cache()
