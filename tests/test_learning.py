@@ -66,6 +66,14 @@ def test_pulls_of_lists_as_rows(lists):
     assert rows.join(model.score(lists, ["seq", "rank"]), ["seq", "rank"]).filter("s <> score").count() == 0
 
 
+def test_written_rounds_learn_the_same(lists, monkeypatch):
+    fit = lambda: rk.GroupedRanker(["x", "y"], "seq", rounds=2).fit(lists, "hit").losses
+    plain = fit()
+    monkeypatch.setattr("asofkit.sources.work.LEAST_BYTES", 0)
+    monkeypatch.setattr(rk, "ROUND_BYTES", 0)
+    assert fit() == pytest.approx(plain, rel=1e-3)
+
+
 def test_models_are_fitted_once(lists, monkeypatch):
     fits = []
     monkeypatch.setattr(rk.GroupedRanker, "fit", lambda self, df, label, f=rk.GroupedRanker.fit: fits.append(1) or f(self, df, label))
