@@ -12,6 +12,9 @@ their prefixes. The lists of nodes by prefix shingle are the index. Relations be
 * Index level. Entries of those lists stand at positions of their sets. A common shingle at positions i and j leaves room for min(i, j) + 1 + min(|r_x| - i - 1, |r_z| - j - 1)
   common ones, so blocks of entries of like positions and sizes whose bound falls short are skipped whole.
 
+Short lists, most of which are there by chance and whose number grows faster than that of the documents, are spelled out as pairs. A bitmap of each set, two to four bits
+for each shingle, bounds what two sets can share, and only texts of pairs that it leaves open are compared.
+
 The shingles of frequent lists, those of large groups and of passages that many documents share, are handled as rows with partial aggregation; lists
 of other shingles are short by definition and are handled in numpy, many to a block.
 """
@@ -40,6 +43,8 @@ FREQUENT = 256
 ORDERED_FROM = 4
 #: The most frequent shingles whose frequencies take part in the order: 8 bytes each are broadcast.
 ORDERED = 1_000_000
+#: Lists of rare shingles with at most so many nodes are spelled out as pairs.
+SHORT_LIST = 32
 #: Bits of a shingle's hash by which frequencies are counted. Shingles that share them count together, which changes the order only.
 KEY_BITS = 32
 #: Entries of an open list that one task compares with as many others.
@@ -134,6 +139,25 @@ def _short(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each value of the trailing bits of the hashes, set where a shingle has it: least power of two of 64 or more that is at least twice the number of shingles."""
+    m = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[tokens & np.uint64(m - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(n_x: int, x: bytes, n_y: int, y: bytes) -> int:
+    """No fewer than the shingles that two sets of these sizes and bitmaps share: a bit that one has alone is a shingle that the other lacks."""
+    if len(x) > len(y):
+        n_x, x, n_y, y = n_y, y, n_x, x
+    a, b, m = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while m > 8 * len(x):  # the halves of the longer one are laid over each other
+        m //= 2
+        b = (b | b >> m) & ((1 << m) - 1)
+    return min(n_x - (a & ~b).bit_count(), n_y - (b & ~a).bit_count())
+
+
 # ---------------------------------------------------------------- the global order
 
 
@@ -214,7 +238,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
-    """For each document: id, th (hash of the text), n, node, short (its first 8 bytes, least significant first), rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths)."""
+    """For each document: id, th (hash of the text), n, node, short (its first 8 bytes, least significant first), rare (rare prefix shingles), often (frequent ones), share (of shingles in several documents, in thousandths), bits (see _bitmap)."""
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,16 +248,16 @@ def _nodes(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, percent: int)
             for id_, th, s in zip(batch["id"], batch["th"], shingle_sets(batch["t"].tolist())):
                 n = len(s)
                 if not n:
-                    rows.append((id_, th, 0, None, 0, None, None, 0))
+                    rows.append((id_, th, 0, None, 0, None, None, 0, None))
                     continue
                 reach = n - -(-percent * n // 100) + 1
                 weight = _weights_of(s, keys, counts)
                 prefix = np.lexsort((s, weight))[:reach]
                 split = int(np.searchsorted(weight[prefix], FREQUENT))
-                rows.append((id_, th, n, node := _node(s), _short(node), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n))
-            yield pd.DataFrame(rows, columns=["id", "th", "n", "node", "short", "rare", "often", "share"])
+                rows.append((id_, th, n, node := _node(s), _short(node), s[prefix[:split]].tobytes(), s[prefix[split:]].tobytes(), 1000 * int(np.count_nonzero(weight)) // n, _bitmap(s)))
+            yield pd.DataFrame(rows, columns=["id", "th", "n", "node", "short", "rare", "often", "share", "bits"])
 
-    return docs.select(F.col("id").cast("string").alias("id"), "t", F.xxhash64("t").alias("th")).mapInPandas(releasing(run), "id string, th bigint, n int, node binary, short bigint, rare binary, often binary, share int").withColumn("id", F.col("id").cast("bigint"))
+    return docs.select(F.col("id").cast("string").alias("id"), "t", F.xxhash64("t").alias("th")).mapInPandas(releasing(run), "id string, th bigint, n int, node binary, short bigint, rare binary, often binary, share int, bits binary").withColumn("id", F.col("id").cast("bigint"))
 
 
 def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -246,7 +270,7 @@ def _weights_of(tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """list, hub, node, n, more (whether the list has others than these two): distinct lists of two or more nodes that share a rare prefix shingle; a row for each node but the hub."""
+    """list, nodes, sizes: distinct lists of two or more nodes that share a rare prefix shingle, the hub first."""
     width = _band_width(percent)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,13 +311,38 @@ def _rare_lists(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
 
     blocks = nodes.select("node", "n", "share", "rare").mapInPandas(releasing(spread), "part int, token binary, node binary, n binary, share binary")
     lists = blocks.groupBy("part").applyInPandas(gather, "nodes array<bigint>, sizes array<int>")
-    lists = lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
+    return lists.withColumn("list", F.xxhash64("nodes")).dropDuplicates(["list"])
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """list, hub, node, n, more (whether the list has others than these two): a row for each node of *lists* (list, nodes, sizes) but the hub."""
     members = lists.select("list", F.get("nodes", F.lit(0)).alias("hub"), (F.size("nodes") > 2).alias("more"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
     return members.select("list", "hub", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"), "more").filter("node <> hub")
 
 
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b, star (whether one is the hub): the pairs of nodes of *lists* (list, nodes, sizes) whose sizes let them be similar."""
+    at = lambda i: F.struct(F.get("nodes", i).alias("v"), F.get("sizes", i).alias("n"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda j: F.transform(F.sequence(F.lit(0), j - 1), lambda i: F.struct(at(i).alias("x"), at(j).alias("y"), (i == 0).alias("star"))))
+    pairs = lists.select(F.explode(F.flatten(ends)).alias("p")).filter(100 * F.least("p.x.n", "p.y.n") >= percent * F.greatest("p.x.n", "p.y.n"))
+    return pairs.select(F.least("p.x.v", "p.y.v").alias("a"), F.greatest("p.x.v", "p.y.v").alias("b"), "p.star")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b, star: those of *pairs*, once each, that the bitmaps of *nodes* (short, n, bits) let be similar."""
+    side = lambda x: nodes.select(F.col("short").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    joined = pairs.groupBy("a", "b").agg(F.max("star").alias("star")).join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [most_common(m, x, n, y) >= _least_common(m, n, percent) for m, x, n, y in zip(batch["a_n"], batch["a_bits"], batch["b_n"], batch["b_bits"])]
+            yield batch.loc[np.array(keep, bool), ["a", "b", "star"]]
+
+    return joined.select("a", "b", "star", "a_n", "a_bits", "b_n", "b_bits").mapInPandas(releasing(run), "a bigint, b bigint, star boolean")
+
+
 def _often_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """The same for frequent prefix shingles; lists are told apart by sums over their members, never gathered."""
+    """list, hub, node, n, more as of _members() for frequent prefix shingles; lists are told apart by sums over their members, never gathered."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -529,19 +578,27 @@ def _labelled(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataF
     wide = saved(_nodes(docs, keys, counts, percent), "nodes")
     distinct = wide.filter("n > 0").dropDuplicates(["node"])
     parts = _groups(wide.agg(F.sum(F.octet_length("rare"))).first()[0], 8 * GATHER_ENTRIES)
-    rare = _rare_lists(distinct.select("node", "n", "share", "rare"), parts, percent)
+    rare = saved(_rare_lists(distinct.select("node", "n", "share", "rare"), parts, percent), "rare_lists")
     often = _often_lists(wide.filter("octet_length(often) > 0").select("node", "n", "share", "often").dropDuplicates(["node"]), percent)
-    lists = saved(rare.unionByName(often), "lists")
+    often, short = saved(often, "lists"), F.size("nodes") <= SHORT_LIST
+    lists = _members(rare.filter(~short)).unionByName(often.filter("more"))
+    twos = often.filter("not more").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), F.lit(True).alias("star"))
+    pairs = saved(_likely(_pairs(rare.filter(short), percent).union(twos), distinct.select("short", "n", "bits"), percent), "likely_pairs")
     members = wide.select("id", "th", "n", "node", "short")
-    stars = lists.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("more").alias("with_rest"))
+    stars = lists.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("with_rest"))
+    stars = stars.union(pairs.filter("star").select("a", "b", F.lit(False))).groupBy("a", "b").agg(F.max("with_rest").alias("with_rest"))
     stars = _compared(saved(stars, "stars"), docs, members, percent, (keys, counts))
     link = f"100 * common >= {percent} * (a_n + b_n - common)"
     labels = saved(components(stars.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    rest = saved(_open(lists, labels, stars, percent), "open_pairs")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    others = pairs.filter("not star").join(done, ["a", "b"], "left_anti").select("a", "b", F.lit(False).alias("sure"))
+    rest = _open(lists, labels, stars, percent).unionByName(others).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    rest = saved(rest, "open_pairs")
     if not rest.isEmpty():
         ends = [F.col("a").alias("u"), F.col("b").alias("v")]
         sure = rest.filter("sure").select(*ends)
-        labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(sure)), "labels")
+        if not sure.isEmpty():
+            labels = saved(components(labels.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(sure)), "labels")
         comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
         apart = F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")
         unsure = saved(rest.filter("not sure").join(comp("a"), "a", "left").join(comp("b"), "b", "left").filter(apart).select("a", "b"), "unsure_pairs")

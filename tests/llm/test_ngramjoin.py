@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,46 @@ def test_texts_are_told_by_their_ids_where_they_are_many(spark, monkeypatch):
     rows = made_up(1)
     found = ngramjoin.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((tuple(r) for r in found), key=str) == brute(rows, 75)
+
+
+@pytest.mark.parametrize(("short", "frequent", "percent"), [(0, 4, 75), (0, 256, 50), (3, 256, 75), (3, 6, 30), (32, 256, 90)])
+def test_short_and_long_lists_against_all_pairs(spark, monkeypatch, short, frequent, percent):
+    monkeypatch.setattr(ngramjoin, "SHORT_LIST", short)
+    monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 16)
+    rows = made_up(percent + short)
+    got = ngramjoin.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=percent).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, percent)
+
+
+def test_bitmaps_never_fall_short_of_what_sets_share():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 1 << 63, r.integers(1, 400), dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.append(y[: r.integers(0, len(y) + 1)], x[: r.integers(1, len(x) + 1)]))
+        most = ngramjoin.most_common(len(x), ngramjoin._bitmap(x), len(y), ngramjoin._bitmap(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+
+
+def test_texts_that_share_a_passage_by_chance_are_not_compared(spark, monkeypatch):
+    """Any two of these texts share a rare passage of their own, and a few a passage of three texts; one pair is similar."""
+    r, compared, old = random.Random(3), [], ngramjoin.saved
+
+    def saved(df, name):
+        out = old(df, name)
+        if name == "compared":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngramjoin, "saved", saved)
+    made = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = [made(60) for _ in range(40)]
+    for i in range(0, 39):
+        passage = made(6)
+        for w in texts[i : i + 2 + i % 2]:
+            w += passage
+    texts.append(texts[0] + ["more"])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = ngramjoin.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 75)
+    assert sum(compared) == 1
