@@ -1,5 +1,6 @@
 """Learners and searches against plain versions."""
 
+import inspect
 import math
 import random
 
@@ -201,3 +202,23 @@ def test_blend_tries_pass_over_gathered_lists(spark):
         want = sorted(round(1 / r["rr"]) for r in mt.reciprocal_ranks(mt.blend(df, dict(zip("ab", w))), "seq", "blend", "hit", "rank").collect())
         got = blocks.mapInPandas(mt._places_of(w), "p int, n bigint").collect()
         assert sorted(p for r in got for p in [r["p"]] * r["n"]) == want
+
+
+def test_submission_searches_weights_to_the_end(spark, monkeypatch):
+    """The query sets no number of rounds, and neither search has one of its own."""
+    from asofkit.plans import ranking as plans
+
+    seen, old = [], mt.fit_blend
+    monkeypatch.setattr(mt, "fit_blend", lambda *args, **kwargs: seen.append(inspect.signature(old).bind(*args, **kwargs)) or old(*args, **kwargs))
+    assert plans.trained_submission(spark, "/root/testdata/sf0.001").count() > 0
+    for call in seen:
+        call.apply_defaults()
+    assert [call.arguments["rounds"] for call in seen] == [None]
+
+
+@pytest.mark.parametrize("search", [mt.powell, mt.nelder_mead])
+def test_searches_go_on_until_they_are_close(search):
+    """A long curved valley, for which a dozen rounds are too few."""
+    f = lambda p: float(100 * (p[1] - p[0] ** 2) ** 2 + (1 - p[0]) ** 2)
+    start = np.array([-1.2, 1.0])
+    assert f(search(f, start, None)) < f(search(f, start, 12))
